@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sentencepiece_viterbi, simhash_golay
+from . import packing, pii, sentencepiece_viterbi, simhash_golay
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece_viterbi": op1_sentencepiece_viterbi,
+    "op2_pii_disclosure": op2_pii_disclosure,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
