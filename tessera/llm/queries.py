@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, pii, sentencepiece_viterbi, simhash_golay
+from . import bitslice, licenses, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,9 +50,23 @@ QUERIES = {
     "op1_sentencepiece_viterbi": op1_sentencepiece_viterbi,
     "op2_pii_disclosure": op2_pii_disclosure,
     "op3_license_dice": op3_license_dice,
+    "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_dice": licenses.oracle_sql(),
+    "op6_bit_sliced_top_k": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
 }
