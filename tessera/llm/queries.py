@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, licenses, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay, toxicity
+from . import bitslice, licenses, line_dedup, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_pii_disclosure": op2_pii_disclosure,
     "op3_license_dice": op3_license_dice,
     "op4_toxicity_compression": op4_toxicity_compression,
+    "op5_line_templates": op5_line_templates,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
     "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_simhash_golay": op9_simhash_golay,
