@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, licenses, line_dedup, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay, toxicity
+from . import bitslice, licenses, line_dedup, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_toxicity_compression": op4_toxicity_compression,
     "op5_line_templates": op5_line_templates,
     "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
+    "op7_suffix_groups": op7_suffix_groups,
     "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_best_fit_packing": op10_best_fit_packing,
