@@ -12,14 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_viterbi.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_viterbi.round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
