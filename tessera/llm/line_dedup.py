@@ -59,13 +59,18 @@ def parse(line: str, depth: int, tokens: dict) -> tuple[int, int, array] | None:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows ``(doc_id, leaf, key, tokens)``, one for each different line of a document."""
+    """Rows of two kinds: ``(doc_id, leaf, key)`` for each different line of a document, and, with ``doc_id`` null,
+    ``(leaf, key, n, first, tokens)`` for each different line of a batch: its documents, the smallest of them, its tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "leaf", "key", "n", "first", "tokens"]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
         for batch in batches:
-            row, leaf, key, flat, ends = [], [], [], array("H"), [0]
+            ids = batch.column(0)
+            owner = ids.to_pylist()
+            row, leaf, key = [], [], []
+            lines: dict[int, list] = {}  # key -> leaf, documents, row of the smallest, tokens
             for i, x in enumerate(batch.column(1)):
                 seen = set()
                 for line in (x.as_py() or "").split("\n"):
@@ -75,12 +80,27 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
                         row.append(i)
                         leaf.append(found[0])
                         key.append(found[1])
-                        flat.extend(found[2])
-                        ends.append(len(flat))
+                        known = lines.get(found[1])
+                        if known is None:
+                            lines[found[1]] = [found[0], 1, i, found[2]]
+                        else:
+                            known[1] += 1
+                            if owner[i] < owner[known[2]]:
+                                known[2] = i
+            flat, ends = array("H"), [0]
+            for entry in lines.values():
+                flat.extend(entry[3])
+                ends.append(len(flat))
+            n, m = len(row), len(lines)
             values = pa.array(np.frombuffer(flat, np.uint16).view(np.int16) if flat else np.zeros(0, np.int16))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(leaf, pa.int64()), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "leaf", "key", "tokens"])
+            none = lambda size, column: pa.nulls(size, column.type)
+            columns = {"doc_id": ids.take(pa.array(row, pa.int64())), "leaf": pa.array(leaf, pa.int64()), "key": pa.array(key, pa.int64())}
+            counts, first = pa.array([e[1] for e in lines.values()], pa.int64()), ids.take(pa.array([e[2] for e in lines.values()], pa.int64()))
+            token_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([columns["doc_id"], columns["leaf"], columns["key"], none(n, counts), none(n, first), none(n, token_lists)], names=names)
+            yield pa.RecordBatch.from_arrays([none(m, ids), pa.array([e[0] for e in lines.values()], pa.int64()), pa.array(list(lines), pa.int64()), counts, first, token_lists], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(parsed, f"doc_id {kind}, leaf long, key long, tokens array<short>")
+    return docs.select("doc_id", "text").mapInArrow(parsed, f"doc_id {kind}, leaf long, key long, n long, first {kind}, tokens array<short>")
 
 
 def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: int) -> np.ndarray:
@@ -153,9 +173,10 @@ def _across_tasks(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000) -> DataFrame:
     """Rows ``(doc_id, keys)``: the keys of the lines that each document loses.  ``docs`` has ``doc_id`` and ``text``."""
     lines = work.save(_lines(docs.filter("doc_id IS NOT NULL"), depth), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") >= min_docs).select("leaf")
-    # Most leaves hold too few lines; the others' lines are counted before they meet by leaf.
-    counted = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.first("tokens").alias("tokens"))
+    held, parsed = lines.filter("doc_id IS NOT NULL").select("doc_id", "leaf", "key"), lines.filter("doc_id IS NULL")
+    leaves = parsed.groupBy("leaf").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= min_docs).select("leaf")
+    # Most leaves hold too few lines.  The tables of leaves, lines and lists grow with the corpus: none is broadcast.
+    counted = parsed.join(leaves.hint("merge"), "leaf", "left_semi").groupBy("leaf", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("tokens").alias("tokens"))
     counted = work.save(counted, "counted")
     hot = counted.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > leaf_rows).select("leaf")
     placed = _in_leaf(counted.join(hot, "leaf", "left_anti"), depth, min_docs)
@@ -164,7 +185,7 @@ def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs:
     placed = work.save(placed.filter(F.col("constant") >= min_constant), "placed")
     templates = placed.groupBy("leaf", "template").agg(F.sum("n").alias("docs"), F.min("first").alias("keeper")).filter(F.col("docs") >= min_docs)
     dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "key", "keeper")
-    lost = lines.select("doc_id", "leaf", "key").join(dropped, ["leaf", "key"]).filter("doc_id <> keeper")
+    lost = held.join(dropped.hint("merge"), ["leaf", "key"]).filter("doc_id <> keeper")
     found = work.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
     work.drop("lines", "counted", "placed")
     return found
@@ -186,7 +207,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession, "lines")
     keys, names, at = fresh("keys", docs.columns), docs.columns, docs.columns.index(text_col)
     lost = recurring_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, depth, min_docs, min_constant, leaf_rows)
-    joined = docs.join(lost.select(F.col("doc_id").alias(id_col), F.col("keys").alias(keys)), id_col, "left").select(*names, keys)
+    joined = docs.join(lost.select(F.col("doc_id").alias(id_col), F.col("keys").alias(keys)).hint("merge"), id_col, "left").select(*names, keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
