@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained from labelled texts: one on ordinary text, one on toxic text.  A window that
 the toxic dictionary compresses to fewer bytes than the ordinary one is closer to toxic text.  Windows are runs of
-``window_words`` words, set into a short carrier that both dictionaries know, so that the block overhead of very short
-inputs cancels.  A document's features are its largest difference and the number of its different windows that reach
-the calibrated cut; a logistic curve fitted on the labelled texts turns them into a score.
+``window_words`` words, written twice after a short carrier that both dictionaries know, so that a match pays for itself
+and the block overhead of very short inputs cancels.  A document's features are its largest difference and the numbers of its different windows that reach
+each of ``CUTS`` bytes; a logistic curve fitted on the labelled texts calibrates them into a score.
 
 Toxic texts are mostly ordinary words, so the toxic dictionary's content is chosen by contrast: segments that many
 toxic texts share and ordinary ones lack, taken greedily until every toxic text is covered ``cover`` times, on top of the
@@ -25,17 +25,18 @@ from pyspark.sql import functions as F
 
 SEGMENT_LENGTHS = (4, 5, 6, 7, 8)
 CARRIER_BYTES = 24
+#: Differences, in bytes, at which windows are counted.
+CUTS = (2, 3, 4, 5, 6)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, carrier, cut (bytes of difference) and the logistic weights (bias, difference, windows)."""
+    """Dictionaries, carrier and the logistic weights of :func:`features`."""
 
     ordinary: bytes
     toxic: bytes
     carrier: bytes
-    cut: int
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
     window_words: int = 1
 
 
@@ -58,7 +59,7 @@ class Distances(dict):
     def __missing__(self, window: str) -> int:
         saved = self.old.get(window)
         if saved is None:
-            data = self.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" "
+            data = self.carrier + 2 * (b" " + window.encode("utf-8", "surrogatepass")) + b" "
             saved = len(self.a(data)) - len(self.b(data))
         if len(window) <= 64:
             self[window] = saved
@@ -75,33 +76,40 @@ class Distances(dict):
         return list(map(self.__getitem__, set(words)))
 
 
-def _segments(text: str) -> set[str]:
-    found = set()
-    for word in set(text.lower().split()):
-        if len(word) <= 64:
-            word = f" {word} "
-            for k in SEGMENT_LENGTHS:
-                found.update(word[i : i + k] for i in range(len(word) - k + 1))
-    return found
+def _segments(word: str) -> set[str]:
+    word = f" {word[:64]} "
+    return {word[i : i + k] for k in SEGMENT_LENGTHS for i in range(len(word) - k + 1)}
 
 
 def contrast_segments(toxic: list[str], ordinary: list[str], cover: int = 40, least_share: float = 0.03, odds: float = 20.0) -> list[str]:
-    """Segments for the toxic dictionary, the most telling first (greedy cover of the toxic texts)."""
-    here, there = [_segments(t) for t in toxic], Counter(s for t in ordinary for s in _segments(t))
-    count = Counter(s for own in here for s in own)
+    """Segments for the toxic dictionary, the most telling first (greedy cover of the toxic texts).
+
+    Only words that are rare in ordinary texts can hold a telling segment, so no others are cut into segments.
+    """
+    plain = Counter(w for t in ordinary for w in set(t.lower().split()))
+    rare = 0.002 * len(ordinary)
+    words = [[w for w in set(t.lower().split()) if plain[w] <= rare] for t in toxic]
+    count = Counter(s for own in words for s in {s for w in own for s in _segments(w)})
     least = max(3, 0.004 * len(toxic))
-    telling = {s for s, n in count.items() if n >= least and n / len(toxic) > odds * (there[s] + 0.25) / (len(ordinary) + 1)}
+    count = {s: n for s, n in count.items() if n >= least}
+    there: Counter[str] = Counter()
+    for w, n in plain.items():
+        for s in _segments(w):
+            if s in count:
+                there[s] += n
+    telling = {s for s, n in count.items() if n / len(toxic) > odds * (there[s] + 0.25) / (len(ordinary) + 1)}
+    here = [{s for w in own for s in _segments(w) if s in telling} for own in words]
     holders: dict[str, set[int]] = defaultdict(set)
     for i, own in enumerate(here):
-        for s in own & telling:
+        for s in own:
             holders[s].add(i)
     left, chosen, open_ = np.full(len(toxic), cover), [], set(telling)
     while open_:
         best = max(open_, key=lambda s: (sum(left[i] > 0 for i in holders[s]), len(s), s))
         if sum(left[i] > 0 for i in holders[best]) < max(3, least_share * len(toxic)):
             break
-        # The longest telling text around it that nearly all of its holders share.
-        whole = max((s for s in telling if best in s and len(holders[s]) >= 0.9 * len(holders[best])), key=lambda s: (len(s), s), default=best)
+        # The longest telling text around it that at least half of its holders share.
+        whole = max((s for s in telling if best in s and len(holders[s]) >= 0.5 * len(holders[best])), key=lambda s: (len(s), s), default=best)
         chosen.append(whole)
         left[list(holders[best])] -= 1
         open_ = {s for s in open_ if s not in whole and not (len(holders[s] & holders[best]) > 0.8 * len(holders[s]) and any(s[j : j + 3] in whole for j in range(len(s) - 2)))}
@@ -117,8 +125,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def features(saved: list[int], cut: int) -> tuple[float, float]:
-    return float(max(saved, default=0)), math.log1p(sum(s >= cut for s in saved))
+def features(saved: list[int]) -> tuple[float, ...]:
+    return 1.0, float(max(saved, default=0)), *(math.log1p(sum(s >= c for s in saved)) for c in CUTS), math.log1p(len(saved))
 
 
 def train(toxic: list[str], ordinary: list[str], toxic_share: float, window_words: int = 1, dictionary_bytes: int = 8192) -> Model | None:
@@ -137,10 +145,8 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float, window_word
     saved = [distances.of(t, window_words) for t in [*toxic, *ordinary]]
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     weight = np.where(y > 0, toxic_share / len(toxic), (1 - toxic_share) / len(ordinary)) * len(y)
-    top = np.array([max(s, default=0) for s in saved])
-    cut = max(range(1, max(2, int(top.max()) + 1)), key=lambda c: (weight * ((top >= c) == y)).sum())
-    x = np.array([(1.0, *features(s, cut)) for s in saved])
-    return Model(content, known, content[-CARRIER_BYTES:], cut, tuple(_logistic(x, y, weight).tolist()), window_words)
+    x = np.array([features(s) for s in saved])
+    return Model(content, known, content[-CARRIER_BYTES:], tuple(_logistic(x, y, weight).tolist()), window_words)
 
 
 _DISTANCES: dict[tuple[bytes, bytes], Distances] = {}
@@ -151,12 +157,12 @@ def score(text: str, model: Model) -> float:
     if key not in _DISTANCES:
         _DISTANCES.clear()
         _DISTANCES[key] = Distances(model.ordinary, model.toxic, model.carrier)
-    x = features(_DISTANCES[key].of(text, model.window_words), model.cut)
-    z = model.weights[0] + model.weights[1] * x[0] + model.weights[2] * x[1]
+    x = features(_DISTANCES[key].of(text, model.window_words))
+    z = sum(w * v for w, v in zip(model.weights, x, strict=True))
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2500) -> tuple[Model | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000) -> tuple[Model | None, float]:
     """Trains on ``sample_rows`` labelled rows of each class at most (those with the smallest hashed ids).
 
     Rows whose crc32 of the id is divisible by 5 are held out and never read here.  The second value is the share of
@@ -172,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], share), share
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2500, out: str = "score") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and ``out``, the toxicity score of the whole text (0 to 1).
 
     Null texts count as empty.  Without labels of both classes every score is the share of toxic labels.
