@@ -4,11 +4,11 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
 
 1.  Anchors: of every window of ``length`` bytes, the place of its 16-byte string with the smallest hash.  Equal windows
     have the same anchor string at the same place, about one place in twenty is an anchor.
-2.  Anchor strings that only one document has are dropped (their hashes are compared, not the texts).
-3.  The bytes around each remaining anchor are sent to the task of its hash, equal ones of one batch only once.
-4.  A task builds the suffix array of the different surroundings of an anchor string and reads equal windows off as runs of
-    neighbours; a window goes from every document but the smallest of its run.  Where all surroundings are one
-    text, or share too few bytes with any other for a window, there is nothing to sort.
+2.  Anchor strings that only one document has are dropped (their hashes are compared, not the texts).  A document that
+    equals an earlier one as a whole goes as a whole and is no source.
+3.  The run of bytes under all windows of a remaining anchor is sent to the task of its hash, equal ones of one batch once.
+4.  A task builds the suffix array of the different runs of an anchor string and reads equal windows off as neighbours; a
+    window goes from every document but the smallest that has it.  Where all runs are one text there is nothing to sort.
 
 The suffix array is built by grouping: suffixes with the same longest Lyndon prefix form a group, groups are ordered as
 their prefixes, and the order within a group follows from that of the next smaller suffixes.  Ranks are never named anew.
@@ -104,16 +104,15 @@ def window_runs(parts: list[bytes], starts: list[range], length: int) -> list[li
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 64-bit hashes of the anchor strings of all windows of ``length`` bytes."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchor strings of all windows of ``length`` bytes: 64-bit hashes, and the first and last window of each."""
     n_windows = len(data) - length + 1
     if n_windows < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) > _BLOCK:  # blocks that overlap by a window less a byte
         step = _BLOCK - length + 1
-        found = [(p + at, h) for at in range(0, n_windows, step) for p, h in [anchors(data[at : at + _BLOCK], length)]]
-        places, first = np.unique(np.concatenate([p for p, _ in found]), return_index=True)
-        return places, np.concatenate([h for _, h in found])[first]
+        found = [(h, a + at, b + at) for at in range(0, n_windows, step) for h, a, b in [anchors(data[at : at + _BLOCK], length)]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
     u = b[:-1] | b[1:] << np.uint64(8)
     u = u[:-2] | u[2:] << np.uint64(16)
@@ -131,9 +130,8 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         done *= 2
     if done < width:
         low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
-    place = (low & np.uint64(_BLOCK - 1)).astype(np.int64)
-    place = place[np.r_[True, place[1:] != place[:-1]]]
-    return place, h[place]
+    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    return h[(low[first] & np.uint64(_BLOCK - 1)).astype(np.int64)], first, np.r_[first[1:], n_windows] - 1
 
 
 def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -152,7 +150,7 @@ def shared_anchors(docs: DataFrame, length: int, work: Workspace) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = [np.unique(anchors(data, length)[1]) for data in _bytes_of(batch, 1)]
+            own = [np.unique(anchors(data, length)[0]) for data in _bytes_of(batch, 1)]
             hashes = np.concatenate(own) if own else np.zeros(0, np.uint64)
             owner = np.repeat(ids, [len(h) for h in own]) if own else ids[:0]
             order = np.lexsort((owner, hashes))
@@ -191,133 +189,134 @@ def shared_anchors(docs: DataFrame, length: int, work: Workspace) -> DataFrame:
     return work.save(across.union(found.filter("bucket IS NULL").select("doc_id", "hash")), "shared")
 
 
-# ---------------------------------------------------------------- surroundings
+# ---------------------------------------------------------------- runs of windows
 
 
-def _surroundings(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Rows of two kinds: surroundings ``(hash, doc_id, text_key, place, left, part)``; bytes already known to go, with
-    ``hash`` null: ``(doc_id, text_key, place = start, left = end)``."""
-    names = ["hash", "doc_id", "text_key", "place", "left", "part"]
-    reach = length - GRAM
+def _runs(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """Rows of two kinds: ``(hash, doc_id, text_key, start, part)``, the bytes under an anchor's windows; and, with ``hash``
+    null, ``(doc_id, text_key, start, end)``, bytes that are already known to go."""
+    names = ["hash", "doc_id", "text_key", "start", "end", "part"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[int, bytes], tuple[int, list[tuple[int, int, int, int]]]] = {}
+            held: dict[tuple[int, bytes], tuple[int, list[tuple[int, int, int]]]] = {}
             gone: list[tuple[int, int, int, int]] = []
             for i, (doc, key, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch, 2), strict=True)):
-                place, hashes = anchors(data, length)
+                hashes, first, last = anchors(data, length)
                 own = np.isin(hashes, batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                for p, h in zip(place[own].tolist(), hashes[own].tolist(), strict=True):
-                    left = min(p, reach)
-                    part = data[p - left : p + length]
-                    row = (doc, key, p, left)
+                for h, a, b in zip(hashes[own].tolist(), first[own].tolist(), (last[own] + length).tolist(), strict=True):
+                    part = data[a:b]
                     known = held.get((h, part))
                     if known is None or doc < known[0]:
                         if known:
-                            gone.extend(_all_windows(r, len(part), length) for r in known[1])
-                        held[h, part] = doc, [row]
+                            gone.extend((*r, r[2] + len(part)) for r in known[1])
+                        held[h, part] = doc, [(doc, key, a)]
                     elif doc == known[0]:
-                        known[1].append(row)
+                        known[1].append((doc, key, a))
                     else:
-                        gone.append(_all_windows(row, len(part), length))
+                        gone.append((doc, key, a, b))
             rows = [(h, *row, part) for (h, part), (_, kept) in held.items() for row in kept]
-            signed = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            columns = [[r[k] for r in rows] + [g[k - 1] for g in gone] for k in range(1, 5)]
-            hashes = pa.concat_arrays([pa.array(signed), pa.nulls(len(gone), pa.int64())])
-            yield pa.RecordBatch.from_arrays([hashes, *(pa.array(c, pa.int64()) for c in columns), pa.array([r[5] for r in rows] + [None] * len(gone), pa.binary())], names=names)
+            n, m = len(rows), len(gone)
+            hashes = pa.concat_arrays([pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.nulls(m, pa.int64())])
+            columns = [pa.array([r[k] for r in rows] + [g[k - 1] for g in gone], pa.int64()) for k in (1, 2, 3)]
+            ends = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([g[3] for g in gone], pa.int64())])
+            parts = pa.concat_arrays([pa.array([r[4] for r in rows], pa.binary()), pa.nulls(m, pa.binary())])
+            yield pa.RecordBatch.from_arrays([hashes, *columns, ends, parts], names=names)
 
     lists = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-    joined = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).join(lists, "doc_id")
-    return joined.select("doc_id", "text_key", "text", "hashes").mapInArrow(cut, "hash long, doc_id long, text_key long, place long, left long, part binary")
-
-
-def _all_windows(row: tuple[int, int, int, int], size: int, length: int) -> tuple[int, int, int, int]:
-    """(doc, text, start, end) of the bytes under all windows of a surrounding that hold its anchor."""
-    doc, key, place, left = row
-    return doc, key, place - left, place - left + max(size, 0) if size >= length else place - left
-
-
-def resolve(rows: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
-    """Of the surroundings (doc, text, place, left, part) of one anchor string, the byte ranges (doc, text, start, end) that go."""
-    by_part: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for doc, key, place, left, part in rows:
-        by_part[left.to_bytes(2, "big") + part].append((doc, key, place, left))
-    least = {p: min(o[0] for o in own) for p, own in by_part.items()}
-    out = [_all_windows(o, len(p) - 2, length) for p, own in by_part.items() for o in own if o[0] > least[p]]
-    if len(by_part) == 1:
-        return out
-    # Two surroundings with a common window agree on half of the bytes beside the anchor, on its left or on its right.
-    half = (length - GRAM) // 2
-    sides: dict[tuple[int, bytes], list[bytes]] = defaultdict(list)
-    for p, own in by_part.items():
-        left, part = own[0][3], p[2:]
-        if left >= half:
-            sides[0, part[left - half : left]].append(p)
-        if len(part) >= left + GRAM + half:
-            sides[1, part[left + GRAM : left + GRAM + half]].append(p)
-    parts = sorted({p for group in sides.values() if len(group) > 1 for p in group})
-    if len(parts) < 2:
-        return out
-    lefts = [by_part[p][0][3] for p in parts]
-    starts = [range(0, min(left, len(p) - 2 - length) + 1) for p, left in zip(parts, lefts, strict=True)]
-    flagged: dict[int, list[int]] = defaultdict(list)
-    for run in window_runs([p[2:] for p in parts], starts, length):
-        lowest = min(least[parts[i]] for i, _ in run)
-        for i, s in run:
-            if lowest < least[parts[i]]:
-                flagged[i].append(s)
-    for i, own in flagged.items():
-        for doc, key, place, left in by_part[parts[i]]:
-            if doc == least[parts[i]]:
-                out.extend((doc, key, place - left + s, place - left + s + length) for s in own)
+    joined = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).join(lists.hint("merge"), "doc_id")
+    return joined.select("doc_id", "text_key", "text", "hashes").mapInArrow(cut, "hash long, doc_id long, text_key long, start long, end long, part binary")
+
+
+def resolve(parts: list[bytes], least: list[int], length: int) -> list[tuple[int, int]]:
+    """Of the different runs of one anchor string, each with its smallest document: (run, start) of the windows that a
+    document smaller than the run's own has too."""
+    out = []
+    for run in window_runs(parts, [range(len(p) - length + 1) for p in parts], length):
+        lowest = min(least[i] for i, _ in run)
+        out.extend((i, s) for i, s in run if lowest < least[i])
     return out
 
 
 def _ranges(parts: DataFrame, length: int) -> DataFrame:
-    """Rows ``(doc_id, text_key, start, end)``: each anchor string's surroundings resolved together."""
+    """Rows ``(doc_id, text_key, start, end)``: each anchor string's runs resolved together."""
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            ranges, at = [], 0
-            for i in range(1, len(rows) + 1):
-                if i == len(rows) or rows[i][0] != rows[at][0]:
-                    if i - at > 1:
-                        ranges.extend(resolve([r[1:] for r in rows[at:i]], length))
-                    at = i
-            merged = merge_ranges(ranges)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in merged], pa.int64()) for k in range(4)], names=["doc_id", "text_key", "start", "end"])
-
+        rest = None
         for batch in batches:
-            rest.extend(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
-            cut = len(rest)
-            while cut and rest[cut - 1][0] == rest[-1][0]:
-                cut -= 1
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            hashes = table.column(0).to_numpy()
+            cut = int(np.searchsorted(hashes, hashes[-1]))
+            rest = table.slice(cut)
             if cut:
-                yield out(rest[:cut])
-                rest = rest[cut:]
-        if rest:
+                yield out(table.slice(0, cut))
+        if rest is not None:
             yield out(rest)
 
-    return parts.repartition("hash").sortWithinPartitions("hash").mapInArrow(resolved, "doc_id long, text_key long, start long, end long")
+    def out(table: pa.Table) -> pa.RecordBatch:
+        """Rows come by hash, then by run, then by document."""
+        hashes, runs, doc, key, start, size = (table.column(i).to_numpy() for i in range(6))
+        new_hash = np.r_[True, hashes[1:] != hashes[:-1]]
+        new_run = new_hash | np.r_[True, runs[1:] != runs[:-1]]
+        run_at = np.flatnonzero(new_run)
+        least = doc[run_at][np.cumsum(new_run) - 1]
+        later = doc > least
+        found = [(doc[later], key[later], start[later], start[later] + size[later])]
+        # Anchor strings with several different runs.
+        group = np.cumsum(new_hash)[run_at] - 1
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        texts = table.column(6).take(pa.array(run_at[several])).to_pylist()
+        owners, many = np.r_[run_at, len(doc)], group[several]
+        edge = np.flatnonzero(np.r_[True, many[1:] != many[:-1], True]) if len(many) else np.zeros(0, np.int64)
+        extra = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = several[a:b]
+            for i, s in resolve(texts[a:b], doc[run_at[own]].tolist(), length):
+                for r in range(owners[own[i]], owners[own[i] + 1]):
+                    if doc[r] > least[r]:
+                        break
+                    extra.append((r, s))
+        if extra:
+            r, s = np.array(extra).T
+            found.append((doc[r], key[r], start[r] + s, start[r] + s + length))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(*columns)], names=["doc_id", "text_key", "start", "end"])
+
+    keyed = parts.select("hash", F.xxhash64("part").alias("run"), "doc_id", "text_key", "start", F.octet_length("part").cast("long").alias("size"), "part")
+    return keyed.repartition("hash").sortWithinPartitions("hash", "run", "doc_id").mapInArrow(resolved, "doc_id long, text_key long, start long, end long")
+
+
+def _joined(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of one text that overlap or touch, joined."""
+    if not len(doc):
+        return doc, key, start, end
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], end[order]
+    text = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) - 1
+    base = text * (int(end.max()) + 2)  # texts do not touch one another
+    reach = np.maximum.accumulate(end + base)
+    first = np.flatnonzero(np.r_[True, start[1:] + base[1:] > reach[:-1]])
+    return doc[first], key[first], start[first], reach[np.r_[first[1:], len(doc)] - 1] - base[first]
 
 
 def _ranges_by_window(parts: DataFrame, length: int) -> DataFrame:
-    """The same rows by grouped minima over the windows themselves, for anchor strings with very many surroundings."""
+    """The same rows by grouped minima over the windows themselves, for anchor strings with very many runs."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             rows = [
-                (hashlib.blake2b(part[s : s + length], digest_size=16).digest(), doc, key, place - left + s)
-                for doc, key, place, left, part in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)
-                for s in range(0, min(left, len(part) - length) + 1)
+                (hashlib.blake2b(part[s : s + length], digest_size=16).digest(), doc, key, start + s)
+                for doc, key, start, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+                for s in range(len(part) - length + 1)
             ]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=["window", "doc_id", "text_key", "start"])
 
-    found = parts.mapInArrow(windows, "window binary, doc_id long, text_key long, start long")
+    found = parts.select("doc_id", "text_key", "start", "part").mapInArrow(windows, "window binary, doc_id long, text_key long, start long")
     first = found.groupBy("window").agg(F.min("doc_id").alias("first"))
     return found.join(first, "window").filter("doc_id > first").select("doc_id", "text_key", "start", (F.col("start") + length).alias("end"))
 
@@ -347,20 +346,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     work = Workspace(docs.sparkSession, "repeats")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = narrow.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    texts = work.save(known.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").cast("long").alias("end")), "texts")
+    first = texts.groupBy("text_key", "check").agg(F.min("doc_id").alias("first"))
+    copies = work.save(texts.join(first, ["text_key", "check"]).select("doc_id", "text_key", "end", (F.col("doc_id") > F.col("first")).alias("copy")), "copies")
     shared = shared_anchors(known, length, work)
-    work.drop("anchors")
-    around = work.save(_surroundings(known, shared, length), "surroundings")
+    work.drop("anchors", "texts")
+    only_copies = copies.groupBy("doc_id").agg(F.min("copy").alias("copy")).filter("copy").select("doc_id")
+    around = work.save(_runs(known, shared.join(only_copies.hint("merge"), "doc_id", "left_anti"), length), "runs")
     work.drop("shared")
-    parts = around.filter("hash IS NOT NULL")
-    hot = parts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > group_limit).select("hash")
+    parts = around.filter("hash IS NOT NULL").select("hash", "doc_id", "text_key", "start", "part")
+    hot = work.save(parts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > group_limit).select("hash"), "hot")
     if hot.take(1):
-        hot = work.save(hot, "hot")
         ranges = _ranges(parts.join(hot, "hash", "left_anti").select(*parts.columns), length).union(_ranges_by_window(parts.join(hot, "hash", "left_semi").select(*parts.columns), length))
     else:
         ranges = _ranges(parts, length)
-    ranges = ranges.union(around.filter("hash IS NULL").select("doc_id", "text_key", "place", F.col("left")))
+    ranges = ranges.union(around.filter("hash IS NULL").select("doc_id", "text_key", "start", "end"))
+    ranges = ranges.union(copies.filter("copy").select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), "end"))
     spans = work.save(ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    work.drop("surroundings")
+    work.drop("runs", "copies", "hot")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,5 +377,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 rows.append((len(data), sum(b - a for _, _, a, b in merged), len(merged), b"".join([*kept, data[at:]])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    keyed = narrow.withColumn("text_key", F.xxhash64("text")).join(spans, ["doc_id", "text_key"], "left")
+    keyed = narrow.withColumn("text_key", F.xxhash64("text")).join(spans.hint("merge"), ["doc_id", "text_key"], "left")
     return keyed.select("doc_id", F.col("text").cast("binary"), "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -51,6 +51,9 @@ class Workspace:
     def release(self) -> None:
         """Lets Spark remove shuffle files of plans that have ended."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # Python lets go first, then the JVM
+            gc.collect()
+            time.sleep(0.2)
+            self.spark._jvm.System.gc()
