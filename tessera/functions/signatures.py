@@ -85,6 +85,8 @@ def token_grid(docs: DataFrame, id_col: str, text_col: str, cells: int) -> DataF
 
 
 def band(signature: Column, index: int, start: int, width: int) -> Column:
+    if width >= 64:
+        return signature
     return F.shiftrightunsigned(signature, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
