@@ -32,7 +32,7 @@ class TokenCache(dict):
     generations of at most ``limit`` chunks bound the memory.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, limit: int = 800_000):
         import os
         import re
 
