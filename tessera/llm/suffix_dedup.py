@@ -8,7 +8,8 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts in
     equals an earlier one as a whole goes as a whole and is no source.
 3.  The run of bytes under all windows of a remaining anchor is sent to the task of its hash, equal ones of one batch once.
 4.  A task builds the suffix array of the different runs of an anchor string and reads equal windows off as neighbours; a
-    window goes from every document but the smallest that has it.  Where all runs are one text there is nothing to sort.
+    window goes from every document but the smallest that has it.  Where all runs are one text, or none shares three
+    quarters of a window with another, there is nothing to sort.
 
 The suffix array is built by grouping: suffixes with the same longest Lyndon prefix form a group, groups are ordered as
 their prefixes, and the order within a group follows from that of the next smaller suffixes.  Ranks are never named anew.
@@ -104,14 +105,14 @@ def window_runs(parts: list[bytes], starts: list[range], length: int) -> list[li
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor strings of all windows of ``length`` bytes: 64-bit hashes, and the first and last window of each."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchor strings of all windows of ``length`` bytes: 64-bit hashes, places, and the first and last window of each."""
     n_windows = len(data) - length + 1
     if n_windows < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     if len(data) > _BLOCK:  # blocks that overlap by a window less a byte
         step = _BLOCK - length + 1
-        found = [(h, a + at, b + at) for at in range(0, n_windows, step) for h, a, b in [anchors(data[at : at + _BLOCK], length)]]
+        found = [(h, p + at, a + at, b + at) for at in range(0, n_windows, step) for h, p, a, b in [anchors(data[at : at + _BLOCK], length)]]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
     u = b[:-1] | b[1:] << np.uint64(8)
@@ -131,7 +132,8 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if done < width:
         low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return h[(low[first] & np.uint64(_BLOCK - 1)).astype(np.int64)], first, np.r_[first[1:], n_windows] - 1
+    place = (low[first] & np.uint64(_BLOCK - 1)).astype(np.int64)
+    return h[place], place, first, np.r_[first[1:], n_windows] - 1
 
 
 def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -193,48 +195,68 @@ def shared_anchors(docs: DataFrame, length: int, work: Workspace) -> DataFrame:
 
 
 def _runs(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Rows of two kinds: ``(hash, doc_id, text_key, start, part)``, the bytes under an anchor's windows; and, with ``hash``
-    null, ``(doc_id, text_key, start, end)``, bytes that are already known to go."""
+    """Rows of two kinds: ``(hash, doc_id, text_key, start, end, part)``, the bytes under an anchor's windows, ``end`` the
+    anchor's place in them; and, with ``hash`` null, ``(doc_id, text_key, start, end)``, bytes already known to go."""
     names = ["hash", "doc_id", "text_key", "start", "end", "part"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[int, bytes], tuple[int, list[tuple[int, int, int]]]] = {}
+            held: dict[tuple[int, bytes], tuple[int, list[tuple[int, int, int, int]]]] = {}
             gone: list[tuple[int, int, int, int]] = []
             for i, (doc, key, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch, 2), strict=True)):
-                hashes, first, last = anchors(data, length)
+                hashes, place, first, last = anchors(data, length)
                 own = np.isin(hashes, batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                for h, a, b in zip(hashes[own].tolist(), first[own].tolist(), (last[own] + length).tolist(), strict=True):
+                for h, p, a, b in zip(hashes[own].tolist(), place[own].tolist(), first[own].tolist(), (last[own] + length).tolist(), strict=True):
                     part = data[a:b]
                     known = held.get((h, part))
                     if known is None or doc < known[0]:
                         if known:
-                            gone.extend((*r, r[2] + len(part)) for r in known[1])
-                        held[h, part] = doc, [(doc, key, a)]
+                            gone.extend((*r[:3], r[2] + len(part)) for r in known[1])
+                        held[h, part] = doc, [(doc, key, a, p - a)]
                     elif doc == known[0]:
-                        known[1].append((doc, key, a))
+                        known[1].append((doc, key, a, p - a))
                     else:
                         gone.append((doc, key, a, b))
             rows = [(h, *row, part) for (h, part), (_, kept) in held.items() for row in kept]
-            n, m = len(rows), len(gone)
+            m = len(gone)
             hashes = pa.concat_arrays([pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.nulls(m, pa.int64())])
-            columns = [pa.array([r[k] for r in rows] + [g[k - 1] for g in gone], pa.int64()) for k in (1, 2, 3)]
-            ends = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([g[3] for g in gone], pa.int64())])
-            parts = pa.concat_arrays([pa.array([r[4] for r in rows], pa.binary()), pa.nulls(m, pa.binary())])
-            yield pa.RecordBatch.from_arrays([hashes, *columns, ends, parts], names=names)
+            columns = [pa.array([r[k] for r in rows] + [g[k - 1] for g in gone], pa.int64()) for k in (1, 2, 3, 4)]
+            parts = pa.concat_arrays([pa.array([r[5] for r in rows], pa.binary()), pa.nulls(m, pa.binary())])
+            yield pa.RecordBatch.from_arrays([hashes, *columns, parts], names=names)
 
     lists = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     joined = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text")).join(lists.hint("merge"), "doc_id")
     return joined.select("doc_id", "text_key", "text", "hashes").mapInArrow(cut, "hash long, doc_id long, text_key long, start long, end long, part binary")
 
 
-def resolve(parts: list[bytes], least: list[int], length: int) -> list[tuple[int, int]]:
-    """Of the different runs of one anchor string, each with its smallest document: (run, start) of the windows that a
-    document smaller than the run's own has too."""
+def _with_partner(parts: list[bytes], at: list[int], length: int) -> list[int]:
+    """The runs that may have a window in common with another.
+
+    A window reaches so far to the left and right of its anchor; whatever the split, one of four pairs of lengths (about
+    three quarters of the bytes beside the anchor) lies inside it, and two runs with the window agree on that.
+    """
+    spare = length - GRAM
+    steps = [spare * k // 4 for k in range(4)] + [spare + 1]
+    holders: dict[tuple[int, bytes, bytes], list[int]] = defaultdict(list)
+    for i, (part, a) in enumerate(zip(parts, at, strict=True)):
+        end = a + GRAM
+        for k in range(4):
+            left, right = steps[k], spare - steps[k + 1] + 1
+            if a >= left and len(part) - end >= right:
+                holders[k, part[a - left : a], part[end : end + right]].append(i)
+    return sorted({i for own in holders.values() if len(own) > 1 for i in own})
+
+
+def resolve(parts: list[bytes], least: list[int], at: list[int], length: int) -> list[tuple[int, int]]:
+    """Of the different runs of one anchor string, each with its smallest document and the anchor's place in it: (run,
+    start) of the windows that a document smaller than the run's own has too."""
+    chosen = _with_partner(parts, at, length)
+    if len(chosen) < 2:
+        return []
     out = []
-    for run in window_runs(parts, [range(len(p) - length + 1) for p in parts], length):
-        lowest = min(least[i] for i, _ in run)
-        out.extend((i, s) for i, s in run if lowest < least[i])
+    for run in window_runs([parts[i] for i in chosen], [range(len(parts[i]) - length + 1) for i in chosen], length):
+        lowest = min(least[chosen[i]] for i, _ in run)
+        out.extend((chosen[i], s) for i, s in run if lowest < least[chosen[i]])
     return out
 
 
@@ -258,7 +280,7 @@ def _ranges(parts: DataFrame, length: int) -> DataFrame:
 
     def out(table: pa.Table) -> pa.RecordBatch:
         """Rows come by hash, then by run, then by document."""
-        hashes, runs, doc, key, start, size = (table.column(i).to_numpy() for i in range(6))
+        hashes, runs, doc, key, start, size, anchor = (table.column(i).to_numpy() for i in range(7))
         new_hash = np.r_[True, hashes[1:] != hashes[:-1]]
         new_run = new_hash | np.r_[True, runs[1:] != runs[:-1]]
         run_at = np.flatnonzero(new_run)
@@ -268,13 +290,13 @@ def _ranges(parts: DataFrame, length: int) -> DataFrame:
         # Anchor strings with several different runs.
         group = np.cumsum(new_hash)[run_at] - 1
         several = np.flatnonzero(np.bincount(group)[group] > 1)
-        texts = table.column(6).take(pa.array(run_at[several])).to_pylist()
+        texts = table.column(7).take(pa.array(run_at[several])).to_pylist()
         owners, many = np.r_[run_at, len(doc)], group[several]
         edge = np.flatnonzero(np.r_[True, many[1:] != many[:-1], True]) if len(many) else np.zeros(0, np.int64)
         extra = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             own = several[a:b]
-            for i, s in resolve(texts[a:b], doc[run_at[own]].tolist(), length):
+            for i, s in resolve(texts[a:b], doc[run_at[own]].tolist(), anchor[run_at[own]].tolist(), length):
                 for r in range(owners[own[i]], owners[own[i] + 1]):
                     if doc[r] > least[r]:
                         break
@@ -285,7 +307,7 @@ def _ranges(parts: DataFrame, length: int) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(*columns)], names=["doc_id", "text_key", "start", "end"])
 
-    keyed = parts.select("hash", F.xxhash64("part").alias("run"), "doc_id", "text_key", "start", F.octet_length("part").cast("long").alias("size"), "part")
+    keyed = parts.select("hash", F.xxhash64("part").alias("run"), "doc_id", "text_key", "start", F.octet_length("part").cast("long").alias("size"), F.col("end").alias("at"), "part")
     return keyed.repartition("hash").sortWithinPartitions("hash", "run", "doc_id").mapInArrow(resolved, "doc_id long, text_key long, start long, end long")
 
 
@@ -354,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     only_copies = copies.groupBy("doc_id").agg(F.min("copy").alias("copy")).filter("copy").select("doc_id")
     around = work.save(_runs(known, shared.join(only_copies.hint("merge"), "doc_id", "left_anti"), length), "runs")
     work.drop("shared")
-    parts = around.filter("hash IS NOT NULL").select("hash", "doc_id", "text_key", "start", "part")
+    parts = around.filter("hash IS NOT NULL")
     hot = work.save(parts.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > group_limit).select("hash"), "hot")
     if hot.take(1):
         ranges = _ranges(parts.join(hot, "hash", "left_anti").select(*parts.columns), length).union(_ranges_by_window(parts.join(hot, "hash", "left_semi").select(*parts.columns), length))
