@@ -51,15 +51,19 @@ def template_sizes(threshold: float) -> list[tuple[str, list[str], int, int]]:
     return rows
 
 
-def _units(text: Column) -> Column:
-    """Normalised lines, paragraphs and the whole text, each with its kind and number (from 0)."""
-    plain = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
+def _units(plain: Column, least: int, most: int) -> Column:
+    """Distinct word bigrams of the lines, paragraphs and the whole of a normalised text, each with its kind and number
+    (from 0), where their number may lie between ``least`` and ``most``.  Each step binds what the next one repeats."""
     several = F.instr(plain, "\n") > 0
     lines = F.split(plain, "\n")
     paragraphs = F.when(plain.rlike("\n ?\n"), F.split(plain, "\n ?\n[\n ]*"))
     whole = F.when(several, F.array(plain))
-    tagged = lambda kind, units: F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda u, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), F.trim(F.translate(u, "\n", " ")).alias("words")))
-    return F.concat(tagged("line", lines), tagged("paragraph", paragraphs), tagged("text", whole))
+    worded = lambda u: F.split(F.trim(F.translate(u, "\n", " ")), " +").alias("w")
+    tagged = lambda kind, units: F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda u, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), worded(u)))
+    # So many distinct words make at least one distinct bigram less, so many words at most one bigram less.
+    sized = F.filter(F.concat(tagged("line", lines), tagged("paragraph", paragraphs), tagged("text", whole)), lambda x: (F.size(x["w"]) > least) & (F.size(F.array_distinct(x["w"])) <= most + 1))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.transform(sized, lambda x: F.struct(x["unit"].alias("unit"), x["unit_no"].alias("unit_no"), F.array_distinct(pairs(x["w"])).alias("grams")))
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,12 +75,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     spark: SparkSession = docs.sparkSession
     templates = spark.createDataFrame(template_sizes(threshold), "license string, template array<string>, b int, a int")
     least, most = (f(r[3] for r in template_sizes(threshold)) for f in (min, max))
-    units = docs.select(F.col(id_col).alias("doc_id"), F.explode(_units(F.col(text_col).cast("string"))).alias("u"))
-    words = units.select("doc_id", "u.unit", "u.unit_no", F.split("u.words", " +").alias("w"))
-    # So many distinct words make at least one distinct bigram less, so many words at most one bigram less.
-    sized = words.filter((F.size("w") > least) & (F.size(F.array_distinct("w")) <= most + 1))
-    n = F.size("w") - 1
-    grams = sized.withColumn("grams", F.array_distinct(F.zip_with(F.slice("w", 1, n), F.slice("w", F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y)))).withColumn("a", F.size("grams"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.translate(F.col(text_col).cast("string"), _UPPER, _LOWER), "[^a-z0-9\n]+", " ").alias("plain"))
+    grams = plain.select("doc_id", F.explode(_units(F.col("plain"), least, most)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.grams", F.size("u.grams").alias("a"))
     scored = grams.join(F.broadcast(templates), "a").withColumn("shared", F.size(F.array_intersect("grams", "template")))
     dice = scored.withColumn("dice", 2.0 * F.col("shared") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= threshold)
     return dice.select("doc_id", "unit", "unit_no", "license", "dice")
