@@ -228,3 +228,155 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)  # their number grows with the corpus
+
+
+# ---------------------------------------------------------------- similarity of texts
+
+
+def shingle_digests(text: bytes, words_per_shingle: int) -> tuple[bytes, list[bytes]]:
+    """The words of one text, joined by spaces, and the 16-byte digests of its different shingles (of all words if they are fewer)."""
+    import xxhash
+
+    words = text.lower().split()
+    joined, hashed = b" ".join(words), xxhash.xxh3_128_digest
+    if len(words) <= words_per_shingle:
+        return joined, [hashed(joined)]
+    ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
+    starts = [0, *(e + 1 for e in ends)]
+    return joined, list({hashed(joined[a:b]) for a, b in zip(starts, ends[words_per_shingle - 1 :], strict=False)})
+
+
+def _node(joined: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(joined) - (1 << 63)
+
+
+def wide_prints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Rows ``(doc_id, node, f0, f1)``: equal ``node`` means equal words; ``f0`` and ``f1`` are a SimHash of 128 bits."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints = [], np.zeros((batch.num_rows, 2), np.int64)
+            for i, x in enumerate(batch.column(1)):
+                joined, digests = shingle_digests(x.as_py() or b"", words_per_shingle)
+                nodes.append(_node(joined))
+                rows, set_bits = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
+                for at in range(0, len(rows), 255):
+                    set_bits += np.unpackbits(rows[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
+                prints[i] = np.packbits(set_bits * 2 > len(rows)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], names=["doc_id", "node", "f0", "f1"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(hashed, f"doc_id {kind}, node long, f0 long, f1 long")
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of unsigned fingerprints of two columns: (position of the fingerprint, key).
+
+    The six segments stand in a ring.  A key is a pair of neighbours, each by one of its codewords within distance 4: 24
+    bits, some 28 keys a pair.  Twelve errors or fewer leave a pair of neighbours with 4 or fewer between them, whose keys
+    most often agree; at similarity 0.8 some 19 of 128 bits differ.
+    """
+    near = [codeword_indices((prints[:, c] >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)) for c in range(2) for low, width in SEGMENTS]
+    rows, keys = [], []
+    for s in range(6):
+        a, b = near[s][:, :, None], near[(s + 1) % 6][:, None, :]
+        valid = (a >= 0) & (b >= 0)
+        rows.append(np.nonzero(valid)[0])
+        keys.append((np.int64(s) << 24 | a << 12 | b)[valid])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def wide_candidates(distinct: DataFrame, max_bits: int, window: int, partners: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that share a key and differ in ``max_bits`` or fewer of 128 bits.
+
+    Of a key a row is compared with the next ``window`` rows, and gives its first ``partners`` pairs, so work and pairs
+    stay linear where very many texts share a key.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                rows, keys = wide_keys(np.stack([part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2)], axis=1))
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", "f0", "f1"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            fresh_from = len(rest[0]) if rest else 0
+            given = np.concatenate([rest[4], np.zeros(batch.num_rows, np.int64)]) if rest else np.zeros(batch.num_rows, np.int64)
+            key, node, f0, f1 = (np.concatenate([r, c]) for r, c in zip(rest, columns, strict=False)) if rest else columns
+            f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+            live, a, b = np.arange(len(key)), [], []
+            for k in range(1, window + 1):
+                live = live[live + k < len(key)]
+                live = live[key[live + k] == key[live]]
+                if not len(live):
+                    break
+                now = live[(live + k >= fresh_from) & (given[live] < partners)]
+                now = now[np.bitwise_count(f0[now] ^ f0[now + k]).astype(np.int64) + np.bitwise_count(f1[now] ^ f1[now + k]) <= max_bits]
+                given[now] += 1
+                a.append(np.maximum(node[now], node[now + k]))
+                b.append(np.minimum(node[now], node[now + k]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            # The last key may go on in the next batch.
+            cut = max(int(np.searchsorted(key, key[-1])), len(key) - window) if len(key) else 0
+            rest = [key[cut:], node[cut:], f0[cut:].view(np.int64), f1[cut:].view(np.int64), given[cut:]]
+
+    keys = distinct.select("node", "f0", "f1").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Rows ``(node, shingles)`` of the texts of the given nodes, ``shingles`` the different 64-bit shingle hashes."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [b" ".join((x.as_py() or b"").lower().split()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(j) for j in joined], pa.int64()), pa.array(joined, pa.binary())], names=["node", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(b"".join(shingle_digests(x.as_py(), words_per_shingle)[1]), np.int64)[::2] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(F.col("text").cast("binary")).mapInArrow(named, "node long, text binary")
+    return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles array<long>")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 36, window: int = 256, partners: int = 8) -> DataFrame:
+    """One row per input row: ``(doc_id, component_id)``, the smallest id that links of texts reach whose sets of shingles
+    have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates come from :func:`wide_candidates`, so single links may be missed; every link that is used is verified on
+    the whole texts.  Equal texts, those without words included, are one node.
+    """
+    work = Workspace(docs.sparkSession, "similar")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = work.save(wide_prints(narrow, words_per_shingle), "prints")
+    distinct = work.save(own.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("first")), "distinct")
+    pairs = work.save(wide_candidates(distinct, max_bits, window, partners), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = work.save(shingle_sets(narrow, nodes, words_per_shingle), "sets")
+    # Many pairs may have one b: it is looked up while rows are short.  The tables grow with the corpus: none is broadcast.
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
+    links = work.save(shared.filter(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n"))).select("a", "b"), "links")
+    work.drop("pairs", "sets")
+    component = connected_components(links, "a", "b")
+    known = distinct.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    lowest = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    looked_up = work.save(known.join(lowest, "component").select("node", "component_id"), "components")
+    work.drop("links", "distinct")
+    return own.join(looked_up, "node").select("doc_id", "component_id")
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Like :func:`keep_first`, with the groups of :func:`similar_documents`."""
+    gone = similar_documents(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)

@@ -307,6 +307,33 @@ def test_keep_first(docs, texts):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_near_dedup_stage_reaches_similarity(spark, docs, texts):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[rnd.choice(words) for _ in range(300)] for _ in range(20)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for i, own in enumerate(base):
+        near, far = own[:], own[:]
+        for at in (20, 120, 220, 280):
+            near[at] = "edited"
+        for at in range(0, 300, 15):
+            far[at] = "other"
+        alike = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        assert alike(own, near) >= 0.8 and alike(own, far) < 0.6 and alike(near, far) < 0.6
+        rows += [(1000 + i, " ".join(own)), (2000 + i, " ".join(near)), (3000 + i, " ".join(far))]
+        want |= {1000 + i, 3000 + i}
+    group = base[0] + base[1]
+    rows += [(5000 + i, " ".join([*group[:i], "x", *group[i:]])) for i in range(400)]  # more than a window and its partners hold
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert {r.doc_id for r in kept.collect()} == want | {5000}
+    kept = simhash_golay.keep_dissimilar(docs)
+    assert kept.columns == docs.columns and None in {r.doc_id for r in kept.select("doc_id").collect()}
+    assert simhash_golay.keep_dissimilar(docs.limit(0)).count() == 0
+
+
 def test_packing(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
