@@ -1,6 +1,7 @@
 """Personal data: exact patterns first, then information-theoretic sanitisation of the terms that give them away.
 
-Pattern matches (e-mail, IP, card and phone numbers) are always removed; their values are the protected entities.  A
+Pattern matches (e-mail, IP, card and phone numbers) are always removed; their values are the protected entities, and so
+are what values have in common (see :func:`levels`), as most values occur in one text only.  A
 term ``t`` that stays in the text discloses an entity ``e`` when the corpus ties them together: with
 ``IC(e) = -log2 p(e)`` and ``PMI(t, e) = log2(p(t, e) / (p(t) p(e)))``, both from document counts over the whole
 corpus, ``t`` discloses ``e`` if ``PMI(t, e) >= IC(e) / alpha``, that is ``p(e | t) >= 2 ** (-IC(e) (1 - 1 / alpha))``.
@@ -72,6 +73,22 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', value)}"
 
 
+#: Leading digits that name the issuer of a card, or the country and network of a phone number.
+PREFIX_DIGITS = {"card": 6, "phone": 4}
+
+
+def levels(kind: str, value: str) -> list[str]:
+    """The value, then the wider entities that it belongs to: its domain, network or number prefix, and its kind."""
+    name = entity(kind, value)
+    if kind == "email":
+        wider = "domain:" + name.rpartition("@")[2]
+    elif kind == "ip":
+        wider = "network:" + ".".join(str(int(p)) for p in value.split(".")[:2])
+    else:
+        wider = f"{kind}-prefix:{name.partition(':')[2][: PREFIX_DIGITS[kind]]}"
+    return [name, wider, f"kind:{kind}"]
+
+
 def _hash(text: str) -> int:
     import xxhash
 
@@ -118,7 +135,7 @@ def scan(docs: DataFrame, text_col: str, out: str) -> DataFrame:
                 text = x.as_py() or ""
                 spans = base_spans(text)
                 base, count = _joined(spans), Counter(k for k, _, _ in spans)
-                rows.append({f"n_{k}": count[k] for k in KINDS} | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "base": base, "entities": sorted({_hash(entity(k, text[a:b])) for k, a, b in spans}), "text_key": _hash(text)})
+                rows.append({f"n_{k}": count[k] for k in KINDS} | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "base": base, "entities": sorted({_hash(e) for k, a, b in spans for e in levels(k, text[a:b])}), "text_key": _hash(text)})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _SCAN_TYPE)], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` {SCAN}"
@@ -169,9 +186,13 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
                 own = {t for t, _, _ in terms(text or "", base_spans(text or ""))}
                 rows = [(_hash(t), _hash(t[:CLASS_LETTERS] + "*")) for t in own]
                 rows += [(g, None) for g in {g for _, g in rows}]
-                for e in es:
+                term, group = pa.array([t for t, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.int64())
+                step = max(1, 50_000 // max(len(rows), 1))  # one batch for many entities, but of bounded size
+                for at in range(0, len(es), step):
+                    some = es[at : at + step]
+                    n = len(rows) * len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(rows), pa.int64()), pa.array([copies] * len(rows), pa.int64()), pa.array([e] * len(rows), pa.int64()), pa.array([t for t, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.int64())],
+                        [pa.array(np.full(n, key)), pa.array(np.full(n, copies)), pa.array(np.repeat(np.array(some, np.int64), len(rows))), pa.concat_arrays([term] * len(some)), pa.concat_arrays([group] * len(some))],
                         names=["text_key", "copies", "e", "term", "class"],
                     )
 

@@ -112,6 +112,18 @@ def test_disclosing_terms(spark):
     assert all("boss@" not in (t or "") and "zorblax" not in (t or "") for t in clean.values()) and clean[100] == rows[6][1] and clean[500] is None
 
 
+def test_terms_beside_values_that_never_recur(spark):
+    rows = [(i, f"{sentence(5)} zorblax says {RND.choice(WORDS)} mail me{i}@corp{i}.example now") for i in range(8)]
+    rows += [(100 + i, sentence(12)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find(docs).filter("doc_id < 100").collect():
+        spans = [s.split(":") for s in r.spans.split(",")]
+        assert "zorblax" in [rows[r.doc_id][1][int(a) : int(b)] for k, a, b in spans if k == "term"]
+    assert all("zorblax" not in r.text for r in pii.sanitise(docs).collect())
+    assert pii.levels("phone", "+49 (30) 123456") == ["phone:4930123456", "phone-prefix:4930", "kind:phone"]
+    assert pii.levels("ip", "010.0.0.1")[1] == "network:10.0" and pii.levels("email", "A@B.co")[1] == "domain:b.co"
+
+
 def test_pii_of_odd_tables(docs, texts, empty):
     assert Counter(r.doc_id for r in pii.find(docs).collect()) == Counter(i for i, _ in texts)
     kept = pii.sanitise(docs)
