@@ -3,7 +3,8 @@
 A line's place in the tree is its number of tokens, then its leading ``depth`` tokens; tokens with a digit are variable
 fields everywhere.  In a leaf a token is constant at its position if ``min_docs`` documents or more have it there; all
 other positions are variable fields too.  Lines of a leaf with the same constants at the same positions share a template.
-A template recurs if ``min_docs`` documents or more hold it and at least ``min_constant`` of its positions are constant.
+A template recurs if ``min_docs`` different documents or more hold it and at least ``min_constant`` of its positions after
+the leading ones are constant (of all positions where a line has no others).
 Lines of recurring templates are dropped from every document but the first (the smallest id), which keeps them.
 
 Lines travel as 64-bit keys and 16-bit tokens.  Equal lines are counted before anything is shuffled by leaf, and a leaf
@@ -115,10 +116,10 @@ def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: int
 
 
 def _in_leaf(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
-    """Rows ``(leaf, key, n, first, template, constant)``: each leaf in one task."""
+    """Rows ``(leaf, key, template, constant)``: each leaf in one task.  No document may have two lines of a leaf."""
     import xxhash
 
-    names = ["leaf", "key", "n", "first", "template", "constant"]
+    names = ["leaf", "key", "template", "constant"]
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -143,31 +144,31 @@ def _in_leaf(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
         flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint16)
         ends = column.offsets.to_numpy() - column.offsets[0].as_py()
         begin = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        total = np.add.reduceat(n, begin)
-        keep, template, constant = [], [], []
-        for a, b in zip(begin[total >= min_docs], np.r_[begin[1:], len(leaf)][total >= min_docs], strict=True):
+        template, constant = [], []
+        for a, b in zip(begin, np.r_[begin[1:], len(leaf)], strict=True):
             rows = templates_of(flat[ends[a] : ends[b]].reshape(b - a, -1), n[a:b], depth, min_docs)
-            keep.extend(range(a, b))
             template.extend(xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows)
-            constant.extend((rows >= 0).mean(axis=1).tolist())
-        own = table.take(pa.array(keep, pa.int64()))
-        arrays = [own.column(c).combine_chunks() for c in names[:4]]
-        arrays = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in arrays] if keep else [pa.array([], table.schema.field(c).type) for c in names[:4]]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(template, pa.int64()), pa.array(constant, pa.float64())], names=names)
+            # The leading tokens are the leaf's own and show nothing, unless the line has no others.
+            constant.extend((rows[:, depth if rows.shape[1] > depth else 0 :] >= 0).mean(axis=1).tolist())
+        arrays = [pa.array(leaf), pa.array(table.column("key").to_numpy()), pa.array(template, pa.int64()), pa.array(constant, pa.float64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    first = lines.schema["first"].dataType.simpleString()
-    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(resolved, f"leaf long, key long, n long, first {first}, template long, constant double")
+    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(resolved, "leaf long, key long, template long, constant double")
 
 
-def _across_tasks(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
-    """The same rows by grouped counts, for leaves too large for one task."""
+def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """The same rows by grouped counts, for leaves too large for one task or with ``crowded`` documents.
+
+    A document counts once for a token at a position, so what its further lines of the leaf add is taken off.
+    """
     tokens = lines.select("leaf", "key", "n", F.posexplode("tokens").alias("p", "token"))
-    held = tokens.groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs"))
+    twice = held.join(crowded.hint("merge"), ["doc_id", "leaf"]).join(tokens.hint("merge"), ["leaf", "key"]).groupBy("doc_id", "leaf", "p", "token").agg((1 - F.count("*")).alias("n"))
+    counts = tokens.select("leaf", "p", "token", "n").unionByName(twice.select("leaf", "p", "token", "n").filter("n < 0")).groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs"))
     fixed = ((F.col("p") < depth) | (F.col("docs") >= min_docs)) & (F.col("token") != 0)
-    marked = tokens.join(held, ["leaf", "p", "token"]).withColumn("c", F.when(fixed, F.col("token")).otherwise(F.lit(None)))
+    marked = tokens.join(counts.hint("merge"), ["leaf", "p", "token"]).withColumn("c", F.when(fixed, F.col("token")).otherwise(F.lit(None)))
     made = marked.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("t"))
-    made = made.select("leaf", "key", F.xxhash64("t").alias("template"), (F.size(F.filter("t", lambda x: x["c"].isNotNull())) / F.size("t")).alias("constant"))
-    return lines.select("leaf", "key", "n", "first").join(made, ["leaf", "key"])
+    own = F.filter("t", lambda x: (x["p"] >= depth) | (F.size("t") <= depth))
+    return made.select("leaf", "key", F.xxhash64("t").alias("template"), (F.size(F.filter(own, lambda x: x["c"].isNotNull())) / F.size(own)).alias("constant"))
 
 
 def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000) -> DataFrame:
@@ -176,18 +177,23 @@ def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs:
     held, parsed = lines.filter("doc_id IS NOT NULL").select("doc_id", "leaf", "key"), lines.filter("doc_id IS NULL")
     leaves = parsed.groupBy("leaf").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= min_docs).select("leaf")
     # Most leaves hold too few lines.  The tables of leaves, lines and lists grow with the corpus: none is broadcast.
-    counted = parsed.join(leaves.hint("merge"), "leaf", "left_semi").groupBy("leaf", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("tokens").alias("tokens"))
-    counted = work.save(counted, "counted")
-    hot = counted.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > leaf_rows).select("leaf")
-    placed = _in_leaf(counted.join(hot, "leaf", "left_anti"), depth, min_docs)
+    leaves = work.save(leaves, "leaves")
+    held = work.save(held.join(leaves.hint("merge"), "leaf", "left_semi").select("doc_id", "leaf", "key").distinct(), "held")
+    tokens = parsed.join(leaves.hint("merge"), "leaf", "left_semi").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
+    counted = work.save(tokens.join(held.groupBy("leaf", "key").agg(F.count("*").alias("n")).hint("merge"), ["leaf", "key"]), "counted")
+    crowded = work.save(held.groupBy("doc_id", "leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("doc_id", "leaf"), "crowded")
+    large = counted.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > leaf_rows).select("leaf")
+    hot = work.save(large.union(crowded.select("leaf")).distinct(), "hot")
+    placed = _in_leaf(counted.join(hot.hint("merge"), "leaf", "left_anti"), depth, min_docs)
     if hot.take(1):
-        placed = placed.unionByName(_across_tasks(counted.join(hot, "leaf", "left_semi"), depth, min_docs))
+        placed = placed.unionByName(_across_tasks(counted.join(hot.hint("merge"), "leaf", "left_semi"), held, crowded, depth, min_docs))
     placed = work.save(placed.filter(F.col("constant") >= min_constant), "placed")
-    templates = placed.groupBy("leaf", "template").agg(F.sum("n").alias("docs"), F.min("first").alias("keeper")).filter(F.col("docs") >= min_docs)
-    dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "key", "keeper")
+    owned = held.join(placed.hint("merge"), ["leaf", "key"]).select("doc_id", "leaf", "template").distinct()
+    templates = owned.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
+    dropped = placed.join(templates.hint("merge"), ["leaf", "template"]).select("leaf", "key", "keeper")
     lost = held.join(dropped.hint("merge"), ["leaf", "key"]).filter("doc_id <> keeper")
     found = work.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
-    work.drop("lines", "counted", "placed")
+    work.drop("lines", "leaves", "held", "counted", "crowded", "hot", "placed")
     return found
 
 

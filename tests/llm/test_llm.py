@@ -196,6 +196,16 @@ def test_line_templates_equal_brute_force(spark, leaf_rows):
     assert got == plain_lines(rows, 3, 5, 0.5)
 
 
+@pytest.mark.parametrize("leaf_rows", [50_000, 0])
+def test_lines_of_few_documents_stay(spark, leaf_rows):
+    rows = [(1, "\n".join(f"the price of {x} is high" for x in ("tea", "salt", "rice", "corn"))), (2, "the price of oil is high")]
+    rows += [(10 + i, f"we all like {a} {b}" if i else "we all like x y") for i, (a, b) in enumerate(zip("abcdefgh", "klmnopqr", strict=True))]
+    rows += [(30 + i, f"out of {x} for today") for i, x in enumerate(("tea", "salt", "rice", "corn"))] * 2  # repeated rows are one document
+    rows += [(50 + i, f"sign up for {x} right now") for i, x in enumerate(("tea", "salt", "rice", "corn", "oil"))] + [(56, "sign up for ham right now\nsign up for jam right now")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), leaf_rows=leaf_rows).collect()}
+    assert got == {i: "" if 50 < i else t for i, t in rows}
+
+
 def test_line_templates_of_odd_tables(docs, texts, empty):
     out = line_dedup.drop_recurring(docs)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in texts)
