@@ -5,6 +5,8 @@ fields everywhere.  In a leaf a token is constant at its position if ``min_docs`
 other positions are variable fields too.  Lines of a leaf with the same constants at the same positions share a template.
 A template recurs if ``min_docs`` different documents or more hold it and at least ``min_constant`` of its positions after
 the leading ones are constant (of all positions where a line has no others).
+With ``min_share`` a token must also be in that share of the leaf's documents, so that fields whose values recur are
+variable at every size of the corpus; only a line whose template then does not recur is judged by counts alone.
 Lines of recurring templates are dropped from every document but the first (the smallest id), which keeps them.
 
 Lines travel as 64-bit keys and 16-bit tokens.  Equal lines are counted before anything is shuffled by leaf, and a leaf
@@ -28,6 +30,8 @@ from ..tables import Workspace
 from .pii import fresh
 
 VARIABLE = "<*>"
+#: ``min_share`` of the registered query and the pipeline.
+SHARE = 0.2
 _DIGIT = re.compile(r"\d")
 
 
@@ -104,7 +108,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(parsed, f"doc_id {kind}, leaf long, key long, n long, first {kind}, tokens array<short>")
 
 
-def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: int) -> np.ndarray:
+def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: float) -> np.ndarray:
     """The templates of one leaf's lines (rows of equal length): constants, and -1 at variable fields."""
     out = tokens.astype(np.int32)
     for p in range(tokens.shape[1]):
@@ -115,11 +119,11 @@ def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: int
     return out
 
 
-def _in_leaf(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
-    """Rows ``(leaf, key, template, constant)``: each leaf in one task.  No document may have two lines of a leaf."""
+def _in_leaf(lines: DataFrame, depth: int, min_docs: int, min_share: float) -> DataFrame:
+    """Rows ``(leaf, key, level, template, constant)``, level 0 by shares, level 1 by counts: each leaf in one task.  No document may have two lines of a leaf."""
     import xxhash
 
-    names = ["leaf", "key", "template", "constant"]
+    names = ["leaf", "key", "level", "template", "constant"]
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -144,34 +148,44 @@ def _in_leaf(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
         flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint16)
         ends = column.offsets.to_numpy() - column.offsets[0].as_py()
         begin = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        template, constant = [], []
+        at, level, template, constant = [], [], [], []
         for a, b in zip(begin, np.r_[begin[1:], len(leaf)], strict=True):
-            rows = templates_of(flat[ends[a] : ends[b]].reshape(b - a, -1), n[a:b], depth, min_docs)
-            template.extend(xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows)
-            # The leading tokens are the leaf's own and show nothing, unless the line has no others.
-            constant.extend((rows[:, depth if rows.shape[1] > depth else 0 :] >= 0).mean(axis=1).tolist())
-        arrays = [pa.array(leaf), pa.array(table.column("key").to_numpy()), pa.array(template, pa.int64()), pa.array(constant, pa.float64())]
+            least = min_share * n[a:b].sum()
+            for k, docs in enumerate([least, min_docs] if least > min_docs else [min_docs]):
+                rows = templates_of(flat[ends[a] : ends[b]].reshape(b - a, -1), n[a:b], depth, docs)
+                at.extend(range(a, b))
+                level.extend([k] * (b - a))
+                template.extend(xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows)
+                # The leading tokens are the leaf's own and show nothing, unless the line has no others.
+                constant.extend((rows[:, depth if rows.shape[1] > depth else 0 :] >= 0).mean(axis=1).tolist())
+        at = np.array(at, np.int64)
+        arrays = [pa.array(leaf[at]), pa.array(table.column("key").to_numpy()[at]), pa.array(level, pa.int32()), pa.array(template, pa.int64()), pa.array(constant, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(resolved, "leaf long, key long, template long, constant double")
+    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(resolved, "leaf long, key long, level int, template long, constant double")
 
 
-def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth: int, min_docs: int) -> DataFrame:
+def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth: int, min_docs: int, min_share: float) -> DataFrame:
     """The same rows by grouped counts, for leaves too large for one task or with ``crowded`` documents.
 
     A document counts once for a token at a position, so what its further lines of the leaf add is taken off.
     """
-    tokens = lines.select("leaf", "key", "n", F.posexplode("tokens").alias("p", "token"))
+    # Position -1 stands for the whole line: its documents are those of the leaf.
+    tokens = lines.select("leaf", "key", "n", F.posexplode(F.concat(F.array(F.lit(0).cast("short")), "tokens")).alias("p", "token")).withColumn("p", F.col("p") - 1)
     twice = held.join(crowded.hint("merge"), ["doc_id", "leaf"]).join(tokens.hint("merge"), ["leaf", "key"]).groupBy("doc_id", "leaf", "p", "token").agg((1 - F.count("*")).alias("n"))
     counts = tokens.select("leaf", "p", "token", "n").unionByName(twice.select("leaf", "p", "token", "n").filter("n < 0")).groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs"))
-    fixed = ((F.col("p") < depth) | (F.col("docs") >= min_docs)) & (F.col("token") != 0)
-    marked = tokens.join(counts.hint("merge"), ["leaf", "p", "token"]).withColumn("c", F.when(fixed, F.col("token")).otherwise(F.lit(None)))
-    made = marked.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("t"))
+    least = counts.filter("p < 0").select("leaf", (F.col("docs") * min_share).alias("least"))
+    marked = tokens.filter("p >= 0").join(counts.hint("merge"), ["leaf", "p", "token"]).join(least.hint("merge"), "leaf")
+    levels = F.when(F.col("least") > min_docs, F.array("least", F.lit(float(min_docs)))).otherwise(F.array(F.lit(float(min_docs))))
+    marked = marked.select("leaf", "key", "p", "token", "docs", F.posexplode(levels).alias("level", "needed"))
+    fixed = ((F.col("p") < depth) | (F.col("docs") >= F.col("needed"))) & (F.col("token") != 0)
+    marked = marked.withColumn("c", F.when(fixed, F.col("token")).otherwise(F.lit(None)))
+    made = marked.groupBy("leaf", "key", "level").agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("t"))
     own = F.filter("t", lambda x: (x["p"] >= depth) | (F.size("t") <= depth))
-    return made.select("leaf", "key", F.xxhash64("t").alias("template"), (F.size(F.filter(own, lambda x: x["c"].isNotNull())) / F.size(own)).alias("constant"))
+    return made.select("leaf", "key", "level", F.xxhash64("t").alias("template"), (F.size(F.filter(own, lambda x: x["c"].isNotNull())) / F.size(own)).alias("constant"))
 
 
-def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000) -> DataFrame:
+def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000, min_share: float = 0.0) -> DataFrame:
     """Rows ``(doc_id, keys)``: the keys of the lines that each document loses.  ``docs`` has ``doc_id`` and ``text``."""
     lines = work.save(_lines(docs.filter("doc_id IS NOT NULL"), depth), "lines")
     held, parsed = lines.filter("doc_id IS NOT NULL").select("doc_id", "leaf", "key"), lines.filter("doc_id IS NULL")
@@ -184,13 +198,13 @@ def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs:
     crowded = work.save(held.groupBy("doc_id", "leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("doc_id", "leaf"), "crowded")
     large = counted.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > leaf_rows).select("leaf")
     hot = work.save(large.union(crowded.select("leaf")).distinct(), "hot")
-    placed = _in_leaf(counted.join(hot.hint("merge"), "leaf", "left_anti"), depth, min_docs)
+    placed = _in_leaf(counted.join(hot.hint("merge"), "leaf", "left_anti"), depth, min_docs, min_share)
     if hot.take(1):
-        placed = placed.unionByName(_across_tasks(counted.join(hot.hint("merge"), "leaf", "left_semi"), held, crowded, depth, min_docs))
+        placed = placed.unionByName(_across_tasks(counted.join(hot.hint("merge"), "leaf", "left_semi"), held, crowded, depth, min_docs, min_share))
     placed = work.save(placed.filter(F.col("constant") >= min_constant), "placed")
-    owned = held.join(placed.hint("merge"), ["leaf", "key"]).select("doc_id", "leaf", "template").distinct()
-    templates = owned.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
-    dropped = placed.join(templates.hint("merge"), ["leaf", "template"]).select("leaf", "key", "keeper")
+    owned = held.join(placed.hint("merge"), ["leaf", "key"]).select("doc_id", "leaf", "level", "template").distinct()
+    templates = owned.groupBy("leaf", "level", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
+    dropped = placed.join(templates.hint("merge"), ["leaf", "level", "template"]).groupBy("leaf", "key").agg(F.min_by("keeper", "level").alias("keeper"))
     lost = held.join(dropped.hint("merge"), ["leaf", "key"]).filter("doc_id <> keeper")
     found = work.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
     work.drop("lines", "leaves", "held", "counted", "crowded", "hot", "placed")
@@ -204,7 +218,7 @@ def without_lines(text: str, keys: set[int], depth: int, tokens: dict) -> tuple[
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000, counts: tuple[str, str] | None = None, min_share: float = 0.0) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines of recurring templates.
 
     ``counts`` names two extra columns for the numbers of lines before and of lines dropped.  Null texts stay null, rows
@@ -212,7 +226,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     work = Workspace(docs.sparkSession, "lines")
     keys, names, at = fresh("keys", docs.columns), docs.columns, docs.columns.index(text_col)
-    lost = recurring_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, depth, min_docs, min_constant, leaf_rows)
+    lost = recurring_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, depth, min_docs, min_constant, leaf_rows, min_share)
     joined = docs.join(lost.select(F.col("doc_id").alias(id_col), F.col("keys").alias(keys)).hint("merge"), id_col, "left").select(*names, keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

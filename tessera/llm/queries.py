@@ -35,7 +35,7 @@ def op4_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_share=line_dedup.SHARE)
 
 
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,17 @@ def test_lines_of_few_documents_stay(spark, leaf_rows):
     assert got == {i: "" if 50 < i else t for i, t in rows}
 
 
+@pytest.mark.parametrize("leaf_rows", [50_000, 0])
+def test_fields_whose_values_recur_at_two_sizes(spark, leaf_rows):
+    import corpus_pipeline
+
+    stage = lambda df: corpus_pipeline.line_dedup_stage(spark, df, "") if leaf_rows else line_dedup.drop_recurring(df, leaf_rows=0, min_share=line_dedup.SHARE)
+    for n in (60, 300, 900):
+        rows = [(i, f"This item was posted by name{'abcdefghij'[i % 10]} from the city of town{'klmnopqrst'[i // 10 % 10]} in our archive\nText {i}") for i in range(n)]
+        got = stage(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert [r.doc_id for r in got.collect() if "This item" in r.text] == [0], n
+
+
 def test_line_templates_of_odd_tables(docs, texts, empty):
     out = line_dedup.drop_recurring(docs)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in texts)
