@@ -10,6 +10,7 @@ are counted in parallel: a running number inside each range partition plus the t
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,7 +35,6 @@ class TokenCache(dict):
 
     def __init__(self, tokenizer_path: str, limit: int = 800_000):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -61,9 +61,12 @@ class TokenCache(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        # str.split() would drop the separators 1C-1F, which are no white space to the tokenizer.
+        chunks = _CHUNK.findall(text) if _SEPARATOR.search(text) else text.split()
+        return b"".join(map(self.__getitem__, chunks))
 
 
+_SEPARATOR, _CHUNK = re.compile(r"[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
 _CACHES: dict[str, TokenCache] = {}
 
 

@@ -391,6 +391,15 @@ def test_packing(spark, docs, texts, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_separators_that_are_no_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    tool, cache = Tokenizer.from_file(path), packing.TokenCache(path)
+    for text in ("a\x1cb c", "\x1c", "a \x1d b", "\x1e\x1fa.\x1c", "\x85a\x1f\xa0b", "one, two"):
+        assert cache.encode(text) == np.array(tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_plan_is_joined_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr(packing, "PLAN_ROWS_SENT", 0)
     rows = spark.createDataFrame([(i, 1 + (i * 7) % 40) for i in range(300)], "doc_id long, length long")
