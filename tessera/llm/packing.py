@@ -27,13 +27,13 @@ PLAN_ROWS_SENT = 1_000_000
 
 
 class TokenCache(dict):
-    """White-space chunk -> its ids as little-endian 32-bit words.
+    """Unit of text (see :func:`units`) -> its ids as little-endian 32-bit words.
 
-    The tokenizer drops white space before it splits, so a text's ids are those of its chunks in order.  Two
-    generations of at most ``limit`` chunks bound the memory.
+    A text's ids are those of its units in order.  The words that a batch of texts adds are encoded together.  Two
+    generations of at most ``limit`` units bound the memory.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 800_000):
+    def __init__(self, tokenizer_path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,46 +41,101 @@ class TokenCache(dict):
 
         super().__init__()
         self.tokenizer, self.limit, self.old = Tokenizer.from_file(tokenizer_path), limit, {}
-        # A Latin word and the punctuation after it are split before merging, and letters are lower-cased one by one.
-        self.word = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            m = self.word.fullmatch(chunk)
-            plain = m and m[1].lower()
-            ids = self[plain] + (self[m[2]] if m[2] else b"") if m and plain != chunk else self._encode(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        #: Tokens that are found in the text as it is written, before anything else.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
+
+    def units(self, text: str) -> list[str]:
+        if not self.added.search(text):
+            return units(text)
+        return [u for chunk in _CHUNK.findall(text) for u in ([chunk] if self.added.search(chunk) else units(chunk))]
+
+    def _encode(self, unit: str) -> bytes:
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _add_words(self, words: list[str]) -> None:
+        """Encodes Latin words, some hundreds in one call; each ends with the first id that ends a word."""
+        lines = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a vocabulary without word ends
+            self.update((w, self._encode(w)) for w in words)
+        else:
+            data = ids.tobytes()
+            self.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        # str.split() would drop the separators 1C-1F, which are no white space to the tokenizer.
-        chunks = _CHUNK.findall(text) if _SEPARATOR.search(text) else text.split()
-        return b"".join(map(self.__getitem__, chunks))
+        split = [self.units(text) for text in texts]
+        new = set().union(*split).difference(self)
+        known = new.intersection(self.old)
+        self.update((u, self.old[u]) for u in known)
+        new -= known
+        words = [u for u in new if u[0] in _LETTERS and _WORD.fullmatch(u)]
+        if words:
+            self._add_words(words)
+        self.update((u, self._encode(u)) for u in new.difference(words))
+        out = [b"".join(map(self.__getitem__, own)) for own in split]
+        for unit in new:  # long ones are not met again
+            if len(unit) > 64:
+                del self[unit]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
-_SEPARATOR, _CHUNK = re.compile(r"[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
+#: Letters that are lower-cased one by one and that normalisation leaves as they are.
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: The tokenizer's own split (fixed values), for texts of ASCII characters and those letters alone.
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|[\x1c-\x1f]+")
+_OTHER = re.compile("[^\x00-\x1b -~ß-öø-ÿ]")
+#: White-space chunks; str.split() would drop the separators 1C-1F, which are no white space to the tokenizer.
+_CHUNK = re.compile(r"[\S\x1c-\x1f]+")
 _CACHES: dict[str, TokenCache] = {}
 
 
+def units(text: str) -> list[str]:
+    """Parts of a text that are tokenised by themselves: words, digits and marks; whole chunks where they hold other characters."""
+    lower = text.lower() if text.isascii() else _lower_latin(text)
+    if not _OTHER.search(lower):
+        return _UNIT.findall(lower)
+    return [u for chunk in _CHUNK.findall(lower) for u in ([chunk] if _OTHER.search(chunk) else _UNIT.findall(chunk))]
+
+
+_LATIN = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"}
+
+
+def _lower_latin(text: str) -> str:
+    """Lower case where that is one letter for one; the tokenizer does the rest."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(_LATIN)
+    return text.lower()
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32)``: every document's ids and ``end_id``, cut at ``capacity``."""
     id_type = docs.schema[id_col].dataType
 
+    def cached(cache: TokenCache, texts: pa.Array) -> Iterator[bytes]:
+        for at in range(0, len(texts), 500):
+            yield from cache.encode_all([x or "" for x in texts.slice(at, 500).to_pylist()])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _CACHES.get(tokenizer_path) or _CACHES.setdefault(tokenizer_path, TokenCache(tokenizer_path))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = cache.encode(text.as_py() or "") + end
+            for i, ids in enumerate(cached(cache, batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for k, at in enumerate(range(0, total, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
