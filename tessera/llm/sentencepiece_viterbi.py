@@ -9,7 +9,8 @@ one boundary, the ids up to it are final and are handed out.  So memory does not
   Every prefix then has exactly one admissible path, the one that merging finds, so the search needs no scores.
 
 A place that no piece of the vocabulary can span, such as the start of a word, or two neighbouring characters that no
-piece holds, is always such a boundary.  The encoder cuts there first and keeps the ids of frequent parts.
+piece holds, is always such a boundary: all paths meet there whatever stands around it.  The encoder takes these boundaries
+as commit points in advance and keeps the ids between two of them, so a part that recurs is searched once.
 """
 
 from __future__ import annotations
@@ -71,7 +72,12 @@ class Model:
         #: No piece goes on over the start of a word.
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in pieces]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: The longest piece that ends in two given characters; none but single characters end in any others.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                self.reach[p[-2:]] = max(self.reach.get(p[-2:], 0), len(p))
+        self._pairs: dict[int, bool] = {}
         self._edges: dict[int, tuple | None] = {}
 
     @classmethod
@@ -132,9 +138,9 @@ class Model:
 
     def neighbours(self, left: int, right: int) -> bool:
         """Merging the joined text of two pieces gives the two pieces: no merge across their border comes first."""
-        ok = self._pairs.get((left, right))
+        ok = self._pairs.get(left << 32 | right)
         if ok is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             xs, ys, i, j = self.edges(left)[1], self.edges(right)[0], 0, 0
             while True:
@@ -150,31 +156,32 @@ class Model:
                     i += 1
                 else:
                     j += 1
-            self._pairs[left, right] = ok
+            self._pairs[left << 32 | right] = ok
         return ok
 
     # ------------------------------------------------------------ the search
 
-    def viterbi(self, text: str) -> Iterator[int]:
-        """Ids of normalised text, handed out as soon as they are final; -1 stands for one unknown character.
+    def viterbi(self, text: str, widths: list[int] | None = None) -> Iterator[int]:
+        """Ids of normalised text, handed out as soon as they are final; -1 - i stands for the unknown character at i.
 
-        The window holds, for each position, where its last piece begins, the piece and the path's score.
+        The window holds, for each position, where its last piece begins, the piece and the path's score.  ``widths``
+        collects the number of positions held whenever paths are followed back.
         """
-        longest, ids, scores, bpe, pairs, built = self.longest, self.ids, self.scores, self.kind == BPE, self._pairs, self._edges
+        longest, ids, scores, bpe, pairs, built, reach = self.longest, self.ids, self.scores, self.kind == BPE, self._pairs, self._edges, self.reach
         done = 0  # all before it is handed out
         begin: dict[int, int] = {}
         last: dict[int, int] = {0: -1}
         total: dict[int, float] = {0: 0.0}
         check = 4 * longest
         for end in range(1, len(text) + 1):
-            found = -1
+            found, farthest = -1, max(done, end - reach.get(text[end - 2 : end], 1) if end > 1 else 0)
             if bpe:
-                for start in range(max(done, end - longest), end):
+                for start in range(farthest, end):
                     piece = ids.get(text[start:end])
                     if piece is None or (built[piece] if piece in built else self.edges(piece)) is None:
                         continue
                     before = last.get(start)
-                    if before is not None and (before < 0 or (pairs[before, piece] if (before, piece) in pairs else self.neighbours(before, piece))):
+                    if before is not None and (before < 0 or (pairs[before << 32 | piece] if before << 32 | piece in pairs else self.neighbours(before, piece))):
                         begin[end], last[end] = start, piece
                         found = piece
                         break
@@ -182,7 +189,7 @@ class Model:
                     begin[end], last[end] = end - 1, -1
             else:
                 best = None
-                for start in range(max(done, end - longest), end):
+                for start in range(farthest, end):
                     piece = ids.get(text[start:end])
                     if piece is not None and start in total and (best is None or total[start] + scores[piece] > best):
                         best, begin[end], last[end] = total[start] + scores[piece], start, piece
@@ -192,6 +199,8 @@ class Model:
                     total[end] = best
             if end - done >= check and end < len(text):
                 # Follow the paths of all positions in the window down to where they meet.
+                if widths is not None:
+                    widths.append(len(last))
                 paths = {p for p in range(max(done, end - longest + 1), end + 1) if p in last}
                 while len(paths) > 1:
                     top = max(paths)
@@ -237,7 +246,7 @@ class Model:
 class Encoder(dict):
     """Word (with the spaces before it) -> packed ids; two generations of at most ``limit`` words bound the memory."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         super().__init__()
         self.model, self.limit, self.old = model, limit, {}
 
@@ -286,7 +295,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, ids)``.  Null and empty texts have no ids; ids and repeated rows stay as they are."""
+    """Rows ``(doc_id, ids)``, one per input row.  Null and empty texts have no ids; ids and repeated rows stay as they are;
+    other columns are not read; an empty table gives no rows."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_path)
@@ -301,7 +311,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Rows ``(doc_id, ids, text)``.  A null list gives an empty text; bytes that are not UTF-8 become U+FFFD."""
+    """Rows ``(doc_id, ids, text)``, one per input row.  A null list gives an empty text; bytes that are not UTF-8 become
+    U+FFFD; repeated rows each come back, other columns are not read, an empty table gives no rows."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _encoder(model_path).model
@@ -321,7 +332,26 @@ def digest(ids: list[int], text: str) -> tuple[int, str]:
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes()), hashlib.sha256(text.encode()).hexdigest()
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every whole text: ``(doc_id, ids, n_ids, decoded_sha256)``."""
-    both = decode(encode(docs, model_path, id_col, text_col), model_path)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", step: int = 500) -> DataFrame:
+    """Encodes every whole text and decodes its ids: ``(doc_id, ids, n_ids, decoded_sha256)``, one row per input row.
+
+    Null and empty texts have no ids; null and repeated ids come back as they are; other columns are not read; an empty
+    table gives no rows.  ``step`` rows are held in memory at a time.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model_path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                packed = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
+                sizes = np.array([len(x) // 4 for x in packed], np.int32)
+                flat = np.frombuffer(b"".join(packed), dtype="<i4")
+                ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist()
+                digests = [hashlib.sha256(encoder.model.decode(flat[a:b]).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(digests, pa.string())], names=["doc_id", "ids", "n_ids", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(both, f"doc_id {kind}, ids array<int>, n_ids int, decoded_sha256 string")
