@@ -59,6 +59,22 @@ def test_window_is_bounded_and_exact():
     for _ in range(30):
         text = "".join(RND.choice("abetno_.-/=\n  012é漢▁") for _ in range(400))
         assert model.ids_of(model.normalise(text)) == library.encode(text)
+    # A long text without a word border: few positions are held, and ids leave while most of the text is unread.
+    long = "".join(RND.choice("abetnos") for _ in range(20_000))
+
+    class Tape(str):
+        read = 0
+
+        def __getitem__(self, at):
+            Tape.read = max(Tape.read, at.stop if isinstance(at, slice) else at)
+            return str.__getitem__(self, at)
+
+    widths = []
+    ids = model.viterbi(Tape(model.normalise(long)), widths)
+    first = [next(ids) for _ in range(20)]
+    assert Tape.read < 1_000
+    assert first + list(ids) == library.encode(long)
+    assert max(widths) <= 12 * model.longest
 
 
 def test_unigram_viterbi_equals_brute_force():
@@ -269,12 +285,25 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("group_limit", [20_000, 1])
-def test_repeats_equal_brute_force(spark, docs, texts, group_limit, empty):
+def test_suffix_array_is_linear_on_one_letter():
+    import tracemalloc
+
+    peaks = []
+    for n in (50_000, 200_000):
+        tracemalloc.start()
+        order = suffix_dedup.suffix_array(b"a" * n + b"b")
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert order == list(range(n + 1))
+    assert peaks[1] < 5 * peaks[0] and peaks[1] < 400 * 200_000
+
+
+@pytest.mark.parametrize(("group_limit", "batch_limit"), [(20_000, 256), (1, 256), (20_000, 1)])
+def test_repeats_equal_brute_force(spark, docs, texts, group_limit, batch_limit, empty):
     passage, extra = sentence(30), []
     for i in range(100, 130):
         extra.append((i, sentence(RND.randint(0, 12)) + " " + passage[RND.randint(0, 60) :] + sentence(RND.randint(0, 12))))
-    rows = texts + extra + [(140, "z" * 400), (141, "z" * 120 + "y")]
+    rows = texts + extra + [(140, "z" * 400), (141, "z" * 120 + "y"), (142, "ab " * 4000 + passage), (143, "x" + "ab " * 5000)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(texts) :], "doc_id long, text string"))
     seen = {}
     for i, t in rows:
@@ -290,7 +319,7 @@ def test_repeats_equal_brute_force(spark, docs, texts, group_limit, empty):
             if seen[b[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
         want[i, len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), bytes(x for x, g in zip(b, gone) if not g)] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, group_limit=group_limit).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, group_limit=group_limit, batch_limit=batch_limit).collect())
     assert got == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
