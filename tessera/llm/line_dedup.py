@@ -9,113 +9,129 @@ With ``min_share`` a token must also be in that share of the leaf's documents, s
 variable at every size of the corpus; only a line whose template then does not recur is judged by counts alone.
 Lines of recurring templates are dropped from every document but the first (the smallest id), which keeps them.
 
-Lines travel as 64-bit keys and 16-bit tokens.  Equal lines are counted before anything is shuffled by leaf, and a leaf
-with more than ``leaf_rows`` different lines is resolved by grouped counts over (leaf, position, token) in place of one
-task.
+Lines travel as two 64-bit hashes, of the leaf and of the whole line.  Only where a leaf has enough lines are the tokens of
+its different lines made, as 64-bit hashes, from one document that holds the line.  Equal lines are counted before anything
+is compared in a leaf, and a leaf with more than ``leaf_rows`` different lines is resolved by grouped counts over (leaf,
+position, token) in place of one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
 from .pii import fresh
 
-VARIABLE = "<*>"
 #: ``min_share`` of the registered query and the pipeline.
 SHARE = 0.2
-_DIGIT = re.compile(r"\d")
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Texts that are split at once.
+_STEP = 1000
 
 
-class _Tokens(dict):
-    """Token -> 16-bit number, 0 for a variable field."""
+def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    h = (a ^ (b * _M1)) * _M2
+    h ^= h >> np.uint64(32)
+    h *= _M1
+    h ^= h >> np.uint64(29)
+    return h
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
 
-        number = 0 if _DIGIT.search(token) else 1 + xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % 65535
-        if len(self) > 500_000:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = number
-        return number
+def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts: text, line number in it, and the ends of its tokens; and the tokens as 64-bit numbers.
 
-
-def parse(line: str, depth: int, tokens: dict) -> tuple[int, int, array] | None:
-    """(leaf, key, 16-bit tokens) of a line, or None for a blank one; equal keys mean equal lines but for variable fields."""
+    Tokens are what white space separates; a token with a decimal digit is a variable field and has number 0.
+    """
     import xxhash
 
-    words = line.split()
-    if not words:
-        return None
-    numbers = array("H", map(tokens.__getitem__, words))
-    if 0 in numbers:
-        words = [w if n else VARIABLE for w, n in zip(words, numbers, strict=True)]
-    signed = lambda text: xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-    return signed(f"{len(words)} " + " ".join(words[:depth])), signed(" ".join(words)), numbers
+    lines = pc.split_pattern(texts.fill_null(""), "\n")
+    per_text = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(texts)), per_text)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    words = pc.utf8_split_whitespace(lines.flatten())
+    flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+    encoded = flat.dictionary_encode()
+    different = encoded.dictionary
+    numbers = np.array([xxhash.xxh3_64_intdigest(w) for w in different.cast(pa.binary()).to_pylist()], np.uint64)
+    numbers[numbers == 0] = 1
+    numbers[pc.match_substring_regex(different, r"\p{Nd}").to_numpy(zero_copy_only=False).astype(bool)] = 0
+    index = encoded.indices.to_numpy(zero_copy_only=False)
+    # White space at the ends of a line leaves empty strings, which are no tokens.
+    empty = pc.equal(different, "").to_numpy(zero_copy_only=False).astype(bool)[index] if len(index) else np.zeros(0, bool)
+    ends = offsets[1:] - np.r_[0, np.cumsum(empty)][offsets[1:]]
+    return text, number, ends, numbers[index[~empty]] if len(index) else np.zeros(0, np.uint64)
+
+
+def line_hashes(ends: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of each line and a key that equal lines share, variable fields apart."""
+    begins = np.r_[0, ends[:-1]] if len(ends) else ends
+    size = ends - begins
+    leaf = _mix(size.astype(np.uint64), np.uint64(1))
+    for p in range(depth):
+        has = np.flatnonzero(size > p)
+        leaf[has] = _mix(leaf[has], tokens[begins[has] + p] + np.uint64(p))
+    at = np.arange(len(tokens)) - np.repeat(begins, size)
+    each = np.r_[np.zeros(1, np.uint64), np.cumsum(_mix(tokens, at.astype(np.uint64) + np.uint64(7)), dtype=np.uint64)]
+    return leaf, _mix(each[ends] - each[begins], leaf)
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows of two kinds: ``(doc_id, leaf, key)`` for each different line of a document, and, with ``doc_id`` null,
-    ``(leaf, key, n, first, tokens)`` for each different line of a batch: its documents, the smallest of them, its tokens."""
+    """Rows ``(doc_id, text_key, line, leaf, key)`` of all lines with tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "leaf", "key", "n", "first", "tokens"]
+    names = ["doc_id", "text_key", "line", "leaf", "key"]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens()
-        for batch in batches:
-            ids = batch.column(0)
-            owner = ids.to_pylist()
-            row, leaf, key = [], [], []
-            lines: dict[int, list] = {}  # key -> leaf, documents, row of the smallest, tokens
-            for i, x in enumerate(batch.column(1)):
-                seen = set()
-                for line in (x.as_py() or "").split("\n"):
-                    found = parse(line, depth, tokens)
-                    if found and found[1] not in seen:
-                        seen.add(found[1])
-                        row.append(i)
-                        leaf.append(found[0])
-                        key.append(found[1])
-                        known = lines.get(found[1])
-                        if known is None:
-                            lines[found[1]] = [found[0], 1, i, found[2]]
-                        else:
-                            known[1] += 1
-                            if owner[i] < owner[known[2]]:
-                                known[2] = i
-            flat, ends = array("H"), [0]
-            for entry in lines.values():
-                flat.extend(entry[3])
-                ends.append(len(flat))
-            n, m = len(row), len(lines)
-            values = pa.array(np.frombuffer(flat, np.uint16).view(np.int16) if flat else np.zeros(0, np.int16))
-            none = lambda size, column: pa.nulls(size, column.type)
-            columns = {"doc_id": ids.take(pa.array(row, pa.int64())), "leaf": pa.array(leaf, pa.int64()), "key": pa.array(key, pa.int64())}
-            counts, first = pa.array([e[1] for e in lines.values()], pa.int64()), ids.take(pa.array([e[2] for e in lines.values()], pa.int64()))
-            token_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([columns["doc_id"], columns["leaf"], columns["key"], none(n, counts), none(n, first), none(n, token_lists)], names=names)
-            yield pa.RecordBatch.from_arrays([none(m, ids), pa.array([e[0] for e in lines.values()], pa.int64()), pa.array(list(lines), pa.int64()), counts, first, token_lists], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(parsed, f"doc_id {kind}, leaf long, key long, n long, first {kind}, tokens array<short>")
+        for whole in batches:
+            for first in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(first, _STEP)
+                text, number, ends, tokens = split_lines(batch.column(2))
+                leaf, key = line_hashes(ends, tokens, depth)
+                own = np.flatnonzero(np.diff(ends, prepend=0))
+                row = pa.array(text[own])
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[own].astype(np.int32)), pa.array(leaf[own].view(np.int64)), pa.array(key[own].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(parsed, f"doc_id {kind}, text_key long, line int, leaf long, key long")
+
+
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows ``(leaf, key, n, tokens)`` for lines ``(leaf, key, n, doc_id, text_key, line)``."""
+    names = ["leaf", "key", "n", "tokens"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(first, _STEP)
+                text, number, ends, tokens = split_lines(batch.column(0))
+                lists = batch.column(1)
+                flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+                line, leaf, key, n = (flat.field(k) for k in range(4))
+                at = np.searchsorted(text, np.repeat(np.arange(batch.num_rows), np.diff(offsets))) + line.to_numpy()
+                begins = np.r_[0, ends[:-1]][at]
+                size = ends[at] - begins
+                taken = tokens[np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(taken.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([leaf, key, n, found], names=names)
+
+    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "key", "n")).alias("lines"))
+    joined = docs.join(lists.hint("merge"), ["doc_id", "text_key"]).select("text", "lines")
+    return joined.mapInArrow(made, "leaf long, key long, n long, tokens array<long>").dropDuplicates(["leaf", "key"])  # rows that repeat a text
 
 
 def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: float) -> np.ndarray:
-    """The templates of one leaf's lines (rows of equal length): constants, and -1 at variable fields."""
-    out = tokens.astype(np.int32)
+    """The templates of one leaf's lines (rows of equal length): constants, and 0 at variable fields."""
+    out = tokens.copy()
     for p in range(tokens.shape[1]):
         if p >= depth:
             _, which = np.unique(tokens[:, p], return_inverse=True)
-            out[np.bincount(which, weights=docs)[which] < min_docs, p] = -1
-    out[tokens == 0] = -1
+            out[np.bincount(which, weights=docs)[which] < min_docs, p] = 0
     return out
 
 
@@ -126,26 +142,27 @@ def _in_leaf(lines: DataFrame, depth: int, min_docs: int, min_share: float) -> D
     names = ["leaf", "key", "level", "template", "constant"]
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []  # the batches of the last leaf, which may go on
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            leaf = table.column("leaf").to_numpy()
+            leaf = batch.column(batch.schema.get_field_index("leaf")).to_numpy()
             if not len(leaf):
                 continue
+            last = rest[-1].column(rest[-1].schema.get_field_index("leaf"))[-1].as_py() if rest else leaf[-1]
+            if leaf[0] == last == leaf[-1]:
+                rest.append(batch)
+                continue
             cut = int(np.searchsorted(leaf, leaf[-1]))
-            rest = table.slice(cut)
-            if cut:
-                yield from leaves(table.slice(0, cut))
-        if rest is not None:
-            yield from leaves(rest)
+            yield from leaves(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+            rest = [batch.slice(cut)]
+        if rest:
+            yield from leaves(pa.Table.from_batches(rest))
 
     def leaves(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         leaf, n = table.column("leaf").to_numpy(), table.column("n").to_numpy()
         column = table.column("tokens").combine_chunks()
         column = column if isinstance(column, pa.ListArray) else column.chunk(0)
-        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint16)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
         ends = column.offsets.to_numpy() - column.offsets[0].as_py()
         begin = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
         at, level, template, constant = [], [], [], []
@@ -157,7 +174,7 @@ def _in_leaf(lines: DataFrame, depth: int, min_docs: int, min_share: float) -> D
                 level.extend([k] * (b - a))
                 template.extend(xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows)
                 # The leading tokens are the leaf's own and show nothing, unless the line has no others.
-                constant.extend((rows[:, depth if rows.shape[1] > depth else 0 :] >= 0).mean(axis=1).tolist())
+                constant.extend((rows[:, depth if rows.shape[1] > depth else 0 :] != 0).mean(axis=1).tolist())
         at = np.array(at, np.int64)
         arrays = [pa.array(leaf[at]), pa.array(table.column("key").to_numpy()[at]), pa.array(level, pa.int32()), pa.array(template, pa.int64()), pa.array(constant, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -171,7 +188,7 @@ def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth:
     A document counts once for a token at a position, so what its further lines of the leaf add is taken off.
     """
     # Position -1 stands for the whole line: its documents are those of the leaf.
-    tokens = lines.select("leaf", "key", "n", F.posexplode(F.concat(F.array(F.lit(0).cast("short")), "tokens")).alias("p", "token")).withColumn("p", F.col("p") - 1)
+    tokens = lines.select("leaf", "key", "n", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "tokens")).alias("p", "token")).withColumn("p", F.col("p") - 1)
     twice = held.join(crowded.hint("merge"), ["doc_id", "leaf"]).join(tokens.hint("merge"), ["leaf", "key"]).groupBy("doc_id", "leaf", "p", "token").agg((1 - F.count("*")).alias("n"))
     counts = tokens.select("leaf", "p", "token", "n").unionByName(twice.select("leaf", "p", "token", "n").filter("n < 0")).groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs"))
     least = counts.filter("p < 0").select("leaf", (F.col("docs") * min_share).alias("least"))
@@ -185,67 +202,71 @@ def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth:
     return made.select("leaf", "key", "level", F.xxhash64("t").alias("template"), (F.size(F.filter(own, lambda x: x["c"].isNotNull())) / F.size(own)).alias("constant"))
 
 
-def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000, min_share: float = 0.0) -> DataFrame:
-    """Rows ``(doc_id, keys)``: the keys of the lines that each document loses.  ``docs`` has ``doc_id`` and ``text``."""
-    lines = work.save(_lines(docs.filter("doc_id IS NOT NULL"), depth), "lines")
-    held, parsed = lines.filter("doc_id IS NOT NULL").select("doc_id", "leaf", "key"), lines.filter("doc_id IS NULL")
-    leaves = parsed.groupBy("leaf").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= min_docs).select("leaf")
+def recurring_lines(docs: DataFrame, work: Workspace, depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 1000, min_share: float = 0.0) -> DataFrame:
+    """Rows ``(doc_id, text_key, gone)``: which lines each text loses, up to its last one.  ``docs`` has ``doc_id``, ``text_key``, ``text``."""
+    known = docs.filter("doc_id IS NOT NULL")
+    lines = work.save(_lines(known, depth), "lines")
     # Most leaves hold too few lines.  The tables of leaves, lines and lists grow with the corpus: none is broadcast.
-    leaves = work.save(leaves, "leaves")
-    held = work.save(held.join(leaves.hint("merge"), "leaf", "left_semi").select("doc_id", "leaf", "key").distinct(), "held")
-    tokens = parsed.join(leaves.hint("merge"), "leaf", "left_semi").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
-    counted = work.save(tokens.join(held.groupBy("leaf", "key").agg(F.count("*").alias("n")).hint("merge"), ["leaf", "key"]), "counted")
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") >= min_docs).select("leaf")
+    kept = lines.join(leaves.hint("merge"), "leaf", "left_semi")
+    held = work.save(kept.groupBy("doc_id", "leaf", "key").agg(F.collect_list(F.struct("text_key", "line")).alias("at")), "held")
+    work.drop("lines")
+    different = held.groupBy("leaf", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", F.array_min("at").alias("at"))).alias("ref"))
+    counted = work.save(_tokens(known, different.select("leaf", "key", "n", "ref.doc_id", "ref.at.text_key", "ref.at.line")), "counted")
     crowded = work.save(held.groupBy("doc_id", "leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("doc_id", "leaf"), "crowded")
     large = counted.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > leaf_rows).select("leaf")
     hot = work.save(large.union(crowded.select("leaf")).distinct(), "hot")
     placed = _in_leaf(counted.join(hot.hint("merge"), "leaf", "left_anti"), depth, min_docs, min_share)
     if hot.take(1):
-        placed = placed.unionByName(_across_tasks(counted.join(hot.hint("merge"), "leaf", "left_semi"), held, crowded, depth, min_docs, min_share))
+        placed = placed.unionByName(_across_tasks(counted.join(hot.hint("merge"), "leaf", "left_semi"), held.select("doc_id", "leaf", "key"), crowded, depth, min_docs, min_share))
     placed = work.save(placed.filter(F.col("constant") >= min_constant), "placed")
     owned = held.join(placed.hint("merge"), ["leaf", "key"]).select("doc_id", "leaf", "level", "template").distinct()
     templates = owned.groupBy("leaf", "level", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
     dropped = placed.join(templates.hint("merge"), ["leaf", "level", "template"]).groupBy("leaf", "key").agg(F.min_by("keeper", "level").alias("keeper"))
-    lost = held.join(dropped.hint("merge"), ["leaf", "key"]).filter("doc_id <> keeper")
-    found = work.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
-    work.drop("lines", "leaves", "held", "counted", "crowded", "hot", "placed")
+    lost = held.join(dropped.hint("merge"), ["leaf", "key"]).filter("doc_id <> keeper").select("doc_id", F.explode("at").alias("at"))
+    marked = _marks(lost.groupBy("doc_id", "at.text_key").agg(F.collect_list("at.line").alias("lines")))
+    found = work.save(marked, "lost")
+    work.drop("held", "counted", "crowded", "hot", "placed")
     return found
 
 
-def without_lines(text: str, keys: set[int], depth: int, tokens: dict) -> tuple[str, int]:
-    """The text without the lines of the given keys, and how many went."""
-    lines = text.split("\n")
-    kept = [line for line in lines if not (found := parse(line, depth, tokens)) or found[1] not in keys]
-    return "\n".join(kept), len(lines) - len(kept)
+def _marks(lost: DataFrame) -> DataFrame:
+    """Lists of line numbers as lists of truth values."""
+    names = ["doc_id", "text_key", "gone"]
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+            sizes = np.maximum.reduceat(flat, offsets[:-1]).astype(np.int64) + 1 if batch.num_rows else np.zeros(0, np.int64)
+            ends = np.cumsum(sizes)
+            gone = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+            gone[np.repeat(ends - sizes, np.diff(offsets)) + flat] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(gone))], names=names)
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 50_000, counts: tuple[str, str] | None = None, min_share: float = 0.0) -> DataFrame:
+    kind = lost.schema["doc_id"].dataType.simpleString()
+    return lost.mapInArrow(marked, f"doc_id {kind}, text_key long, gone array<boolean>")
+
+
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 1000, counts: tuple[str, str] | None = None, min_share: float = 0.0) -> DataFrame:
     """All rows and columns of ``docs``, texts without the lines of recurring templates.
 
     ``counts`` names two extra columns for the numbers of lines before and of lines dropped.  Null texts stay null, rows
-    without an id stay as they are and count for nothing; rows that repeat an id are one document.  Blank lines stay.
+    without an id stay as they are and count for nothing; rows that repeat an id are one document.  Blank lines stay.  An
+    empty table gives no rows; other columns may have any names.
     """
-    work = Workspace(docs.sparkSession, "lines")
-    keys, names, at = fresh("keys", docs.columns), docs.columns, docs.columns.index(text_col)
-    lost = recurring_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, depth, min_docs, min_constant, leaf_rows, min_share)
-    joined = docs.join(lost.select(F.col("doc_id").alias(id_col), F.col("keys").alias(keys)).hint("merge"), id_col, "left").select(*names, keys)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens()
-        for batch in batches:
-            texts, before, gone = [], [], []
-            for x, k in zip(batch.column(at), batch.column(len(names)), strict=True):
-                text = x.as_py()
-                lost = set(k.as_py() or ())
-                kept, n = without_lines(text, lost, depth, tokens) if text and lost else (text, 0)
-                texts.append(kept)
-                before.append(text.count("\n") + 1 if text else 0)
-                gone.append(n)
-            arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            extra = [pa.array(before, pa.int64()), pa.array(gone, pa.int64())] if counts else []
-            yield pa.RecordBatch.from_arrays([*arrays, *extra], names=[*names, *(counts or ())])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` long" for c in counts or ()])
-    return joined.mapInArrow(cut, schema)
+    work, names = Workspace(docs.sparkSession, "lines"), docs.columns
+    key, gone = fresh("text_key", names), fresh("gone", names)
+    text_key = F.xxhash64(F.col(text_col).cast("string"))
+    lost = recurring_lines(docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), F.col(text_col).cast("string").alias("text")), work, depth, min_docs, min_constant, leaf_rows, min_share)
+    joined = docs.withColumn(key, text_key).join(lost.toDF(id_col, key, gone).hint("merge"), [id_col, key], "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False)))
+    cut = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    extra = []
+    if counts:
+        n_lines = F.when(F.length(text_col) > 0, F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+        dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.filter(gone, lambda x: x)))
+        extra = [n_lines.cast("long").alias(counts[0]), dropped.cast("long").alias(counts[1])]
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(c) for c in names], *extra)
 
 
 def digest(text: str | None) -> str:
@@ -253,7 +274,8 @@ def digest(text: str | None) -> str:
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows ``(doc_id, n_lines, n_dropped, kept_sha256)`` of :func:`drop_recurring`; null texts have no lines."""
+    """Rows ``(doc_id, n_lines, n_dropped, kept_sha256)`` of :func:`drop_recurring`, one per input row; null and empty texts
+    have no lines; null and repeated ids come back as they are; other columns are not read."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = drop_recurring(narrow, counts=("n_lines", "n_dropped"), **options)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
