@@ -72,8 +72,8 @@ class TokenCache(dict):
             self.old = dict(self)
             self.clear()
         split = [self.units(text) for text in texts]
-        new = set().union(*split).difference(self)
-        known = new.intersection(self.old)
+        new = {u for u in set().union(*split) if u not in self}
+        known = {u for u in new if u in self.old}
         self.update((u, self.old[u]) for u in known)
         new -= known
         words = [u for u in new if u[0] in _LETTERS and _WORD.fullmatch(u)]

@@ -8,17 +8,19 @@ one boundary, the ids up to it are final and are handed out.  So memory does not
 * BPE models: a path is admissible where each two neighbouring pieces are what merging gives for their joined text.
   Every prefix then has exactly one admissible path, the one that merging finds, so the search needs no scores.
 
-A place that no piece of the vocabulary can span, such as the start of a word, or two neighbouring characters that no
-piece holds, is always such a boundary: all paths meet there whatever stands around it.  The encoder takes these boundaries
-as commit points in advance and keeps the ids between two of them, so a part that recurs is searched once.
+A place that no piece of the vocabulary can span, such as the start of a word, is always such a boundary: all paths meet
+there whatever stands around it.  The encoder takes these boundaries as commit points in advance and keeps the ids between
+two of them, so a part that recurs is searched once, and parts with a common beginning share its search.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +69,6 @@ class Model:
         self.unknown = next(i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0  # an unknown character's score
-        #: Neighbouring characters that some piece holds; between any others every path has a boundary.
-        self.held = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: No piece goes on over the start of a word.
         self.cut_at_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in pieces]
@@ -79,6 +79,11 @@ class Model:
                 self.reach[p[-2:]] = max(self.reach.get(p[-2:], 0), len(p))
         self._pairs: dict[int, bool] = {}
         self._edges: dict[int, tuple | None] = {}
+        # States of a search that reads character by character, made as they are met: see _follow.
+        self._starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        self._lengths = [len(p) for p, _, _ in pieces]
+        self._states, self._state_text, self._go, self._longest = {"": 0}, [""], [{}], [-1]
+        self._shorter: dict[int, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -224,9 +229,88 @@ class Model:
         return [piece if piece >= 0 else -1 - at for at, piece in reversed(path)]
 
     def ids_of(self, text: str) -> list[int]:
-        """Final ids of normalised text: unknown characters become their UTF-8 bytes, or the unknown id."""
+        """Final ids of normalised text."""
+        return self._with_unknown(self.viterbi(text), text)
+
+    def _follow(self, state: int, char: str) -> int:
+        """The state after a character: the longest end of what was read that begins a piece."""
+        text = self._state_text[state] + char
+        while text and text not in self._starts:
+            text = text[1:]
+        found = self._states.get(text)
+        if found is None:
+            found = self._states[text] = len(self._state_text)
+            self._state_text.append(text)
+            self._go.append({})
+            self._longest.append(self._built_end(text))
+        self._go[state][char] = found
+        return found
+
+    def _built_end(self, text: str) -> int:
+        """The longest piece that ends the text and that merging builds; -1 if none does."""
+        for at in range(len(text)):
+            piece = self.ids.get(text[at:])
+            if piece is not None and self.edges(piece) is not None:
+                return piece
+        return -1
+
+    def ids_of_sorted(self, parts: list[str]) -> list[bytes]:
+        """Packed final ids of short parts in sorted order, of a BPE model.
+
+        The pieces that end at a position follow from one another, the longest first; the search of a part goes on from the
+        backpointers of what it has in common with the part before.
+        """
+        go, longest, shorter, pairs, lengths = self._go, self._longest, self._shorter, self._pairs, self._lengths
+        size = max(map(len, parts), default=0) + 1
+        begin, last, states = [0] * size, [-2] * size, [0] * size  # -2: no path, -1: the start or an unknown character
+        last[0], before, out = -1, "", []
+        for part in parts:
+            n, k = len(part), 0
+            for x, y in zip(part, before, strict=False):
+                if x != y:
+                    break
+                k += 1
+            before, state = part, states[k]
+            for end in range(k + 1, n + 1):
+                char = part[end - 1]
+                state = go[state].get(char)
+                if state is None:
+                    state = self._follow(states[end - 1], char)
+                states[end] = state
+                piece = longest[state]
+                while piece >= 0:
+                    start = end - lengths[piece]
+                    left = last[start]
+                    if left >= 0:
+                        ok = pairs.get(left << 32 | piece)
+                        if ok is None:
+                            ok = self.neighbours(left, piece)
+                        if ok:
+                            break
+                    elif left == -1:
+                        break
+                    following = shorter.get(piece)
+                    if following is None:
+                        following = shorter[piece] = self._built_end(self.pieces[piece][0][1:])
+                    piece = following
+                if piece >= 0:
+                    begin[end], last[end] = start, piece
+                else:
+                    begin[end], last[end] = end - 1, -1 if last[end - 1] > -2 and char not in self.ids else -2
+            path, end = [], n
+            while end > 0:
+                path.append(last[end] if last[end] >= 0 else -1 - begin[end])
+                end = begin[end]
+            path.reverse()
+            if min(path) < 0:
+                path = self._with_unknown(path, part)
+            out.append(array("i", path).tobytes())
+        return out
+
+    def _with_unknown(self, path: Iterable[int], text: str) -> list[int]:
+        """Unknown characters become their UTF-8 bytes, or one unknown id for a row of them."""
         out: list[int] = []
-        for piece in self.viterbi(text):
+        for piece in path:
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
@@ -244,47 +328,49 @@ class Model:
 
 
 class Encoder(dict):
-    """Word (with the spaces before it) -> packed ids; two generations of at most ``limit`` words bound the memory."""
+    """Part of a text between two commit points -> packed ids; two generations of at most ``limit`` parts bound the memory.
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    Commit points that are known in advance are the start of a word (with the spaces before it) and both sides of a line
+    feed, where no piece goes on.
+    """
+
+    def __init__(self, model: Model, limit: int = 300_000):
         super().__init__()
         self.model, self.limit, self.old = model, limit, {}
+        feed = not any("\n" in p for p in model.ids if len(p) > 1) and bool(model.bytes)
+        self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if feed else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            held = self.model.held
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in held] if self.model.bytes else []
-            if cuts:
-                ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-            else:
-                ids = np.array(self.model.ids_of(word), dtype="<i4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def parts(self, text: str) -> list[str]:
+        text = self.model.normalise(text)
+        return self.part.findall(text) if self.model.cut_at_words else [text] if text else []
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of whole texts; parts that are new to all of them are searched together."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        text = self.model.normalise(text)
-        if not text:
-            return b""
-        if not self.model.cut_at_words:
-            return np.array(self.model.ids_of(text), dtype="<i4").tobytes()
-        words = text.split(SPACE)
-        if "" not in words[1:]:
-            return (self[words[0]] if words[0] else b"") + b"".join([self[SPACE + w] for w in words[1:]])
-        # Runs of spaces belong to the word after them.
-        out, spaces = [self[words[0]]] if words[0] else [], 0
-        for word in words[1:]:
-            spaces += 1
-            if word:
-                out.append(self[SPACE * spaces + word])
-                spaces = 0
-        if spaces:
-            out.append(self[SPACE * spaces])
-        return b"".join(out)
+        split = [self.parts(text) for text in texts]
+        new = {p for p in set().union(*split) if p not in self}
+        known = {p for p in new if p in self.old}
+        self.update((p, self.old[p]) for p in known)
+        new -= known
+        short = sorted(p for p in new if len(p) <= 64)
+        if self.model.kind == BPE:
+            self.update(zip(short, self.model.ids_of_sorted(short), strict=True))
+        else:
+            self.update((p, self.pack(p)) for p in short)
+        long = [p for p in new if len(p) > 64]
+        self.update((p, self.pack(p)) for p in long)
+        out = [b"".join(map(self.__getitem__, own)) for own in split]
+        for p in long:  # they are not met again
+            del self[p]
+        return out
+
+    def pack(self, text: str) -> bytes:
+        return np.array(self.model.ids_of(text), dtype="<i4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -301,7 +387,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_path)
         for batch in batches:
-            packed = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
+            packed = encoder.encode_all([x or "" for x in batch.column(1).to_pylist()])
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
@@ -344,7 +430,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                packed = [encoder.encode(x.as_py() or "") for x in batch.column(1)]
+                packed = encoder.encode_all([x or "" for x in batch.column(1).to_pylist()])
                 sizes = np.array([len(x) // 4 for x in packed], np.int32)
                 flat = np.frombuffer(b"".join(packed), dtype="<i4")
                 ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)].tolist()

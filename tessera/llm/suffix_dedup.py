@@ -229,6 +229,13 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
+def _steps(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, as the arrays made of a part are many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _least(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each sorted row the smallest document of its group."""
     return np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(doc) else doc
@@ -259,7 +266,7 @@ def compared_runs(texts: DataFrame, length: int, group_limit: int, batch_limit:
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=1)
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(_steps(batches)):
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             anchor, run, text, start, size = runs_of(*_texts(batch.column(2)), length)
             doc, key = ids[text], keys[text]
@@ -457,7 +464,7 @@ def _sorted_ranges(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in _steps(batches):
             row, start, size, anchor, data, begins = _wanted(batch)
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             bucket = ((anchor.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
