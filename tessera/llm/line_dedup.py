@@ -32,6 +32,8 @@ from .pii import fresh
 #: ``min_share`` of the registered query and the pipeline.
 SHARE = 0.2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Parts of a leaf's lines where they are compared across tasks.
+PARTS = 32
 #: Texts that are split at once.
 _STEP = 1000
 
@@ -191,11 +193,14 @@ def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth:
     tokens = lines.select("leaf", "key", "n", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "tokens")).alias("p", "token")).withColumn("p", F.col("p") - 1)
     twice = held.join(crowded.hint("merge"), ["doc_id", "leaf"]).join(tokens.hint("merge"), ["leaf", "key"]).groupBy("doc_id", "leaf", "p", "token").agg((1 - F.count("*")).alias("n"))
     counts = tokens.select("leaf", "p", "token", "n").unionByName(twice.select("leaf", "p", "token", "n").filter("n < 0")).groupBy("leaf", "p", "token").agg(F.sum("n").alias("docs"))
-    least = counts.filter("p < 0").select("leaf", (F.col("docs") * min_share).alias("least"))
-    marked = tokens.filter("p >= 0").join(counts.hint("merge"), ["leaf", "p", "token"]).join(least.hint("merge"), "leaf")
+    # One leaf, or one token of it, may have most of the lines: its one row is there for each part of them.
+    every, part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
+    least = counts.filter("p < 0").select("leaf", (F.col("docs") * min_share).alias("least"), every)
+    frequent = counts.filter((F.col("p") >= 0) & (F.col("docs") >= min_docs)).select("*", every)
+    marked = tokens.filter("p >= 0").withColumn("part", part).join(frequent.hint("merge"), ["leaf", "part", "p", "token"], "left").join(least.hint("merge"), ["leaf", "part"])
     levels = F.when(F.col("least") > min_docs, F.array("least", F.lit(float(min_docs)))).otherwise(F.array(F.lit(float(min_docs))))
     marked = marked.select("leaf", "key", "p", "token", "docs", F.posexplode(levels).alias("level", "needed"))
-    fixed = ((F.col("p") < depth) | (F.col("docs") >= F.col("needed"))) & (F.col("token") != 0)
+    fixed = ((F.col("p") < depth) | F.coalesce(F.col("docs") >= F.col("needed"), F.lit(False))) & (F.col("token") != 0)
     marked = marked.withColumn("c", F.when(fixed, F.col("token")).otherwise(F.lit(None)))
     made = marked.groupBy("leaf", "key", "level").agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("t"))
     own = F.filter("t", lambda x: (x["p"] >= depth) | (F.size("t") <= depth))
