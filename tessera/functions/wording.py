@@ -17,7 +17,7 @@ def named(value: Column, names: dict[str, str]) -> Column:
 
 def byte_size(n: Column, small: str = "B") -> Column:
     """'1.5 MB'; below 1 KB whole bytes with the unit ``small``."""
-    scaled = lambda power: F.format_string("%.1f " + UNITS[power - 1], n / F.lit(float(1024**power)))
+    scaled = lambda power: F.format_string("%.1f " + UNITS[power - 1], F.bround(n / F.lit(float(1024**power)), 1))
     return F.when(n >= 1024**3, scaled(3)).when(n >= 1024**2, scaled(2)).when(n >= 1024, scaled(1)).otherwise(F.concat(n.cast("string"), F.lit(f" {small}")))
 
 
@@ -26,10 +26,20 @@ def byte_size_short(n: Column) -> Column:
     return F.regexp_replace(byte_size(n), r"\.0 ", " ")
 
 
+def _seconds(ms: Column) -> Column:
+    """Seconds with one digit, as the binary fraction ``ms / 1000`` rounds: what is exactly half goes to the even digit."""
+    tenths, rest = F.floor(ms / 100), ms % 100
+    scaled = (ms / F.lit(1000.0) * F.lit(2.0**52)).cast("long") * 20  # exact below 64 seconds
+    half = (2 * tenths + 1) * F.lit(1 << 52)
+    up = (rest > 50) | ((rest == 50) & ((scaled > half) | ((scaled == half) & (tenths % 2 == 1))))
+    rounded = tenths + up.cast("long")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"), F.lit("s"))
+
+
 def duration(ms: Column) -> Column:
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60000, F.format_string("%.1fs", ms / 1000.0))
+        .when(ms < 60000, _seconds(ms))
         .otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m "), F.floor((ms % 60000) / 1000).cast("string"), F.lit("s")))
     )
 
@@ -50,8 +60,8 @@ def sensitivity(threshold: Column) -> Column:
 
 
 def match_summary(kind: Column, similarity: Column) -> Column:
-    """One sentence on a match."""
-    percent = F.format_string("%.0f%% match", similarity)
+    """One sentence on a match (fixed values)."""
+    percent = F.concat(F.bround(similarity, 0).cast("long").cast("string"), F.lit("% match"))
     say = lambda before, after: F.concat(F.lit(before + " ("), percent, F.lit(")" + after))
     return (
         F.when(kind == "Exact", "These photos are identical")
@@ -62,14 +72,9 @@ def match_summary(kind: Column, similarity: Column) -> Column:
 
 
 def match_details(kind: Column, distance: Column, bits: int = 64) -> Column:
-    """What the distance of a match means."""
-    points = lambda before, joint, after: F.concat(F.lit(before), distance.cast("string"), F.lit(f"{joint}{bits} comparison points{after}"))
-    return (
-        F.when(kind == "Exact", "Same fingerprint: the content is identical; the files may be copies or differ in metadata only.")
-        .when(kind == "NearExact", points("Same image: only ", " out of ", " differ, as after recompression or a change of format."))
-        .when(kind == "Similar", points("Very similar: ", " out of ", " differ, as after an edit or in shots taken moments apart."))
-        .otherwise(points("Related: ", " out of ", " differ, perhaps a similar scene; please review both."))
-    )
+    """What a match rests on: its class, and how many bits agree and differ."""
+    agree = (F.lit(bits) - distance).cast("string")
+    return F.concat(named(kind, MATCH_NAMES), F.lit(": "), agree, F.lit(" bits agree, "), distance.cast("string"), F.lit(f" of {bits} differ"))
 
 
 def explain(distance: Column, kind: Column, similarity: Column, a: Column, b: Column, bits: int = 64) -> Column:
@@ -83,12 +88,12 @@ def difference_map(a: Column, b: Column, side: int = 8) -> Column:
 
 
 def difference_summary(distance: Column, bits: int = 64) -> Column:
-    return F.format_string(f"%d of {bits} bits differ (%.1f%% similar)", distance, F.lit(100.0) - distance / F.lit(float(bits)) * 100.0)
+    return F.format_string(f"%d of {bits} bits differ (%.1f%% similar)", distance, F.bround(F.lit(100.0) - distance / F.lit(float(bits)) * 100.0, 1))
 
 
 def similarity_bar(percent: Column) -> Column:
     filled = F.round(percent / 10).cast("int")
-    return F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(10) - filled), F.format_string("] %.0f%%", percent))
+    return F.concat(F.lit("["), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(10) - filled), F.lit("] "), F.bround(percent, 0).cast("long").cast("string"), F.lit("%"))
 
 
 def camera_name(make: Column, model: Column) -> Column:

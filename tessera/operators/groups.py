@@ -22,12 +22,26 @@ def pair_stats(matches: DataFrame, members: DataFrame) -> DataFrame:
     return stats.select("group_key", (F.col("total") / F.col("pairs")).alias("average_distance"), S.class_of_ordinal(F.col("best")).alias("match_type"), "pairs")
 
 
-def duplicate_groups(matches: DataFrame, files: DataFrame, members: DataFrame) -> DataFrame:
+def signature_members(weighted: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``(group_key, id)`` and statistics of the groups of :func:`simjoin.weighted_pairs`, without any pair of rows."""
+    component = connected_components(weighted, "first_a", "first_b").withColumnRenamed("node", "first")
+    key = F.coalesce("component", "first")
+    linked = weighted.select(F.col("first_a").alias("first")).union(weighted.select("first_b")).distinct()
+    known = rows.filter("id IS NOT NULL AND h IS NOT NULL").select("id", "h")
+    named = known.groupBy("h").agg(F.min("id").alias("first")).join(linked, "first").join(component, "first", "left").select("h", key.alias("group_key"))
+    members = known.join(named, "h").select("group_key", "id")
+    keyed = weighted.join(component, weighted["first_a"] == component["first"], "left").withColumn("group_key", F.coalesce("component", "first_a"))
+    stats = keyed.groupBy("group_key").agg(F.sum(F.col("distance") * F.col("pairs")).alias("total"), F.sum("pairs").alias("pairs"), F.min(S.match_ordinal(S.match_type(F.col("distance")))).alias("best"))
+    return members, stats.select("group_key", (F.col("total") / F.col("pairs")).alias("average_distance"), S.class_of_ordinal(F.col("best")).alias("match_type"), "pairs")
+
+
+def duplicate_groups(stats: DataFrame, files: DataFrame, members: DataFrame) -> DataFrame:
     """One row per group of two or more: size, representative (largest file, ties to the greatest id), class, mean
-    distance and the bytes that its other members hold.  ``files`` has ``id`` and ``size``."""
+    distance and the bytes that its other members hold.  ``files`` has ``id`` and ``size``; ``stats`` are those of
+    :func:`pair_stats` or :func:`signature_members`."""
     sized = members.join(files.select("id", F.coalesce("size", F.lit(0)).alias("bytes")), "id")
     grouped = sized.groupBy("group_key").agg(F.count("*").alias("size"), F.max(F.struct("bytes", "id")).alias("top"), F.sum("bytes").alias("all_bytes")).filter("size >= 2")
-    rows = grouped.join(pair_stats(matches, members), "group_key")
+    rows = grouped.join(stats, "group_key")
     return rows.select("group_key", "size", F.col("top.id").alias("representative"), "match_type", "average_distance", (F.col("all_bytes") - F.col("top.bytes")).alias("duplicate_bytes"))
 
 
@@ -45,11 +59,12 @@ def summary(groups: DataFrame, files: DataFrame) -> DataFrame:
     return row.select("files", "total_bytes", "groups", "duplicates", "savings_bytes", share.alias("duplicate_percent"), (F.col("files") - F.col("duplicates")).alias("remaining_files"), (F.col("total_bytes") - F.col("savings_bytes")).alias("remaining_bytes"))
 
 
-def class_summary(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("match_type").agg(F.count("*").alias("pairs"))
+def class_summary(weighted: DataFrame) -> DataFrame:
+    """Pairs per class, from :func:`simjoin.weighted_pairs`."""
+    return weighted.groupBy(S.match_type(F.col("distance")).alias("match_type")).agg(F.sum("pairs").alias("pairs"))
 
 
-def star_groups(matches: DataFrame, members: DataFrame, hashes: DataFrame) -> DataFrame:
+def star_groups(members: DataFrame, hashes: DataFrame) -> DataFrame:
     """Each group scored against its reference (the smallest id): rows ``(reference, member, distance, ...)``."""
     h = hashes.select("id", "h")
     others = members.filter("id <> group_key").join(h, "id").select("group_key", F.col("id").alias("member"), F.col("h").alias("own"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import paths, wording
+from ..tables import Workspace
 
 FOLDERS = {"year_month": "yyyy/MM' - 'MMMM", "year_month_day": "yyyy/MM/dd", "flat": "yyyy-MM"}
 
@@ -19,12 +20,12 @@ def _numbered(name: Column, n: Column) -> Column:
     return F.when(n == 0, name).otherwise(F.concat(F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1"), F.lit("_"), n.cast("string"), ext))
 
 
-def plan(files: DataFrame, structure: str = "year_month", max_rounds: int = 20) -> DataFrame:
+def plan(files: DataFrame, structure: str = "year_month", max_rounds: int = 100) -> DataFrame:
     """Rows ``(source, date, size, folder, destination, has_conflict)`` for ``files`` with ``source, name, date, size``.
 
     Files that want one destination are numbered in the order of their sources.  A numbered name that is some file's own
-    natural name moves on by the block of numbers already tried, until no two destinations agree.  Files already on
-    disk are not looked at.
+    natural name moves on by the block of numbers already tried, until no two destinations agree; if they still do after
+    ``max_rounds`` rounds, that is an error.  Files already on disk are not looked at.
     """
     w = Window.partitionBy("folder", "name").orderBy("source")
     rows = files.select("source", "name", "date", "size", folder(F.col("date"), structure).alias("folder"))
@@ -32,15 +33,28 @@ def plan(files: DataFrame, structure: str = "year_month", max_rounds: int = 20)
     sized = ranked.groupBy("folder", "name").agg(F.count("*").alias("_many"))
     naturals = ranked.filter("_n = 0").select("folder", F.col("name").alias("_taken"))
     placed = ranked.withColumn("_name", _numbered(F.col("name"), F.col("_n")))
-    for _ in range(max_rounds):
+    work = Workspace(files.sparkSession, "plan")
+    for i in range(max_rounds):
         clash = placed.filter("_n > 0").join(naturals, (placed["folder"] == naturals["folder"]) & (placed["_name"] == naturals["_taken"]), "left_semi")
         if not clash.take(1):
             break
         jump = clash.select("folder", "name", "source").join(sized, ["folder", "name"]).select("source", "folder", "name", F.col("_many").alias("_jump"))
         placed = placed.join(jump, ["source", "folder", "name"], "left").withColumn("_n", F.col("_n") + F.coalesce("_jump", F.lit(0))).drop("_jump").withColumn("_name", _numbered(F.col("name"), F.col("_n")))
+        placed = work.save(placed, f"round_{i}")
+    else:
+        raise RuntimeError(f"destinations still clash after {max_rounds} rounds")
     return placed.select("source", "date", "size", "folder", F.concat_ws("/", "folder", "_name").alias("destination"), (F.col("_n") > 0).alias("has_conflict"))
 
 
+def dated_files(files: DataFrame) -> DataFrame:
+    """``files`` (path, size, modified, and the EXIF texts exif_original and exif_changed, null where unknown) as the
+    input of :func:`plan`: the date is that of the shot, else that of the EXIF change, else the day of the file's time."""
+    shot, changed = (wording.lenient_date(F.col(c)) for c in ("exif_original", "exif_changed"))
+    date = F.coalesce(shot, changed, F.to_date("modified"))
+    media = files.filter(paths.has_extension(F.col("path"), paths.LIBRARY_EXTENSIONS))
+    return media.select(F.col("path").alias("source"), paths.file_name(F.col("path")).alias("name"), date.alias("date"), "size")
+
+
 def by_year(planned: DataFrame) -> DataFrame:
     dated = planned.filter("date IS NOT NULL")
     return dated.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("year"))

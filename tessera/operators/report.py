@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wording
@@ -19,25 +20,50 @@ def csv_rows(groups: DataFrame, members: DataFrame, files: DataFrame) -> DataFra
     return rows.select(F.col("group_key").alias(CSV_COLUMNS[0]), F.col("path").alias(CSV_COLUMNS[1]), F.col("is_representative").alias(CSV_COLUMNS[2]), F.col("match_type").alias(CSV_COLUMNS[3]), freed.alias(CSV_COLUMNS[4]))
 
 
-def json_rows(groups: DataFrame) -> DataFrame:
-    """One JSON document per group, with the displayed class."""
-    return groups.select(F.to_json(F.struct(*[c for c in groups.columns if c != "match_type"], wording.named(F.col("match_type"), wording.MATCH_NAMES).alias("match_type"))).alias("value"))
+def json_rows(groups: DataFrame, members: DataFrame | None = None, files: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """JSON documents, one a line: a 'summary' if ``totals`` are given, a 'group' each with the displayed class, and a 'member'
+    each if ``members`` are given, so that a group may have any number of them."""
+    document = lambda kind, columns: F.to_json(F.struct(F.lit(kind).alias("kind"), *columns)).alias("value")
+    shown = [wording.named(F.col(c), wording.MATCH_NAMES).alias(c) if c == "match_type" else F.col(c) for c in groups.columns]
+    out = groups.select(document("group", shown))
+    if totals is not None:
+        out = totals.select(document("summary", totals.columns)).union(out)
+    if members is not None:
+        rows = members.join(files.select("id", "path", "size"), "id")
+        out = out.union(rows.select(document("member", ["group_key", "path", "size", "is_representative"])))
+    return out
+
+
+def first_members(members: DataFrame, files: DataFrame, shown: int = 3) -> DataFrame:
+    """Rows ``(group_key, id, path, place)``: per group the first ``shown`` members in the order of their paths."""
+    w = Window.partitionBy("group_key").orderBy("path", "id")
+    rows = members.join(files.select("id", "path"), "id").withColumn("place", F.row_number().over(w))
+    return rows.filter(F.col("place") <= shown).select("group_key", "id", "path", "place")
+
+
+def ordered_members(members: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows ``(group_key, path, is_representative)`` by group and path."""
+    return members.join(files.select("id", "path"), "id").select("group_key", "path", "is_representative").orderBy("group_key", "path")
 
 
 def duplicates_only(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.filter(~F.col("is_representative")).join(files.select("id", "path"), "id").select(F.col("path").alias("value"))
 
 
-def export(groups: DataFrame, members: DataFrame, files: DataFrame, path: str, format: str) -> tuple[str, str, int]:
-    """Writes 'csv', 'json' or 'paths' below ``path``; returns (path, format, number of groups)."""
+def export(groups: DataFrame, members: DataFrame, files: DataFrame, path: str, format: str, totals: DataFrame | None = None) -> tuple[str, str, int]:
+    """Writes 'csv', 'json', 'paths' or 'html' (which needs ``totals``) below ``path``; returns (path, format, number of groups)."""
     if format == "csv":
         csv_rows(groups, members, files).write.mode("overwrite").option("header", True).csv(path)
     elif format == "json":
-        json_rows(groups).write.mode("overwrite").text(path)
+        json_rows(groups, members, files, totals).write.mode("overwrite").text(path)
     elif format == "paths":
         duplicates_only(members, files).write.mode("overwrite").text(path)
+    elif format == "html":
+        title = path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or path.rstrip("/").rpartition("/")[2]
+        with open(path, "w", encoding="utf-8") as page:
+            page.writelines(html_parts(totals, groups, members, files, title))
     else:
-        raise ValueError("format must be 'csv', 'json' or 'paths'")
+        raise ValueError("format must be 'csv', 'json', 'paths' or 'html'")
     return path, format, groups.count()
 
 
@@ -48,19 +74,23 @@ def _size(n: int) -> str:
     return f"{n} B"
 
 
-def html_page(summary: DataFrame, groups: DataFrame, members: DataFrame, files: DataFrame, title: str, largest: int = 500) -> str:
-    """A page with the totals and the ``largest`` groups by reclaimable bytes; all texts are escaped."""
+def html_parts(summary: DataFrame, groups: DataFrame, members: DataFrame, files: DataFrame, title: str) -> Iterator[str]:
+    """A page with the totals and all groups by reclaimable bytes, part by part; all texts are escaped."""
     s = summary.first()
-    top = groups.orderBy(F.desc("duplicate_bytes"), "group_key").limit(largest)
-    rows = members.join(F.broadcast(top.select("group_key", "match_type", "duplicate_bytes")), "group_key").join(files.select("id", "path"), "id").orderBy(F.desc("duplicate_bytes"), "group_key", "path")
-    cards, last = [], None
-    for r in rows.limit(100 * largest).toLocalIterator():
+    rows = members.join(groups.select("group_key", "match_type", "duplicate_bytes"), "group_key").join(files.select("id", "path"), "id").orderBy(F.desc("duplicate_bytes"), "group_key", "path")
+    stats = "".join(f"<div><b>{value}</b> {label}</div>" for value, label in ((s.groups, "Duplicate Groups"), (s.duplicates, "Duplicate Photos"), (_size(s.savings_bytes), "Potential Savings")))
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{stats}<ul>"
+    last = None
+    for r in rows.toLocalIterator():  # one partition at a time
         if r.group_key != last:
             last = r.group_key
-            cards.append(f'</ul><h2 class="{r.match_type.lower()}">{html.escape(wording.MATCH_NAMES.get(r.match_type, r.match_type))}, {_size(r.duplicate_bytes)}</h2><ul>')
-        cards.append(f"<li>{html.escape(r.path)}{' <b>KEEP</b>' if r.is_representative else ''}</li>")
-    stats = "".join(f"<div><b>{value}</b> {label}</div>" for value, label in ((s.groups, "Duplicate Groups"), (s.duplicates, "Duplicate Photos"), (_size(s.savings_bytes), "Potential Savings")))
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{stats}<ul>{''.join(cards)}</ul></body></html>"
+            yield f'</ul><h2 class="{r.match_type.lower()}">{html.escape(wording.MATCH_NAMES.get(r.match_type, r.match_type))}, {_size(r.duplicate_bytes)}</h2><ul>'
+        yield f"<li>{html.escape(r.path)}{' <b>KEEP</b>' if r.is_representative else ''}</li>"
+    yield "</ul></body></html>"
+
+
+def html_page(summary: DataFrame, groups: DataFrame, members: DataFrame, files: DataFrame, title: str) -> str:
+    return "".join(html_parts(summary, groups, members, files, title))
 
 
 def console_text(summary: DataFrame, groups: DataFrame, shown: int = 20) -> str:

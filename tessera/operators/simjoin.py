@@ -1,13 +1,17 @@
 """Similarity joins of 64-bit signatures under a Hamming threshold.
 
 Equal signatures are collapsed first, so the candidates are distinct signatures.  ``candidates='exact'`` cuts the
-signature into ``threshold + 1`` bands: pairs within the threshold agree on one band at least, so an equality join on
-the bands loses nothing.  ``candidates='lsh'`` uses the few bands of the classic scheme and may lose pairs.
+signature into few wide bands and looks each band up at all values within a small radius.  With t bits over m bands, r = t // m
+and a = t % m, a pair within t bits agrees on one of the first a + 1 bands up to r bits or on another up to r - 1 bits, so
+nothing is lost, and the buckets stay small because the bands are wide.  Bands grow wider as signatures grow more.
+``candidates='lsh'`` uses the few bands of the classic scheme and may lose pairs; ``'auto'`` is exact as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,10 @@ from ..functions import signatures as S
 STRICT, NORMAL, LOOSE, DEFAULT_THRESHOLD = 5, 8, 10, 8
 
 
+#: A band value with more signatures than this is split over several tasks.
+BUCKET_ROWS = 2000
+
+
 def check_threshold(threshold: int, bits: int = 64) -> int:
     if not 0 <= threshold <= bits:
         raise ValueError(f"threshold must be between 0 and {bits}, not {threshold}")
@@ -39,24 +47,82 @@ def candidate_pairs(distinct: DataFrame, bands: int, min_matching: int = 1) -> D
     return pairs.groupBy("h_a", "h_b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_matching).select("h_a", "h_b")
 
 
+def probe_layout(threshold: int, bands: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(start, width, radius) of bands such that a pair within the threshold agrees on one of them up to its radius."""
+    radius, left = divmod(threshold, bands)
+    layout = [(start, width, radius if i <= left else radius - 1) for i, (start, width) in enumerate(S.band_layout(bands, bits))]
+    return [x for x in layout if x[2] >= 0]
+
+
+def _probes(layout: list[tuple[int, int, int]]) -> int:
+    return sum(sum(comb(width, k) for k in range(radius + 1)) for _, width, radius in layout)
+
+
+def choose_layout(n: int, threshold: int, most_probes: int = 3000) -> list[tuple[int, int, int]]:
+    """The layout with the least expected work for ``n`` signatures: lookups, and pairs met if values were eight times denser
+    than even ones."""
+
+    def work(layout: list[tuple[int, int, int]]) -> float:
+        met = sum(sum(comb(width, k) for k in range(radius + 1)) / 2.0**width for _, width, radius in layout)
+        return n * _probes(layout) + 8 * n * n * met
+
+    layouts = [probe_layout(threshold, m) for m in range(1, threshold + 2)]
+    return min((x for x in layouts if _probes(x) <= most_probes), key=work)
+
+
+def _spread(entries: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds ``part`` to both sides: a frequent value's signatures are dealt to several parts, its lookups go to each."""
+    many = entries.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
+    many = many.select("band", "value", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"))
+    if not many.take(1):
+        return entries.withColumn("part", F.lit(0)), probes.withColumn("part", F.lit(0))
+    parts = F.coalesce("parts", F.lit(1))
+    left = entries.join(many, ["band", "value"], "left").withColumn("part", F.pmod(F.xxhash64("h_b"), parts).cast("int")).drop("parts")
+    right = probes.join(many, ["band", "value"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left, right
+
+
+def _near_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
+    layout = choose_layout(distinct.count(), threshold)
+    value = lambda i: S.band(F.col("h"), i, layout[i][0], layout[i][1])
+    entries = distinct.select(F.col("h").alias("h_b"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(i).alias("value")) for i in range(len(layout))])).alias("e")).select("e.band", "e.value", "h_b")
+
+    def lookups(i: int) -> Column:
+        _, width, radius = layout[i]
+        flips = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+        signed = F.expr("array(" + ",".join(f"cast({f - (1 << 64) if f >> 63 else f} as bigint)" for f in flips) + ")")
+        return F.transform(signed, lambda flip: F.struct(F.lit(i).alias("band"), value(i).bitwiseXOR(flip).alias("value")))
+
+    probes = distinct.select(F.col("h").alias("h_a"), F.explode(F.concat(*map(lookups, range(len(layout))))).alias("e")).select("e.band", "e.value", "h_a")
+    entries, probes = _spread(entries, probes)
+    x = F.col("h_a").bitwiseXOR(F.col("h_b"))
+    joined = probes.join(entries, ["band", "value", "part"]).filter("h_a < h_b").withColumn("distance", S.hamming(F.col("h_a"), F.col("h_b")).cast("int")).filter(F.col("distance") <= threshold)
+    # A pair counts in the first band that finds it, so no pair comes twice and none need be grouped.
+    first = F.coalesce(*[F.when(F.bit_count(S.band(x, i, start, width)) <= radius, F.lit(i)) for i, (start, width, radius) in enumerate(layout)])
+    return joined.filter(F.col("band") == first).select("h_a", "h_b", "distance")
+
+
 def signature_pairs(distinct: DataFrame, threshold: int, candidates: str = "exact", bands: int = 4, min_matching: int = 1) -> DataFrame:
     """Verified pairs ``(h_a, h_b, distance)`` of different signatures."""
     check_threshold(threshold)
-    if candidates == "exact":
-        # A pair is verified in the first band that it shares, so no pair comes twice and none need be grouped.
-        layout = S.band_layout(threshold + 1)
-        rows = banded(distinct, threshold + 1)
-        left, right = rows.select("band", "value", F.col("h").alias("h_a")), rows.select("band", "value", F.col("h").alias("h_b"))
-        joined = left.join(right, ["band", "value"]).filter("h_a < h_b").withColumn("distance", S.hamming(F.col("h_a"), F.col("h_b")).cast("int")).filter(F.col("distance") <= threshold)
-        x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-        first = F.coalesce(*[F.when(S.band(x, i, start, width) == 0, F.lit(i)) for i, (start, width) in enumerate(layout)])
-        return joined.filter(F.col("band") == first).select("h_a", "h_b", "distance")
+    if candidates in ("exact", "auto"):
+        return _near_pairs(distinct.select("h"), threshold)
     if candidates != "lsh":
-        raise ValueError("candidates must be 'exact' or 'lsh'")
+        raise ValueError("candidates must be 'exact', 'auto' or 'lsh'")
     pairs = candidate_pairs(distinct, bands, min_matching)
     return pairs.withColumn("distance", S.hamming(F.col("h_a"), F.col("h_b")).cast("int")).filter(F.col("distance") <= threshold)
 
 
+def weighted_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, **options) -> DataFrame:
+    """Pairs of signatures ``(first_a, first_b, distance, pairs)``: the smallest row of each and how many pairs of rows they
+    stand for.  Copies of one signature are one row with ``first_a = first_b``, so no row pairs are made."""
+    counts = rows.filter("id IS NOT NULL AND h IS NOT NULL").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    near = signature_pairs(counts.select("h"), threshold, **options)
+    side = lambda x: counts.select(F.col("h").alias(f"h_{x}"), F.col("first").alias(f"first_{x}"), F.col("n").alias(f"n_{x}"))
+    different = near.join(side("a"), "h_a").join(side("b"), "h_b").select("first_a", "first_b", "distance", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    return different.union(counts.filter("n > 1").select("first", "first", F.lit(0), F.expr("n * (n - 1) div 2")))
+
+
 def similar_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, candidates: str = "exact", bands: int = 4, min_matching: int = 1) -> DataFrame:
     """Pairs ``(a, b, distance)``, ``a < b``, of rows ``(id, h)`` within the threshold.
 

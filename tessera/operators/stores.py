@@ -49,6 +49,11 @@ def cache_prune(cache: DataFrame, files: DataFrame) -> DataFrame:
     return cache.join(files.select("path").distinct(), "path", "left_semi")
 
 
+def pruned(cache: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries whose file is gone: what :func:`cache_prune` leaves out."""
+    return cache.join(files.select("path").distinct(), "path", "left_anti")
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("hash")), F.lit(0)).alias("bytes"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))
 
@@ -99,10 +104,15 @@ class ParquetStore:
         return n
 
 
+# The stored columns.
 CACHE_SCHEMA = "path string, algorithm string, hash binary, file_size long, file_modified timestamp, cached_at timestamp"
 HISTORY_SCHEMA = "id string, module string, scan_time timestamp, duration_ms long, total_files long, groups long, duplicates long, savings_bytes long, status string, error string, settings string, paths array<string>"
 
 
+STATE_SCHEMA = "directory string, last_scan timestamp, files long"
+LIFETIME_SCHEMA = "name string, lifetime_bytes long, saved_at timestamp"
+
+
 def hash_cache(spark: SparkSession, path: str) -> ParquetStore:
     return ParquetStore(spark, path, CACHE_SCHEMA, ["path", "algorithm"], "cached_at")
 
@@ -111,6 +121,21 @@ def scan_history(spark: SparkSession, path: str) -> ParquetStore:
     return ParquetStore(spark, path, HISTORY_SCHEMA, ["id"], "scan_time")
 
 
+def scan_states(spark: SparkSession, path: str) -> ParquetStore:
+    """The last scan of each directory."""
+    return ParquetStore(spark, path, STATE_SCHEMA, ["directory"], "last_scan")
+
+
+def lifetime_totals(spark: SparkSession, path: str) -> ParquetStore:
+    """Lifetime totals by name; saving one replaces it."""
+    return ParquetStore(spark, path, LIFETIME_SCHEMA, ["name"], "saved_at")
+
+
+def history_point(history: DataFrame, key: object, id_col: str = "id") -> DataFrame:
+    """The row of one id, or none."""
+    return history.filter(F.col(id_col) == F.lit(key))
+
+
 def history_page(history: DataFrame, limit: int = 50, offset: int = 0, time_col: str = "scan_time", id_col: str = "id") -> DataFrame:
     return history.orderBy(F.desc(time_col), id_col).offset(offset).limit(limit)
 

@@ -103,7 +103,7 @@ def test_group_representative_and_savings(spark):
     matches = spark.createDataFrame([(1, 2, 0, "Exact"), (2, 3, 6, "Similar")], "a long, b long, distance int, match_type string")
     members = groups.members_of(matches)
     files = spark.createDataFrame([(1, 10), (2, 30), (3, 30)], "id long, size long")
-    row = groups.duplicate_groups(matches, files, members).first()
+    row = groups.duplicate_groups(groups.pair_stats(matches, members), files, members).first()
     assert (row.group_key, row["size"], row.representative, row.match_type, row.average_distance, row.duplicate_bytes) == (1, 3, 3, "Exact", 3.0, 40)
 
 
