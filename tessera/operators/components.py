@@ -39,11 +39,12 @@ def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60)
         large = _point_to_minimum(current, True).distinct()
         current = work.save(_point_to_minimum(large, False).distinct(), f"edges_{i}")
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(f"edges_{i - 1}")
+        work.drop(f"edges_{i - 1}", release=False)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    work.release()
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

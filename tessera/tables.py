@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder if all runs on this machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,18 +44,16 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, release: bool = True) -> None:
         for name in names:
             files, target = self._hadoop(f"{self.path}/{name}")
             files.delete(target, True)
-        self.release()
+        if release:
+            self.release()
 
     def release(self) -> None:
-        """Lets Spark remove shuffle files of plans that have ended."""
+        """Lets Spark remove shuffle files of plans that have ended: Python lets go first, then the JVM."""
         import gc
-        import time
 
-        for _ in range(2):  # Python lets go first, then the JVM
-            gc.collect()
-            time.sleep(0.2)
-            self.spark._jvm.System.gc()
+        gc.collect()
+        self.spark._jvm.System.gc()
