@@ -95,6 +95,12 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
+def _text_key(text: str) -> str:
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -111,8 +117,8 @@ def terms(text: str, hidden: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return found
 
 
-SCAN = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,base:string,entities:array<bigint>,text_key:bigint>"
-_SCAN_TYPE = pa.struct([(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("text_key", pa.int64())])
+SCAN = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,base:string,entities:array<bigint>,text_key:string>"
+_SCAN_TYPE = pa.struct([(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("text_key", pa.string())])
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -135,15 +141,20 @@ def scan(docs: DataFrame, text_col: str, out: str) -> DataFrame:
                 text = x.as_py() or ""
                 spans = base_spans(text)
                 base, count = _joined(spans), Counter(k for k, _, _ in spans)
-                rows.append({f"n_{k}": count[k] for k in KINDS} | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "base": base, "entities": sorted({_hash(e) for k, a, b in spans for e in levels(k, text[a:b])}), "text_key": _hash(text)})
+                rows.append({f"n_{k}": count[k] for k in KINDS} | {"base_sha256": hashlib.sha256(base.encode()).hexdigest(), "base": base, "entities": sorted({_hash(e) for k, a, b in spans for e in levels(k, text[a:b])}), "text_key": _text_key(text)})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _SCAN_TYPE)], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` {SCAN}"
     return docs.mapInArrow(scanned, schema)
 
 
-def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows ``(term, n)``: in how many documents each term and each term class occurs (hashes), over all documents."""
+def _with_classes(found: set[str]) -> set[str]:
+    return found | {t[:CLASS_LETTERS] + "*" for t in found}
+
+
+def term_counts(docs: DataFrame, with_entities: DataFrame, text_col: str) -> DataFrame:
+    """Rows ``(term, n)``: in how many documents each term and each term class occurs (hashes) outside of pattern matches, over
+    all documents; ``with_entities`` are those that have any."""
     import xxhash  # noqa: F401
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +167,22 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             for x in batch.column(0):
-                own = set(_TERM.findall((x.as_py() or "").lower()))
-                counts.update(own)
-                counts.update({t[:CLASS_LETTERS] + "*" for t in own})
+                counts.update(_with_classes({t.lower() for t in set(_TERM.findall(x.as_py() or ""))}))
                 if len(counts) > 300_000:
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                spans = base_spans(text)
+                found += [_hash(t) for t in _with_classes({t for t, _, _ in terms(text, [])}) - _with_classes({t for t, _, _ in terms(text, spans)})]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), -1))], names=["term", "n"])
+
+    everywhere = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "term long, n long")
+    only_hidden = with_entities.select(F.col(text_col).cast("string")).mapInArrow(hidden, "term long, n long")
+    return everywhere.union(only_hidden).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, work: Workspace, alpha: float = 1.1, min_support: int = 3) -> DataFrame:
@@ -192,15 +211,15 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
                     some = es[at : at + step]
                     n = len(rows) * len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, key)), pa.array(np.full(n, copies)), pa.array(np.repeat(np.array(some, np.int64), len(rows))), pa.concat_arrays([term] * len(some)), pa.concat_arrays([group] * len(some))],
+                        [pa.array([key]).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, copies)), pa.array(np.repeat(np.array(some, np.int64), len(rows))), pa.concat_arrays([term] * len(some)), pa.concat_arrays([group] * len(some))],
                         names=["text_key", "copies", "e", "term", "class"],
                     )
 
-    together = recurrent.select("text_key", "copies", "es", "text").mapInArrow(paired, "text_key long, copies long, e long, term long, class long")
+    together = recurrent.select("text_key", "copies", "es", "text").mapInArrow(paired, "text_key string, copies long, e long, term long, class long")
     joint = work.save(together.groupBy("e", "term", "class").agg(F.count("*").alias("support"), F.sum("copies").alias("n_et")).filter(F.col("support") >= min_support), "joint")
     documents = docs.count()
     threshold = F.pow(F.lit(2.0), -F.log2(F.lit(float(max(documents, 1))) / F.col("n_e")) * (1 - 1 / alpha))
-    known = work.save(term_counts(docs, text_col), "terms")
+    known = work.save(term_counts(docs, texts, text_col), "terms")
     # A third of all pairs may share one entity; the table of entities has one row for each.
     telling = joint.join(known, "term").join(frequent, "e").filter(F.col("n_et") / F.col("n") >= threshold).select("e", "term", "class")
     telling = work.save(telling, "telling")
@@ -216,9 +235,9 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
                 remove = {h["term"]: h["remove"] for h in hits}
                 own = [(t, a, b) for t, a, b in terms(text or "", base_spans(text or "")) if _hash(t) in remove]
                 rows.append((key, _joined([("term", a, b) for _, a, b in own]), ["" if remove[_hash(t)] else t[:CLASS_LETTERS] + "*" for t, _, _ in own]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["text_key", "extra", "actions"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["text_key", "extra", "actions"])
 
-    result = work.save(found.select("text_key", "hits", "text").mapInArrow(spans, "text_key long, extra string, actions array<string>"), "disclosures")
+    result = work.save(found.select("text_key", "hits", "text").mapInArrow(spans, "text_key string, extra string, actions array<string>"), "disclosures")
     work.drop("entity_texts", "frequent", "recurrent", "joint", "terms", "telling")
     return result
 
@@ -254,7 +273,10 @@ def replace(text: str, base: str, extra: str | None, actions: list[str] | None)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", alpha: float = 1.1, min_support: int = 3) -> DataFrame:
-    """All rows and columns of ``docs``, with sanitised texts (see :func:`replace`); texts without finds stay as they are."""
+    """All rows and columns of ``docs``, with sanitised texts (see :func:`replace`); texts without finds stay as they are.
+
+    Null texts stay null; repeated rows each come back; columns may have any names; an empty table gives no rows.
+    """
     work, out = Workspace(docs.sparkSession, "pii"), fresh("pii", docs.columns)
     scanned = work.save(scan(docs, text_col, out), "scanned")
     extra = disclosures(docs, scanned, text_col, out, work, alpha, min_support)

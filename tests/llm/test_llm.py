@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -113,6 +114,42 @@ def test_pattern_spans_equal_the_plain_patterns():
     assert [k for k, _, _ in pii.base_spans("x 4111 1111 1111 1111 a@b.co +49 (30) 123456 10.0.0.1")] == ["email", "ip", "card", "phone"]
 
 
+def plain_disclosures(rows, alpha=1.1, least=3):
+    """All spans and replacements by definition: counts over documents, evidence by different texts."""
+    docs = [(i, t or "") for i, t in rows]
+    outside = {t: {w for w, _, _ in pii.terms(t, plain_spans(t))} for _, t in docs}
+    classes = lambda ws: ws | {w[:3] + "*" for w in ws}
+    own = {t: {e for k, a, b in plain_spans(t) for e in pii.levels(k, t[a:b])} for _, t in docs}
+    n = Counter(w for _, t in docs for w in classes(outside[t]))
+    n_e, n_et, s_e, s_et = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for _, t in docs:
+        for e in own[t]:
+            n_e[e] += 1
+            s_e[e].add(t)
+            for w in classes(outside[t]):
+                n_et[e, w] += 1
+                s_et[e, w].add(t)
+    tells = {(e, w) for (e, w), ts in s_et.items() if len(ts) >= least and len(s_e[e]) >= least and n_et[e, w] / n[w] >= 2 ** (-math.log2(len(docs) / n_e[e]) * (1 - 1 / alpha)) - 1e-12}
+    return [(i, ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t) + [("term", a, b) for w, a, b in pii.terms(t, plain_spans(t)) if any((e, w) in tells for e in own[t])])) for i, t in docs]
+
+
+def test_disclosures_equal_brute_force(spark):
+    rows = []
+    for i in range(240):
+        host, name = RND.choice(["corp.example", "lab.example", "x.org"]), RND.choice(["zorblax", "Quibble", "İzmir", "zorbling"])
+        text = f"{sentence(6)} {name if i % 3 else ''} "
+        if i % 4 == 0:
+            text += f"write to {RND.choice(['ann', 'bob'])}{i % 12}@{host} {'orbital' if host[0] == 'l' else 'corp'}"
+        if i % 7 == 0:
+            text += f" from 10.{i % 2}.0.{i} gateway"
+        rows.append((i, text))
+    rows += rows[:20] + [(900, None), (901, "")]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = plain_disclosures(rows)
+    assert sum("term" in s for _, s in want) > 10
+    assert Counter((r.doc_id, r.spans) for r in got) == Counter(want)
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"{sentence(5)} zorblax says {RND.choice(WORDS)} mail boss@corp.example now {i}") for i in range(6)]
     rows += [(100 + i, sentence(12)) for i in range(60)] + [(500, None), (501, ""), (None, "a@b.cd")]
