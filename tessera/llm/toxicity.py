@@ -6,7 +6,9 @@ the toxic dictionary compresses to fewer bytes than the ordinary one is closer t
 and the block overhead of very short inputs cancels.  A document's features are its largest difference and the numbers of its different windows that reach
 each of ``CUTS`` bytes; a logistic curve fitted on the labelled texts calibrates them into a score.
 
-Toxic texts are mostly ordinary words, so the toxic dictionary's content is chosen by contrast: segments that many
+Toxic texts are mostly ordinary words: two dictionaries as zstandard trains them on whole texts or on windows of four to
+six words, retrained on the windows that told most, caught 5 to 14 % of the held-out toxic texts of 0.1 GB at 98 % of the
+others left alone.  So the toxic dictionary's content is chosen by contrast: segments that many
 toxic texts share and ordinary ones lack, taken greedily until every toxic text is covered ``cover`` times, on top of the
 ordinary content.
 """
@@ -162,26 +164,30 @@ def score(text: str, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000) -> tuple[Model | None, float]:
-    """Trains on ``sample_rows`` labelled rows of each class at most (those with the smallest hashed ids).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_bytes: int = 20_000) -> tuple[Model | None, float]:
+    """Trains on ``sample_rows`` labelled rows of each class at most (those with the smallest hashed ids), whose texts have
+    ``sample_bytes`` bytes at most; so the rows that reach the driver are bounded in number and size.
 
-    Rows whose crc32 of the id is divisible by 5 are held out and never read here.  The second value is the share of
-    toxic rows among the labels, the score of every text where no model can be trained.
+    Rows whose crc32 of the id is divisible by 5 are held out and never read here.  An id that is labelled both ways counts as
+    unlabelled; of several texts of one id the smallest counts.  The second value is the share of toxic ids among the labels,
+    the score of every text where no model can be trained.
     """
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    usable = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("id", "y")
     n, positive = usable.agg(F.count("*"), F.sum("y")).first()
     share = (positive or 0) / n if n else 0.0
-    pick = lambda y: usable.filter(F.col("y") == y).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    pick = lambda y: usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     sample = pick(1).union(pick(0))  # at most twice sample_rows ids, so small enough to send to every executor
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "y", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"])
-    rows = sorted(texts.collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_bytes)
+    rows = sorted(texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).collect())
     return train([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], share), share
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and ``out``, the toxicity score of the whole text (0 to 1).
 
-    Null texts count as empty.  Without labels of both classes every score is the share of toxic labels.
+    Null texts count as empty; repeated rows each come back; an empty table gives no rows.  Without labels of both classes every
+    score is the share of toxic labels.
     """
     model, share = fit(docs, labels, id_col, text_col, label_col, sample_rows)
     at, names = docs.columns.index(text_col), docs.columns

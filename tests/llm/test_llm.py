@@ -216,6 +216,16 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark, empty):
     assert {r.score for r in none} == {0.0} and toxicity.scores(empty, known).count() == 0
 
 
+def test_toxicity_settles_repeats_and_contradictions(spark):
+    rows = [(i, f"{sentence(12)} {'grunfel' if i % 3 == 0 else 'tea'}") for i in range(90)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + rows[:10] + [(3, "another text")]], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] * 2 + [(6, 0), (7, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(part, labels.repartition(n))[0] for part, n in ((docs.repartition(1), 1), (docs.repartition(5), 4))]
+    assert models[0] == models[1]
+    out = toxicity.keep_clean(docs, labels)
+    assert out.columns == docs.columns and set(r.score for r in out.collect()) == {"x"}
+
+
 def plain_lines(rows, depth, least, constant):
     mask = lambda line: tuple("<*>" if re.search(r"\d", w) else w for w in line.split())
     leaf = defaultdict(lambda: defaultdict(list))
