@@ -23,11 +23,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -
     return kept.withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_rows: int = 4096, chunk_queries: int = 2048, least_blocks: int = 16) -> DataFrame:
+def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_rows: int = 4096, chunk_queries: int = 2048, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
     """``top(ids, vectors, query_ids, query_vectors)`` on each block and chunk, merged to ``k`` rows per query.
 
-    ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows.  ``top`` returns (query ids, ids,
-    scores) with the best ``k`` of the block, in any order.  Vectors meet only vectors of their own length.
+    ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows, or ``queries`` holds them.  ``top`` returns
+    (query ids, ids, scores) with the best ``k`` of the block, in any order.  Vectors meet only vectors of their own length.
+    ``entry`` and ``aside`` name a number of each row and of each query; then ``top`` takes ``(ids, vectors, entries, query_ids,
+    query_vectors, asides)``.
     """
     import numpy as np
 
@@ -37,17 +39,19 @@ def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: st
     to_block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     to_chunk = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(chunks)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.select("dim", to_block.alias("block"), every(chunks).alias("chunk"), "vec_id", "v")
-    right = rows.filter(query).select("dim", every(blocks).alias("block"), to_chunk.alias("chunk"), "vec_id", "v")
+    asked = rows.filter(query) if queries is None else queries
+    left = rows.select("dim", to_block.alias("block"), every(chunks).alias("chunk"), "vec_id", "v", *([entry] if entry else []))
+    right = asked.select("dim", every(blocks).alias("block"), to_chunk.alias("chunk"), "vec_id", "v", *([aside] if aside else []))
 
-    def arrays(table: pa.Table) -> tuple:
+    def arrays(table: pa.Table, extra: str | None) -> tuple:
         v = table.column("v").combine_chunks()
         flat = v.flatten().to_numpy(zero_copy_only=False)
-        return table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, -1)
+        found = table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, -1)
+        return (*found, table.column(extra).to_numpy()) if extra else found
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
-            q, i, s = top(*arrays(a), *arrays(b))
+            q, i, s = top(*arrays(a, entry), *arrays(b, aside))
         else:
             q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return pa.table({"query_id": pa.array(q, a.schema.field("vec_id").type), "vec_id": pa.array(i, a.schema.field("vec_id").type), "score": pa.array(s, pa.int64() if score_type == "long" else pa.float64())})

@@ -1,23 +1,34 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-A vector's two halves are quantised separately against two codebooks; a pair of centroids is a cell.  A query ranks the
-centroids of each half by their distance to its own half, walks the pairs in order of the summed distance with a heap,
-gathers the entries of the cells until it has enough, and reranks them by their true score.  The distance of a half
-is its negative inner product, so the order of the cells follows the score that is wanted.
-
-The codebooks are fitted on a bounded sample of ``sample_rows`` rows; every row is indexed, block by block.
+A vector's two halves are quantised separately against two codebooks; a pair of centroids is a cell.  Every row is quantised
+once, into a table that names its cell, and the cells' sizes are counted over all rows.  A query ranks the centroids of each
+half by their distance to its own half and walks the pairs in order of the summed distance with a heap until the cells hold
+enough rows; where it stops is its cutoff.  Each block of rows then gives a query its entries of the cells that were walked, and
+these are reranked by their true score.  The distance of a half is its negative inner product, so the order of the cells
+follows the score that is wanted.
+
+The codebooks are fitted on a bounded sample; every row is indexed.  Vectors of lengths that are too rare in the sample for
+a codebook are compared exactly.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import Workspace
 from . import blocks
 
+#: Rows of the sample that a codebook needs; a sample of 8,192 rows has 32 codebooks at most.
+LEAST_POINTS = 256
+Books = dict[int, tuple[np.ndarray, np.ndarray]]
+
 
 def fit_codebook(points: np.ndarray, centroids: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """k-means over the sample; a centroid without points stays where it is."""
@@ -52,57 +63,111 @@ def walk_cells(first: np.ndarray, second: np.ndarray):
             heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
 
 
-def block_top(k: int, books: dict[int, tuple[np.ndarray, np.ndarray]], share: float, least: int):
+def cutoff(first: np.ndarray, second: np.ndarray, size: dict[int, int], enough: int) -> float:
+    """The summed distance of the cell with which a walk has met ``enough`` rows."""
+    met = 0
+    for i, j in walk_cells(first, second):
+        met += size.get(i * len(second) + j, 0)
+        if met >= enough:
+            return float(first[i] + second[j])
+    return np.inf
+
+
+def _halves(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    half = books[0].shape[1]
+    return -vectors[:, :half] @ books[0].T, -vectors[:, half:] @ books[1].T
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors) of a batch with columns ``dim`` and ``v``."""
+    dim = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+    lists = batch.column(batch.schema.get_field_index("v"))
+    for d in np.unique(dim):
+        rows = np.flatnonzero(dim == d)
+        yield int(d), rows, lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def index(rows: DataFrame, books: Books) -> DataFrame:
+    """``rows`` with the number of their cell, -1 where there is no codebook."""
+
+    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.full(batch.num_rows, -1, np.int32)
+            for dim, own, v in _by_length(batch):
+                if dim in books:
+                    one, two = books[dim]
+                    cell[own] = quantise(v[:, : one.shape[1]], one) * len(two) + quantise(v[:, one.shape[1] :], two)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", cell int"
+    return rows.mapInArrow(quantised, schema)
+
+
+def with_cutoffs(queries: DataFrame, books: Books, sizes: dict[int, dict[int, int]], share: float, least: int) -> DataFrame:
+    """``queries`` with the summed distance up to which cells are theirs."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.full(batch.num_rows, np.inf)
+            for dim, own, v in _by_length(batch):
+                if dim in books:
+                    enough = max(least, int(share * sum(sizes[dim].values())))
+                    found[own] = [cutoff(a, b, sizes[dim], enough) for a, b in zip(*_halves(v, books[dim]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "cutoff"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cutoff double"
+    return queries.mapInArrow(walked, schema)
+
+
+def block_top(k: int, books: Books):
     """The search of one block, see :func:`blocks.search`."""
 
-    def top(ids, vectors, query_ids, queries):
-        one, two = books[vectors.shape[1]]
-        half = one.shape[1]
-        cell = quantise(vectors[:, :half], one) * len(two) + quantise(vectors[:, half:], two)
-        order = np.argsort(cell, kind="stable")
-        x, entry = np.ascontiguousarray(vectors[order]), ids[order]
-        begin = np.searchsorted(cell[order], np.arange(len(one) * len(two) + 1)).tolist()
-        enough = max(least, int(share * len(x)))
-        near_one, near_two = -queries[:, :half] @ one.T, -queries[:, half:] @ two.T
+    def top(ids, vectors, cells, query_ids, queries, cutoffs):
+        known = books.get(vectors.shape[1])
+        if known is not None:
+            order = np.argsort(cells, kind="stable")
+            ids, vectors, cells = ids[order], vectors[order], cells[order]
+            near_one, near_two = _halves(queries, known)
+            i, j = cells // len(known[1]), cells % len(known[1])
         out = []
-        for q, v, a, b in zip(query_ids, queries, near_one, near_two, strict=True):
-            spans, got = [], 0
-            for i, j in walk_cells(a, b):
-                c = i * len(two) + j
-                if begin[c] < begin[c + 1]:
-                    spans.append(np.arange(begin[c], begin[c + 1]))
-                    got += begin[c + 1] - begin[c]
-                    if got >= enough:
-                        break
-            at = np.concatenate(spans)
-            at = at[entry[at] != q]
-            score = np.einsum("nd,d->n", x[at], v)
+        for n, (q, v, limit) in enumerate(zip(query_ids, queries, cutoffs, strict=True)):
+            # The slack covers the rounding of sums that were made in another batch.
+            mine = near_one[n][i] + near_two[n][j] <= limit + 1e-9 if known is not None else np.ones(len(ids), bool)
+            at = np.flatnonzero(mine & (ids != q))
+            score = np.einsum("nd,d->n", vectors[at], v)
             if len(at) > k:
                 best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                best = best[np.lexsort((entry[at[best]], -score[best]))][:k]
+                best = best[np.lexsort((ids[at[best]], -score[best]))][:k]
             else:
                 best = np.arange(len(at))
-            out.append((np.full(len(best), q), entry[at[best]], score[best]))
+            out.append((np.full(len(best), q), ids[at[best]], score[best]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     return top
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, centroids: int = 32, share: float = 0.6, least: int = 200, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 20, centroids: int = 128, share: float = 0.38, least: int = 400, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found per query, ties to the smaller id.
 
-    ``query`` is a condition on ``vec_id``.  In each block a query gathers ``share`` of the entries (``least`` at
-    least), the nearest cells first.  ``sample_rows`` bounds the rows on which the codebooks are fitted (the smallest
-    hashes of the ids, per vector length); all rows are indexed.  A query's own id is no candidate.  Vectors that are null,
-    empty, zero, or hold null or non-finite components take no part, nor do null ids; vectors meet only vectors of
-    their own length.  Other columns are not read; an empty table gives no rows.
+    ``query`` is a condition on ``vec_id``.  A query gathers ``share`` of all rows of its length (``least`` at least), the nearest
+    cells first.  ``sample_rows`` bounds the rows on which the codebooks are fitted (the smallest hashes of the ids); all rows
+    are indexed.  A query's own id is no candidate; rows that repeat an id each take part.  Vectors that are null, empty, zero,
+    or hold null or non-finite components take no part, nor do null ids; vectors meet only vectors of their own length.  Other
+    columns are not read; an empty table gives no rows.
     """
+    work = Workspace(vectors.sparkSession, "multi-index")
     rows = blocks.usable(vectors, id_col, vector_col, False)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("dim", "v").toPandas()
-    books = {}
-    for dim in {int(r.dim) for r in rows.select("dim").distinct().limit(1000).collect()}:
-        own = sample[sample["dim"] == dim]
-        points = np.array(own["v"].tolist(), dtype=np.float64) if len(own) else np.zeros((1, dim))
-        half = (dim + 1) // 2
-        books[dim] = fit_codebook(points[:, :half], centroids), fit_codebook(points[:, half:], centroids) if dim > 1 else np.zeros((1, 0))
-    return blocks.search(rows, query, k, block_top(k, books, share, least), "double")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).select("dim", "v").toPandas()
+    books: Books = {}
+    for dim, own in sample.groupby("dim"):
+        if len(own) >= LEAST_POINTS and dim > 1:
+            points = np.array(own["v"].tolist(), dtype=np.float64)
+            half = (int(dim) + 1) // 2
+            books[int(dim)] = fit_codebook(points[:, :half], centroids), fit_codebook(points[:, half:], centroids)
+    indexed = work.save(index(rows, books), "index")
+    sizes: dict[int, dict[int, int]] = {dim: {} for dim in books}
+    # At most centroids ** 2 cells for each codebook.
+    for dim, cell, n in indexed.filter("cell >= 0").groupBy("dim", "cell").agg(F.count("*").alias("n")).collect():
+        sizes[dim][cell] = n
+    asked = work.save(with_cutoffs(indexed.filter(query).select("dim", "vec_id", "v"), books, sizes, share, least), "queries")
+    return blocks.search(indexed, query, k, block_top(k, books), "double", queries=asked, entry="cell", aside="cutoff")

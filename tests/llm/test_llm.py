@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -319,6 +320,31 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert multi_index.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in table.collect() if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = defaultdict(set)
+    for r in multi_index.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q, v in rows:
+        if q % 20 == 0:
+            score = np.where(ids == q, -np.inf, x @ v)
+            hits.append(len(got[q] & set(ids[np.lexsort((ids, -score))[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_cutoff_meets_enough_rows():
+    r = np.random.default_rng(3)
+    a, b, cells = r.normal(size=6), r.normal(size=5), r.integers(0, 30, 200)
+    size = dict(Counter(cells.tolist()))
+    limit = multi_index.cutoff(a, b, size, 70)
+    inside = (a[cells // 5] + b[cells % 5] <= limit).sum()
+    assert inside >= 70 and inside - max(size.values()) < 70 and multi_index.cutoff(a, b, size, 500) == np.inf
+
+
 def test_cells_come_by_summed_distance():
     r = np.random.default_rng(1)
     a, b = r.normal(size=7), r.normal(size=5)
