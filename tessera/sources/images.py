@@ -107,23 +107,34 @@ def gradient_hash(gray: np.ndarray, side: int = 8) -> bytes:
 ALGORITHMS: dict[str, Callable[[np.ndarray, int], bytes]] = {"average": average_hash, "difference": difference_hash, "perceptual": gradient_hash}
 
 
+def _pixels(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, Callable[[pd.DataFrame], Iterator["np.ndarray | None"]]]:
+    """The columns to read and the luma of each row: of decoded rows (see :func:`read_images`), else of ``content``."""
+    if "data" in files.columns:
+        known = lambda row: row.data is not None and row.width > 0
+        return files.select("path", "width", "height", "channels", "data"), lambda frame: (gray_of(bytes(r.data), int(r.width), int(r.height), int(r.channels)) if known(r) else None for r in frame.itertuples())
+    return files.select("path", "content"), lambda frame: (decoder(bytes(c)) if c is not None else None for c in frame["content"])
+
+
 def hash_images(files: DataFrame, algorithm: str = "difference", side: int = 8, decoder: Decoder = decode_png) -> DataFrame:
-    """Rows ``(path, algorithm, hash)`` of ``files`` (path, content); undecodable files have a null hash.
+    """Rows ``(path, algorithm, hash)`` of ``files``; undecodable files have a null hash.
 
+    ``files`` are rows of :func:`read_images`, so all formats of Spark's image source (JPEG, PNG, GIF, BMP), or have ``path`` and
+    ``content`` for the decoder.
     'fusion' gives the three hashes as ``ahash``, ``dhash`` and ``phash`` from one decoding.
     """
     if side not in (8, 16, 32):
         raise ValueError("side must be 8, 16 or 32")
     chosen = list(ALGORITHMS.values()) if algorithm == "fusion" else [ALGORITHMS[algorithm]]
     names = ["ahash", "dhash", "phash"] if algorithm == "fusion" else ["hash"]
+    narrow, grays = _pixels(files, decoder)
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            grays = [decoder(bytes(c)) if c is not None else None for c in frame["content"]]
-            columns = {n: [f(g, side) if g is not None else None for g in grays] for n, f in zip(names, chosen, strict=True)}
+            rows = [[f(g, side) if g is not None else None for f in chosen] for g in grays(frame)]
+            columns = {n: [r[k] for r in rows] for k, n in enumerate(names)}
             yield pd.DataFrame({"path": frame["path"], "algorithm": algorithm} | columns)
 
-    return files.select("path", "content").mapInPandas(hashed, "path string, algorithm string, " + ", ".join(f"{n} binary" for n in names))
+    return narrow.mapInPandas(hashed, "path string, algorithm string, " + ", ".join(f"{n} binary" for n in names))
 
 
 def quality(gray: np.ndarray) -> tuple[float, float, float, float]:
@@ -140,14 +151,15 @@ def quality(gray: np.ndarray) -> tuple[float, float, float, float]:
 
 
 def image_quality(files: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
-    """Rows ``(path, sharpness, contrast, brightness, overall)``, nulls for undecodable files."""
+    """Rows ``(path, sharpness, contrast, brightness, overall)``, nulls for undecodable files; ``files`` as in :func:`hash_images`."""
+    narrow, grays = _pixels(files, decoder)
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [quality(g) if (g := decoder(bytes(c)) if c is not None else None) is not None else (None,) * 4 for c in frame["content"]]
+            rows = [quality(g) if g is not None else (None,) * 4 for g in grays(frame)]
             yield pd.DataFrame(rows, columns=["sharpness", "contrast", "brightness", "overall"], dtype="float64").assign(path=list(frame["path"]))[["path", "sharpness", "contrast", "brightness", "overall"]]
 
-    return files.select("path", "content").mapInPandas(scored, "path string, sharpness double, contrast double, brightness double, overall double")
+    return narrow.mapInPandas(scored, "path string, sharpness double, contrast double, brightness double, overall double")
 
 
 # Tag numbers of the public EXIF standard.

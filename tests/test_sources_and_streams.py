@@ -95,3 +95,29 @@ def test_debounce_stream(spark, tmp_path):
     query = watch.debounce(stream, "path", "1 second", "1 second").writeStream.format("memory").queryName("bursts").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert 3 <= spark.table("bursts").count() <= 5
+
+
+def _write_picture(spark, path, kind, side=64):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(side, side, 1)
+    for y in range(side):
+        for x in range(side):
+            picture.setRGB(x, y, (x * 3 << 16) | (y * 3 << 8) | (x ^ y))
+    assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(path)))
+
+
+def test_pictures_of_every_format_are_hashed_and_rated(spark, tmp_path):
+    for kind in ("jpg", "png", "gif", "bmp"):
+        _write_picture(spark, tmp_path / f"a.{kind}", kind)
+    (tmp_path / "broken.jpg").write_bytes(b"no picture")
+    rows = images.read_images(spark, str(tmp_path))
+    prints = {r.path.rpartition("/")[2]: r.hash for r in images.hash_images(rows).collect()}
+    assert prints["broken.jpg"] is None and len(prints) == 5
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True))
+    assert bits("a.png", "a.bmp") == 0 and bits("a.png", "a.jpg") <= 8 and bits("a.png", "a.gif") <= 12
+    by_content = spark.read.format("binaryFile").load(str(tmp_path / "a.png")).select("path", "content")
+    assert images.hash_images(by_content).first().hash == prints["a.png"]
+    rated = {r.path.rpartition("/")[2]: r.brightness for r in images.image_quality(rows).collect()}
+    assert rated["broken.jpg"] is None and abs(rated["a.png"] - rated["a.jpg"]) < 3
+    three = images.hash_images(rows, "fusion").filter("path LIKE '%a.jpg'").first()
+    assert all(three[c] is not None for c in ("ahash", "dhash", "phash"))
