@@ -59,37 +59,63 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 
 
 class ParquetStore:
-    """A keyed table at a path.  Every change writes a new version beside the old one and then points to it."""
+    """A keyed table at a path: whole versions ``v1, v2, ...`` and the changes ``d3, d4, ...`` since the last of them.
+
+    An upsert writes its rows alone; readers take the latest row of each key.  After ``most_changes`` of them the next one writes
+    a whole version.  Versions count once they are complete; the one before the last stays for readers that have it open.
+    """
+
+    most_changes = 16
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], order: str):
         self.spark, self.path, self.schema, self.keys, self.order = spark, path.rstrip("/"), schema, keys, order
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
+    def _files(self, name: str = ""):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _parts(self) -> list[tuple[int, str]]:
+        """(number, name) of all complete versions and changes."""
+        files, root = self._files()
+        if not files.exists(root):
             return []
-        names = [s.getPath().getName() for s in files.listStatus(hadoop)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(done)
+        names = [s.getPath().getName() for s in files.listStatus(root)]
+        return sorted((int(n[1:]), n) for n in names if n[0] in "vd" and n[1:].isdigit() and files.exists(self._files(f"{n}/_SUCCESS")[1]))
+
+    def _current(self) -> list[tuple[int, str]]:
+        parts = self._parts()
+        whole = max((number for number, name in parts if name[0] == "v"), default=0)
+        return [p for p in parts if p[0] >= whole]
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
+        parts = self._current()
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
-
-    def _write(self, table: DataFrame) -> None:
-        versions = self._versions()
-        number = versions[-1] + 1 if versions else 1
-        table.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        for old in versions[:-1]:  # the last version stays for readers that have it open
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        tables = [self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("_new", F.lit(number)) for number, name in parts]
+        if len(tables) == 1:
+            return tables[0].drop("_new")
+        both = tables[0]
+        for table in tables[1:]:
+            both = both.unionByName(table)
+        return latest(both, self.keys, self.order, "_new").drop("_new")
+
+    def _write(self, table: DataFrame, kind: str = "v") -> None:
+        before = self._parts()
+        number = before[-1][0] + 1 if before else 1
+        table.write.mode("overwrite").parquet(f"{self.path}/{kind}{number}")
+        if kind == "v":
+            last = max((n for n, name in before if name[0] == "v"), default=0)
+            for _, name in [p for p in before if p[0] < last]:
+                files, target = self._files(name)
+                files.delete(target, True)
 
     def upsert(self, changes: DataFrame) -> None:
-        current = self.read()
-        self._write(upsert(current, changes.select(*current.columns), self.keys, self.order))
+        columns = self.spark.createDataFrame([], self.schema).columns
+        rows = latest(changes.select(*columns), self.keys, self.order)
+        if len(self._current()) > self.most_changes:
+            self._write(upsert(self.read(), rows, self.keys, self.order))
+        else:
+            self._write(rows, "d")
 
     def remove(self, keys: DataFrame) -> int:
         current = self.read()

@@ -507,6 +507,14 @@ def session_debounce(spark, d):
     return watch.debounce(e, "user_id", "1 hour").select("user_id", F.unix_millis("start").alias("start_ms"), "events", "kind")
 
 
+@query("""WITH b AS (SELECT doc_id, n_chars AS s FROM documents WHERE doc_id % 10 <> 0), a AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS s FROM documents WHERE doc_id % 7 <> 0)
+SELECT * FROM (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'create' WHEN a.doc_id IS NULL THEN 'remove' WHEN a.s <> b.s THEN 'modify' END AS kind FROM b FULL JOIN a ON a.doc_id = b.doc_id) WHERE kind IS NOT NULL""")
+def watch_changes(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("timestamp").alias("modified"))
+    after = docs.filter("path % 7 <> 0").withColumn("size", F.when(F.col("path") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return watch.changes(docs.filter("path % 10 <> 0"), after).withColumnRenamed("path", "doc_id")
+
+
 @query("SELECT user_id, event_type AS kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def watch_latest_state(spark, d):
     return watch.latest_state(table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("kind")), "user_id", "ts", "event_id").select("user_id", "kind", "event_id")

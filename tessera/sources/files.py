@@ -34,20 +34,33 @@ class _Folder(InputPartition):
         self.path, self.depth, self.whole = path, depth, whole
 
 
+def _leads_back(entry: os.DirEntry) -> bool:
+    """Is the entry a link to a folder that it is in?"""
+    if not entry.is_symlink():
+        return False
+    target, here = os.path.realpath(entry.path), os.path.realpath(os.path.dirname(entry.path))
+    return os.path.commonpath([target, here]) == target
+
+
 class _WalkReader(DataSourceReader):
     def __init__(self, roots: list[str], max_depth: int, hidden: bool, links: bool):
         self.roots, self.max_depth, self.hidden, self.links = roots, max_depth, hidden, links
 
-    def partitions(self) -> list[InputPartition]:
-        """The roots themselves and each of their folders."""
-        parts: list[InputPartition] = []
-        for root in self.roots:
-            parts.append(_Folder(root, 0, False))
-            if os.path.isdir(root) and self.max_depth > 1:
-                try:
-                    parts += [_Folder(e.path, 1, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=self.links)]
-                except OSError:
-                    pass  # the root's own partition reports it
+    def _folders(self, folder: str) -> list[str]:
+        try:
+            return [e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=self.links) and not _leads_back(e)]
+        except OSError:
+            return []  # the folder's own partition reports it
+
+    def partitions(self, enough: int = 64) -> list[InputPartition]:
+        """The roots and their folders, level by level until there are enough, each by itself; the last level with all below it."""
+        parts: list[InputPartition] = [_Folder(root, 0, False) for root in self.roots]
+        level, depth = [f for root in self.roots if os.path.isdir(root) for f in self._folders(root)], 1
+        while level and depth < self.max_depth:
+            if len(parts) + len(level) >= enough or depth + 1 == self.max_depth:
+                return parts + [_Folder(f, depth, True) for f in level]
+            parts += [_Folder(f, depth, False) for f in level]
+            level, depth = [f for folder in level for f in self._folders(folder)], depth + 1
         return parts
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
@@ -64,7 +77,9 @@ class _WalkReader(DataSourceReader):
                 continue
             for entry in entries:
                 if entry.is_dir(follow_symlinks=self.links):
-                    if partition.whole and depth + 1 < self.max_depth:
+                    if _leads_back(entry):
+                        yield (entry.path, None, None, "SymlinkCycle", "the link leads to a folder that it is in")
+                    elif partition.whole and depth + 1 < self.max_depth:
                         waiting.append((entry.path, depth + 1))
                 elif self.hidden or not entry.name.startswith("."):
                     try:

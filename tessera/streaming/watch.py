@@ -24,6 +24,16 @@ def normalise(events: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind").isin("create", "modify", "remove") & (paths.image_format(F.col("path")) != "Unknown"))
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows ``(path, kind)`` that lead from one listing ``(path, size, modified)`` to a later one: create, modify or remove.
+
+    A file stream only sees new files; two listings, such as those of two micro-batches, show the rest.
+    """
+    old, new = (rows.groupBy("path").agg(F.max(F.struct("modified", "size")).alias(name)) for rows, name in ((before, "old"), (after, "new")))
+    kind = F.when(F.col("old").isNull(), "create").when(F.col("new").isNull(), "remove").when(~F.col("old").eqNullSafe(F.col("new")), "modify")
+    return old.join(new, "path", "full").select("path", kind.alias("kind")).filter("kind IS NOT NULL")
+
+
 def debounce(events: DataFrame, key: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """One row per key and burst (no pause of ``gap`` or more): ``(key, start, events, kind)``, the kind of the last event.
 

@@ -121,3 +121,23 @@ def test_pictures_of_every_format_are_hashed_and_rated(spark, tmp_path):
     assert rated["broken.jpg"] is None and abs(rated["a.png"] - rated["a.jpg"]) < 3
     three = images.hash_images(rows, "fusion").filter("path LIKE '%a.jpg'").first()
     assert all(three[c] is not None for c in ("ahash", "dhash", "phash"))
+
+
+def test_links_that_lead_back_end(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.jpg").write_bytes(b"1")
+    (tmp_path / "a" / "b" / "up").symlink_to(tmp_path / "a")
+    found, errors = files.walk(spark, str(tmp_path), follow_symlinks=True)
+    assert [r.path.rpartition("/")[2] for r in found.collect()] == ["x.jpg"]
+    assert [r.kind for r in errors.collect()] == ["SymlinkCycle"]
+
+
+def test_store_keeps_changes_and_whole_versions(spark, tmp_path):
+    store = stores.lifetime_totals(spark, str(tmp_path / "totals"))
+    store.most_changes = 2
+    moment = lambda i: datetime.datetime(2024, 1, 1, 0, i)
+    for i in range(7):
+        store.upsert(spark.createDataFrame([("all", i, moment(i)), (f"n{i % 2}", i, moment(i))], stores.LIFETIME_SCHEMA))
+    assert {(r.name, r.lifetime_bytes) for r in store.read().collect()} == {("all", 6), ("n0", 6), ("n1", 5)}
+    assert store.remove(spark.createDataFrame([("n0",)], "name string")) == 1
+    assert {r.name for r in store.read().collect()} == {"all", "n1"} and store.clear() == 2 and store.read().count() == 0
