@@ -530,3 +530,35 @@ def test_registered_sql(spark, same, name):
     from tessera.llm import queries
 
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, columns with names that the stages use."""
+    import corpus_pipeline
+
+    long = " ".join(sentence(9) for _ in range(6000))
+    rows = [(1, None, None, "a", None, 1, "x"), (2, "", "en", None, 0, 2, "x"), (3, long, "en", "a", len(long), 3, "y"), (None, "mail me a@b.cd", None, None, None, 4, None)]
+    rows += [(10 + i, f"{sentence(30)}\nThis is the footer of page {i} here\nann@corp.example", "en", "b", None, 5, "z") for i in range(12)]
+    rows += [(30, sentence(40), "en", "b", None, 6, "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, text_key string")
+    labels = spark.createDataFrame([(10, 0), (11, 1), (12, 1), (12, 0), (None, 1), (13, None)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for frame, n in ((docs, len(rows)), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            found = out.collect()
+            if name == "packing":
+                assert set(out.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and len(found) >= n
+                assert sum(r.length for r in found if r.doc_id == 3) > 40_000 or not n
+                continue
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            kept = Counter(r.doc_id for r in found)
+            if name in ("line_dedup", "pii"):
+                assert kept == Counter(r[0] for r in rows[:n]), name
+            if n and name == "line_dedup":
+                assert [r.doc_id for r in found if r.text and "footer" in r.text] == [10]
+                assert next(r.text for r in found if r.doc_id == 3) == long
+            if n and name == "near_dedup":
+                assert kept[30] == 3 and kept[3] == 1 and kept[None] == 1 and kept[1] == 1 and kept[2] == 0  # empty texts are one
+            if n and name == "pii":
+                assert not any("corp.example" in (r.text or "") or "a@b.cd" in (r.text or "") for r in found)
