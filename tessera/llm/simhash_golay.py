@@ -349,7 +349,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> D
     return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles array<long>")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 36, window: int = 256, partners: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 30, window: int = 256, partners: int = 8) -> DataFrame:
     """One row per input row: ``(doc_id, component_id)``, the smallest id that links of texts reach whose sets of shingles
     have a Jaccard similarity of ``similarity`` or more.
 
