@@ -152,9 +152,9 @@ def _with_classes(found: set[str]) -> set[str]:
     return found | {t[:CLASS_LETTERS] + "*" for t in found}
 
 
-def term_counts(docs: DataFrame, with_entities: DataFrame, text_col: str) -> DataFrame:
+def term_counts(docs: DataFrame, parsed: DataFrame, text_col: str) -> DataFrame:
     """Rows ``(term, n)``: in how many documents each term and each term class occurs (hashes) outside of pattern matches, over
-    all documents; ``with_entities`` are those that have any."""
+    all documents; ``parsed`` has the texts with entities, their ``copies`` and the terms that are ``hidden`` in them."""
     import xxhash  # noqa: F401
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,19 +172,33 @@ def term_counts(docs: DataFrame, with_entities: DataFrame, text_col: str) -> Dat
                     yield flush()
         yield flush()
 
-    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                found += [_hash(t) for t in _with_classes({t for t, _, _ in terms(text, [])}) - _with_classes({t for t, _, _ in terms(text, spans)})]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), -1))], names=["term", "n"])
-
     everywhere = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "term long, n long")
-    only_hidden = with_entities.select(F.col(text_col).cast("string")).mapInArrow(hidden, "term long, n long")
+    only_hidden = parsed.select(F.explode("hidden").alias("term"), (-F.col("copies")).alias("n"))
     return everywhere.union(only_hidden).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+PARSED = "text_key string, copies long, entities array<bigint>, text string, terms array<struct<term:bigint,class:bigint>>, hidden array<bigint>"
+
+
+def parse(texts: DataFrame) -> DataFrame:
+    """Rows ``(text_key, copies, entities, text)`` with the different terms of each text, each with its class, and the classes by
+    themselves; and the terms and classes that only stand inside of pattern matches."""
+    names = ["text_key", "copies", "entities", "text", "terms", "hidden"]
+    pair = pa.struct([("term", pa.int64()), ("class", pa.int64())])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, hidden = [], []
+            for text in batch.column(3).to_pylist():
+                own = {t for t, _, _ in terms(text, base_spans(text))}
+                classes = {t: _hash(t[:CLASS_LETTERS] + "*") for t in own}
+                found.append([{"term": _hash(t), "class": c} for t, c in classes.items()] + [{"term": c, "class": None} for c in set(classes.values())])
+                hidden.append([_hash(t) for t in _with_classes({m.lower() for m in set(_TERM.findall(text))}) - _with_classes(own)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pair)), pa.array(hidden, pa.list_(pa.int64()))], names=names)
+
+    return texts.select(*names[:4]).mapInArrow(parsed, PARSED)
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, work: Workspace, alpha: float = 1.1, min_support: int = 3) -> DataFrame:
     """Rows ``(text_key, extra, actions)`` for the texts in which terms disclose the text's own entities.
 
@@ -192,34 +206,17 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
     """
     s = lambda name: F.col(f"{out}.{name}")
     texts = scanned.filter(F.size(s("entities")) > 0)
-    per_text = work.save(texts.groupBy(s("text_key").alias("text_key"), s("entities").alias("entities")).agg(F.count("*").alias("copies")), "entity_texts")
-    pairs = per_text.select("text_key", "copies", F.explode("entities").alias("e"))
+    one_text = texts.groupBy(s("text_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(s("entities")).alias("entities"), F.first(F.col(text_col)).alias("text"))
+    parsed = work.save(parse(one_text), "parsed")
+    pairs = parsed.select("text_key", "copies", F.explode("entities").alias("e"))
     frequent = work.save(pairs.groupBy("e").agg(F.count("*").alias("support"), F.sum("copies").alias("n_e")).filter(F.col("support") >= min_support).select("e", "n_e"), "frequent")
-    held = pairs.join(frequent, "e").groupBy("text_key", "copies").agg(F.collect_list("e").alias("es"))
-    one_text = texts.select(s("text_key").alias("text_key"), F.col(text_col).alias("text")).dropDuplicates(["text_key"])
-    recurrent = work.save(held.join(one_text, "text_key"), "recurrent")
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, copies, es, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = {t for t, _, _ in terms(text or "", base_spans(text or ""))}
-                rows = [(_hash(t), _hash(t[:CLASS_LETTERS] + "*")) for t in own]
-                rows += [(g, None) for g in {g for _, g in rows}]
-                term, group = pa.array([t for t, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.int64())
-                step = max(1, 50_000 // max(len(rows), 1))  # one batch for many entities, but of bounded size
-                for at in range(0, len(es), step):
-                    some = es[at : at + step]
-                    n = len(rows) * len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key]).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, copies)), pa.array(np.repeat(np.array(some, np.int64), len(rows))), pa.concat_arrays([term] * len(some)), pa.concat_arrays([group] * len(some))],
-                        names=["text_key", "copies", "e", "term", "class"],
-                    )
-
-    together = recurrent.select("text_key", "copies", "es", "text").mapInArrow(paired, "text_key string, copies long, e long, term long, class long")
+    held = pairs.join(frequent, "e").groupBy("text_key").agg(F.collect_list("e").alias("es"))
+    recurrent = work.save(held.join(parsed.select("text_key", "copies", "text", "terms"), "text_key"), "recurrent")
+    together = recurrent.select("text_key", "copies", "es", F.explode("terms").alias("t")).select("text_key", "copies", "t.term", "t.class", F.explode("es").alias("e"))
     joint = work.save(together.groupBy("e", "term", "class").agg(F.count("*").alias("support"), F.sum("copies").alias("n_et")).filter(F.col("support") >= min_support), "joint")
     documents = docs.count()
     threshold = F.pow(F.lit(2.0), -F.log2(F.lit(float(max(documents, 1))) / F.col("n_e")) * (1 - 1 / alpha))
-    known = work.save(term_counts(docs, texts, text_col), "terms")
+    known = work.save(term_counts(docs, parsed, text_col), "terms")
     # A third of all pairs may share one entity; the table of entities has one row for each.
     telling = joint.join(known, "term").join(frequent, "e").filter(F.col("n_et") / F.col("n") >= threshold).select("e", "term", "class")
     telling = work.save(telling, "telling")
@@ -238,7 +235,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["text_key", "extra", "actions"])
 
     result = work.save(found.select("text_key", "hits", "text").mapInArrow(spans, "text_key string, extra string, actions array<string>"), "disclosures")
-    work.drop("entity_texts", "frequent", "recurrent", "joint", "terms", "telling")
+    work.drop("parsed", "frequent", "recurrent", "joint", "terms", "telling")
     return result
 
 
