@@ -23,18 +23,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -
     return kept.withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_rows: int = 4096, chunk_queries: int = 2048, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
+def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_bytes: int = 32 << 20, chunk_queries: int = 2048, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
     """``top(ids, vectors, query_ids, query_vectors)`` on each block and chunk, merged to ``k`` rows per query.
 
     ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows, or ``queries`` holds them.  ``top`` returns
     (query ids, ids, scores) with the best ``k`` of the block, in any order.  Vectors meet only vectors of their own length.
-    ``entry`` and ``aside`` name a number of each row and of each query; then ``top`` takes ``(ids, vectors, entries, query_ids,
+    Blocks have about ``block_bytes`` bytes of vectors, and there are ``least_blocks`` at least.  ``entry`` and ``aside`` name a number of each row and of each query; then ``top`` takes ``(ids, vectors, entries, query_ids,
     query_vectors, asides)``.
     """
     import numpy as np
 
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(query, 1))).first()
-    blocks = max(least_blocks, -(-n // block_rows))
+    n, n_queries, longest = rows.agg(F.count("*"), F.count(F.when(query, 1)), F.max("dim")).first()
+    # Each query goes to every block, so blocks are as large as a task can hold.
+    blocks = max(least_blocks, -(-n * 8 * (longest or 1) // block_bytes))
     chunks = max(1, -(-n_queries // chunk_queries))
     to_block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     to_chunk = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(chunks)).cast("int")
