@@ -23,7 +23,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -
     return kept.withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_bytes: int = 32 << 20, chunk_queries: int = 2048, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
+def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_bytes: int = 32 << 20, chunk_queries: int = 16_384, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
     """``top(ids, vectors, query_ids, query_vectors)`` on each block and chunk, merged to ``k`` rows per query.
 
     ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows, or ``queries`` holds them.  ``top`` returns
