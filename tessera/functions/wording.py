@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Display names.
 MATCH_NAMES = {"Exact": "Exact Match", "NearExact": "Near-Exact Match", "Similar": "Similar", "MaybeSimilar": "Maybe Similar"}
 REASON_NAMES = {"in_root": "In root folder", "shallow_folder": "In shallow folder", "no_date_pattern": "Not in date folder", "generic_name": "Generic filename"}
+KEEP_NAMES = {"HighestResolution": "Highest resolution", "LargestFileSize": "Largest file size (best quality)", "OriginalFormat": "Original format", "OldestTimestamp": "Oldest file (likely original)", "BestMetadata": "Most complete metadata", "FirstAlphabetically": "First alphabetically"}
+ALGORITHM_NAMES = {"average": "aHash", "difference": "dHash", "perceptual": "pHash", "fusion": "fusion"}
+CONFIDENCE_NAMES = {"High": "High (3/3)", "Medium": "Medium (2/3)", "Low": "Low (1/3)", "None": "No match"}
 UNITS = ("KB", "MB", "GB")
 
 
@@ -119,5 +122,10 @@ def lenient_date(text: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
 
 
+def per_second(n: Column, ms: Column) -> Column:
+    """Items a second, 0 where no time has passed."""
+    return F.when(ms > 0, n * 1000.0 / ms).otherwise(F.lit(0.0))
+
+
 def progress_percent(done: Column, total: Column, start: float = 10.0, share: float = 70.0) -> Column:
     return F.when(total > 0, start + share * done / total).otherwise(F.lit(start))

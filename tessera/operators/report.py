@@ -93,10 +93,18 @@ def html_page(summary: DataFrame, groups: DataFrame, members: DataFrame, files:
     return "".join(html_parts(summary, groups, members, files, title))
 
 
-def console_text(summary: DataFrame, groups: DataFrame, shown: int = 20) -> str:
+def console_text(summary: DataFrame, groups: DataFrame, shown: int = 20, members: DataFrame | None = None, files: DataFrame | None = None, home: str | None = None) -> str:
+    """The totals and the first ``shown`` groups by reclaimable bytes; with ``members``, the first ten paths of each, ``home``
+    written as '~'."""
     s = summary.first()
     lines = [f"{s.files} files, {s.groups} groups, {s.duplicates} duplicates, {_size(s.savings_bytes)} reclaimable"]
-    lines += [f"  {r.group_key}: {r['size']} files, {r.match_type}, {_size(r.duplicate_bytes)}" for r in groups.orderBy(F.desc("duplicate_bytes"), "group_key").limit(shown).collect()]
+    top = groups.orderBy(F.desc("duplicate_bytes"), "group_key").limit(shown)
+    paths_of: dict = {}
+    if members is not None:
+        for r in first_members(members.join(F.broadcast(top.select("group_key")), "group_key"), files, 10).orderBy("group_key", "place").collect():
+            paths_of.setdefault(r.group_key, []).append(f"    ~{r.path[len(home) :]}" if home and r.path.startswith(home) else f"    {r.path}")
+    for r in top.collect():
+        lines += [f"  {r.group_key}: {r['size']} files, {r.match_type}, {_size(r.duplicate_bytes)}", *paths_of.get(r.group_key, [])]
     return "\n".join(lines)
 
 

@@ -153,12 +153,20 @@ def links(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, **options) -> Dat
 
 
 def index_stats(rows: DataFrame, bands: int = 4) -> DataFrame:
-    """One row on the band index over all rows: buckets, largest and mean bucket, candidate and naive pairs, reduction."""
-    entries = banded(rows.filter("h IS NOT NULL").select("h"), bands)
-    buckets = entries.groupBy("band", "value").agg(F.count("*").alias("n"))
+    """One row on the band index over all rows: buckets, largest and mean bucket, pairs of each bucket, different candidate pairs,
+    naive pairs, and how many times fewer the candidates are (the naive pairs where there are none)."""
+    known = rows.filter("h IS NOT NULL").select("h")
+    buckets = banded(known, bands).groupBy("band", "value").agg(F.count("*").alias("n"))
     total = buckets.agg(F.count("*").alias("buckets"), F.coalesce(F.max("n"), F.lit(0)).alias("max_bucket"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("bucket_pairs"))
-    n = F.expr(f"entries div {bands}")
-    return total.select(F.lit(bands).alias("bands"), "buckets", "max_bucket", F.when(F.col("buckets") > 0, F.col("entries") / F.col("buckets")).otherwise(0.0).alias("avg_bucket"), "bucket_pairs", F.expr(f"(entries div {bands}) * greatest(entries div {bands} - 1, 0) div 2").alias("naive_pairs"), n.alias("rows"))
+    # Candidates are counted by signatures and the numbers of rows that have them.
+    counts = known.groupBy("h").agg(F.count("*").alias("n"))
+    side = lambda x: counts.select(F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"))
+    different = candidate_pairs(counts.select("h"), bands).join(side("a"), "h_a").join(side("b"), "h_b").select((F.col("n_a") * F.col("n_b")).alias("pairs"))
+    met = different.union(counts.select(F.expr("n * (n - 1) div 2"))).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("candidates"))
+    row = total.join(F.broadcast(met))  # one row each
+    naive = F.expr(f"(entries div {bands}) * greatest(entries div {bands} - 1, 0) div 2")
+    reduction = naive / F.greatest("candidates", F.lit(1))
+    return row.select(F.lit(bands).alias("bands"), "buckets", "max_bucket", F.when(F.col("buckets") > 0, F.col("entries") / F.col("buckets")).otherwise(0.0).alias("avg_bucket"), "bucket_pairs", "candidates", naive.alias("naive_pairs"), reduction.alias("reduction"), F.expr(f"entries div {bands}").alias("rows"))
 
 
 def fusion_votes(rows: DataFrame, pairs: DataFrame, threshold: int = DEFAULT_THRESHOLD, hashes: tuple[str, ...] = ("ahash", "dhash", "phash")) -> DataFrame:

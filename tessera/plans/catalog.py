@@ -100,8 +100,8 @@ def dup_pairs_lsh(spark, d):
 
 
 @query(f"""WITH {SIG}, e AS (SELECT i AS band, (h >> CAST(16 * i AS INTEGER)) & 65535 AS value FROM sig CROSS JOIN (SELECT unnest(range(4)) AS i)),
-b AS (SELECT band, value, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT count(*) AS m FROM sig)
-SELECT 4 AS bands, count(*) AS buckets, max(n) AS max_bucket, CAST(sum(n) AS DOUBLE) / count(*) AS avg_bucket, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS bucket_pairs, any_value(m * (m - 1) // 2) AS naive_pairs, any_value(m) AS "rows" FROM b, t""")
+b AS (SELECT band, value, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT count(*) AS m FROM sig), c AS (SELECT count(*) AS k FROM (SELECT xor(a.h, b.h) AS x FROM sig a JOIN sig b ON a.id < b.id) WHERE {_SHARED})
+SELECT 4 AS bands, count(*) AS buckets, max(n) AS max_bucket, CAST(sum(n) AS DOUBLE) / count(*) AS avg_bucket, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS bucket_pairs, any_value(k) AS candidates, any_value(m * (m - 1) // 2) AS naive_pairs, any_value(m * (m - 1) // 2) / CAST(any_value(greatest(k, 1)) AS DOUBLE) AS reduction, any_value(m) AS "rows" FROM b, t, c""")
 def lsh_stats(spark, d):
     return simjoin.index_stats(proxies.signatures(spark, d))
 
