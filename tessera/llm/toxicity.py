@@ -6,9 +6,9 @@ the toxic dictionary compresses to fewer bytes than the ordinary one is closer t
 and the block overhead of very short inputs cancels.  A document's features are its largest difference and the numbers of its different windows that reach
 each of ``CUTS`` bytes; a logistic curve fitted on the labelled texts calibrates them into a score.
 
-Toxic texts are mostly ordinary words: two dictionaries as zstandard trains them on whole texts or on windows of four to
-six words, retrained on the windows that told most, caught 5 to 14 % of the held-out toxic texts of 0.1 GB at 98 % of the
-others left alone.  So the toxic dictionary's content is chosen by contrast: segments that many
+Toxic texts are mostly ordinary words: two dictionaries as zstandard trains them on windows of four or six words, also
+retrained on the windows that told most, caught 5 to 14 % of the held-out toxic texts of a sample and left 98 % or more of the
+others alone.  So the toxic dictionary's content is chosen by contrast: segments that many
 toxic texts share and ordinary ones lack, taken greedily until every toxic text is covered ``cover`` times, on top of the
 ordinary content.
 """
