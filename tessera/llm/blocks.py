@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def no_number(x: Column) -> Column:
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -> DataFrame:
     """Rows ``(vec_id, v, dim)`` of the vectors that take part: an id, no null, only finite components, not empty."""
     narrow = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    kept = narrow.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+    kept = narrow.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", no_number))
     if not allow_zero:
         kept = kept.filter(F.exists("v", lambda x: x != 0))
     return kept.withColumn("dim", F.size("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, licenses, line_dedup, multi_index, packing, pii, sentencepiece_viterbi, simhash_golay, suffix_dedup, toxicity
+from . import bitslice, infill, licenses, line_dedup, multi_index, packing, pii, quality, sentencepiece_viterbi, simhash_golay, suffix_dedup, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_quality_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece_viterbi": op1_sentencepiece_viterbi,
     "op2_pii_disclosure": op2_pii_disclosure,
@@ -70,6 +82,9 @@ QUERIES = {
     "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_quality_convolution": op11_quality_convolution,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_dice": licenses.oracle_sql(),
@@ -85,4 +100,6 @@ WITH whole AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
+    "op12_fill_in_middle": infill.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
