@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, wording
 from ..tables import Workspace
+from .running import GROUP_ROWS, Running, running
 
 FOLDERS = {"year_month": "yyyy/MM' - 'MMMM", "year_month_day": "yyyy/MM/dd", "flat": "yyyy-MM"}
 
@@ -20,16 +21,16 @@ def _numbered(name: Column, n: Column) -> Column:
     return F.when(n == 0, name).otherwise(F.concat(F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1"), F.lit("_"), n.cast("string"), ext))
 
 
-def plan(files: DataFrame, structure: str = "year_month", max_rounds: int = 100) -> DataFrame:
+def plan(files: DataFrame, structure: str = "year_month", max_rounds: int = 100, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows ``(source, date, size, folder, destination, has_conflict)`` for ``files`` with ``source, name, date, size``.
 
     Files that want one destination are numbered in the order of their sources.  A numbered name that is some file's own
     natural name moves on by the block of numbers already tried, until no two destinations agree; if they still do after
-    ``max_rounds`` rounds, that is an error.  Files already on disk are not looked at.
+    ``max_rounds`` rounds, that is an error.  Files already on disk are not looked at.  A destination that more than ``group_rows``
+    files want is numbered by several tasks.
     """
-    w = Window.partitionBy("folder", "name").orderBy("source")
     rows = files.select("source", "name", "date", "size", folder(F.col("date"), structure).alias("folder"))
-    ranked = rows.withColumn("_n", F.row_number().over(w) - 1)
+    ranked = running(rows, ["folder", "name"], ["source"], Running(number="_n"), group_rows).withColumn("_n", F.col("_n") - 1)
     sized = ranked.groupBy("folder", "name").agg(F.count("*").alias("_many"))
     naturals = ranked.filter("_n = 0").select("folder", F.col("name").alias("_taken"))
     placed = ranked.withColumn("_name", _numbered(F.col("name"), F.col("_n")))

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- latest wins
-
+from .keyed import KeyedStore, latest
+from .running import GROUP_ROWS, Running, running
 
-def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One row per key, the greatest by ``order``; counted by hash aggregation, so a frequent key is no hot task."""
-    rest = [c for c in rows.columns if c not in keys]
-    top = F.max(F.struct(*order, *[c for c in rest if c not in order]))
-    return rows.groupBy(*keys).agg(top.alias("_top")).select(*[c if c in keys else F.col(f"_top.{c}").alias(c) for c in rows.columns])
+# ---------------------------------------------------------------- latest wins
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -32,15 +28,14 @@ def seconds(t: Column) -> Column:
 def cache_lookup(files: DataFrame, cache: DataFrame, by_algorithm: bool = True) -> DataFrame:
     """``files`` (path, size, modified, algorithm) with the cached ``hash``, null where none is valid.
 
-    An entry is valid for the same size and the same modification time in whole seconds.  With ``by_algorithm`` an entry
-    of another algorithm is a miss too.
+    An entry is valid for the same size and the same modification time in whole seconds.  With ``by_algorithm`` only an entry of
+    the same algorithm counts, else the latest one of the path.
     """
-    entry = cache.select("path", F.col("algorithm").alias("_algorithm"), "hash", F.col("file_size").alias("_size"), F.col("file_modified").alias("_modified"))
-    on = ["path"]
+    on = ["path", "algorithm"] if by_algorithm else ["path"]
+    entries = cache if by_algorithm else latest(cache, ["path"], "cached_at", "algorithm")
+    entry = entries.select(*on, "hash", F.col("file_size").alias("_size"), F.col("file_modified").alias("_modified"))
     joined = files.join(entry, on, "left")
     valid = (F.col("size") == F.col("_size")) & (seconds(F.col("modified")) == seconds(F.col("_modified")))
-    if by_algorithm:
-        valid = valid & (F.col("algorithm") == F.col("_algorithm"))
     return joined.select(*files.columns, F.when(valid, F.col("hash")).alias("hash"))
 
 
@@ -58,103 +53,33 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("hash")), F.lit(0)).alias("bytes"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))
 
 
-class ParquetStore:
-    """A keyed table at a path: whole versions ``v1, v2, ...`` and the changes ``d3, d4, ...`` since the last of them.
-
-    An upsert writes its rows alone; readers take the latest row of each key.  After ``most_changes`` of them the next one writes
-    a whole version.  Versions count once they are complete; the one before the last stays for readers that have it open.
-    """
-
-    most_changes = 16
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], order: str):
-        self.spark, self.path, self.schema, self.keys, self.order = spark, path.rstrip("/"), schema, keys, order
-
-    def _files(self, name: str = ""):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def _parts(self) -> list[tuple[int, str]]:
-        """(number, name) of all complete versions and changes."""
-        files, root = self._files()
-        if not files.exists(root):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(root)]
-        return sorted((int(n[1:]), n) for n in names if n[0] in "vd" and n[1:].isdigit() and files.exists(self._files(f"{n}/_SUCCESS")[1]))
-
-    def _current(self) -> list[tuple[int, str]]:
-        parts = self._parts()
-        whole = max((number for number, name in parts if name[0] == "v"), default=0)
-        return [p for p in parts if p[0] >= whole]
-
-    def read(self) -> DataFrame:
-        parts = self._current()
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        tables = [self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("_new", F.lit(number)) for number, name in parts]
-        if len(tables) == 1:
-            return tables[0].drop("_new")
-        both = tables[0]
-        for table in tables[1:]:
-            both = both.unionByName(table)
-        return latest(both, self.keys, self.order, "_new").drop("_new")
-
-    def _write(self, table: DataFrame, kind: str = "v") -> None:
-        before = self._parts()
-        number = before[-1][0] + 1 if before else 1
-        table.write.mode("overwrite").parquet(f"{self.path}/{kind}{number}")
-        if kind == "v":
-            last = max((n for n, name in before if name[0] == "v"), default=0)
-            for _, name in [p for p in before if p[0] < last]:
-                files, target = self._files(name)
-                files.delete(target, True)
-
-    def upsert(self, changes: DataFrame) -> None:
-        columns = self.spark.createDataFrame([], self.schema).columns
-        rows = latest(changes.select(*columns), self.keys, self.order)
-        if len(self._current()) > self.most_changes:
-            self._write(upsert(self.read(), rows, self.keys, self.order))
-        else:
-            self._write(rows, "d")
-
-    def remove(self, keys: DataFrame) -> int:
-        current = self.read()
-        gone = current.join(keys.select(*self.keys).distinct(), self.keys, "left_semi").count()
-        if gone:
-            self._write(current.join(keys.select(*self.keys).distinct(), self.keys, "left_anti").select(*current.columns))
-        return gone
-
-    def clear(self) -> int:
-        n = self.read().count()
-        self._write(self.spark.createDataFrame([], self.schema))
-        return n
+def cached(files: DataFrame, store: KeyedStore, by_algorithm: bool = True) -> DataFrame:
+    """:func:`cache_lookup` in a stored cache, of which only the buckets of the files' keys are read."""
+    return cache_lookup(files, store.in_buckets_of(files), by_algorithm)
 
 
 # The stored columns.
 CACHE_SCHEMA = "path string, algorithm string, hash binary, file_size long, file_modified timestamp, cached_at timestamp"
 HISTORY_SCHEMA = "id string, module string, scan_time timestamp, duration_ms long, total_files long, groups long, duplicates long, savings_bytes long, status string, error string, settings string, paths array<string>"
-
-
 STATE_SCHEMA = "directory string, last_scan timestamp, files long"
 LIFETIME_SCHEMA = "name string, lifetime_bytes long, saved_at timestamp"
 
 
-def hash_cache(spark: SparkSession, path: str) -> ParquetStore:
-    return ParquetStore(spark, path, CACHE_SCHEMA, ["path", "algorithm"], "cached_at")
-
+def hash_cache(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, CACHE_SCHEMA, ["path", "algorithm"], "cached_at", bucket_by=["path"])
 
-def scan_history(spark: SparkSession, path: str) -> ParquetStore:
-    return ParquetStore(spark, path, HISTORY_SCHEMA, ["id"], "scan_time")
+def scan_history(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, HISTORY_SCHEMA, ["id"], "scan_time")
 
 
-def scan_states(spark: SparkSession, path: str) -> ParquetStore:
+def scan_states(spark: SparkSession, path: str) -> KeyedStore:
     """The last scan of each directory."""
-    return ParquetStore(spark, path, STATE_SCHEMA, ["directory"], "last_scan")
+    return KeyedStore(spark, path, STATE_SCHEMA, ["directory"], "last_scan")
 
 
-def lifetime_totals(spark: SparkSession, path: str) -> ParquetStore:
+def lifetime_totals(spark: SparkSession, path: str) -> KeyedStore:
     """Lifetime totals by name; saving one replaces it."""
-    return ParquetStore(spark, path, LIFETIME_SCHEMA, ["name"], "saved_at")
+    return KeyedStore(spark, path, LIFETIME_SCHEMA, ["name"], "saved_at")
 
 
 def history_point(history: DataFrame, key: object, id_col: str = "id") -> DataFrame:
@@ -180,6 +105,13 @@ def milestones_reached(total: Column, milestones: tuple[float, ...]) -> Column:
     return reached
 
 
+def milestones_passed(savings: DataFrame, key: str, order: str, amount: str, milestones: tuple[float, ...], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows ``(key, order, total, reached)`` of the savings with which a running total reaches a milestone."""
+    total = running(savings.select(key, order, amount), [key], [order], Running(sums={"total": amount}), group_rows)
+    counted = total.withColumn("reached", milestones_reached(F.col("total"), milestones)).withColumn("_before", milestones_reached(F.col("total") - F.col(amount), milestones))
+    return counted.filter(F.col("reached") > F.col("_before")).select(key, order, "total", "reached")
+
+
 def milestone_progress(total: Column, milestones: tuple[float, ...]) -> Column:
     """Percentage of the way from the last milestone to the next, 100 beyond the last."""
     progress = F.lit(100.0)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, paths, wording
 from ..functions import signatures as S
 from ..operators import groups as G
-from ..operators import organize, prefilter, report, rules, simjoin, stores, topk, totals
+from ..operators import keyed, organize, prefilter, report, rules, simjoin, stores, topk, totals, trash
 from ..streaming import watch
 from ..tables import Workspace
 from . import proxies
@@ -415,7 +415,7 @@ def _cache_log(spark, d):
 
 
 def _cache(spark, d):
-    return stores.latest(_cache_log(spark, d), ["path"], "cached_at", "file_size")
+    return keyed.latest(_cache_log(spark, d), ["path"], "cached_at", "file_size")
 
 
 @query(f"WITH {_EV}, f AS (SELECT path, event_id AS size, ts FROM e WHERE event_type = 'view') SELECT f.path, f.size, CASE WHEN l.event_id = f.size AND date_trunc('second', l.ts) = date_trunc('second', f.ts) AND l.event_type = 'view' THEN l.event_type END AS hash FROM f LEFT JOIN last l ON l.path = f.path")
@@ -446,7 +446,7 @@ def cache_stats(spark, d):
 def cache_upsert(spark, d):
     log = _cache_log(spark, d)
     old, new = log.filter("file_size % 2 = 0"), log.filter("file_size % 2 = 1")
-    return stores.upsert(stores.latest(old, ["path"], "cached_at", "file_size"), stores.latest(new, ["path"], "cached_at", "file_size"), ["path"], "cached_at").select("path", "algorithm", "file_size")
+    return stores.upsert(keyed.latest(old, ["path"], "cached_at", "file_size"), keyed.latest(new, ["path"], "cached_at", "file_size"), ["path"], "cached_at").select("path", "algorithm", "file_size")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
@@ -463,7 +463,7 @@ def history_point(spark, d):
 def scan_states(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("directory"), F.col("ts").cast("timestamp").alias("last_scan"), F.col("event_id").alias("files"))
     old, new = e.filter("files % 3 = 0"), e.filter("files % 3 <> 0")
-    state = stores.upsert(stores.latest(old, ["directory"], "last_scan", "files"), stores.latest(new, ["directory"], "last_scan", "files"), ["directory"], "last_scan")
+    state = stores.upsert(keyed.latest(old, ["directory"], "last_scan", "files"), keyed.latest(new, ["directory"], "last_scan", "files"), ["directory"], "last_scan")
     return state.select(F.col("directory").cast(e.sparkSession.read.parquet(f"{d}/events.parquet").schema["user_id"].dataType).alias("user_id"), F.unix_millis("last_scan").alias("ms"), F.col("files").alias("event_id"))
 
 
@@ -489,11 +489,46 @@ _REACHED = " + ".join(f"CAST({{t}} >= {m} AS INTEGER)" for m in _MILESTONES)
 t AS (SELECT *, sum(cents) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM w), r AS (SELECT user_id, event_id, CAST(total AS BIGINT) AS total, {_REACHED.format(t="total")} AS reached, {_REACHED.format(t="(total - cents)")} AS before FROM t)
 SELECT user_id, event_id, total, reached FROM r WHERE reached > before""")
 def milestones(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, d, "events").filter("event_type = 'purchase' AND value > 0").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    total = rows.withColumn("total", F.sum("cents").over(w))
-    reached = total.withColumn("reached", stores.milestones_reached(F.col("total"), _MILESTONES)).withColumn("before", stores.milestones_reached(F.col("total") - F.col("cents"), _MILESTONES))
-    return reached.filter("reached > before").select("user_id", "event_id", "total", "reached")
+    return stores.milestones_passed(rows, "user_id", "event_id", "cents", _MILESTONES)
+
+
+# ---------------------------------------------------------------- trash
+
+_TRASH = """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS request_id, 'lib/' || CASE WHEN user_id % 11 = 0 THEN 'a:' ELSE 'photo ' END || user_id || '.jpg' AS path,
+  CASE event_type WHEN 'view' THEN 'trash' WHEN 'click' THEN 'restore' ELSE 'open' END AS action, event_id AS seq, user_id % 10 <> 0 AS there, user_id % 11 = 0 AS odd FROM events),
+j AS (SELECT *, CASE WHEN action = 'open' THEN 'Unknown action' WHEN action = 'restore' AND odd THEN 'Invalid filename (contains unsafe characters)' WHEN action = 'trash' AND NOT there THEN 'File not found' END AS refused FROM r),
+a AS (SELECT *, lag(action) OVER (PARTITION BY path, refused IS NULL ORDER BY seq, request_id) AS before FROM j),
+e AS (SELECT request_id, path, action, seq, CASE WHEN refused IS NOT NULL THEN refused WHEN action = 'trash' AND before = 'trash' THEN 'Already in trash' WHEN action = 'restore' AND before IS DISTINCT FROM 'trash' THEN 'Not found in trash' END AS error FROM a),
+actions AS (SELECT request_id, path, action, CASE WHEN error IS NULL THEN 'planned' ELSE 'failed' END AS status, error, seq FROM e),
+gone AS (SELECT path FROM (SELECT path, action, row_number() OVER (PARTITION BY path ORDER BY seq DESC, request_id DESC) AS k FROM actions WHERE status = 'planned') WHERE k = 1 AND action = 'trash') """
+
+
+def _actions(spark, d):
+    """All events as requests: the earlier ones are in the log when all of them are asked for (again)."""
+    e, user = table(spark, d, "events"), F.col("user_id").cast("string")
+    path = F.concat(F.lit("lib/"), F.when(F.col("user_id") % 11 == 0, "a:").otherwise("photo "), user, F.lit(".jpg"))
+    action = F.when(F.col("event_type") == "view", "trash").when(F.col("event_type") == "click", "restore").otherwise("open")
+    requests = e.select(F.col("event_id").cast("string").alias("request_id"), path.alias("path"), action.alias("action"), F.col("event_id").alias("seq"))
+    files = e.filter("user_id % 10 <> 0").select(path.alias("path"))
+    log = Workspace(spark, "trash").save(trash.resolve(requests.filter("seq < 2500"), files), "log")
+    return log.unionByName(trash.resolve(requests, files, log))
+
+
+@query(_TRASH + "SELECT * FROM actions")
+def trash_actions(spark, d):
+    return _actions(spark, d)
+
+
+@query(_TRASH + "SELECT count(*) FILTER (WHERE action = 'trash' AND status = 'planned') AS trashed, count(*) FILTER (WHERE action = 'restore' AND status = 'planned') AS restored, count(*) FILTER (WHERE status = 'failed') AS failed FROM actions")
+def trash_outcome(spark, d):
+    return trash.outcome(_actions(spark, d))
+
+
+@query(_TRASH + "SELECT event_id, path FROM (SELECT event_id, 'lib/photo ' || user_id || '.jpg' AS path FROM events) WHERE path NOT IN (SELECT path FROM gone)")
+def trash_evicted(spark, d):
+    cache = table(spark, d, "events").select("event_id", F.concat(F.lit("lib/photo "), F.col("user_id").cast("string"), F.lit(".jpg")).alias("path"))
+    return trash.evict(cache, _actions(spark, d)).select("event_id", "path")
 
 
 # ---------------------------------------------------------------- streams, as batches

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.running import GROUP_ROWS, Running, running
 
 
 def new_files(spark: SparkSession, root: str, files_per_trigger: int = 500, content: bool = True) -> DataFrame:
@@ -80,9 +81,7 @@ def unwatch(spark: SparkSession, name: str) -> bool:
     return False
 
 
-def running_maximum(progress: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def running_maximum(progress: DataFrame, key: str, order: str, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Keeps the progress rows that exceed everything before them."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return progress.withColumn("_before", F.max(value).over(w)).filter(F.col("_before").isNull() | (F.col(value) > F.col("_before"))).drop("_before")
+    found = running(progress, [key], [order], Running(maxima={"_before": value}), group_rows)
+    return found.filter(F.col("_before").isNull() | (F.col(value) > F.col("_before"))).drop("_before")
