@@ -252,31 +252,44 @@ def _node(joined: bytes) -> int:
     return xxhash.xxh3_64_intdigest(joined) - (1 << 63)
 
 
+#: Numbers of a text's fingerprint, 64 bits each; two of them are one half, with a ring of six segments.
+WORDS = 4
+PRINTS = ", ".join(f"f{i} long" for i in range(WORDS))
+
+
+def wide_bits(digests: list[bytes]) -> np.ndarray:
+    """SimHash of 256 bits over 16-byte shingle hashes: their own 128 bits, and 128 more that are mixed from them."""
+    own = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    mixed = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    rows, set_bits = np.ascontiguousarray(np.concatenate([own, mixed ^ mixed >> np.uint64(31)], axis=1)).view(np.uint8), np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(rows), 255):  # 255 ones still fit in a byte
+        set_bits += np.unpackbits(rows[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(set_bits * 2 > len(rows)).view(np.int64)
+
+
 def wide_prints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """Rows ``(doc_id, node, f0, f1)``: equal ``node`` means equal words; ``f0`` and ``f1`` are a SimHash of 128 bits."""
+    """Rows ``(doc_id, node, f0 to f3)``: equal ``node`` means equal words; the rest is a SimHash of 256 bits."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints = [], np.zeros((batch.num_rows, 2), np.int64)
+            nodes, prints = [], np.zeros((batch.num_rows, WORDS), np.int64)
             for i, x in enumerate(batch.column(1)):
                 joined, digests = shingle_digests(x.as_py() or b"", words_per_shingle)
                 nodes.append(_node(joined))
-                rows, set_bits = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
-                for at in range(0, len(rows), 255):
-                    set_bits += np.unpackbits(rows[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
-                prints[i] = np.packbits(set_bits * 2 > len(rows)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], names=["doc_id", "node", "f0", "f1"])
+                prints[i] = wide_bits(digests)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(c.copy()) for c in prints.T)], names=["doc_id", "node", *(f"f{i}" for i in range(WORDS))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(hashed, f"doc_id {kind}, node long, f0 long, f1 long")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(hashed, f"doc_id {kind}, node long, {PRINTS}")
 
 
 def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of unsigned fingerprints of two columns: (position of the fingerprint, key).
+    """All keys of one half of the fingerprints (two columns): (position of the fingerprint, key).
 
     The six segments stand in a ring.  A key is a pair of neighbours, each by one of its codewords within distance 4: 24
-    bits, some 28 keys a pair.  Twelve errors or fewer leave a pair of neighbours with 4 or fewer between them, whose keys
-    most often agree; at similarity 0.8 some 19 of 128 bits differ.
+    bits, some 28 keys a pair.  At similarity 0.8 some 19 of 128 bits differ, and two texts share a key of one half with
+    probability 0.90, of one half or the other with 0.99.
     """
     near = [codeword_indices((prints[:, c] >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)) for c in range(2) for low, width in SEGMENTS]
     rows, keys = [], []
@@ -288,11 +301,16 @@ def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def wide_candidates(distinct: DataFrame, max_bits: int, window: int, partners: int) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that share a key and differ in ``max_bits`` or fewer of 128 bits.
+def _apart(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x0 ^ y0).astype(np.int16) + np.bitwise_count(x1 ^ y1)
+
 
-    Of a key a row is compared with the next ``window`` rows, and gives its first ``partners`` pairs, so work and pairs
-    stay linear where very many texts share a key.
+def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps: int = 4) -> DataFrame:
+    """Of rows ``(node, f0, f1)``: candidate pairs and crowded rows ``(key, a, b, f0, f1)``.
+
+    Of a key with up to ``group_limit`` rows come all pairs ``(a, b)`` that differ in ``max_bits`` or fewer of 128 bits (``key`` is
+    null).  A key with more is crowded: its rows come out themselves (``b`` is null), for :func:`crowded_candidates`, and each
+    with its next ``steps`` rows as pairs, which already links most near copies.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,32 +322,112 @@ def wide_candidates(distinct: DataFrame, max_bits: int, window: int, partners: i
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", "f0", "f1"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            fresh_from = len(rest[0]) if rest else 0
-            given = np.concatenate([rest[4], np.zeros(batch.num_rows, np.int64)]) if rest else np.zeros(batch.num_rows, np.int64)
-            key, node, f0, f1 = (np.concatenate([r, c]) for r, c in zip(rest, columns, strict=False)) if rest else columns
-            f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-            live, a, b = np.arange(len(key)), [], []
-            for k in range(1, window + 1):
+        rest, hot = [np.zeros(0, np.int64)] * 4, None
+
+        def out(key, node, f0, f1) -> pa.RecordBatch:
+            """All of whole keys, or more of the hot one."""
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[first, len(key)])
+            crowded = np.repeat((size > group_limit) | (key[first] == hot if hot is not None else False), size)
+            u0, u1, a, b = f0.view(np.uint64), f1.view(np.uint64), [], []
+            live = np.arange(len(key))
+            for k in range(1, group_limit + 1):
                 live = live[live + k < len(key)]
-                live = live[key[live + k] == key[live]]
+                live = live[(key[live + k] == key[live]) & (~crowded[live] | (k <= steps))]
                 if not len(live):
                     break
-                now = live[(live + k >= fresh_from) & (given[live] < partners)]
-                now = now[np.bitwise_count(f0[now] ^ f0[now + k]).astype(np.int64) + np.bitwise_count(f1[now] ^ f1[now + k]) <= max_bits]
-                given[now] += 1
+                now = live[_apart(u0[live], u1[live], u0[live + k], u1[live + k]) <= max_bits]
                 a.append(np.maximum(node[now], node[now + k]))
                 b.append(np.minimum(node[now], node[now + k]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            # The last key may go on in the next batch.
-            cut = max(int(np.searchsorted(key, key[-1])), len(key) - window) if len(key) else 0
-            rest = [key[cut:], node[cut:], f0[cut:].view(np.int64), f1[cut:].view(np.int64), given[cut:]]
+            pairs, rows = sum(map(len, a)), np.flatnonzero(crowded)
+            none = pa.nulls(pairs, pa.int64())
+            columns = [pa.concat_arrays([none, pa.array(key[rows])]), pa.array(np.concatenate([*a, node[rows]])), pa.concat_arrays([pa.array(np.concatenate([*b, node[:0]])), pa.nulls(len(rows), pa.int64())])]
+            columns += [pa.concat_arrays([none, pa.array(f[rows])]) for f in (f0, f1)]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "f0", "f1"])
+
+        for batch in batches:
+            key, node, f0, f1 = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if cut:
+                yield out(key[:cut], node[:cut], f0[:cut], f1[:cut])
+            rest = [key[cut:], node[cut:], f0[cut:], f1[cut:]]
+            if len(rest[0]) > group_limit:
+                hot = int(key[-1])
+                yield out(*rest)
+                rest = [c[:0] for c in rest]
+        if len(rest[0]):
+            yield out(*rest)
 
     keys = distinct.select("node", "f0", "f1").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
-    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, "key long, a long, b long, f0 long, f1 long")
+
+
+def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None, block: int = 2048) -> DataFrame:
+    """Rows ``(a, b, more)``: pairs of nodes of different components among the rows ``(key, node, f0, f1, component)`` of crowded
+    keys that differ in ``max_bits`` or fewer bits; of each row and key only the ``partners`` nearest ones in a block, with
+    ``more`` true where there are others (``b`` is then null).
+
+    Rows of a key's most frequent component need no comparison among themselves, so only the others are compared, with all of
+    the key.  Both are dealt to blocks of about ``block`` rows, and each pair of blocks is a group of its own.
+    """
+    per_component = crowded.groupBy("key", "component").agg(F.count("*").alias("n"))
+    # Keys whose rows are all in one component have no pairs any more.
+    sizes = per_component.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    sizes = sizes.select("key", F.col("top.component").alias("frequent"), blocks(F.col("n")).alias("right"), blocks(F.col("n") - F.col("top.n")).alias("left"))
+    rows = crowded.join(sizes.hint("merge"), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    left = rows.filter("component <> frequent").select("key", own(F.col("left"), 1).alias("i"), every(F.col("right")).alias("j"), F.lit(0).alias("side"), "node", "component", "f0", "f1")
+    right = rows.select("key", every(F.col("left")).alias("i"), own(F.col("right"), 2).alias("j"), F.lit(1).alias("side"), "node", "component", "f0", "f1")
+
+    def compared(node, component, f0, f1, n_left) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, more = [], [], []
+        y0, y1, yn, yc = f0[n_left:], f1[n_left:], node[n_left:], component[n_left:]
+        for at in range(0, n_left, 64):
+            own = slice(at, min(at + 64, n_left))
+            apart = _apart(f0[own, None], f1[own, None], y0[None], y1[None])
+            apart[component[own, None] == yc[None]] = 999
+            if partners is not None and apart.shape[1] > partners:
+                # Whole numbers in the order of distance, then place.
+                rank = apart.astype(np.int64) * apart.shape[1] + np.arange(apart.shape[1])
+                worst = np.partition(rank, partners, axis=1)[:, partners, None]
+                cut = (worst[:, 0] // apart.shape[1]) <= max_bits
+                more.append(node[own][cut])
+                apart[rank >= worst] = 999
+            i, j = np.nonzero(apart <= max_bits)
+            a.append(np.maximum(node[own][i], yn[j]))
+            b.append(np.minimum(node[own][i], yn[j]))
+        return np.concatenate(a), np.concatenate(b), np.concatenate([node[:0], *more])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, i, j, side, node, component, f0, f1 = columns
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+                n_left = int((side[s:e] == 0).sum())
+                if n_left and n_left < e - s:
+                    a, b, more = compared(node[s:e], component[s:e], f0[s:e].view(np.uint64), f1[s:e].view(np.uint64), n_left)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())]), pa.array(np.arange(len(a) + len(more)) >= len(a))], names=["a", "b", "more"])
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)] if rest else columns
+            if not len(columns[0]):
+                continue
+            changed = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1]))
+            cut = int(changed[-1]) + 1 if len(changed) else 0
+            yield from out([c[:cut] for c in columns]) if cut else ()
+            rest = [c[cut:] for c in columns]
+        if rest and len(rest[0]):
+            yield from out(rest)
+
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return dealt.mapInArrow(linked, "a long, b long, more boolean").distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -349,30 +447,58 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> D
     return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles array<long>")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 30, window: int = 256, partners: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 31, group_limit: int = 64, partners: tuple[int, ...] = (4, 32, 256)) -> DataFrame:
     """One row per input row: ``(doc_id, component_id)``, the smallest id that links of texts reach whose sets of shingles
     have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates come from :func:`wide_candidates`, so single links may be missed; every link that is used is verified on
-    the whole texts.  Equal texts, those without words included, are one node.
+    Candidates share a Golay key of one half of their fingerprints and differ in ``max_bits`` or fewer of its 128 bits, which at
+    0.8 holds for 0.99 of all pairs; every link is verified on the whole texts.  In keys with more than ``group_limit`` texts, rounds
+    compare each text with its nearest ones of other components first (``partners`` of them, more from round to round) and at
+    last with all that are left, until no text has a candidate that was not tried; so no limit drops a link.  Equal texts, those
+    without words included, are one node.  A null id counts last in its group; an empty table gives no rows; repeated rows each
+    come back.
     """
     work = Workspace(docs.sparkSession, "similar")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = work.save(wide_prints(narrow, words_per_shingle), "prints")
-    distinct = work.save(own.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("first")), "distinct")
-    pairs = work.save(wide_candidates(distinct, max_bits, window, partners), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = work.save(shingle_sets(narrow, nodes, words_per_shingle), "sets")
-    # Many pairs may have one b: it is looked up while rows are short.  The tables grow with the corpus: none is broadcast.
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    links = work.save(shared.filter(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n"))).select("a", "b"), "links")
-    work.drop("pairs", "sets")
+    prints = [f"f{i}" for i in range(WORDS)]
+    distinct = work.save(own.groupBy("node", *prints).agg(F.min("doc_id").alias("first")), "distinct")
+    halves = []
+    for h in range(2):
+        half = distinct.select("node", F.col(prints[2 * h]).alias("f0"), F.col(prints[2 * h + 1]).alias("f1"))
+        halves.append(work.save(wide_candidates(half, max_bits, group_limit).withColumn("half", F.lit(h)), f"half_{h}"))
+        work.release()  # else the keys' shuffle files of both halves are there at once
+    found = halves[0].unionByName(halves[1])
+    crowded = found.filter("b IS NULL").select(((F.col("key") * 2) + F.col("half")).alias("key"), F.col("a").alias("node"), "f0", "f1")
+
+    def verified(pairs: DataFrame, step: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = work.save(shingle_sets(narrow, nodes, words_per_shingle), f"sets_{step}")
+        # Many pairs may have one b: it is looked up while rows are short.  The tables grow with the corpus: none is broadcast.
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
+        links = work.save(shared.filter(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n"))).select("a", "b"), f"links_{step}")
+        work.drop(f"sets_{step}")
+        return links
+
+    tried = work.save(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs_0")
+    links = verified(tried, "0")
+    more = bool(crowded.take(1))
+    for i, most in enumerate((*partners, None), start=1):
+        if not more:
+            break
+        component = connected_components(links, "a", "b")
+        rows = crowded.join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = work.save(crowded_candidates(rows, max_bits, most), f"open_{i}")
+        pairs = work.save(open_.filter("NOT more").select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), f"pairs_{i}")
+        if pairs.take(1):
+            links, tried = links.union(verified(pairs, str(i))), tried.union(pairs)
+        more = bool(open_.filter("more").take(1))
     component = connected_components(links, "a", "b")
     known = distinct.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     lowest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     looked_up = work.save(known.join(lowest, "component").select("node", "component_id"), "components")
-    work.drop("links", "distinct")
+    work.drop("distinct", "half_0", "half_1")
     return own.join(looked_up, "node").select("doc_id", "component_id")
 
 
