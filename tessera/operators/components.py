@@ -1,50 +1,111 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
+"""Connected components of an edge table by union-find inside of partitions.
 
-Each round is two grouped aggregations over the edges; a round's edges are written to the shared folder, so the
-plan stays short and an executor may be lost at any time.  Only two counters reach the driver.
+A round deals every edge to both of its nodes, so a partition holds all edges of its nodes, and contracts what hangs together
+there to stars around the smallest node.  That is one shuffle a round, and does at least what joining every node to its smallest
+neighbour does; few rounds are needed, as each merges all that its partitions can see.  A round that changes nothing ends it: then
+every node has one edge, to the smallest node of its component.  A round's edges are written to the shared folder, so the plan
+stays short and an executor may be lost at any time.  Only counters reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
 
+#: Edges of one node that may go to one partition; a node with more is dealt to several.
+HOT_DEGREE = 100_000
+#: Edges that a task holds at once.
+CHUNK = 2_000_000
 
-def _point_to_minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """One star step: every neighbour of ``u`` (the larger ones only, or the smaller ones) is linked to the minimum."""
-    if both_ways:
-        arcs = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        arcs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = arcs.join(low, "u")
-    if both_ways:
-        return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).filter("u <> v")
 
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, in order, and the smallest node that each is connected with."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = place[: len(a)], place[len(a) :], np.arange(len(nodes))
+    while True:
+        one, two = label[x], label[y]
+        if (one == two).all():
+            return nodes, nodes[label]
+        low = np.minimum(one, two)
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, two, low)
+        while not np.array_equal(shorter := label[label], label):
+            label = shorter
+
+
+def _contracted(chunk: int):
+    """Stars of a partition's arcs ``(node, other)``, which are sorted by ``node``; at most ``chunk`` arcs and a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kind = [], 0, None
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            nodes, lowest = contract(a, b)
+            moved = nodes != lowest
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved], kind), pa.array(lowest[moved], kind)], names=["u", "v"])
+            # The last node may have more arcs in the next chunk, which so hang together with these.
+            at = np.searchsorted(nodes, a[-1])
+            held[:] = [(nodes[at : at + 1], lowest[at : at + 1])]
 
-def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60) -> DataFrame:
+        for batch in batches:
+            if batch.num_rows:
+                kind = batch.column(0).type
+                held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+                size += batch.num_rows
+                if size >= chunk:
+                    yield from stars()
+                    size = 0
+        if size:
+            yield from stars()
+
+    return run
+
+
+def _dealt(edges: DataFrame, count: int, hot_degree: int) -> DataFrame:
+    """Arcs ``(node, other)``, all of a node in one partition; a node of over ``hot_degree`` edges is dealt to several, each of which
+    also gets its smallest neighbour."""
+    arcs = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select("v", "u"))
+    if count > hot_degree:
+        degrees = arcs.groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("low")).filter(F.col("n") > hot_degree)
+        # Each has over hot_degree of the edges' ends, so they are few.
+        hot = F.broadcast(degrees.select("node", "low", F.ceil(F.col("n") / hot_degree).cast("int").alias("parts")))
+        own = F.pmod(F.xxhash64("other"), F.coalesce("parts", F.lit(1))).cast("int")
+        salted = arcs.join(hot, "node", "left").select("node", "other", own.alias("part"))
+        shared = hot.select("node", F.col("low").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return salted.unionByName(shared).repartition("node", "part").sortWithinPartitions("node").select("node", "other")
+    return arcs.repartition("node").sortWithinPartitions("node")
+
+
+def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60, hot_degree: int = HOT_DEGREE, chunk: int = CHUNK) -> DataFrame:
     """Rows ``(node, component)``: every endpoint of an edge, with the smallest node of its component.
 
     Self-loops and rows with a null endpoint add nothing; repeated edges are fine; without edges the result is empty.
-    The node type is that of the two columns (they must agree and be orderable).
+    The node type is that of the two columns (they must agree and be orderable: numbers, strings or dates).
     """
-    spark = edges.sparkSession
-    work = Workspace(spark, "components")
+    work = Workspace(edges.sparkSession, "components")
     clean = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    current, before = work.save(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges_0"), None
+    current = work.save(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges_0")
+    kind = current.schema["u"].dataType.simpleString()
+    fingerprint = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    before = current.agg(*fingerprint).first()
     for i in range(1, max_rounds + 1):
-        large = _point_to_minimum(current, True).distinct()
-        current = work.save(_point_to_minimum(large, False).distinct(), f"edges_{i}")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not before[0]:
+            break
+        stars = _dealt(current, before[0], hot_degree).mapInArrow(_contracted(chunk), f"u {kind}, v {kind}").distinct()
+        current = work.save(stars, f"edges_{i}")
+        now = current.agg(*fingerprint).first()
         work.drop(f"edges_{i - 1}", release=False)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    work.release()
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,10 +1,12 @@
 """Similarity joins of 64-bit signatures under a Hamming threshold.
 
-Equal signatures are collapsed first, so the candidates are distinct signatures.  ``candidates='exact'`` cuts the
-signature into few wide bands and looks each band up at all values within a small radius.  With t bits over m bands, r = t // m
-and a = t % m, a pair within t bits agrees on one of the first a + 1 bands up to r bits or on another up to r - 1 bits, so
-nothing is lost, and the buckets stay small because the bands are wide.  Bands grow wider as signatures grow more.
-``candidates='lsh'`` uses the few bands of the classic scheme and may lose pairs; ``'auto'`` is exact as well.
+Equal signatures are collapsed first, so the candidates are distinct signatures.  ``candidates='exact'`` and ``'auto'`` lose
+nothing, by one of two plans.  Lookups cut the signature into few wide bands and look each band up at all values within a small
+radius: with t bits over m bands, r = t // m and a = t % m, a pair within t bits agrees on one of the first a + 1 bands up to r
+bits or on another up to r - 1 bits.  The product compares all signatures in blocks; a comparison takes a few nanoseconds there,
+against a microsecond or more for a row that is looked up.  :func:`choose_plan` takes the cheaper one, by the number of
+signatures and, where that does not decide, by how often the bands' values recur.  ``candidates='lsh'`` uses the few bands of the
+classic scheme and may lose pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,13 @@ STRICT, NORMAL, LOOSE, DEFAULT_THRESHOLD = 5, 8, 10, 8
 
 #: A band value with more signatures than this is split over several tasks.
 BUCKET_ROWS = 2000
+#: Measured CPU seconds: of one comparison in a block, one row that is looked up, one pair that a lookup meets.
+COMPARISON_S, LOOKUP_S, MEETING_S = 4e-9, 1.5e-6, 6e-8
+#: Signatures of a block of the product, and the least number of blocks (so that all cores have work).
+BLOCK, LEAST_BLOCKS = 16_384, 4
+#: Signatures by which the recurrence of band values is measured.
+SAMPLE = 20_000
+Layout = list[tuple[int, int, int]]
 
 
 def check_threshold(threshold: int, bits: int = 64) -> int:
@@ -58,16 +69,64 @@ def _probes(layout: list[tuple[int, int, int]]) -> int:
     return sum(sum(comb(width, k) for k in range(radius + 1)) for _, width, radius in layout)
 
 
-def choose_layout(n: int, threshold: int, most_probes: int = 3000) -> list[tuple[int, int, int]]:
-    """The layout with the least expected work for ``n`` signatures: lookups, and pairs met if values were eight times denser
-    than even ones."""
+def _layouts(threshold: int, most_probes: int = 3000) -> list[Layout]:
+    return [x for m in range(1, threshold + 2) if _probes(x := probe_layout(threshold, m)) <= most_probes]
 
-    def work(layout: list[tuple[int, int, int]]) -> float:
-        met = sum(sum(comb(width, k) for k in range(radius + 1)) / 2.0**width for _, width, radius in layout)
-        return n * _probes(layout) + 8 * n * n * met
 
-    layouts = [probe_layout(threshold, m) for m in range(1, threshold + 2)]
-    return min((x for x in layouts if _probes(x) <= most_probes), key=work)
+def _lookup_cost(n: int, layout: Layout, recurrence: dict[tuple[int, int], float]) -> float:
+    """CPU seconds of a layout: rows that are looked up, and pairs met.  ``recurrence`` is the share of pairs that agree on a band, at
+    least that of even values; values nearby are taken to be as frequent."""
+    met = sum(max(recurrence.get((start, width), 0.0), 2.0**-width) * sum(comb(width, k) for k in range(radius + 1)) for start, width, radius in layout)
+    return n * (_probes(layout) + len(layout)) * LOOKUP_S + n * n * met * MEETING_S
+
+
+def band_recurrence(distinct: DataFrame, n: int, bands: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """For each band (start, width), the share of pairs of signatures that agree on it, among about ``SAMPLE`` of them."""
+    some = distinct.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // SAMPLE))) == 0)
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), S.band(F.col("h"), i, start, width).alias("value")) for i, (start, width) in enumerate(bands)])
+    counts = some.select(F.explode(entries).alias("e")).groupBy("e.i", "e.value").agg(F.count("*").alias("n"))
+    rows = counts.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1)")).alias("same")).collect()
+    return {bands[r.i]: r.same / (r.n * (r.n - 1)) for r in rows if r.n > 1}
+
+
+def choose_plan(distinct: DataFrame, n: int, threshold: int) -> Layout | None:
+    """The cheapest layout for ``n`` signatures, or None where the product is cheaper than all of them."""
+    layouts, product = _layouts(threshold), n * n / 2 * COMPARISON_S
+    if not layouts or product <= min(_lookup_cost(n, x, {}) for x in layouts):
+        return None
+    measured = band_recurrence(distinct, n, sorted({(start, width) for x in layouts for start, width, _ in x}))
+    best = min(layouts, key=lambda x: _lookup_cost(n, x, measured))
+    return best if _lookup_cost(n, best, measured) < product else None
+
+
+def product_pairs(distinct: DataFrame, threshold: int, n: int, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(h_a, h_b, distance)`` by comparing all signatures, block by block.
+
+    Signatures are dealt to blocks by a hash; each pair of blocks is a group of two rows that hold the blocks as arrays.
+    """
+    blocks = max(LEAST_BLOCKS, -(-n // block))
+    packed = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("h").alias("hs"))
+    left = packed.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.col("hs").alias("left"))
+    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("hs").alias("right"))
+
+    def compared(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        if one.num_columns and two.num_columns and one.num_rows and two.num_rows:  # a block may be empty
+            x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64) for t, c in ((one, "left"), (two, "right")))
+            same, step = key[0].as_py() == key[1].as_py(), max(1, (1 << 21) // max(1, len(y)))
+            for at in range(0, len(x), step):
+                apart = np.bitwise_count(x[at : at + step, None] ^ y[None])
+                i, j = np.nonzero(apart <= threshold)
+                if same:  # each pair once, and none with itself
+                    once = i + at < j
+                    i, j = i[once], j[once]
+                a.append(x[at + i])
+                b.append(y[j])
+                d.append(apart[i, j].astype(np.int32))
+        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+        return pa.table({"h_a": np.minimum(a, b), "h_b": np.maximum(a, b), "distance": np.concatenate(d)})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compared, "h_a long, h_b long, distance int")
 
 
 def _spread(entries: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +141,8 @@ def _spread(entries: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame
     return left, right
 
 
-def _near_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
-    layout = choose_layout(distinct.count(), threshold)
+def lookup_pairs(distinct: DataFrame, layout: Layout, threshold: int) -> DataFrame:
+    """Pairs ``(h_a, h_b, distance)`` by looking every signature's bands up at all values within their radius."""
     value = lambda i: S.band(F.col("h"), i, layout[i][0], layout[i][1])
     entries = distinct.select(F.col("h").alias("h_b"), F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(i).alias("value")) for i in range(len(layout))])).alias("e")).select("e.band", "e.value", "h_b")
 
@@ -106,7 +165,10 @@ def signature_pairs(distinct: DataFrame, threshold: int, candidates: str = "exac
     """Verified pairs ``(h_a, h_b, distance)`` of different signatures."""
     check_threshold(threshold)
     if candidates in ("exact", "auto"):
-        return _near_pairs(distinct.select("h"), threshold)
+        hashes = distinct.select("h")
+        n = hashes.count()
+        layout = choose_plan(hashes, n, threshold)
+        return product_pairs(hashes, threshold, n) if layout is None else lookup_pairs(hashes, layout, threshold)
     if candidates != "lsh":
         raise ValueError("candidates must be 'exact', 'auto' or 'lsh'")
     pairs = candidate_pairs(distinct, bands, min_matching)

@@ -142,10 +142,7 @@ def prefilter_prefix(spark, d):
 @query("""WITH a AS (SELECT *, count(*) OVER (PARTITION BY n_chars) AS n FROM documents), b AS (SELECT * FROM a WHERE n >= 2), c AS (SELECT *, count(*) OVER (PARTITION BY substr(text, 1, 4096)) AS m FROM b)
 SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM b) AS skipped_by_size, (SELECT count(*) FROM b) - (SELECT count(*) FROM c WHERE m >= 2) AS skipped_by_prefix""")
 def prefilter_skips(spark, d):
-    rows = table(spark, d, "documents").withColumn("size", F.col("n_chars"))
-    first = prefilter.same_size(rows)
-    skips = prefilter.skip_counts(rows, first, prefilter.same_prefix(first, F.col("text")))
-    return spark.createDataFrame([tuple(skips)], "skipped_by_size long, skipped_by_prefix long")
+    return prefilter.skips(table(spark, d, "documents").withColumn("size", F.col("n_chars")), F.col("text"))
 
 
 @query("SELECT md5(text) AS content_hash, count(*) AS copies, min(doc_id) AS kept FROM documents GROUP BY text HAVING count(*) > 1")

@@ -50,6 +50,39 @@ def test_threshold_range_and_candidates_are_checked(spark):
         simjoin.similar_pairs(df, 5, candidates="other")
 
 
+@pytest.mark.parametrize("threshold", [0, 3, 8, 12, 15])
+def test_all_plans_give_the_same_pairs(spark, threshold):
+    rows = _hashes(300, 17)
+    distinct = spark.createDataFrame([(h,) for h in {h for _, h in rows}], "h long")
+    n = distinct.count()
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    product = pairs(simjoin.product_pairs(distinct, threshold, n))
+    u = lambda h: h & (2**64 - 1)
+    hs = sorted(r.h for r in distinct.collect())
+    assert product == sorted((a, b, (u(a) ^ u(b)).bit_count()) for i, a in enumerate(hs) for b in hs[i + 1 :] if (u(a) ^ u(b)).bit_count() <= threshold)
+    assert pairs(simjoin.product_pairs(distinct, threshold, n, block=40)) == product
+    for layout in simjoin._layouts(threshold, 300)[:3]:
+        assert pairs(simjoin.lookup_pairs(distinct, layout, threshold)) == product
+
+
+def test_the_plan_follows_the_cost(spark):
+    few = spark.createDataFrame([(i * 7919,) for i in range(50)], "h long")
+    assert simjoin.choose_plan(few, 50, 8) is None and simjoin.choose_plan(few, 9_000, 15) is None
+    # Very many signatures are looked up, unless the bands' values are all the same.
+    spread = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    assert simjoin.choose_plan(spread, 50_000_000, 3) is not None
+    alike = spark.range(2000).select((F.xxhash64("id") % 2).alias("h")).distinct()
+    share = simjoin.band_recurrence(spread.union(alike), 2002, [(0, 8), (0, 64)])
+    assert abs(share[0, 8] - 1 / 256) < 1e-3 and share[0, 64] < 1e-6
+
+
+def test_partners_are_found_without_pairs_of_rows(spark):
+    rows = _hashes(150, 9) + [(500, 3), (501, 3), (None, 3), (502, None)]
+    u = lambda h: h & (2**64 - 1)
+    want = {i for i, h in rows if i is not None and h is not None and any(j is not None and j != i and g is not None and (u(h) ^ u(g)).bit_count() <= 4 for j, g in rows)}
+    assert {r.id for r in prefilter.with_partner(spark.createDataFrame(rows, "id long, h long"), "h", 4).collect()} == want
+
+
 def test_links_connect_like_pairs(spark):
     df = spark.createDataFrame(_hashes(80, 5) + [(500, 7), (501, 7), (502, 7)], "id long, h long")
     by = lambda edges: {tuple(r) for r in connected_components(edges, "a", "b").collect()}
@@ -68,6 +101,27 @@ def test_components_of_a_long_chain(spark):
     assert len(rows) == 100 and {r.component for r in rows} == {0}
 
 
+@pytest.mark.parametrize(("hot_degree", "chunk"), [(100_000, 2_000_000), (5, 3), (3, 1)])
+def test_components_equal_a_plain_search(spark, hot_degree, chunk):
+    r = random.Random(2)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000, i) for i in range(1001, 1060)] + [(i, i + 1) for i in range(2000, 2070)] + [(7, 7), (None, 3), (4, None)]
+    parent = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a in parent and b in parent and (a, b) != (7, 7):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    df = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    assert dict(map(tuple, connected_components(df, "u", "v", hot_degree=hot_degree, chunk=chunk).collect())) == {x: root(x) for x in parent}
+    names = df.select(F.lpad(F.col("u").cast("string"), 5, "0").alias("u"), F.lpad(F.col("v").cast("string"), 5, "0").alias("v"))
+    assert dict(map(tuple, connected_components(names, "u", "v", hot_degree=hot_degree, chunk=chunk).collect())) == {f"{x:05d}": f"{root(x):05d}" for x in parent}
+
+
 def test_match_classes_and_similarity(spark):
     assert [value(spark, S.match_type(F.lit(d))) for d in (0, 3, 7, 15)] == ["Exact", "NearExact", "Similar", "MaybeSimilar"]
     assert value(spark, S.similarity(F.lit(0))) == 100 and value(spark, S.similarity(F.lit(64))) == 0
@@ -95,6 +149,10 @@ def test_prefilters(spark):
     assert {r.id for r in prefilter.same_size(files).collect()} == {1, 2}
     assert {r.id for r in prefilter.same_prefix(files, F.col("content")).collect()} == {1, 2, 4}
     assert prefilter.prefilter(files, F.col("content"), "exact").count() == 4  # below the gate
+    text = lambda i, size, begin: (i, size, begin)
+    many = spark.createDataFrame([text(1, 5, b"a"), text(2, 5, b"a"), text(3, 5, b"b"), text(4, 6, b"a"), text(5, None, b"a"), text(6, 5, None), text(7, 8, b"c"), text(8, 8, b"c")], "id long, size long, content binary")
+    kept = prefilter.same_size(many)
+    assert tuple(prefilter.skips(many, F.col("content")).first()) == (many.count() - kept.count(), kept.count() - prefilter.same_prefix(kept, F.col("content")).count())
     two = prefilter.two_phase(spark.createDataFrame([(1, 0, 9), (2, 1, 9), (3, -1, 9)], "id long, a long, d long"), "a", ["d"], 3)
     assert {(r.id, r.d) for r in two.collect()} == {(1, 9), (2, 9), (3, None)}
 
