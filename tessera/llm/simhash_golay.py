@@ -375,7 +375,7 @@ def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None,
     per_component = crowded.groupBy("key", "component").agg(F.count("*").alias("n"))
     # Keys whose rows are all in one component have no pairs any more.
     sizes = per_component.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(n / block)).cast("int")
     sizes = sizes.select("key", F.col("top.component").alias("frequent"), blocks(F.col("n")).alias("right"), blocks(F.col("n") - F.col("top.n")).alias("left"))
     rows = crowded.join(sizes.hint("merge"), "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
