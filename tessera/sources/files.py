@@ -115,6 +115,18 @@ def walk(spark: SparkSession, *roots: str, max_depth: int = 1 << 30, include_hid
     return files, found.filter("error IS NOT NULL").select(F.col("error").alias("kind"), "path", "message")
 
 
+def large_file_candidates(spark: SparkSession, *roots: str, include_hidden: bool = False, extensions: tuple[str, ...] = paths.LARGE_FILE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
+    """:func:`walk` for the search of large files: a root that is missing or no folder is an error, not a row of errors."""
+    for root in roots:
+        if not os.path.exists(root):
+            raise FileNotFoundError(f"no such folder: {root}")
+        if not os.path.isdir(root):
+            raise NotADirectoryError(f"not a folder: {root}")
+    if not roots:
+        raise ValueError("no folder was given")
+    return walk(spark, *roots, include_hidden=include_hidden, extensions=extensions)
+
+
 def file_info(files: DataFrame, metadata: DataFrame, path: str) -> DataFrame:
     """One row about a file, empty where it is unknown; times in UTC."""
     row = files.filter(F.col("path") == path).join(metadata.select("path", "width", "height"), "path", "left")

@@ -6,6 +6,7 @@ metadata are numpy work on Arrow batches.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,11 +20,18 @@ LUMA = (0.299, 0.587, 0.114)
 Decoder = Callable[[bytes], "np.ndarray | None"]
 
 
+def literal_path(path: str) -> str:
+    """A path that names one file, whatever wildcards it holds."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def read_images(spark: SparkSession, *roots: str) -> DataFrame:
-    """Rows ``(path, width, height, channels, data)``; undecodable files have null sizes."""
+    """Rows ``(path, width, height, channels, data)`` of files or all below folders; undecodable files have null sizes."""
     rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(list(roots)).select("image.*")
     ok = F.col("width") > 0
-    return rows.select(F.regexp_replace("origin", "^file:(//)?", "").alias("path"), *[F.when(ok, F.col(c)).alias(a) for c, a in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))])
+    # The source gives encoded addresses; a plus sign stands for itself there.
+    path = F.url_decode(F.replace(F.regexp_replace("origin", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+    return rows.select(path.alias("path"), *[F.when(ok, F.col(c)).alias(a) for c, a in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))])
 
 
 def gray_of(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -60,12 +68,17 @@ def decode_png(data: bytes) -> np.ndarray | None:
         elif kind == 2:
             line = (line + before) & 255
         elif kind in (3, 4):
-            for x in range(len(line)):
-                a, b = (line[x - channels] if x >= channels else 0), before[x]
-                c = before[x - channels] if x >= channels else 0
-                p = a + b - c
-                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] = (line[x] + ((a + b) // 2 if kind == 3 else near)) & 255
+            # A pixel needs the one to its left, so pixels are sequential; their channels go together.
+            left, corner = np.zeros(channels, np.int64), np.zeros(channels, np.int64)
+            for at in range(0, len(line), channels):
+                above = before[at : at + channels]
+                if kind == 3:
+                    guess = (left + above) >> 1
+                else:
+                    p, q, r = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+                    guess = np.where((p <= q) & (p <= r), left, np.where(q <= r, above, corner))
+                left = line[at : at + channels] = (line[at : at + channels] + guess) & 255
+                corner = above
         out[y], before = line, line
     pixels = out.reshape(height, width, channels).astype(np.float64)
     if color == 3:

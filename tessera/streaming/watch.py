@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.running import GROUP_ROWS, Running, running
+from ..sources import images
 
 
 def new_files(spark: SparkSession, root: str, files_per_trigger: int = 500, content: bool = True) -> DataFrame:
-    """A stream of the photos that appear below ``root``."""
+    """A stream of the photos that appear below ``root``; paths are those of :func:`files.scan`."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root)
     rows = stream.filter(paths.image_format(F.col("path")) != "Unknown")
-    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    return rows.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
 
 
 def normalise(events: DataFrame) -> DataFrame:
@@ -58,12 +59,32 @@ def first_of_content(files: DataFrame, late: str = "1 hour") -> DataFrame:
     return hashed.withWatermark("modified", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+def picture_hashes(algorithm: str = "difference", side: int = 8) -> Callable[[DataFrame], DataFrame]:
+    """For :func:`hash_into`: hashes of a batch's files by Spark's image source (JPEG, PNG, GIF, BMP).
+
+    The batch's paths, at most as many as the stream's files per trigger, name what is read; a content column is not needed.
+    """
+
+    def hashed(batch: DataFrame) -> DataFrame:
+        named = [r.path for r in batch.select("path").distinct().collect()]
+        if not named:
+            return images.hash_images(batch.select("path", F.lit(None).cast("binary").alias("content")), algorithm, side)
+        return images.hash_images(images.read_images(batch.sparkSession, *map(images.literal_path, named)), algorithm, side)
+
+    return hashed
+
+
 def hash_into(files: DataFrame, hashed: Callable[[DataFrame], DataFrame], store, checkpoint: str):
-    """Runs over all files that are there, batch by batch, and upserts each batch's hashes into ``store``; returns the query."""
+    """Runs over all files that are there, batch by batch, and upserts each batch's hashes into ``store``; returns the query.
+
+    ``hashed`` gives ``(path, algorithm, hash)`` of a batch, such as :func:`picture_hashes`.  Files without a hash are not stored, so
+    they are tried again by whoever looks them up.  A batch that runs again writes the same rows.
+    """
 
     def keep(batch: DataFrame, _: int) -> None:
-        rows = batch.join(hashed(batch), "path")
-        store.upsert(rows.select("path", "algorithm", "hash", F.col("size").alias("file_size"), F.col("modified").alias("file_modified"), F.current_timestamp().alias("cached_at")))
+        facts = batch.select("path", F.col("size").alias("file_size"), F.col("modified").alias("file_modified"))
+        found = hashed(batch).filter("hash IS NOT NULL").select("path", "algorithm", "hash")
+        store.upsert(found.join(facts, "path").select("path", "algorithm", "hash", "file_size", "file_modified", F.current_timestamp().alias("cached_at")))
 
     return files.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

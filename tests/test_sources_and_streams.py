@@ -2,6 +2,7 @@
 
 import datetime
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import stores
 from tessera.sources import files, images
-from tessera.streaming import watch
+from tessera.streaming import listing, watch
 
 
 def png(gray: np.ndarray) -> bytes:
@@ -73,8 +74,92 @@ def test_stream_equals_batch(spark, library, tmp_path):
     stream = watch.new_files(spark, library, files_per_trigger=1)
     query = watch.hash_into(stream, images.hash_images, store, str(tmp_path / "check"))
     query.awaitTermination(120)
-    batch = images.hash_images(files.scan(spark, library, content=True))
-    assert {r.path.rsplit("/", 1)[1]: r.hash for r in store.read().collect()} == {r.path.rsplit("/", 1)[1]: r.hash for r in batch.collect()}
+    batch = images.hash_images(files.scan(spark, library, content=True)).filter("hash IS NOT NULL")
+    assert {r.path: r.hash for r in store.read().collect()} == {r.path: r.hash for r in batch.collect()} and store.read().count() == 2
+
+
+def test_a_stream_of_pictures_of_every_format_is_hashed(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = ["a.jpg", "b c+d.jpg", "e[1]{x}.jpeg", "f.png", "ü%20.gif"]
+    for name in names:
+        _write_picture(spark, folder / name, "jpg" if "jp" in name else name.rpartition(".")[2])
+    (folder / "broken.jpg").write_bytes(b"no picture")
+    store = stores.hash_cache(spark, str(tmp_path / "cache"))
+    run = lambda: watch.hash_into(watch.new_files(spark, str(folder), files_per_trigger=2, content=False), watch.picture_hashes(), store, str(tmp_path / "check")).awaitTermination(200)
+    run()
+    batch = {r.path: r.hash for r in images.hash_images(images.read_images(spark, str(folder))).filter("hash IS NOT NULL").collect()}
+    assert {r.path: r.hash for r in store.read().collect()} == batch and {p.rpartition("/")[2] for p in batch} == set(names)
+    # A later file is hashed by the next run, and lookups of a listing find all of them.
+    _write_picture(spark, folder / "late.jpg", "jpg", 32)
+    run()
+    listed = files.scan(spark, str(folder)).select("path", "size", "modified", F.lit("difference").alias("algorithm"))
+    assert {r.path.rpartition("/")[2] for r in stores.cached(listed, store).filter("hash IS NOT NULL").collect()} == {*names, "late.jpg"}
+
+
+def test_changes_on_a_stream(spark, tmp_path):
+    src, moment = str(tmp_path / "seen"), lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", listing.STATE_STORE)
+    out = tmp_path / "out"
+
+    def batch(at, **sizes):
+        rows = [(f"{p}.jpg", size, moment(size), moment(at)) for p, size in sizes.items()]
+        spark.createDataFrame(rows, listing.SIGHTING).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(listing.SIGHTING).parquet(src)
+        query = listing.change_events(stream, gone_after_ms=5_000).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(200)
+        return sorted((r.path[0], r.kind, r.size) for r in spark.read.schema(listing.CHANGE).parquet(str(out)).collect())
+
+    try:
+        first = batch(0, a=1, b=2)
+        assert first == [("a", "create", 1), ("b", "create", 2)]
+        assert batch(2, a=1, b=3) == sorted([*first, ("b", "modify", 3)])
+        batch(4, a=1)  # b is not there, but not long enough
+        third = batch(9, a=1)
+        assert third == sorted([*first, ("b", "modify", 3), ("b", "remove", 3)])
+        assert batch(10, a=1, b=7) == sorted([*third, ("b", "create", 7)])
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_listings_on_a_stream(spark, library, tmp_path):
+    rows = listing.sightings(spark, library, pause=0.0)
+    query = rows.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if spark.table("seen").select("seen").distinct().count() >= 2:
+                break
+    finally:
+        query.stop()
+    seen = spark.table("seen")
+    assert names(seen) == {"a.png", "b.PNG", "c.jpg"} and seen.select("seen").distinct().count() >= 2
+
+
+def test_a_missing_root_of_large_files_is_an_error(spark, library):
+    assert names(files.large_file_candidates(spark, library)[0]) == {"a.png", "b.PNG", "c.jpg"}
+    with pytest.raises(FileNotFoundError):
+        files.large_file_candidates(spark, library, library + "/none")
+    with pytest.raises(NotADirectoryError):
+        files.large_file_candidates(spark, library + "/a.png")
+
+
+def test_png_filters():
+    rng = np.random.default_rng(1)
+    pixels = rng.integers(0, 256, (9, 7 * 3)).astype(np.int64)
+    rows, before = b"", np.zeros(21, np.int64)
+    for y, line in enumerate(pixels):
+        kind, left = y % 5, np.concatenate([np.zeros(3, np.int64), line[:-3]])
+        corner = np.concatenate([np.zeros(3, np.int64), before[:-3]])
+        p = left + before - corner
+        far = [abs(p - left), abs(p - before), abs(p - corner)]
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], before, corner))
+        guess = [0 * line, left, before, (left + before) // 2, paeth][kind]
+        rows += bytes([kind]) + bytes(((line - guess) & 255).astype(np.uint8))
+        before = line
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    assert np.allclose(images.decode_png(data), pixels.reshape(9, 7, 3) @ np.array(images.LUMA))
 
 
 def test_events(spark):
