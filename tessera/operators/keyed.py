@@ -39,7 +39,7 @@ def _same(keys: list[str], prefix: str) -> Column:
 
 
 class Files:
-    """The few operations on a shared file system that a log needs."""
+    """The few operations on a shared file system that a log, or a report, needs."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
@@ -73,6 +73,13 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, name: str) -> int:
+        return self.system.getFileStatus(self.path(name)).getLen()
+
+    def rename(self, name: str, to: str) -> None:
+        if not self.system.rename(self.path(name), self.path(to)):
+            raise OSError(f"{name} could not be renamed to {to}")
+
     def delete(self, name: str) -> None:
         self.system.delete(self.path(name), True)
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wording
+from ..tables import Workspace
+from .keyed import Files
 
 CSV_COLUMNS = ["Group ID", "Photo Path", "Is Representative", "Match Type", "Duplicate Size (bytes)"]
 
@@ -51,7 +54,8 @@ def duplicates_only(members: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def export(groups: DataFrame, members: DataFrame, files: DataFrame, path: str, format: str, totals: DataFrame | None = None) -> tuple[str, str, int]:
-    """Writes 'csv', 'json', 'paths' or 'html' (which needs ``totals``) below ``path``; returns (path, format, number of groups)."""
+    """Writes 'csv', 'json', 'paths' or 'html' (which needs ``totals``) into the folder ``path``, on any file system that Spark knows;
+    returns (path, format, number of groups)."""
     if format == "csv":
         csv_rows(groups, members, files).write.mode("overwrite").option("header", True).csv(path)
     elif format == "json":
@@ -59,9 +63,7 @@ def export(groups: DataFrame, members: DataFrame, files: DataFrame, path: str, f
     elif format == "paths":
         duplicates_only(members, files).write.mode("overwrite").text(path)
     elif format == "html":
-        title = path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or path.rstrip("/").rpartition("/")[2]
-        with open(path, "w", encoding="utf-8") as page:
-            page.writelines(html_parts(totals, groups, members, files, title))
+        write_html(groups, members, files, totals, path, path.rstrip("/").rpartition("/")[2])
     else:
         raise ValueError("format must be 'csv', 'json', 'paths' or 'html'")
     return path, format, groups.count()
@@ -74,23 +76,62 @@ def _size(n: int) -> str:
     return f"{n} B"
 
 
-def html_parts(summary: DataFrame, groups: DataFrame, members: DataFrame, files: DataFrame, title: str) -> Iterator[str]:
-    """A page with the totals and all groups by reclaimable bytes, part by part; all texts are escaped."""
-    s = summary.first()
-    rows = members.join(groups.select("group_key", "match_type", "duplicate_bytes"), "group_key").join(files.select("id", "path"), "id").orderBy(F.desc("duplicate_bytes"), "group_key", "path")
+def _frame(title: str, back: str | None = None) -> tuple[str, str]:
+    """What begins and what ends a page."""
+    link = f"<p><a href='{back}'>All pages</a></p>" if back else ""
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{link}", "</body></html>"
+
+
+def html_lines(rows: DataFrame, title: str) -> DataFrame:
+    """Rows ``value``: the lines of one page for each partition of ``rows``, which are sorted by group within it."""
+    begin, end = _frame(title, "../index.html")
+
+    def page(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, started = None, False
+        for frame in frames:
+            lines = []
+            for r in frame.itertuples(index=False):
+                if not started:
+                    lines.append(begin + "<ul>")
+                if not started or r.group_key != last:
+                    last, started = r.group_key, True
+                    lines.append(f'</ul><h2 class="{html.escape(r.match_type.lower())}">{html.escape(wording.MATCH_NAMES.get(r.match_type, r.match_type))}, {_size(int(r.duplicate_bytes))}</h2><ul>')
+                lines.append(f"<li>{html.escape(r.path)}{' <b>KEEP</b>' if r.is_representative else ''}</li>")
+            yield pd.DataFrame({"value": lines})
+        if started:
+            yield pd.DataFrame({"value": ["</ul>" + end]})
+
+    return rows.mapInPandas(page, "value string")
+
+
+def write_html(groups: DataFrame, members: DataFrame, files: DataFrame, totals: DataFrame, path: str, title: str, rows_per_page: int = 20_000) -> int:
+    """Writes a report into the folder ``path`` on any file system: ``index.html`` with the totals, and pages of about
+    ``rows_per_page`` files; returns the number of pages.
+
+    All members of all groups are listed, by reclaimable bytes; a group that is longer than a page goes on on the next one.  The
+    executors write the pages, and the driver gives them their names and writes the index at last, so a folder with an index
+    is a whole report.  All texts are escaped; files without a path are listed by their id.
+    """
+    spark, store = groups.sparkSession, Files(groups.sparkSession, path)
+    named = files.select("id", F.coalesce(F.col("path"), F.col("id").cast("string")).alias("path"))
+    rows = members.join(groups.select("group_key", "match_type", F.coalesce("duplicate_bytes", F.lit(0)).alias("duplicate_bytes")), "group_key").join(named, "id")
+    rows = Workspace(spark, "report").save(rows.select("group_key", "match_type", "duplicate_bytes", "path", "is_representative"), "rows")
+    order = [F.desc("duplicate_bytes"), "group_key", "path"]
+    dealt = rows.repartitionByRange(max(1, -(-rows.count() // rows_per_page)), *order).sortWithinPartitions(*order)
+    store.delete("index.html")
+    html_lines(dealt, title).write.mode("overwrite").text(f"{path.rstrip('/')}/pages")
+    pages = []
+    for name in store.names("pages"):
+        if name.startswith("part-") and store.size(f"pages/{name}"):
+            pages.append(f"pages/page-{len(pages) + 1:05d}.html")
+            store.rename(f"pages/{name}", pages[-1])
+        else:
+            store.delete(f"pages/{name}")
+    s, (begin, end) = totals.first(), _frame(title)
     stats = "".join(f"<div><b>{value}</b> {label}</div>" for value, label in ((s.groups, "Duplicate Groups"), (s.duplicates, "Duplicate Photos"), (_size(s.savings_bytes), "Potential Savings")))
-    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{stats}<ul>"
-    last = None
-    for r in rows.toLocalIterator():  # one partition at a time
-        if r.group_key != last:
-            last = r.group_key
-            yield f'</ul><h2 class="{r.match_type.lower()}">{html.escape(wording.MATCH_NAMES.get(r.match_type, r.match_type))}, {_size(r.duplicate_bytes)}</h2><ul>'
-        yield f"<li>{html.escape(r.path)}{' <b>KEEP</b>' if r.is_representative else ''}</li>"
-    yield "</ul></body></html>"
-
-
-def html_page(summary: DataFrame, groups: DataFrame, members: DataFrame, files: DataFrame, title: str) -> str:
-    return "".join(html_parts(summary, groups, members, files, title))
+    links = "".join(f"<li><a href='{p}'>Page {i}</a></li>" for i, p in enumerate(pages, 1))
+    store.write("index.html", f"{begin}{stats}<ul>{links}</ul>{end}")
+    return len(pages)
 
 
 def console_text(summary: DataFrame, groups: DataFrame, shown: int = 20, members: DataFrame | None = None, files: DataFrame | None = None, home: str | None = None) -> str:

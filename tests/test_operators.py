@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,7 +253,26 @@ def test_reports(spark, tmp_path):
     assert report.export(found, members, files, str(tmp_path / "csv"), "csv") == (str(tmp_path / "csv"), "csv", 1)
     rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
     assert len(rows) == 2 and sum(r["Is Representative"] == "true" for r in rows) == 1 and {r["Photo Path"] for r in rows} == {"x,1.jpg", "<y>.jpg"}
-    page = report.html_page(spark.createDataFrame([(1, 1, 40)], "groups int, duplicates int, savings_bytes long"), found, members, files, "T & t")
-    assert page.startswith("<!DOCTYPE html>") and "T &amp; t" in page and "&lt;y&gt;" in page
+    totals = spark.createDataFrame([(1, 1, 40)], "groups int, duplicates int, savings_bytes long")
+    assert report.export(found, members, files, str(tmp_path / "T & t"), "html", totals)[1:] == ("html", 1)
+    index, page = ((tmp_path / "T & t" / n).read_text() for n in ("index.html", "pages/page-00001.html"))
+    assert index.startswith("<!DOCTYPE html>") and "T &amp; t" in index and "pages/page-00001.html" in index and "40 B" in index
+    assert page.startswith("<!DOCTYPE html>") and "&lt;y&gt;" in page and page.count("<li>") == 2 and page.count("KEEP") == 1
     with pytest.raises(ValueError):
         report.export(found, members, files, "x", "pdf")
+
+
+def test_html_pages_hold_all_members(spark, tmp_path):
+    groups_ = spark.range(40).select(F.col("id").alias("group_key"), F.lit("Exact").alias("match_type"), (F.col("id") * 10).alias("duplicate_bytes"))
+    members = spark.range(1000).select((F.col("id") % 40).alias("group_key"), "id", (F.col("id") < 40).alias("is_representative"))
+    files = spark.range(1000).select("id", F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(".jpg")).alias("path"), F.lit(1).alias("size"))
+    totals = spark.createDataFrame([(40, 960, 5)], "groups int, duplicates int, savings_bytes long")
+    out = "file://" + str(tmp_path / "report")
+    n = report.write_html(groups_, members, files, totals, out, "all", rows_per_page=120)
+    pages = sorted((tmp_path / "report/pages").glob("*.html"))
+    assert 6 <= len(pages) == n <= 9 and len(list((tmp_path / "report/pages").iterdir())) <= 2 * n
+    texts = [p.read_text() for p in pages]
+    assert sorted(re.findall(r"f\d{4}", "".join(texts))) == [f"f{i:04d}" for i in range(1000)] and all(t.startswith("<!DOCTYPE") and t.rstrip().endswith("</html>") for t in texts)
+    assert "f0039.jpg <b>KEEP</b>" in texts[0]  # the group with the most bytes comes first
+    # Again into the same folder, without groups.
+    assert report.write_html(groups_.limit(0), members, files, totals, out, "all") == 0 and (tmp_path / "report/index.html").exists() and not list((tmp_path / "report/pages").glob("*.html"))

@@ -8,9 +8,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import keyed, organize, stores, trash
+from tessera.operators import groups, keyed, organize, simjoin, stores, trash
 from tessera.operators.running import Running, running
-from tessera.streaming import watch
+from tessera.streaming import neardup, watch
 from tessera.tables import Workspace
 
 T = datetime.datetime(2024, 1, 1)
@@ -235,3 +235,32 @@ def test_plans_and_progress_of_large_groups(spark):
     assert one == many and len(one) > 3
     one, many = ({tuple(x) for x in stores.milestones_passed(progress, "k", "o", "v", (100.0, 5000.0), n).collect()} for n in (100_000, 20))
     assert one == many and len(one) == 2
+
+
+# Near duplicates on a stream -------------------------------------------------------------------------------------------
+
+
+def test_groups_of_a_stream_equal_one_run(spark, tmp_path):
+    r = random.Random(12)
+    seeds, rows = [r.getrandbits(63) for _ in range(6)], []
+    for i in range(90):
+        h = r.choice(seeds) if i % 3 else r.getrandbits(63)
+        for _ in range(r.randrange(7)):
+            h ^= 1 << r.randrange(62)
+        rows.append((i, h))
+    rows += [(200, rows[0][1]), (201, rows[5][1]), (None, 5), (202, None)]
+    # A late signature that joins two groups of earlier batches.
+    rows = [(300, 0), (301, 0b11110000), *rows, (302, 0b00110000), (303, 0b11110000)]
+    df = spark.createDataFrame(rows, "id long, h long")
+    weighted = simjoin.weighted_pairs(df, 3)
+    want = {tuple(x) for x in groups.signature_members(weighted, df)[0].collect()}
+    src, kept = str(tmp_path / "in"), neardup.NearDuplicateStream(spark, str(tmp_path / "state"), threshold=3, buckets=4)
+    for part in (rows[:40], rows[40:80], rows[80:]):
+        spark.createDataFrame(part, "id long, h long").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("id long, h long").option("maxFilesPerTrigger", 1).parquet(src)
+    query = kept.run(stream, str(tmp_path / "check"))
+    assert query.awaitTermination(300)
+    assert {tuple(x) for x in kept.groups().collect()} == want and (300, 302) in want and (300, 301) in want
+    # A batch that runs again, as after a failure, changes nothing.
+    kept.add(spark.createDataFrame(rows[80:], "id long, h long"), 2)
+    assert {tuple(x) for x in kept.groups().collect()} == want
