@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, details  # noqa: F401  (both register into catalog)
 
 SF = "/root/testdata/sf0.001"
 

@@ -262,6 +262,12 @@ def test_reports(spark, tmp_path):
         report.export(found, members, files, "x", "pdf")
 
 
+def test_sort_modes(spark):
+    rows = spark.createDataFrame([(1, 2, "Similar", 50), (2, 9, "Exact", 10), (3, 5, "NearExact", 90)], "group_key long, size long, match_type string, duplicate_bytes long")
+    order = lambda mode: [r.group_key for r in report.sorted_groups(rows, mode).collect()]
+    assert order("size") == [3, 1, 2] and order("count") == [2, 3, 1] and order("type") == [2, 3, 1]
+
+
 def test_html_pages_hold_all_members(spark, tmp_path):
     groups_ = spark.range(40).select(F.col("id").alias("group_key"), F.lit("Exact").alias("match_type"), (F.col("id") * 10).alias("duplicate_bytes"))
     members = spark.range(1000).select((F.col("id") % 40).alias("group_key"), "id", (F.col("id") < 40).alias("is_representative"))

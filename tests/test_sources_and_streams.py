@@ -69,6 +69,34 @@ def test_exif():
     assert tags["raw_width"] == 640 and images.exif(b"nothing") == {}
 
 
+def test_metadata_reader(spark, tmp_path):
+    entry = lambda tag, kind, n, value: struct.pack("<HHII", tag, kind, n, value)
+    body = b"Canon\0" + b"2024:01:15 10:11:12\0"
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 4) + entry(0x010F, 2, 6, 62) + entry(0x0132, 2, 20, 68) + entry(0x0100, 3, 1, 640) + entry(0x0101, 4, 1, 480) + b"\0" * 4 + body
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + b"\0" * 4 + b"Exif\0\0" + tiff)
+    (tmp_path / "b.jpg").write_bytes(b"nothing")
+    got = {r.path.rpartition("/")[2]: r for r in images.read_metadata(files.scan(spark, str(tmp_path), content=True)).collect()}
+    a, b = got["a.jpg"], got["b.jpg"]
+    assert (a.make, a.changed, a.width, a.height) == ("Canon", "2024:01:15 10:11:12", 640, 480) and a.taken is None
+    assert all(b[c] is None for c in ("make", "model", "software", "taken", "changed", "width", "height"))
+
+
+def test_resize_equals_weighted_means():
+    assert images.resize(np.full((50, 31), 7.0), 9, 8).tolist() == np.full((8, 9), 7.0).tolist()
+    gray = np.random.default_rng(2).integers(0, 256, (12, 6)).astype(float)
+    for y in range(4):
+        for x in range(3):
+            wy = np.array([max(0.0, 1 - abs(i - ((y + 0.5) * 3 - 0.5)) / 3) for i in range(12)])
+            wx = np.array([max(0.0, 1 - abs(i - ((x + 0.5) * 2 - 0.5)) / 2) for i in range(6)])
+            assert images.resize(gray, 3, 4)[y, x] == np.rint((wy / wy.sum()) @ gray @ (wx / wx.sum()))
+
+
+def test_watches_are_listed_and_stopped(spark, library, tmp_path):
+    query = watch.new_files(spark, library, content=False).writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert "watched" in watch.watching(spark) and watch.unwatch(spark, "watched") and not query.isActive
+    assert "watched" not in watch.watching(spark) and not watch.unwatch(spark, "watched")
+
+
 def test_stream_equals_batch(spark, library, tmp_path):
     store = stores.hash_cache(spark, str(tmp_path / "cache"))
     stream = watch.new_files(spark, library, files_per_trigger=1)
