@@ -26,26 +26,31 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -
     return kept.withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_bytes: int = 32 << 20, chunk_queries: int = 16_384, least_blocks: int = 16, queries: DataFrame | None = None, entry: str | None = None, aside: str | None = None) -> DataFrame:
+def search(rows: DataFrame, query: object, k: int, top: Callable, score_type: str, block_bytes: int = 32 << 20, chunk_queries: int = 16_384, least_blocks: int = 16) -> DataFrame:
     """``top(ids, vectors, query_ids, query_vectors)`` on each block and chunk, merged to ``k`` rows per query.
 
-    ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows, or ``queries`` holds them.  ``top`` returns
-    (query ids, ids, scores) with the best ``k`` of the block, in any order.  Vectors meet only vectors of their own length.
-    Blocks have about ``block_bytes`` bytes of vectors, and there are ``least_blocks`` at least.  ``entry`` and ``aside`` name a number of each row and of each query; then ``top`` takes ``(ids, vectors, entries, query_ids,
-    query_vectors, asides)``.
+    ``rows`` has ``vec_id, v, dim``; ``query`` is the condition of the query rows.  ``top`` returns (query ids, ids, scores) with the
+    best ``k`` of the block, in any order.  Vectors meet only vectors of their own length.  Blocks have about ``block_bytes`` bytes
+    of vectors, and there are ``least_blocks`` at least.
     """
-    import numpy as np
-
     n, n_queries, longest = rows.agg(F.count("*"), F.count(F.when(query, 1)), F.max("dim")).first()
     # Each query goes to every block, so blocks are as large as a task can hold.
     blocks = max(least_blocks, -(-n * 8 * (longest or 1) // block_bytes))
-    chunks = max(1, -(-n_queries // chunk_queries))
     to_block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    left = rows.select("dim", to_block.alias("block"), "vec_id", "v")
+    right = rows.filter(query).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    return search_blocks(left, right, k, top, score_type, max(1, -(-n_queries // chunk_queries)))
+
+
+def search_blocks(rows: DataFrame, queries: DataFrame, k: int, top: Callable, score_type: str, chunks: int, entry: str | None = None, aside: str | None = None) -> DataFrame:
+    """As :func:`search`, for ``rows`` and ``queries`` that name their ``block``: a query is there once for each block that it is to
+    meet.  ``entry`` and ``aside`` name a number of each row and of each query; then ``top`` takes ``(ids, vectors, entries,
+    query_ids, query_vectors, asides)``."""
+    import numpy as np
+
     to_chunk = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(chunks)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = rows.filter(query) if queries is None else queries
-    left = rows.select("dim", to_block.alias("block"), every(chunks).alias("chunk"), "vec_id", "v", *([entry] if entry else []))
-    right = asked.select("dim", every(blocks).alias("block"), to_chunk.alias("chunk"), "vec_id", "v", *([aside] if aside else []))
+    left = rows.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v", *([entry] if entry else []))
+    right = queries.select("dim", "block", to_chunk.alias("chunk"), "vec_id", "v", *([aside] if aside else []))
 
     def arrays(table: pa.Table, extra: str | None) -> tuple:
         v = table.column("v").combine_chunks()

@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 A vector's two halves are quantised separately against two codebooks; a pair of centroids is a cell.  Every row is quantised
-once, into a table that names its cell, and the cells' sizes are counted over all rows.  A query ranks the centroids of each
-half by their distance to its own half and walks the pairs in order of the summed distance with a heap until the cells hold
-enough rows; where it stops is its cutoff.  Each block of rows then gives a query its entries of the cells that were walked, and
-these are reranked by their true score.  The distance of a half is its negative inner product, so the order of the cells
-follows the score that is wanted.
+once, into a table that names its cell, and the cells' sizes are counted over all rows.  Cells are laid out in blocks of bounded
+size, each with the rows of its cells in lists one after another; a cell that is larger than a block has several.
+
+A query ranks the centroids of each half by their distance to its own half and walks the pairs in order of the summed distance
+with a heap until the cells hold enough rows; where it stops is its cutoff.  It is sent only to blocks with a cell that it has
+walked.  A block goes through its cells: the queries that have walked a cell meet its list in one matrix product, so exactly
+the rows of walked cells are touched, and what may be among a query's best is reranked by its true score.  The distance of a half
+is its negative inner product, so the order of the cells follows the score that is wanted.
 
 The codebooks are fitted on a bounded sample; every row is indexed.  Vectors of lengths that are too rare in the sample for
 a codebook are compared exactly.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import heapq
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -103,50 +107,139 @@ def index(rows: DataFrame, books: Books) -> DataFrame:
     return rows.mapInArrow(quantised, schema)
 
 
-def with_cutoffs(queries: DataFrame, books: Books, sizes: dict[int, dict[int, int]], share: float, least: int) -> DataFrame:
-    """``queries`` with the summed distance up to which cells are theirs."""
+@dataclass(frozen=True)
+class Layout:
+    """Where the rows of one length lie: a cell's first block and how many it has, or only a number of blocks without codebooks."""
 
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: int
+    first: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+    def of_rows(self, cells: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        """The blocks of rows in the given cells; ``deal`` spreads the rows of a large cell."""
+        return deal % self.blocks if self.first is None else self.first[cells] + deal % self.parts[cells]
+
+    def of_cells(self, walked: np.ndarray) -> np.ndarray:
+        """All blocks of the given cells."""
+        if self.first is None:
+            return np.arange(self.blocks)
+        hit = np.zeros(self.blocks + 1, np.int64)
+        np.add.at(hit, self.first[walked], 1)
+        np.add.at(hit, self.first[walked] + self.parts[walked], -1)
+        return np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+
+
+def lay_out(sizes: np.ndarray, rows_per_block: int) -> Layout:
+    """Blocks of whole cells in their order, about ``rows_per_block`` rows each; a larger cell has blocks of its own."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, held = 0, 0
+    for cell, n in enumerate(sizes.tolist()):
+        if held and held + n > rows_per_block:
+            block, held = block + 1, 0
+        first[cell], parts[cell] = block, max(1, -(-n // rows_per_block))
+        held += n
+        if parts[cell] > 1:
+            block, held = block + int(parts[cell]), 0
+    return Layout(block + 1, first, parts)
+
+
+def in_blocks(rows: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
+    """Indexed ``rows`` with their ``block``."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.full(batch.num_rows, np.inf)
-            for dim, own, v in _by_length(batch):
-                if dim in books:
-                    enough = max(least, int(share * sum(sizes[dim].values())))
-                    found[own] = [cutoff(a, b, sizes[dim], enough) for a, b in zip(*_halves(v, books[dim]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "cutoff"])
+            dim, cell, deal = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("dim", "cell", "deal"))
+            block = np.zeros(batch.num_rows, np.int32)
+            for d in np.unique(dim):
+                own = dim == d
+                block[own] = layouts[int(d)].of_rows(cell[own], deal[own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=[*batch.schema.names, "block"])
+
+    dealt = rows.withColumn("deal", F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 1))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", block int"
+    return dealt.mapInArrow(placed, schema).drop("deal")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields) + ", cutoff double"
+def _slack(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What a query's summed distances may differ by when they are computed in another batch."""
+    longest = max(float(np.linalg.norm(book, axis=1).max()) for book in books)
+    return 1e-12 * longest * np.linalg.norm(queries, axis=1)
+
+
+def sent_to_blocks(queries: DataFrame, books: Books, sizes: dict[int, dict[int, int]], layouts: dict[int, Layout], share: float, least: int) -> DataFrame:
+    """Queries with their ``cutoff`` (the summed distance up to which cells are theirs), once for each ``block`` that they meet."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                rows, block, limit = [], [], []
+                for dim, own, v in _by_length(batch):
+                    if dim not in books:
+                        found = [(np.inf, np.arange(layouts[dim].blocks))] * len(own)
+                    else:
+                        enough, found = max(least, int(share * sum(sizes[dim].values()))), []
+                        filled = np.array(sorted(sizes[dim]), np.int64)
+                        for a, b, slack in zip(*_halves(v, books[dim]), _slack(v, books[dim]), strict=True):
+                            stop = cutoff(a, b, sizes[dim], enough)
+                            near = a[filled // len(b)] + b[filled % len(b)] <= stop + slack
+                            found.append((stop, layouts[dim].of_cells(filled[near])))
+                    for i, (stop, blocks_) in zip(own, found, strict=True):
+                        rows += [i] * len(blocks_)
+                        block += blocks_.tolist()
+                        limit += [stop] * len(blocks_)
+                taken = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(block, pa.int32()), pa.array(limit, pa.float64())], names=[*batch.schema.names, "block", "cutoff"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields) + ", block int, cutoff double"
     return queries.mapInArrow(walked, schema)
 
 
-def block_top(k: int, books: Books):
-    """The search of one block, see :func:`blocks.search`."""
+def block_top(k: int, books: Books, touched: list[int] | None = None, batch: int = 256):
+    """The search of one block, see :func:`blocks.search_blocks`.  ``touched`` gets the number of rows that each query met."""
 
     def top(ids, vectors, cells, query_ids, queries, cutoffs):
         known = books.get(vectors.shape[1])
-        if known is not None:
-            order = np.argsort(cells, kind="stable")
-            ids, vectors, cells = ids[order], vectors[order], cells[order]
-            near_one, near_two = _halves(queries, known)
-            i, j = cells // len(known[1]), cells % len(known[1])
+        order = np.argsort(cells, kind="stable")
+        ids, vectors, cells = ids[order], vectors[order], cells[order]
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        ends, lists = np.r_[starts[1:], len(cells)], cells[starts]
         out = []
-        for n, (q, v, limit) in enumerate(zip(query_ids, queries, cutoffs, strict=True)):
-            # The slack covers the rounding of sums that were made in another batch.
-            mine = near_one[n][i] + near_two[n][j] <= limit + 1e-9 if known is not None else np.ones(len(ids), bool)
-            at = np.flatnonzero(mine & (ids != q))
-            score = np.einsum("nd,d->n", vectors[at], v)
-            if len(at) > k:
-                best = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
-                best = best[np.lexsort((ids[at[best]], -score[best]))][:k]
+        for at in range(0, len(queries), batch):
+            q, own, limits = queries[at : at + batch], query_ids[at : at + batch], cutoffs[at : at + batch]
+            if known is None:
+                mine = np.ones((len(q), len(lists)), bool)
             else:
-                best = np.arange(len(at))
-            out.append((np.full(len(best), q), ids[at[best]], score[best]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+                near_one, near_two = _halves(q, known)
+                mine = near_one[:, lists // len(known[1])] + near_two[:, lists % len(known[1])] <= (limits + _slack(q, known))[:, None]
+            best: list[list] = [[] for _ in q]
+            for c, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                asking = np.flatnonzero(mine[:, c])
+                if len(asking):
+                    for i, scores in zip(asking.tolist(), q[asking] @ vectors[a:b].T, strict=True):
+                        best[i].append((a, scores))
+            for i, found in enumerate(best):
+                if not found:
+                    continue
+                rows = np.concatenate([np.arange(a, a + len(s)) for a, s in found])
+                score = np.concatenate([s for _, s in found])
+                if touched is not None:
+                    touched.append(len(rows))
+                other = ids[rows] != own[i]
+                rows, score = rows[other], score[other]
+                if len(rows) > k:
+                    # A product's sums may round otherwise than the score that is returned.
+                    least = np.partition(score, len(score) - k)[len(score) - k]
+                    rows = rows[score >= least - 1e-9 * np.abs(score).max()]
+                score = np.einsum("nd,d->n", vectors[rows], q[i])
+                first = np.lexsort((ids[rows], -score))[:k]
+                out.append((np.full(len(first), own[i]), ids[rows[first]], score[first]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (query_ids[:0], ids[:0], np.zeros(0))
 
     return top
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, centroids: int = 128, share: float = 0.38, least: int = 400, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 20, centroids: int = 128, share: float = 0.38, least: int = 400, sample_rows: int = 8192, block_bytes: int = 32 << 20, chunk_queries: int = 16_384, least_blocks: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found per query, ties to the smaller id.
 
     ``query`` is a condition on ``vec_id``.  A query gathers ``share`` of all rows of its length (``least`` at least), the nearest
@@ -169,5 +262,15 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, centroids: int = 128
     # At most centroids ** 2 cells for each codebook.
     for dim, cell, n in indexed.filter("cell >= 0").groupBy("dim", "cell").agg(F.count("*").alias("n")).collect():
         sizes[dim][cell] = n
-    asked = work.save(with_cutoffs(indexed.filter(query).select("dim", "vec_id", "v"), books, sizes, share, least), "queries")
-    return blocks.search(indexed, query, k, block_top(k, books), "double", queries=asked, entry="cell", aside="cutoff")
+    counts = {r["dim"]: r["n"] for r in indexed.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    layouts = {}
+    for dim, n in counts.items():
+        per_block = max(1, min(block_bytes // (8 * dim), -(-n // least_blocks)))
+        own = np.zeros(len(books[dim][0]) * len(books[dim][1]), np.int64) if dim in books else None
+        if own is not None:
+            own[list(sizes[dim])] = list(sizes[dim].values())
+        layouts[dim] = Layout(-(-n // per_block)) if own is None else lay_out(own, per_block)
+    queries = indexed.filter(query).select("dim", "vec_id", "v")
+    chunks = max(1, -(-queries.count() // chunk_queries))
+    asked = sent_to_blocks(queries, books, sizes, layouts, share, least)
+    return blocks.search_blocks(in_blocks(indexed, layouts), asked, k, block_top(k, books), "double", chunks, entry="cell", aside="cutoff")

@@ -247,3 +247,46 @@ def test_hot_and_rare_labels(spark):
 
 def test_codes_sql(spark, same):
     same(spark, queries.op13_vector_codes, queries.ORACLE_SQL["op13_vector_codes"], "/root/testdata/sf0.001")
+
+
+# Inverted multi-index --------------------------------------------------------------------------------------------------
+
+
+def test_only_walked_cells_are_touched():
+    from tessera.llm import multi_index
+
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e6):
+        v = scale * rng.standard_normal((3000, 8))
+        v[:900] = v[0] + 1e-3 * scale * rng.standard_normal((900, 8))  # a cell with a third of all rows
+        books = {8: (multi_index.fit_codebook(v[:, :4], 12), multi_index.fit_codebook(v[:, 4:], 12))}
+        cell = multi_index.quantise(v[:, :4], books[8][0]) * 12 + multi_index.quantise(v[:, 4:], books[8][1])
+        sizes = np.bincount(cell, minlength=144)
+        layout = multi_index.lay_out(sizes, 200)
+        block = layout.of_rows(cell, rng.integers(0, 1 << 40, 3000))
+        assert np.bincount(block).max() <= 320 and set(block) <= set(range(layout.blocks))
+        ids, queries = np.arange(3000), v[:40]
+        near = [-queries[:, :4] @ books[8][0].T, -queries[:, 4:] @ books[8][1].T]
+        limits = np.array([multi_index.cutoff(a, b, dict(enumerate(sizes.tolist())), 500) for a, b in zip(*near, strict=True)])
+        met = np.zeros(40, np.int64)
+        best = {}
+        for b in range(layout.blocks):
+            own = block == b
+            for i in range(40):
+                summed = near[0][i][:, None] + near[1][i][None]
+                walked = np.flatnonzero(summed.ravel() <= limits[i] * (1 - np.sign(limits[i]) * 1e-13))
+                walked = walked[sizes[walked] > 0]
+                blocks = set(layout.of_cells(walked).tolist())
+                assert (b in blocks) == bool(np.isin(cell[own], walked).any()) or layout.parts[walked].max() > 1
+            touched = []
+            q, r, s = multi_index.block_top(5, books, touched)(ids[own], v[own], cell[own], ids[:40], queries, limits)
+            for x, y, z in zip(q, r, s, strict=True):
+                best.setdefault(int(x), []).append((-z, int(y)))
+            met += np.array([np.isin(cell[own], np.flatnonzero((near[0][i][:, None] + near[1][i][None]).ravel() <= limits[i] + 1e-9 * scale)).sum() for i in range(40)])
+            assert sum(touched) == sum(np.isin(cell[own], np.flatnonzero((near[0][i][:, None] + near[1][i][None]).ravel() <= limits[i] + 1e-9 * scale)).sum() for i in range(40))
+        assert (met >= 500).all() and (met < 500 + sizes.max()).all()
+        for i in range(40):
+            mine = np.flatnonzero(np.isin(cell, np.flatnonzero((near[0][i][:, None] + near[1][i][None]).ravel() <= limits[i] + 1e-9 * scale)) & (ids != i))
+            want = sorted((-float(np.einsum("d,d->", v[r], queries[i])), int(r)) for r in mine)[:5]
+            got = sorted(best[i])[:5]
+            assert [r for _, r in got] == [r for _, r in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
