@@ -11,6 +11,7 @@ from tessera.functions import paths, wording
 from tessera.functions import signatures as S
 from tessera.operators import groups, organize, prefilter, report, rules, simjoin, stores
 from tessera.operators.components import connected_components
+from tessera.tables import Workspace, temporary_tables
 
 
 def value(spark, column):
@@ -262,6 +263,15 @@ def test_reports(spark, tmp_path):
         report.export(found, members, files, "x", "pdf")
 
 
+def test_temporary_tables_go(spark):
+    import os
+
+    with temporary_tables():
+        kept = Workspace(spark, "scope")
+        assert kept.save(spark.range(3), "t").count() == 3 and os.path.isdir(kept.path)
+    assert not os.path.isdir(kept.path)
+
+
 def test_sort_modes(spark):
     rows = spark.createDataFrame([(1, 2, "Similar", 50), (2, 9, "Exact", 10), (3, 5, "NearExact", 90)], "group_key long, size long, match_type string, duplicate_bytes long")
     order = lambda mode: [r.group_key for r in report.sorted_groups(rows, mode).collect()]
