@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, packing, pii, queries, simhash_golay, toxicity
-from tessera.tables import Workspace
+from tessera.tables import Workspace, temporary_tables
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, and what a
+    stage kept there for itself goes with it."""
     work, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with temporary_tables():
+            docs = work.save(stage(spark, docs, sf_dir), name)
         if i:
             work.drop(STAGES[i - 1][0])
     return docs

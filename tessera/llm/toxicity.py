@@ -79,7 +79,7 @@ class Distances(dict):
 
 
 def _segments(word: str) -> set[str]:
-    word = f" {word[:64]} "
+    word = f" {word} "
     return {word[i : i + k] for k in SEGMENT_LENGTHS for i in range(len(word) - k + 1)}
 
 

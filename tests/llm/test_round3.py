@@ -290,3 +290,116 @@ def test_only_walked_cells_are_touched():
             want = sorted((-float(np.einsum("d,d->", v[r], queries[i])), int(r)) for r in mine)[:5]
             got = sorted(best[i])[:5]
             assert [r for _, r in got] == [r for _, r in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+# Line templates at the registered settings ------------------------------------------------------------------------------
+
+
+def plain_template_lines(rows, depth=3, least=5, constant=0.5, share=0.2):
+    """Texts without recurring lines, by definition: shares decide first, then counts, for lines whose template did not recur."""
+    mask = lambda line: tuple("<*>" if re.search(r"\d", w) else w for w in line.split())
+    leaf = defaultdict(lambda: defaultdict(set))
+    for i, t in rows:
+        for w in {mask(line) for line in (t or "").split("\n")} - {()}:
+            leaf[len(w), w[:depth]][w].add(i)
+    lost = {}
+    for lines in leaf.values():
+        holders = defaultdict(set)
+        for w, ids in lines.items():
+            for p, x in enumerate(w):
+                holders[p, x] |= ids
+        docs = len(set().union(*lines.values()))
+        for needed in [share * docs, least] if share * docs > least else [least]:
+            by = defaultdict(list)
+            for w in lines:
+                by[tuple(x if x != "<*>" and (p < depth or len(holders[p, x]) >= needed) else None for p, x in enumerate(w))].append(w)
+            for t, ws in by.items():
+                own = t[depth:] or t
+                ids = set().union(*(lines[w] for w in ws))
+                if len(ids) >= least and sum(x is not None for x in own) / len(own) >= constant:
+                    for w in ws:
+                        lost.setdefault(w, min(ids))
+    return {i: "\n".join(line for line in t.split("\n") if lost.get(mask(line), i) == i) if t is not None else None for i, t in rows}
+
+
+@pytest.mark.parametrize("leaf_rows", [50_000, 0])
+def test_line_templates_with_shares_equal_brute_force(spark, leaf_rows):
+    from tessera.llm import line_dedup
+
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi") for b in ("na", "ri", "po")]
+    rows = []
+    for i in range(140):
+        lines = [
+            f"posted by the user {words[i % 9]} in {words[i // 9 % 9]} city today",  # fields whose values recur
+            f"we all like {words[i % 9]}{i % 31} {words[i % 7]}x",  # only the leading tokens are constant: stays
+            f"see also the {'rare' if i % 28 == 0 else words[i % 9]} page of this site",
+            f"page {i} of many pages here",
+            "short line" if i % 3 else "other words of the day",
+        ]
+        if i % 10 == 0:
+            lines.append(f"posted by the user {words[i % 5]} in {words[0]} city today")  # two lines of one leaf
+        RND.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, None), (201, "")]
+    want = plain_template_lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(docs, leaf_rows=leaf_rows, min_share=line_dedup.SHARE).collect()}
+    assert got == want
+    # The case tells the rule: lines with nothing but their leading tokens constant stay everywhere.
+    assert all("we all like" in want[i] for i in range(140)) and sum("posted by the user" in want[i] for i in range(140)) < 20
+
+
+# Near duplicates at similarity 0.8 --------------------------------------------------------------------------------------
+
+
+def _similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def _edited(text, k, words):
+    w = text.split()
+    for i in RND.sample(range(len(w)), k):
+        w[i] = RND.choice(words)
+    return " ".join(w)
+
+
+def _pairs_of(bases, low, high, words):
+    out = []
+    for t in bases:
+        other = ""
+        while not low <= _similarity(t, other) < high:
+            other = _edited(t, RND.randint(3, 9), words)
+        out += [t, other]
+    return out
+
+
+@pytest.mark.parametrize(("kind", "n", "limit"), [("unrelated", 250, 64), ("family", 300, 64), ("family", 120, 8)])
+def test_near_duplicates_reach_the_recall(spark, kind, n, limit):
+    """Pairs at 0.80 to 0.84: of texts that share nothing else, and of texts that all derive from one (the others at about 0.65)."""
+    from tessera.llm import simhash_golay
+
+    words = [f"w{i}" for i in range(5000)]
+    fresh = lambda: " ".join(RND.choice(words) for _ in range(300))
+    base = fresh()
+    texts = _pairs_of([fresh() if kind == "unrelated" else _edited(base, 6, words) for _ in range(n)], 0.80, 0.84, words)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash_golay.similar_documents(df, group_limit=limit, partners=(1, 4)).collect()}
+    assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(n)]) >= 0.95
+    for i in range(0, 2 * n, 2):  # no false links: a group is connected by pairs at 0.8
+        group = [j for j in got if got[j] == got[i]]
+        assert len(group) == 1 or all(any(_similarity(texts[j], texts[k]) >= 0.8 for k in group if k != j) for j in group[:5])
+
+
+def test_crowded_keys_are_compared_to_the_end(spark):
+    """Whatever the limits, the groups are the same: rounds go on until nothing is left to try."""
+    from tessera.llm import simhash_golay
+
+    words = [f"v{i}" for i in range(300)]
+    base = " ".join(RND.choice(words) for _ in range(120))
+    texts = [_edited(base, RND.randint(1, 9), words) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(500, None), (501, ""), (None, texts[0])], "doc_id long, text string").repartition(4)
+    rows = lambda **o: sorted((str(r.doc_id), r.component_id) for r in simhash_golay.similar_documents(df, **o).collect())
+    all_pairs = rows(group_limit=1000)
+    assert rows(group_limit=4, partners=(1,)) == all_pairs and rows(group_limit=16, partners=(2, 8)) == all_pairs
+    assert simhash_golay.similar_documents(df.limit(0)).count() == 0
