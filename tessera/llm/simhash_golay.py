@@ -301,15 +301,23 @@ def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _apart(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x0 ^ y0).astype(np.int16) + np.bitwise_count(x1 ^ y1)
+#: The fingerprint in a key's rows: the half that gives the keys, and the other one.
+OWN = ["f0", "f1", "f2", "f3"]
 
 
-def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps: int = 4) -> DataFrame:
-    """Of rows ``(node, f0, f1)``: candidate pairs and crowded rows ``(key, a, b, f0, f1)``.
+def _apart(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Differing bits of fingerprints that are given word by word."""
+    apart = np.bitwise_count(x[0] ^ y[0]).astype(np.int16)
+    for a, b in zip(x[1:], y[1:], strict=True):
+        apart += np.bitwise_count(a ^ b)
+    return apart
 
-    Of a key with up to ``group_limit`` rows come all pairs ``(a, b)`` that differ in ``max_bits`` or fewer of 128 bits (``key`` is
-    null).  A key with more is crowded: its rows come out themselves (``b`` is null), for :func:`crowded_candidates`, and each
+
+def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps: int = 2) -> DataFrame:
+    """Of rows ``(node, f0 to f3)``, whose first two words give the keys: candidate pairs and crowded rows ``(key, a, b, f0 to f3)``.
+
+    Of a key with up to ``group_limit`` rows come all pairs ``(a, b)`` that differ in ``max_bits`` or fewer of 256 bits (``key`` is
+    their number).  A key with more is crowded: its rows come out themselves (``b`` is null), for :func:`crowded_candidates`, and each
     with its next ``steps`` rows as pairs, which already links most near copies.
     """
 
@@ -319,40 +327,43 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
                 part = batch.slice(at, 2000)
                 rows, keys = wide_keys(np.stack([part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2)], axis=1))
                 taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", *OWN])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, hot = [np.zeros(0, np.int64)] * 4, None
+        rest, hot = [np.zeros(0, np.int64)] * (2 + WORDS), None
 
-        def out(key, node, f0, f1) -> pa.RecordBatch:
+        def out(key, node, *words) -> pa.RecordBatch:
             """All of whole keys, or more of the hot one."""
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[first, len(key)])
             crowded = np.repeat((size > group_limit) | (key[first] == hot if hot is not None else False), size)
-            u0, u1, a, b = f0.view(np.uint64), f1.view(np.uint64), [], []
+            unsigned, a, b, bits = [w.view(np.uint64) for w in words], [], [], [key[:0]]
             live = np.arange(len(key))
             for k in range(1, group_limit + 1):
                 live = live[live + k < len(key)]
                 live = live[(key[live + k] == key[live]) & (~crowded[live] | (k <= steps))]
                 if not len(live):
                     break
-                now = live[_apart(u0[live], u1[live], u0[live + k], u1[live + k]) <= max_bits]
+                apart = _apart([u[live] for u in unsigned], [u[live + k] for u in unsigned])
+                now = live[apart <= max_bits]
                 a.append(np.maximum(node[now], node[now + k]))
                 b.append(np.minimum(node[now], node[now + k]))
+                bits.append(apart[apart <= max_bits].astype(np.int64))
             pairs, rows = sum(map(len, a)), np.flatnonzero(crowded)
             none = pa.nulls(pairs, pa.int64())
-            columns = [pa.concat_arrays([none, pa.array(key[rows])]), pa.array(np.concatenate([*a, node[rows]])), pa.concat_arrays([pa.array(np.concatenate([*b, node[:0]])), pa.nulls(len(rows), pa.int64())])]
-            columns += [pa.concat_arrays([none, pa.array(f[rows])]) for f in (f0, f1)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "f0", "f1"])
+            columns = [pa.array(np.concatenate([*bits, key[rows]])), pa.array(np.concatenate([*a, node[rows]])), pa.concat_arrays([pa.array(np.concatenate([*b, node[:0]])), pa.nulls(len(rows), pa.int64())])]
+            columns += [pa.concat_arrays([none, pa.array(w[rows])]) for w in words]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", *OWN])
 
         for batch in batches:
-            key, node, f0, f1 = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
+            columns = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
+            key = columns[0]
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
-                yield out(key[:cut], node[:cut], f0[:cut], f1[:cut])
-            rest = [key[cut:], node[cut:], f0[cut:], f1[cut:]]
+                yield out(*(c[:cut] for c in columns))
+            rest = [c[cut:] for c in columns]
             if len(rest[0]) > group_limit:
                 hot = int(key[-1])
                 yield out(*rest)
@@ -360,12 +371,12 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
         if len(rest[0]):
             yield out(*rest)
 
-    keys = distinct.select("node", "f0", "f1").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
-    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, "key long, a long, b long, f0 long, f1 long")
+    keys = distinct.select("node", *OWN).mapInArrow(keyed, f"key long, node long, {PRINTS}")
+    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, f"key long, a long, b long, {PRINTS}")
 
 
 def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None, block: int = 2048) -> DataFrame:
-    """Rows ``(a, b, more)``: pairs of nodes of different components among the rows ``(key, node, f0, f1, component)`` of crowded
+    """Rows ``(a, b, more)``: pairs of nodes of different components among the rows ``(key, node, component, f0 to f3)`` of crowded
     keys that differ in ``max_bits`` or fewer bits; of each row and key only the ``partners`` nearest ones in a block, with
     ``more`` true where there are others (``b`` is then null).
 
@@ -380,15 +391,15 @@ def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None,
     rows = crowded.join(sizes.hint("merge"), "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    left = rows.filter("component <> frequent").select("key", own(F.col("left"), 1).alias("i"), every(F.col("right")).alias("j"), F.lit(0).alias("side"), "node", "component", "f0", "f1")
-    right = rows.select("key", every(F.col("left")).alias("i"), own(F.col("right"), 2).alias("j"), F.lit(1).alias("side"), "node", "component", "f0", "f1")
+    left = rows.filter("component <> frequent").select("key", own(F.col("left"), 1).alias("i"), every(F.col("right")).alias("j"), F.lit(0).alias("side"), "node", "component", *OWN)
+    right = rows.select("key", every(F.col("left")).alias("i"), own(F.col("right"), 2).alias("j"), F.lit(1).alias("side"), "node", "component", *OWN)
 
-    def compared(node, component, f0, f1, n_left) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def compared(node, component, words, n_left) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, more = [], [], []
-        y0, y1, yn, yc = f0[n_left:], f1[n_left:], node[n_left:], component[n_left:]
+        yn, yc = node[n_left:], component[n_left:]
         for at in range(0, n_left, 64):
             own = slice(at, min(at + 64, n_left))
-            apart = _apart(f0[own, None], f1[own, None], y0[None], y1[None])
+            apart = _apart([w[own, None] for w in words], [w[None, n_left:] for w in words])
             apart[component[own, None] == yc[None]] = 999
             if partners is not None and apart.shape[1] > partners:
                 # Whole numbers in the order of distance, then place.
@@ -406,12 +417,12 @@ def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None,
         rest = None
 
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, i, j, side, node, component, f0, f1 = columns
+            key, i, j, side, node, component, *words = columns
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
                 n_left = int((side[s:e] == 0).sum())
                 if n_left and n_left < e - s:
-                    a, b, more = compared(node[s:e], component[s:e], f0[s:e].view(np.uint64), f1[s:e].view(np.uint64), n_left)
+                    a, b, more = compared(node[s:e], component[s:e], [w[s:e].view(np.uint64) for w in words], n_left)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())]), pa.array(np.arange(len(a) + len(more)) >= len(a))], names=["a", "b", "more"])
 
         for batch in batches:
@@ -447,29 +458,29 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> D
     return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles array<long>")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 31, group_limit: int = 64, partners: tuple[int, ...] = (4, 32, 256)) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 55, group_limit: int = 64, partners: tuple[int, ...] = (4, 64)) -> DataFrame:
     """One row per input row: ``(doc_id, component_id)``, the smallest id that links of texts reach whose sets of shingles
     have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a Golay key of one half of their fingerprints and differ in ``max_bits`` or fewer of its 128 bits, which at
-    0.8 holds for 0.99 of all pairs; every link is verified on the whole texts.  In keys with more than ``group_limit`` texts, rounds
+    Candidates share a Golay key of one half of their fingerprints and differ in ``max_bits`` or fewer of all 256 bits, which at
+    0.8 holds for 0.985 of all pairs; every link is verified on the whole texts.  In keys with more than ``group_limit`` texts, rounds
     compare each text with its nearest ones of other components first (``partners`` of them, more from round to round) and at
     last with all that are left, until no text has a candidate that was not tried; so no limit drops a link.  Equal texts, those
     without words included, are one node.  A null id counts last in its group; an empty table gives no rows; repeated rows each
     come back.
     """
-    work = Workspace(docs.sparkSession, "similar")
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "similar")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = work.save(wide_prints(narrow, words_per_shingle), "prints")
     prints = [f"f{i}" for i in range(WORDS)]
     distinct = work.save(own.groupBy("node", *prints).agg(F.min("doc_id").alias("first")), "distinct")
     halves = []
     for h in range(2):
-        half = distinct.select("node", F.col(prints[2 * h]).alias("f0"), F.col(prints[2 * h + 1]).alias("f1"))
+        half = distinct.select("node", *[F.col(prints[(2 * h + i) % WORDS]).alias(OWN[i]) for i in range(WORDS)])
         halves.append(work.save(wide_candidates(half, max_bits, group_limit).withColumn("half", F.lit(h)), f"half_{h}"))
         work.release()  # else the keys' shuffle files of both halves are there at once
     found = halves[0].unionByName(halves[1])
-    crowded = found.filter("b IS NULL").select(((F.col("key") * 2) + F.col("half")).alias("key"), F.col("a").alias("node"), "f0", "f1")
+    crowded = found.filter("b IS NULL").select(((F.col("key") * 2) + F.col("half")).alias("key"), F.col("a").alias("node"), *OWN)
 
     def verified(pairs: DataFrame, step: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -481,19 +492,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         work.drop(f"sets_{step}")
         return links
 
-    tried = work.save(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs_0")
-    links = verified(tried, "0")
+    tried = work.save(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("key").alias("bits")), "pairs_0")
+
+    def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+        """The pairs whose sides are in different components."""
+        side = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")).hint("merge")
+        joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return joined.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "bits")
+
+    # A large group of near copies has far more pairs than it needs links: each text is first compared with its nearest one, and
+    # again, and only pairs that are still in different components are compared after that.
+    links, open_ = spark.createDataFrame([], "a long, b long"), tried
+    for step in ("1", "2", "all"):
+        chosen = open_.select("a", "b")
+        if step != "all":
+            nearest = [open_.groupBy(x).agg(F.min(F.struct("bits", y)).alias("n")).select(*([x, F.col(f"n.{y}").alias(y)] if x == "a" else [F.col(f"n.{y}").alias(y), x])) for x, y in (("a", "b"), ("b", "a"))]
+            chosen = work.save(nearest[0].union(nearest[1]).distinct(), f"nearest_{step}")
+        links = links.union(verified(chosen, step))
+        if step != "all":
+            left = open_.join(chosen.hint("merge"), ["a", "b"], "left_anti")
+            open_ = work.save(apart(left, connected_components(links, "a", "b")), f"apart_{step}")
+            if not open_.take(1):
+                break
     more = bool(crowded.take(1))
     for i, most in enumerate((*partners, None), start=1):
         if not more:
             break
         component = connected_components(links, "a", "b")
         rows = crowded.join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = work.save(crowded_candidates(rows, max_bits, most), f"open_{i}")
-        pairs = work.save(open_.filter("NOT more").select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), f"pairs_{i}")
+        met = work.save(crowded_candidates(rows, max_bits, most), f"met_{i}")
+        pairs = work.save(met.filter("NOT more").select("a", "b").join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), f"pairs_{i}")
         if pairs.take(1):
-            links, tried = links.union(verified(pairs, str(i))), tried.union(pairs)
-        more = bool(open_.filter("more").take(1))
+            links, tried = links.union(verified(pairs, f"crowded_{i}")), tried.select("a", "b").union(pairs)
+        more = bool(met.filter("more").take(1))
     component = connected_components(links, "a", "b")
     known = distinct.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     lowest = known.groupBy("component").agg(F.min("first").alias("component_id"))
