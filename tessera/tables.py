@@ -62,8 +62,9 @@ class Workspace:
         """Lets Spark remove shuffle files of plans that have ended: Python lets go first, then the JVM."""
         import gc
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what Python lets go reaches the JVM with its next call
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def remove(self) -> None:
         """Deletes all of its tables."""
