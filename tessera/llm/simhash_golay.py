@@ -290,22 +290,43 @@ def wide_prints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(hashed, f"doc_id {kind}, node long, {PRINTS}")
 
 
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of one half of the fingerprints (two columns): (position of the fingerprint, key).
+def _segments(prints: np.ndarray) -> list[np.ndarray]:
+    """The six segments of one half of the fingerprints (two columns)."""
+    return [(prints[:, c] >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64) for c in range(2) for low, width in SEGMENTS]
+
+
+def wide_parts(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the keys of one half of the fingerprints (two columns) begin with: (position of the fingerprint, part).
+
+    A part is a segment and one of its codewords within distance 4; a fingerprint has some 32.
+    """
+    rows, parts = [], []
+    for s, word in enumerate(_segments(prints)):
+        codes = codeword_indices(word)
+        rows.append(np.nonzero(codes >= 0)[0])
+        parts.append(np.int64(s) << 12 | codes[codes >= 0])
+    return np.concatenate(rows), np.concatenate(parts)
+
+
+def keys_of_parts(prints: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of one half of the fingerprints (two columns) that begin with the part beside each: (position, key).
 
     The six segments stand in a ring.  A key is a pair of segments next to each other or next but one, each by one of its
     codewords within distance 4, of which one at least is the nearest: 24 bits, some 10 keys a pair.  At similarity 0.8 some 19
     of 128 bits differ, and two texts share a key of one half or the other with probability 0.96, at 0.82 with 0.97 and at 0.88 with
     0.996.
     """
-    words = [(prints[:, c] >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64) for c in range(2) for low, width in SEGMENTS]
-    codes, nearest = [codeword_indices(w) for w in words], [nearest_codewords(w) for w in words]
+    segment, code, words = parts >> 12, parts & 0xFFF, np.stack(_segments(prints))
+    at = np.arange(len(parts))
+    own = words[segment, at]
+    is_nearest = ((codeword_indices(own) == code[:, None]) & nearest_codewords(own)).any(axis=1)
     rows, keys = [], []
-    for number, (s, t) in enumerate((s, (s + step) % 6) for step in (1, 2) for s in range(6)):
-        a, b = codes[s][:, :, None], codes[t][:, None, :]
-        valid = (a >= 0) & (b >= 0) & (nearest[s][:, :, None] | nearest[t][:, None, :])
+    for step in (1, 2):
+        other = words[(segment + step) % 6, at]
+        codes = codeword_indices(other)
+        valid = (codes >= 0) & (is_nearest[:, None] | nearest_codewords(other))
         rows.append(np.nonzero(valid)[0])
-        keys.append((np.int64(number) << 24 | a << 12 | b)[valid])
+        keys.append((((step - 1) * 6 + segment) << 24 | code << 12)[rows[-1]] | codes[valid])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -329,13 +350,20 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
     with its next ``steps`` rows as pairs, which already links most near copies.
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(part: pa.RecordBatch, first: int) -> np.ndarray:
+        return np.stack([part.column(first + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)], axis=1)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows, keys = wide_keys(np.stack([part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2)], axis=1))
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", *OWN])
+                piece = batch.slice(at, 2000)
+                rows, parts = wide_parts(halves(piece, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(parts), *piece.take(pa.array(rows)).columns], names=["part", "node", *OWN])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = keys_of_parts(halves(batch, 2), batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.take(pa.array(rows)).columns[1:]], names=["key", "node", *OWN])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, hot = [np.zeros(0, np.int64)] * (2 + WORDS), None
@@ -379,8 +407,9 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
         if len(rest[0]):
             yield out(*rest)
 
-    keys = distinct.select("node", *OWN).mapInArrow(keyed, f"key long, node long, {PRINTS}")
-    return keys.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(linked, f"key long, a long, b long, {PRINTS}")
+    # All keys with one beginning are made where it was dealt to, so a row goes through the shuffle 32 times and not once a key.
+    parts = distinct.select("node", *OWN).mapInArrow(dealt, f"part long, node long, {PRINTS}").repartition("part")
+    return parts.mapInArrow(keyed, f"key long, node long, {PRINTS}").sortWithinPartitions("key", "f0").mapInArrow(linked, f"key long, a long, b long, {PRINTS}")
 
 
 def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None, block: int = 2048) -> DataFrame:
