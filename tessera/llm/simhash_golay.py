@@ -478,21 +478,27 @@ def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None,
     return dealt.mapInArrow(linked, "a long, b long, more boolean").distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
-    """Rows ``(node, shingles)`` of the texts of the given nodes, ``shingles`` the different 64-bit shingle hashes."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows ``(node, text)`` of the given nodes, one each, ``text`` the words joined by spaces."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = [b" ".join((x.as_py() or b"").lower().split()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(j) for j in joined], pa.int64()), pa.array(joined, pa.binary())], names=["node", "text"])
 
+    texts = docs.select(F.col("text").cast("binary")).mapInArrow(named, "node long, text binary")
+    return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def shingle_sets(texts: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Rows ``(node, shingles)`` of the given nodes of :func:`texts_of`, ``shingles`` the different 64-bit shingle hashes."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(b"".join(shingle_digests(x.as_py(), words_per_shingle)[1]), np.int64)[::2] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    texts = docs.select(F.col("text").cast("binary")).mapInArrow(named, "node long, text binary")
-    return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles array<long>")
+    return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(cut, "node long, shingles array<long>")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 55, group_limit: int = 64, partners: tuple[int, ...] = (4, 64)) -> DataFrame:
@@ -519,9 +525,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = halves[0].unionByName(halves[1])
     crowded = found.filter("b IS NULL").select(((F.col("key") * 2) + F.col("half")).alias("key"), F.col("a").alias("node"), *OWN)
 
+    # Texts without a candidate are read once and go no further.
+    held = found.select(F.col("a").alias("node")).union(found.filter("b IS NOT NULL").select("b")).distinct()
+    texts = work.save(texts_of(narrow, held), "texts")
+
     def verified(pairs: DataFrame, step: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = work.save(shingle_sets(narrow, nodes, words_per_shingle), f"sets_{step}")
+        sets = work.save(shingle_sets(texts, nodes, words_per_shingle), f"sets_{step}")
         # Many pairs may have one b: it is looked up while rows are short.  The tables grow with the corpus: none is broadcast.
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
@@ -566,7 +576,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = distinct.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     lowest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     looked_up = work.save(known.join(lowest, "component").select("node", "component_id"), "components")
-    work.drop("distinct", "half_0", "half_1")
+    work.drop("distinct", "half_0", "half_1", "texts")
     return own.join(looked_up, "node").select("doc_id", "component_id")
 
 
