@@ -15,17 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows ``(id, h)``: difference hash of each document's word grid, made once and kept for the query's joins."""
-    grid = S.token_grid(table(spark, sf_dir, "documents"), "doc_id", "text", 72)
+    grid = S.token_grid(table(spark, sf_dir, "documents"), "doc_id", "text", 72).filter("id IS NOT NULL")
     return Workspace(spark, "signatures").save(grid.select("id", S.difference_hash(F.col("grid")).alias("h")), "rows")
 
 
 def three_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows ``(id, ahash, dhash, phash)``."""
-    docs = table(spark, sf_dir, "documents")
-    a = S.token_grid(docs, "doc_id", "text", 64).select("id", S.average_hash(F.col("grid")).alias("ahash"))
-    d = S.token_grid(docs, "doc_id", "text", 72).select("id", S.difference_hash(F.col("grid")).alias("dhash"))
-    p = S.token_grid(docs, "doc_id", "text", 25).select("id", S.gradient_hash(F.col("grid"), 5).alias("phash"))
-    return Workspace(spark, "signatures").save(a.join(d, "id").join(p, "id"), "rows")
+    grids = S.token_grids(table(spark, sf_dir, "documents"), "doc_id", "text", 64, 72, 25).filter("id IS NOT NULL")
+    hashes = [S.average_hash(F.col("grid_64")).alias("ahash"), S.difference_hash(F.col("grid_72")).alias("dhash"), S.gradient_hash(F.col("grid_25"), 5).alias("phash")]
+    return Workspace(spark, "signatures").save(grids.select("id", *hashes), "rows")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
