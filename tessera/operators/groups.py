@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import signatures as S
+from ..tables import Workspace
+from . import simjoin
 from .components import connected_components
 
 
@@ -35,6 +37,37 @@ def signature_members(weighted: DataFrame, rows: DataFrame) -> tuple[DataFrame,
     return members, stats.select("group_key", (F.col("total") / F.col("pairs")).alias("average_distance"), S.class_of_ordinal(F.col("best")).alias("match_type"), "pairs")
 
 
+def _named(counts: DataFrame, component: DataFrame, copies: bool) -> DataFrame:
+    """Rows ``(h, n, group_key, ref)``: each signature of a component, or with copies if they count, the smallest row of its group and that
+    row's signature."""
+    linked = counts.join(component.withColumnRenamed("node", "h"), "h", "left").filter(F.col("component").isNotNull() | ((F.col("n") > 1) if copies else F.lit(False)))
+    linked = linked.withColumn("component", F.coalesce("component", "h"))
+    keys = linked.groupBy("component").agg(F.min(F.struct("first", "h")).alias("least"))
+    named = linked.join(keys, "component").select("h", "n", F.col("least.first").alias("group_key"), F.col("least.h").alias("ref"))
+    return Workspace(counts.sparkSession, "named").save(named, "rows")
+
+
+def signature_groups(rows: DataFrame, threshold: int = simjoin.DEFAULT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Members and statistics as :func:`signature_members` gives them for :func:`simjoin.weighted_pairs`, with pairs counted where signatures are
+    compared and only edges of a forest kept."""
+    counts = simjoin.signature_counts(rows)
+    links = simjoin.signature_links(counts, threshold)
+    named = _named(counts, connected_components(links, "h", "other"), copies=True)
+    members = rows.filter("id IS NOT NULL").select("id", "h").join(named, "h").select("group_key", "id")
+    met = links.filter("pairs > 0").select("h", "pairs", "total", "best").union(named.filter("n > 1").select("h", F.expr("n * (n - 1) div 2"), F.lit(0).cast("long"), F.lit(0)))
+    keyed = met.groupBy("h").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.min("best").alias("best")).join(named, "h")
+    stats = keyed.groupBy("group_key").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"), F.min("best").alias("best"))
+    return members, stats.select("group_key", (F.col("total") / F.col("pairs")).alias("average_distance"), S.match_type(F.col("best")).alias("match_type"), "pairs")
+
+
+def similar_stars(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """The groups of rows ``(id, h)`` that pairs within ``low`` and ``high`` bits connect, as :func:`star_groups` scores them."""
+    counts = simjoin.signature_counts(rows)
+    named = _named(counts, connected_components(simjoin.spanning_edges(counts, low, high), "h", "other"), copies=low == 0)
+    others = rows.filter("id IS NOT NULL").select("id", "h").join(named, "h").filter("id <> group_key")
+    return _scored(others.select("group_key", F.col("id").alias("member"), F.col("h").alias("own"), "ref"))
+
+
 def duplicate_groups(stats: DataFrame, files: DataFrame, members: DataFrame) -> DataFrame:
     """One row per group of two or more: size, representative (largest file, ties to the greatest id), class, mean
     distance and the bytes that its other members hold.  ``files`` has ``id`` and ``size``; ``stats`` are those of
@@ -60,7 +93,7 @@ def summary(groups: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def class_summary(weighted: DataFrame) -> DataFrame:
-    """Pairs per class, from :func:`simjoin.weighted_pairs`."""
+    """Pairs per class, from :func:`simjoin.weighted_pairs` or :func:`simjoin.distance_counts`."""
     return weighted.groupBy(S.match_type(F.col("distance")).alias("match_type")).agg(F.sum("pairs").alias("pairs"))
 
 
@@ -68,7 +101,11 @@ def star_groups(members: DataFrame, hashes: DataFrame) -> DataFrame:
     """Each group scored against its reference (the smallest id): rows ``(reference, member, distance, ...)``."""
     h = hashes.select("id", "h")
     others = members.filter("id <> group_key").join(h, "id").select("group_key", F.col("id").alias("member"), F.col("h").alias("own"))
-    scored = others.join(h.select(F.col("id").alias("group_key"), F.col("h").alias("ref")), "group_key").withColumn("distance", S.hamming(F.col("own"), F.col("ref")).cast("int"))
+    return _scored(others.join(h.select(F.col("id").alias("group_key"), F.col("h").alias("ref")), "group_key"))
+
+
+def _scored(others: DataFrame) -> DataFrame:
+    scored = others.withColumn("distance", S.hamming(F.col("own"), F.col("ref")).cast("int"))
     return scored.select(F.col("group_key").alias("reference"), "member", "distance", S.similarity(F.col("distance")).alias("similarity_percent"), S.match_type(F.col("distance")).alias("match_type"))
 
 

@@ -11,7 +11,7 @@ classic scheme and may lose pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
+from ..tables import Workspace
+from .components import connected_components, contract
 
 #: Distance presets.
 STRICT, NORMAL, LOOSE, DEFAULT_THRESHOLD = 5, 8, 10, 8
@@ -29,9 +31,17 @@ STRICT, NORMAL, LOOSE, DEFAULT_THRESHOLD = 5, 8, 10, 8
 #: A band value with more signatures than this is split over several tasks.
 BUCKET_ROWS = 2000
 #: Measured CPU seconds: of one comparison in a block, one row that is looked up, one pair that a lookup meets.
-COMPARISON_S, LOOKUP_S, MEETING_S = 4e-9, 1.5e-6, 6e-8
+COMPARISON_S, LOOKUP_S, MEETING_S = 2e-9, 1.5e-6, 6e-8
 #: Signatures of a block of the product, and the least number of blocks (so that all cores have work).
-BLOCK, LEAST_BLOCKS = 16_384, 4
+BLOCK, LEAST_BLOCKS = 32_768, 8
+#: Up to so many rows a signature, rows are compared themselves, so that no pair of signatures need be joined with its rows.
+COPIES = 2
+#: Signatures of a block where a first look at each is enough.
+SMALL_BLOCK = 8_192
+#: Comparisons at once (in the processor's cache), hits that are handed on together, and the most tasks of a product.
+STEP, HITS, MOST_TASKS = (16, 4_096), 200_000, 2_000
+#: Up to so many bands, different candidate pairs are counted by sets of bands.
+SUBSET_BANDS = 8
 #: Signatures by which the recurrence of band values is measured.
 SAMPLE = 20_000
 Layout = list[tuple[int, int, int]]
@@ -99,44 +109,220 @@ def choose_plan(distinct: DataFrame, n: int, threshold: int) -> Layout | None:
     return best if _lookup_cost(n, best, measured) < product else None
 
 
+def _blocks(rows: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+    """Rows ``(block, <column>s)``: the rows, none of which is null, dealt to blocks by a hash of the first column, as arrays."""
+    return rows.groupBy(F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).cast("int").alias("block")).agg(*[F.collect_list(c).alias(c) for c in columns])
+
+
+def _tiles(packed: DataFrame, columns: list[str], ones: Column, others: Column, tiles: int, more: DataFrame | None = None) -> DataFrame:
+    """Rows ``(i, j, side, <column>s)``: blocks ``i`` (side 0) and ``j`` (side 1) of each tile, one after the other in a partition.
+    A block is side 0 of the tiles ``(block, ones)`` and side 1 of the tiles ``(others, block)``; the blocks of side 0 are those
+    of ``more``, if it is given."""
+    first = packed if more is None else more
+    left = first.select(F.col("block").alias("i"), F.explode(ones).alias("j"), F.lit(0).alias("side"), *columns)
+    right = packed.select(F.explode(others).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns)
+    return left.union(right).repartition(max(1, min(tiles, MOST_TASKS)), "i", "j").sortWithinPartitions("i", "j", "side")
+
+
+def _all_tiles(rows: DataFrame, columns: list[str], n: int, block: int) -> DataFrame:
+    """The tiles of every pair of blocks, once."""
+    blocks = max(LEAST_BLOCKS, -(-n // block))
+    b, last = F.col("block"), F.lit(blocks - 1)
+    return _tiles(_blocks(rows, columns, blocks), columns, F.sequence(b, last), F.sequence(F.lit(0), b), blocks * (blocks + 1) // 2)
+
+
+def _hits(x: np.ndarray, y: np.ndarray, low: int, high: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in both and distances of the pairs within ``low`` and ``high`` bits, about ``HITS`` at once; each pair of a block with itself once."""
+    held, size = [], 0
+    for a in range(0, len(x), STEP[0]):
+        one = x[a : a + STEP[0], None]
+        for b in range((a // STEP[1]) * STEP[1] if same else 0, len(y), STEP[1]):
+            two = y[None, b : b + STEP[1]]
+            apart = np.bitwise_count(one ^ two).ravel()
+            at = np.flatnonzero(apart <= high)
+            if low:
+                at = at[apart[at] >= low]
+            if not len(at):
+                continue
+            i, j = np.divmod(at, two.shape[1])
+            i, j, apart = i + a, j + b, apart[at]
+            if same:
+                once = i < j
+                i, j, apart = i[once], j[once], apart[once]
+            held.append((i, j, apart.astype(np.int64)))
+            size += len(i)
+            if size >= HITS:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _compared(found: Callable, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``found(left, right, same)`` for each tile with the columns of its two blocks, and hands on the arrays that it yields."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, key = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j, side = (batch.column(c)[k].as_py() for c in range(3))
+                arrays = [batch.column(c)[k].values for c in range(3, batch.num_columns)]
+                if side == 0:
+                    left, key = arrays, (i, j)
+                elif key == (i, j):  # a block may be empty
+                    for columns in found(left, arrays, i == j):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run
+
+
+def _unsigned(h: pa.Array) -> np.ndarray:
+    return h.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def product_pairs(distinct: DataFrame, threshold: int, n: int, block: int = BLOCK) -> DataFrame:
     """Pairs ``(h_a, h_b, distance)`` by comparing all signatures, block by block.
 
-    Signatures are dealt to blocks by a hash; each pair of blocks is a group of two rows that hold the blocks as arrays.
+    Signatures are dealt to blocks by a hash; a tile is a pair of blocks, whose signatures are compared in one task.
     """
-    blocks = max(LEAST_BLOCKS, -(-n // block))
-    packed = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("h").alias("hs"))
-    left = packed.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.col("hs").alias("left"))
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("hs").alias("right"))
-
-    def compared(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
-        a, b, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        if one.num_columns and two.num_columns and one.num_rows and two.num_rows:  # a block may be empty
-            x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64) for t, c in ((one, "left"), (two, "right")))
-            same, step = key[0].as_py() == key[1].as_py(), max(1, (1 << 21) // max(1, len(y)))
-            for at in range(0, len(x), step):
-                apart = np.bitwise_count(x[at : at + step, None] ^ y[None])
-                i, j = np.nonzero(apart <= threshold)
-                if same:  # each pair once, and none with itself
-                    once = i + at < j
-                    i, j = i[once], j[once]
-                a.append(x[at + i])
-                b.append(y[j])
-                d.append(apart[i, j].astype(np.int32))
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        return pa.table({"h_a": np.minimum(a, b), "h_b": np.maximum(a, b), "distance": np.concatenate(d)})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compared, "h_a long, h_b long, distance int")
-
-
-def _spread(entries: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds ``part`` to both sides: a frequent value's signatures are dealt to several parts, its lookups go to each."""
+
+    def found(left, right, same):
+        x, y = _unsigned(left[0]), _unsigned(right[0])
+        for i, j, d in _hits(x, y, 0, threshold, same):
+            a, b = x[i].view(np.int64), y[j].view(np.int64)
+            yield np.minimum(a, b), np.maximum(a, b), d.astype(np.int32)
+
+    tiles = _all_tiles(distinct.select("h"), ["h"], n, block)
+    return tiles.mapInArrow(_compared(found, ["h_a", "h_b", "distance"]), "h_a long, h_b long, distance int")
+
+
+def product_rows(rows: DataFrame, threshold: int, n: int, carried: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Pairs ``(a, b, distance)``, ``a < b``, of rows ``(id, h)`` by comparing all of them, block by block, so no pair is shuffled.
+    ``carried`` columns, of numbers that are not null, come along as ``<column>_a`` and ``<column>_b``."""
+    columns = ["id", "h", *carried]
+
+    def found(left, right, same):
+        x, y = _unsigned(left[1]), _unsigned(right[1])
+        left, right = ([c.to_numpy(zero_copy_only=False) for c in (side[0], *side[2:])] for side in (left, right))
+        for i, j, d in _hits(x, y, 0, threshold, same):
+            ordered = left[0][i] < right[0][j]
+            pair = [(np.where(ordered, p[i], q[j]), np.where(ordered, q[j], p[i])) for p, q in zip(left, right, strict=True)]
+            yield [*pair[0], d.astype(np.int32), *[c for both in pair[1:] for c in both]]
+
+    names = ["a", "b", "distance", *[f"{c}_{side}" for c in carried for side in "ab"]]
+    kind = {f.name: f.dataType.simpleString() for f in rows.select(*columns).schema}
+    types = [kind["id"], kind["id"], "int", *[kind[c] for c in carried for _ in "ab"]]
+    tiles = _all_tiles(rows.select(*columns), columns, n, block)
+    return tiles.mapInArrow(_compared(found, names), ", ".join(f"{name} {t}" for name, t in zip(names, types, strict=True)))
+
+
+def distance_counts(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows ``(distance, pairs)``: how many pairs of rows ``(id, h)`` have each distance within the threshold.  Pairs are counted where
+    signatures are compared, so none is kept."""
+    check_threshold(threshold)
+    counts = signature_counts(rows)
+
+    def found(left, right, same):
+        (x, n_x), (y, n_y) = ((_unsigned(side[0]), side[1].to_numpy(zero_copy_only=False)) for side in (left, right))
+        total = np.zeros(threshold + 1, np.int64)
+        for i, j, d in _hits(x, y, 0, threshold, same):
+            np.add.at(total, d, n_x[i] * n_y[j])
+        known = np.flatnonzero(total)
+        yield known.astype(np.int32), total[known]
+
+    different = _all_tiles(counts.select("h", "n"), ["h", "n"], counts.count(), BLOCK).mapInArrow(_compared(found, ["distance", "pairs"]), "distance int, pairs long")
+    copies = counts.filter("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return different.union(copies).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
+
+
+def signature_counts(rows: DataFrame) -> DataFrame:
+    """Rows ``(h, first, n)``: each signature, its smallest row and the number of its rows, written once."""
+    counts = rows.filter("id IS NOT NULL AND h IS NOT NULL").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    return Workspace(rows.sparkSession, "counts").save(counts, "rows")
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels of nodes ``a`` and ``b`` made equal."""
+    one, two = label[a], label[b]
+    apart = one != two
+    if not apart.any():
+        return label
+    nodes, lowest = contract(one[apart], two[apart])
+    new = np.arange(len(label))
+    new[nodes] = lowest
+    return new[label]
+
+
+def _forest(low: int, high: int):
+    """For each tile ``(h, other)``: edges that connect what its pairs within ``low`` and ``high`` bits connect, fewer than its signatures."""
+
+    def found(left, right, same):
+        x, y = _unsigned(left[0]), _unsigned(right[0])
+        label, shift = np.arange(len(x) if same else len(x) + len(y)), 0 if same else len(x)
+        for i, j, _ in _hits(x, y, low, high, same):
+            label = _joined(label, i, j + shift)
+        h = (x if same else np.concatenate([x, y])).view(np.int64)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield h[moved], h[label[moved]]
+
+    return _compared(found, ["h", "other"])
+
+
+def spanning_edges(counts: DataFrame, low: int, high: int, block: int = SMALL_BLOCK) -> DataFrame:
+    """Edges ``(h, other)`` that connect the same signatures as all pairs within ``low`` and ``high`` bits.
+
+    Blocks are compared with themselves and the next one; then the signatures outside of the largest component, each with all
+    others.  A pair inside of that component connects nothing more, and every other pair has an end outside of it, so none that
+    counts is missed.
+    """
+    work, h, n = Workspace(counts.sparkSession, "spanning"), counts.select("h"), counts.count()
+    blocks, b = -(-n // block), F.col("block")
+    if blocks <= LEAST_BLOCKS:
+        return work.save(_all_tiles(h, ["h"], n, block).mapInArrow(_forest(low, high), "h long, other long"), "edges")
+    ring = _tiles(_blocks(h, ["h"], blocks), ["h"], F.array(b, (b + 1) % blocks), F.array(b, (b + blocks - 1) % blocks), 2 * blocks)
+    near = work.save(ring.mapInArrow(_forest(low, high), "h long, other long"), "near")
+    linked = work.save(connected_components(near, "h", "other"), "linked")
+    largest = linked.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    inside = linked.join(F.broadcast(largest), "component").select(F.col("node").alias("h"))
+    rest = work.save(h.join(inside, "h", "left_anti"), "rest")
+    some, all_ = max(1, -(-rest.count() // BLOCK)), max(LEAST_BLOCKS, -(-n // BLOCK))
+    # A pair of two signatures of the rest is met twice, and one with itself at no bits, which connects nothing.
+    tiles = _tiles(_blocks(h, ["h"], all_), ["h"], F.sequence(F.lit(0), F.lit(all_ - 1)), F.sequence(F.lit(all_), F.lit(all_ + some - 1)), all_ * some, _blocks(rest, ["h"], some).withColumn("block", b + all_))
+    far = work.save(tiles.mapInArrow(_forest(low, high), "h long, other long"), "far")
+    return near.union(far)
+
+
+def signature_links(counts: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Rows ``(h, other, pairs, total, best)`` for signatures ``(h, n)``: of each tile, edges ``(h, other)`` that connect what its pairs connect, and
+    the number of pairs of rows that ``h`` is the first of, the sum of their distances and the least; no pair is kept."""
+
+    def found(left, right, same):
+        (x, n_x), (y, n_y) = ((_unsigned(side[0]), side[1].to_numpy(zero_copy_only=False)) for side in (left, right))
+        label, shift = np.arange(len(x) if same else len(x) + len(y)), 0 if same else len(x)
+        pairs, total, best = np.zeros(len(label), np.int64), np.zeros(len(label), np.int64), np.full(len(label), 127, np.int64)
+        for i, j, d in _hits(x, y, 0, threshold, same):
+            label = _joined(label, i, j + shift)
+            weight = n_x[i] * n_y[j]
+            np.add.at(pairs, i, weight)
+            np.add.at(total, i, weight * d)
+            np.minimum.at(best, i, d)
+        h = (x if same else np.concatenate([x, y])).view(np.int64)
+        known = np.flatnonzero((label != np.arange(len(label))) | (pairs > 0))
+        yield h[known], h[label[known]], pairs[known], total[known], best[known].astype(np.int32)
+
+    tiles = _all_tiles(counts.select("h", "n"), ["h", "n"], counts.count(), block)
+    links = tiles.mapInArrow(_compared(found, ["h", "other", "pairs", "total", "best"]), "h long, other long, pairs long, total long, best int")
+    return Workspace(counts.sparkSession, "links").save(links, "rows")
+
+
+def _spread(entries: DataFrame, probes: DataFrame, by: str = "h_b") -> tuple[DataFrame, DataFrame]:
+    """Adds ``part`` to both sides: a frequent value's entries are dealt to several parts by ``by``, its lookups go to each."""
     many = entries.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
     many = many.select("band", "value", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"))
     if not many.take(1):
         return entries.withColumn("part", F.lit(0)), probes.withColumn("part", F.lit(0))
     parts = F.coalesce("parts", F.lit(1))
-    left = entries.join(many, ["band", "value"], "left").withColumn("part", F.pmod(F.xxhash64("h_b"), parts).cast("int")).drop("parts")
+    left = entries.join(many, ["band", "value"], "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
     right = probes.join(many, ["band", "value"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return left, right
 
@@ -161,6 +347,24 @@ def lookup_pairs(distinct: DataFrame, layout: Layout, threshold: int) -> DataFra
     return joined.filter(F.col("band") == first).select("h_a", "h_b", "distance")
 
 
+def band_pairs(rows: DataFrame, threshold: int, bands: int = 4, min_matching: int = 1) -> DataFrame:
+    """Verified pairs ``(a, b, distance)``, ``a < b``, of rows ``(id, h)`` that share ``min_matching`` bands or more.
+
+    A pair counts in the first band that it shares, so pairs are not grouped; frequent values are dealt to several parts.
+    """
+    layout = S.band_layout(bands)
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), S.band(F.col("h"), i, start, width).alias("value")) for i, (start, width) in enumerate(layout)]))
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("h").alias(f"h_{x}"), entries.alias("e")).select("e.band", "e.value", x, f"h_{x}")
+    right, left = _spread(side("b"), side("a"), "b")
+    x = F.col("h_a").bitwiseXOR(F.col("h_b"))
+    shared = [S.band(x, i, start, width) == 0 for i, (start, width) in enumerate(layout)]
+    near = left.join(right, ["band", "value", "part"]).filter("a < b").withColumn("distance", S.hamming(F.col("h_a"), F.col("h_b")).cast("int")).filter(F.col("distance") <= threshold)
+    once = near.filter(F.col("band") == F.coalesce(*[F.when(s, F.lit(i)) for i, s in enumerate(shared)]))
+    if min_matching > 1:
+        once = once.filter(sum((s.cast("int") for s in shared[1:]), shared[0].cast("int")) >= min_matching)
+    return once.select("a", "b", "distance")
+
+
 def signature_pairs(distinct: DataFrame, threshold: int, candidates: str = "exact", bands: int = 4, min_matching: int = 1) -> DataFrame:
     """Verified pairs ``(h_a, h_b, distance)`` of different signatures."""
     check_threshold(threshold)
@@ -171,8 +375,7 @@ def signature_pairs(distinct: DataFrame, threshold: int, candidates: str = "exac
         return product_pairs(hashes, threshold, n) if layout is None else lookup_pairs(hashes, layout, threshold)
     if candidates != "lsh":
         raise ValueError("candidates must be 'exact', 'auto' or 'lsh'")
-    pairs = candidate_pairs(distinct, bands, min_matching)
-    return pairs.withColumn("distance", S.hamming(F.col("h_a"), F.col("h_b")).cast("int")).filter(F.col("distance") <= threshold)
+    return band_pairs(distinct.select(F.col("h").alias("id"), "h"), threshold, bands, min_matching).withColumnsRenamed({"a": "h_a", "b": "h_b"})
 
 
 def weighted_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, **options) -> DataFrame:
@@ -185,23 +388,34 @@ def weighted_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, **option
     return different.union(counts.filter("n > 1").select("first", "first", F.lit(0), F.expr("n * (n - 1) div 2")))
 
 
-def similar_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, candidates: str = "exact", bands: int = 4, min_matching: int = 1) -> DataFrame:
+def similar_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, candidates: str = "exact", bands: int = 4, min_matching: int = 1, carried: tuple[str, ...] = ()) -> DataFrame:
     """Pairs ``(a, b, distance)``, ``a < b``, of rows ``(id, h)`` within the threshold.
 
-    Rows with a null id or signature take part in no pair.
+    Rows with a null id or signature take part in no pair.  ``carried`` columns, of numbers that are not null, come along as
+    ``<column>_a`` and ``<column>_b`` (not with ``lsh``), so pairs need not be joined with the rows again.
     """
-    known = rows.filter("id IS NOT NULL AND h IS NOT NULL").select("id", "h")
-    links = signature_pairs(known.select("h").distinct(), threshold, candidates, bands, min_matching)
-    a, b = known.select(F.col("id").alias("i"), F.col("h").alias("h_a")), known.select(F.col("id").alias("j"), F.col("h").alias("h_b"))
-    different = links.join(a, "h_a").join(b, "h_b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
-    equal = a.join(b, F.col("h_a") == F.col("h_b")).filter("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
+    check_threshold(threshold)
+    known = rows.filter("id IS NOT NULL AND h IS NOT NULL").select("id", "h", *carried)
+    if candidates == "lsh":
+        if carried:
+            raise ValueError("carried columns need exact candidates")
+        return band_pairs(known, threshold, bands, min_matching)
+    hashes, n = known.select("h").distinct(), known.count()
+    different = hashes.count()
+    if n <= COPIES * different and choose_plan(hashes, different, threshold) is None:
+        return product_rows(known, threshold, n, carried)
+    links = signature_pairs(hashes, threshold, candidates, bands, min_matching)
+    a, b = (known.select(F.col("id").alias(i), F.col("h").alias(f"h_{side}"), *[F.col(c).alias(f"{c}_{i}") for c in carried]) for i, side in (("i", "a"), ("j", "b")))
+    either = [F.when(F.col("i") < F.col("j"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{side}") for c in carried for side, x, y in (("a", "i", "j"), ("b", "j", "i"))]
+    different = links.join(a, "h_a").join(b, "h_b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance", *either)
+    equal = a.join(b, F.col("h_a") == F.col("h_b")).filter("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"), *either)
     return different.union(equal)
 
 
 def matches(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, classify: Callable[[Column], Column] = S.match_type, **options) -> DataFrame:
     """Pairs with ``distance``, ``similarity_percent`` and ``match_type``."""
     pairs = similar_pairs(rows, threshold, **options)
-    return pairs.select("a", "b", "distance", S.similarity(F.col("distance")).alias("similarity_percent"), classify(F.col("distance")).alias("match_type"))
+    return pairs.select("a", "b", "distance", S.similarity(F.col("distance")).alias("similarity_percent"), classify(F.col("distance")).alias("match_type"), *pairs.columns[3:])
 
 
 def links(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, **options) -> DataFrame:
@@ -232,9 +446,11 @@ def index_stats(rows: DataFrame, bands: int = 4) -> DataFrame:
 
 
 def fusion_votes(rows: DataFrame, pairs: DataFrame, threshold: int = DEFAULT_THRESHOLD, hashes: tuple[str, ...] = ("ahash", "dhash", "phash")) -> DataFrame:
-    """Two-of-three voting over candidate pairs ``(a, b)``: distances, votes, confidence and the least matching distance."""
+    """Two-of-three voting over candidate pairs ``(a, b)``, which may carry the hashes: distances, votes, confidence and the least
+    matching distance."""
     left, right = (rows.select(F.col("id").alias(side), *[F.col(h).alias(f"{h}_{side}") for h in hashes]) for side in ("a", "b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    carried = {f"{h}_{side}" for h in hashes for side in ("a", "b")} <= set(pairs.columns)
+    joined = pairs if carried else pairs.select("a", "b").join(left, "a").join(right, "b")
     distance = {h: S.hamming(F.col(f"{h}_a"), F.col(f"{h}_b")).cast("int") for h in hashes}
     d = joined.select("a", "b", *[v.alias(f"{h}_distance") for h, v in distance.items()])
     within = [F.coalesce(F.col(f"{h}_distance") <= threshold, F.lit(False)) for h in hashes]

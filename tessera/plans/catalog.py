@@ -176,10 +176,7 @@ def two_phase_candidates(spark, d):
 
 
 def _stars(spark, d):
-    h = proxies.signatures(spark, d)
-    weighted = simjoin.weighted_pairs(h, 15).filter(F.col("distance") >= 5)
-    members, _ = G.signature_members(Workspace(spark, "similar").save(weighted, "pairs"), h)
-    return G.star_groups(members, h)
+    return G.similar_stars(proxies.signatures(spark, d), 5, 15)
 
 
 _STARS = f"""WITH RECURSIVE {_pairs(5, 15)}, stars AS MATERIALIZED (SELECT g AS reference, c.id AS member, CAST(bit_count(xor(s.h, r.h)) AS INTEGER) AS distance FROM comp c JOIN sig s ON s.id = c.id JOIN sig r ON r.id = c.g WHERE c.id <> c.g) """
