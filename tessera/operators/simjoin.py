@@ -432,13 +432,24 @@ def index_stats(rows: DataFrame, bands: int = 4) -> DataFrame:
     """One row on the band index over all rows: buckets, largest and mean bucket, pairs of each bucket, different candidate pairs,
     naive pairs, and how many times fewer the candidates are (the naive pairs where there are none)."""
     known = rows.filter("h IS NOT NULL").select("h")
-    buckets = banded(known, bands).groupBy("band", "value").agg(F.count("*").alias("n"))
-    total = buckets.agg(F.count("*").alias("buckets"), F.coalesce(F.max("n"), F.lit(0)).alias("max_bucket"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("bucket_pairs"))
-    # Candidates are counted by signatures and the numbers of rows that have them.
     counts = known.groupBy("h").agg(F.count("*").alias("n"))
-    side = lambda x: counts.select(F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"))
-    different = candidate_pairs(counts.select("h"), bands).join(side("a"), "h_a").join(side("b"), "h_b").select((F.col("n_a") * F.col("n_b")).alias("pairs"))
-    met = different.union(counts.select(F.expr("n * (n - 1) div 2"))).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("candidates"))
+    if bands > SUBSET_BANDS:
+        buckets = banded(known, bands).groupBy("band", "value").agg(F.count("*").alias("n"))
+        side = lambda x: counts.select(F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"))
+        different = candidate_pairs(counts.select("h"), bands).join(side("a"), "h_a").join(side("b"), "h_b").select((F.col("n_a") * F.col("n_b")).alias("pairs"))
+        met = different.union(counts.select(F.expr("n * (n - 1) div 2"))).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("candidates"))
+    else:
+        # Pairs that agree on any band, by inclusion and exclusion of those that agree on all bands of a set: no pair is made.
+        layout = S.band_layout(bands)
+        sets = [s for k in range(1, bands + 1) for s in combinations(range(bands), k)]
+        masks = [sum(((1 << layout[i][1]) - 1) << layout[i][0] for i in s) for s in sets]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        entries = F.array(*[F.struct(F.lit(i).alias("set"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)])
+        grouped = counts.select("n", F.explode(entries).alias("e")).groupBy("e.set", "e.value").agg(F.sum("n").alias("n"))
+        sign = F.element_at(F.array(*[F.lit(1 if len(s) % 2 else -1) for s in sets]), F.col("set") + 1)
+        buckets = grouped.filter(F.col("set") < bands)
+        met = grouped.agg(F.coalesce(F.sum(sign * F.expr("n * (n - 1) div 2")), F.lit(0)).alias("candidates"))
+    total = buckets.agg(F.count("*").alias("buckets"), F.coalesce(F.max("n"), F.lit(0)).alias("max_bucket"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("bucket_pairs"))
     row = total.join(F.broadcast(met))  # one row each
     naive = F.expr(f"(entries div {bands}) * greatest(entries div {bands} - 1, 0) div 2")
     reduction = naive / F.greatest("candidates", F.lit(1))

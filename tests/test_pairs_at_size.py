@@ -129,3 +129,15 @@ def test_pairs_of_bands_equal_brute_force(spark, monkeypatch, bucket_rows, min_m
     shared = lambda a, b: sum(((h[a] ^ h[b]) >> (16 * i)) & 65535 == 0 for i in range(4))
     pairs = simjoin.similar_pairs(frame(spark, rows), 8, candidates="lsh", min_matching=min_matching)
     assert sorted(map(tuple, pairs.collect())) == sorted(p for p in brute(rows, 0, 8) if shared(*p[:2]) >= min_matching)
+
+
+@pytest.mark.parametrize("bands", [4, 9])
+def test_index_statistics_make_no_pairs(spark, bands):
+    rows = library()
+    layout = S.band_layout(bands)
+    alike = lambda x: any((x >> start) & ((1 << width) - 1) == 0 for start, width in layout)
+    candidates = sum(alike((g ^ h) & (1 << 64) - 1) for i, (_, g) in enumerate(rows) for _, h in rows[:i])
+    df = simjoin.index_stats(frame(spark, rows).dropna(), bands)
+    assert df.first().candidates == candidates and df.first().rows == len(rows)
+    if bands == 4:
+        assert "h_a" not in plan_of(df)
