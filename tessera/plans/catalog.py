@@ -77,9 +77,7 @@ def _sizes(spark, d):
 
 def _grouped(spark, d):
     """(members, groups) of the documents at the default threshold."""
-    work, h = Workspace(spark, "groups"), proxies.signatures(spark, d)
-    weighted = work.save(simjoin.weighted_pairs(h), "pairs")
-    members, stats = G.signature_members(weighted, h)
+    members, stats = G.signature_groups(proxies.signatures(spark, d))
     return members, G.duplicate_groups(stats, _sizes(spark, d), members)
 
 
