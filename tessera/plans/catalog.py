@@ -124,7 +124,7 @@ def dup_summary(spark, d):
 
 @query(f"WITH RECURSIVE {_pairs(0, 12)} SELECT {CLASS.format(d='distance')} AS match_type, count(*) AS pairs FROM pairs GROUP BY 1")
 def match_type_summary(spark, d):
-    return G.class_summary(simjoin.weighted_pairs(proxies.signatures(spark, d), 12))
+    return G.class_summary(simjoin.distance_counts(proxies.signatures(spark, d), 12))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY n_chars) AS n FROM documents) WHERE n >= 2")
