@@ -165,7 +165,7 @@ SELECT *, CASE votes WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' E
 @query(_FUSION)
 def fusion_votes(spark, d):
     h = proxies.three_hashes(spark, d)
-    return simjoin.fusion_votes(h, simjoin.similar_pairs(h.select("id", F.col("dhash").alias("h")), 8))
+    return simjoin.fusion_votes(h, simjoin.similar_pairs(h.withColumn("h", F.col("dhash")), 8, carried=("ahash", "dhash", "phash")))
 
 
 @query(f"WITH RECURSIVE {_pairs(0, 4)} SELECT DISTINCT a AS doc_id FROM edges")
