@@ -126,10 +126,8 @@ def exif_times(spark, d):
 @query(f"""WITH RECURSIVE {_pairs(0, 8)} SELECT p.a, p.b, CASE WHEN distance = 0 THEN 'Exact Match' WHEN distance <= 4 THEN 'Near-Exact Match' ELSE 'Similar' END || ': ' || (64 - distance) || ' bits agree, ' || distance || ' of 64 differ' AS details,
 64 AS bits, format('{{:x}}', s.h) AS hash_a, format('{{:x}}', t.h) AS hash_b FROM pairs p JOIN sig s ON s.id = a JOIN sig t ON t.id = b""")
 def explain_details(spark, d):
-    h = proxies.signatures(spark, d)
-    side = lambda x: h.select(F.col("id").alias(x), F.col("h").alias(f"h_{x}"))
-    rows = simjoin.matches(h, 8).join(side("a"), "a").join(side("b"), "b")
-    e = wording.explain(F.col("distance"), F.col("match_type"), F.col("similarity_percent"), F.col("h_a"), F.col("h_b"))
+    rows = simjoin.matches(proxies.signatures(spark, d).withColumn("own", F.col("h")), 8, carried=("own",))
+    e = wording.explain(F.col("distance"), F.col("match_type"), F.col("similarity_percent"), F.col("own_a"), F.col("own_b"))
     return rows.select("a", "b", e.alias("e")).select("a", "b", "e.details", "e.bits", "e.hash_a", "e.hash_b")
 
 
