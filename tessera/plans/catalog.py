@@ -574,9 +574,8 @@ _MAP = " || chr(10) || ".join("(" + " || ".join(f"CASE WHEN (x >> {8 * r + c}) &
 
 @query(f"WITH RECURSIVE {_pairs(0, 4)} SELECT a, b, {_MAP} AS difference_map, distance || ' of 64 bits differ (' || printf('%.1f', 100.0::DOUBLE - distance / 64.0::DOUBLE * 100) || '% similar)' AS summary FROM (SELECT p.*, xor(s.h, t.h) AS x FROM pairs p JOIN sig s ON s.id = a JOIN sig t ON t.id = b)")
 def hash_diff_map(spark, d):
-    h = proxies.signatures(spark, d)
-    rows = simjoin.similar_pairs(h, 4).join(h.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(h.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
-    return rows.select("a", "b", wording.difference_map(F.col("x"), F.col("y")).alias("difference_map"), wording.difference_summary(F.col("distance")).alias("summary"))
+    rows = simjoin.similar_pairs(proxies.signatures(spark, d).withColumn("own", F.col("h")), 4, carried=("own",))
+    return rows.select("a", "b", wording.difference_map(F.col("own_a"), F.col("own_b")).alias("difference_map"), wording.difference_summary(F.col("distance")).alias("summary"))
 
 
 @query(f"""WITH RECURSIVE {_pairs()}, m AS (SELECT a, b, distance, (1 - distance / 64.0::DOUBLE) * 100 AS s FROM pairs)
