@@ -400,6 +400,8 @@ def similar_pairs(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD, candidate
         if carried:
             raise ValueError("carried columns need exact candidates")
         return band_pairs(known, threshold, bands, min_matching)
+    if candidates not in ("exact", "auto"):
+        raise ValueError("candidates must be 'exact', 'auto' or 'lsh'")
     hashes, n = known.select("h").distinct(), known.count()
     different = hashes.count()
     if n <= COPIES * different and choose_plan(hashes, different, threshold) is None:
