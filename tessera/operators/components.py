@@ -2,7 +2,8 @@
 
 A round deals every edge to both of its nodes, so a partition holds all edges of its nodes, and contracts what hangs together
 there to stars around the smallest node.  That is one shuffle a round, and does at least what joining every node to its smallest
-neighbour does; few rounds are needed, as each merges all that its partitions can see.  A round that changes nothing ends it: then
+neighbour does; few rounds are needed, as each merges all that its partitions can see.  Before the rounds, edges are contracted where they
+are, without a shuffle; if a forest of at most ``FEW_EDGES`` edges is left, one more contraction ends it and no round is needed.  A round that changes nothing ends it: then
 every node has one edge, to the smallest node of its component.  A round's edges are written to the shared folder, so the plan
 stays short and an executor may be lost at any time.  Only counters reach the driver.
 """
@@ -21,7 +22,9 @@ from ..tables import Workspace
 #: Edges of one node that may go to one partition; a node with more is dealt to several.
 HOT_DEGREE = 100_000
 #: Edges that a task holds at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: So few edges are one chunk, as one task holds it anyway; more go through rounds.
+FEW_EDGES = 200_000
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,15 +94,18 @@ def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60,
     """
     work = Workspace(edges.sparkSession, "components")
     clean = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    current = work.save(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges_0")
-    kind = current.schema["u"].dataType.simpleString()
+    kind = clean.schema["u"].dataType.simpleString()
+    stars = lambda arcs: arcs.mapInArrow(_contracted(chunk), f"u {kind}, v {kind}")
+    current = work.save(stars(clean), "edges_0")
     fingerprint = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = current.agg(*fingerprint).first()
+    if 0 < before[0] <= min(FEW_EDGES, chunk):
+        current, before = work.save(stars(current.coalesce(1)), "edges_one"), (0,)
+        work.drop("edges_0", release=False)
     for i in range(1, max_rounds + 1):
         if not before[0]:
             break
-        stars = _dealt(current, before[0], hot_degree).mapInArrow(_contracted(chunk), f"u {kind}, v {kind}").distinct()
-        current = work.save(stars, f"edges_{i}")
+        current = work.save(stars(_dealt(current, before[0], hot_degree)).distinct(), f"edges_{i}")
         now = current.agg(*fingerprint).first()
         work.drop(f"edges_{i - 1}", release=False)
         if now == before:
