@@ -32,8 +32,12 @@ STRICT, NORMAL, LOOSE, DEFAULT_THRESHOLD = 5, 8, 10, 8
 BUCKET_ROWS = 2000
 #: Measured CPU seconds: of one comparison in a block, one row that is looked up, one pair that a lookup meets.
 COMPARISON_S, LOOKUP_S, MEETING_S = 2e-9, 1.5e-6, 6e-8
-#: Signatures of a block of the product, and the least number of blocks (so that all cores have work).
-BLOCK, LEAST_BLOCKS = 32_768, 8
+#: Signatures of a block of the product, and the least number of blocks (so that all cores have work).  Blocks are large, so that what
+#: tiles hand on grows with the signatures and not with their square.
+BLOCK, LEAST_BLOCKS = 524_288, 8
+#: Of a tile that is looked up: bands, most radius, candidates at once; measured CPU seconds of a comparison of all pairs, a candidate and a lookup.
+TILE_BANDS, TILE_RADIUS, CANDIDATES = 3, 2, 500_000
+TILE_COMPARISON_S, TILE_CANDIDATE_S, TILE_LOOKUP_S = 3.4e-9, 2e-8, 1e-8
 #: Up to so many rows a signature, rows are compared themselves, so that no pair of signatures need be joined with its rows.
 COPIES = 2
 #: Signatures of a block where a first look at each is enough.
@@ -121,7 +125,7 @@ def _tiles(packed: DataFrame, columns: list[str], ones: Column, others: Column,
     first = packed if more is None else more
     left = first.select(F.col("block").alias("i"), F.explode(ones).alias("j"), F.lit(0).alias("side"), *columns)
     right = packed.select(F.explode(others).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns)
-    return left.union(right).repartition(max(1, min(tiles, MOST_TASKS)), "i", "j").sortWithinPartitions("i", "j", "side")
+    return left.union(right).repartition(max(1, min(4 * tiles, MOST_TASKS)), "i", "j").sortWithinPartitions("i", "j", "side")
 
 
 def _all_tiles(rows: DataFrame, columns: list[str], n: int, block: int) -> DataFrame:
@@ -158,6 +162,69 @@ def _hits(x: np.ndarray, y: np.ndarray, low: int, high: int, same: bool) -> Iter
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
+def _within(x: np.ndarray, y: np.ndarray, layout: Layout) -> Iterator[np.ndarray]:
+    """For each band of the layout: do ``x`` and ``y`` agree on it up to its radius?"""
+    apart = x ^ y
+    for start, width, radius in layout:
+        yield np.bitwise_count((apart >> np.uint64(start)) & np.uint64((1 << width) - 1)) <= radius
+
+
+def _tile_layout(x: np.ndarray, y: np.ndarray, high: int) -> Layout | None:
+    """The bands by which a tile is looked up, or None where comparing all of its pairs is cheaper, by some of its pairs."""
+    layout = probe_layout(high, TILE_BANDS)
+    if max(radius for *_, radius in layout) > TILE_RADIUS or not len(x) or not len(y):
+        return None
+    some, others = x[:: -(-len(x) // 64)], y[:: -(-len(y) // 4096)]
+    met = sum(float(agree.mean()) for agree in _within(some[:, None], others[None], layout))
+    lookups = (len(x) * _probes(layout) + sum(1 << width for _, width, _ in layout)) * TILE_LOOKUP_S
+    return layout if lookups + len(x) * len(y) * met * TILE_CANDIDATE_S < len(x) * len(y) * TILE_COMPARISON_S else None
+
+
+def _looked_up(x: np.ndarray, y: np.ndarray, low: int, high: int, same: bool, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What :func:`_hits` gives, by looking the bands of ``x`` up in ``y`` at all values within their radius.  A pair counts in the first
+    band that finds it."""
+    held, size = [], 0
+    for k, (start, width, radius) in enumerate(layout):
+        v, w = (((z >> np.uint64(start)) & np.uint64((1 << width) - 1)).astype(np.int64) for z in (x, y))
+        order_x, order_y = np.argsort(v, kind="stable"), np.argsort(w, kind="stable")
+        v, x_k, y_k = v[order_x], x[order_x], y[order_y]
+        first = np.zeros((1 << width) + 1, np.int32)
+        np.cumsum(np.bincount(w, minlength=1 << width), out=first[1:])
+        for bits in (b for r in range(radius + 1) for b in combinations(range(width), r)):
+            flip = sum(1 << b for b in bits)
+            # Of a block with itself, a pair is met from the side whose highest flipped bit is not set.
+            at = np.flatnonzero((v >> bits[-1]) & 1 == 0) if same and bits else np.arange(len(v))
+            value = v[at] ^ flip
+            begin, n = first[value], first[value + 1] - first[value]
+            some = np.flatnonzero(n)
+            at, begin, n = at[some], begin[some], n[some]
+            ends = np.cumsum(n, dtype=np.int64)
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CANDIDATES, ends[-1] if len(ends) else 0, CANDIDATES)), len(at)])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                n_ab, before = n[a:b], ends[a - 1] if a else 0
+                i = np.repeat(at[a:b], n_ab)
+                j = np.arange(len(i)) + np.repeat(begin[a:b] - (ends[a:b] - n_ab - before), n_ab)
+                apart = np.bitwise_count(x_k[i] ^ y_k[j])
+                met = np.flatnonzero((apart <= high) & (apart >= low) if low else apart <= high)
+                i, j, apart = i[met], j[met], apart[met]
+                once = i < j if same and not bits else np.ones(len(i), bool)
+                for agree in _within(x_k[i], y_k[j], layout[:k]):
+                    once &= ~agree
+                held.append((order_x[i[once]], order_y[j[once]], apart[once].astype(np.int64)))
+                size += int(once.sum())
+                if size >= HITS:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _near(x: np.ndarray, y: np.ndarray, low: int, high: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in both and distances of the pairs within ``low`` and ``high`` bits, each once, by the cheaper of two ways."""
+    layout = _tile_layout(x, y, high)
+    yield from _hits(x, y, low, high, same) if layout is None else _looked_up(x, y, low, high, same, layout)
+
+
 def _compared(found: Callable, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Calls ``found(left, right, same)`` for each tile with the columns of its two blocks, and hands on the arrays that it yields."""
 
@@ -188,7 +255,7 @@ def product_pairs(distinct: DataFrame, threshold: int, n: int, block: int = BLOC
 
     def found(left, right, same):
         x, y = _unsigned(left[0]), _unsigned(right[0])
-        for i, j, d in _hits(x, y, 0, threshold, same):
+        for i, j, d in _near(x, y, 0, threshold, same):
             a, b = x[i].view(np.int64), y[j].view(np.int64)
             yield np.minimum(a, b), np.maximum(a, b), d.astype(np.int32)
 
@@ -204,7 +271,7 @@ def product_rows(rows: DataFrame, threshold: int, n: int, carried: tuple[str, ..
     def found(left, right, same):
         x, y = _unsigned(left[1]), _unsigned(right[1])
         left, right = ([c.to_numpy(zero_copy_only=False) for c in (side[0], *side[2:])] for side in (left, right))
-        for i, j, d in _hits(x, y, 0, threshold, same):
+        for i, j, d in _near(x, y, 0, threshold, same):
             ordered = left[0][i] < right[0][j]
             pair = [(np.where(ordered, p[i], q[j]), np.where(ordered, q[j], p[i])) for p, q in zip(left, right, strict=True)]
             yield [*pair[0], d.astype(np.int32), *[c for both in pair[1:] for c in both]]
@@ -225,7 +292,7 @@ def distance_counts(rows: DataFrame, threshold: int) -> DataFrame:
     def found(left, right, same):
         (x, n_x), (y, n_y) = ((_unsigned(side[0]), side[1].to_numpy(zero_copy_only=False)) for side in (left, right))
         total = np.zeros(threshold + 1, np.int64)
-        for i, j, d in _hits(x, y, 0, threshold, same):
+        for i, j, d in _near(x, y, 0, threshold, same):
             np.add.at(total, d, n_x[i] * n_y[j])
         known = np.flatnonzero(total)
         yield known.astype(np.int32), total[known]
@@ -259,7 +326,7 @@ def _forest(low: int, high: int):
     def found(left, right, same):
         x, y = _unsigned(left[0]), _unsigned(right[0])
         label, shift = np.arange(len(x) if same else len(x) + len(y)), 0 if same else len(x)
-        for i, j, _ in _hits(x, y, low, high, same):
+        for i, j, _ in _near(x, y, low, high, same):
             label = _joined(label, i, j + shift)
         h = (x if same else np.concatenate([x, y])).view(np.int64)
         moved = np.flatnonzero(label != np.arange(len(label)))
@@ -300,7 +367,7 @@ def signature_links(counts: DataFrame, threshold: int, block: int = BLOCK) -> Da
         (x, n_x), (y, n_y) = ((_unsigned(side[0]), side[1].to_numpy(zero_copy_only=False)) for side in (left, right))
         label, shift = np.arange(len(x) if same else len(x) + len(y)), 0 if same else len(x)
         pairs, total, best = np.zeros(len(label), np.int64), np.zeros(len(label), np.int64), np.full(len(label), 127, np.int64)
-        for i, j, d in _hits(x, y, 0, threshold, same):
+        for i, j, d in _near(x, y, 0, threshold, same):
             label = _joined(label, i, j + shift)
             weight = n_x[i] * n_y[j]
             np.add.at(pairs, i, weight)

@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import signatures as S
 from tessera.operators import groups as G
-from tessera.operators import simjoin
+from tessera.operators import components, simjoin
 from tessera.operators.components import connected_components
 
 RND = random.Random(3)
@@ -141,3 +142,35 @@ def test_index_statistics_make_no_pairs(spark, bands):
     assert df.first().candidates == candidates and df.first().rows == len(rows)
     if bands == 4:
         assert "h_a" not in plan_of(df)
+
+
+@pytest.mark.parametrize("low, high", [(0, 8), (0, 6), (5, 8)])
+@pytest.mark.parametrize("candidates", [7, 500_000])
+def test_looked_up_tiles_equal_compared_tiles(monkeypatch, low, high, candidates):
+    monkeypatch.setattr(simjoin, "CANDIDATES", candidates)
+    monkeypatch.setattr(simjoin, "HITS", 50)
+    h = np.unique(np.array([x for _, x in library(300)], np.int64)).view(np.uint64)
+    h = np.random.default_rng(1).permutation(h)
+    layout = simjoin.probe_layout(high, simjoin.TILE_BANDS)
+    for x, y, same in ((h, h, True), (h[:90], h[90:], False), (h[:1], h[1:2], False)):
+        met = lambda found: sorted((*sorted((int(x[i]), int(y[j]))), int(d)) for part in found for i, j, d in zip(*part, strict=True))  # noqa: B023, E731
+        assert met(simjoin._looked_up(x, y, low, high, same, layout)) == met(simjoin._hits(x, y, low, high, same))
+
+
+def test_large_tiles_are_looked_up_unless_their_signatures_crowd():
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) for _ in range(2))
+    assert simjoin._tile_layout(x, y, 8) == simjoin.probe_layout(8, simjoin.TILE_BANDS)
+    assert simjoin._tile_layout(x, y, 15) is None and simjoin._tile_layout(x[:50], y[:50], 8) is None
+    assert simjoin._tile_layout(x & np.uint64(1023), y & np.uint64(1023), 8) is None
+
+
+def test_few_edges_need_no_round(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a round was made")
+
+    monkeypatch.setattr(components, "_dealt", never)
+    edges = [(RND.randrange(300), RND.randrange(300)) for _ in range(200)] + [(None, 4), (9, 9)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {tuple(r) for r in connected_components(df, "a", "b").select("component", "node").collect()}
+    assert got == groups_of([(a, b, 0) for a, b in edges if a is not None and a != b])
