@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
+from ..workers import lean
 from .pii import fresh
 
 #: ``min_share`` of the registered query and the pipeline.
@@ -34,8 +35,8 @@ SHARE = 0.2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Parts of a leaf's lines where they are compared across tasks.
 PARTS = 32
-#: Texts that are split at once.
-_STEP = 1000
+#: Texts that are split at once: their tokens take several times the texts' bytes.
+_STEP = 500
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -100,7 +101,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
                 columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(number[own].astype(np.int32)), pa.array(leaf[own].view(np.int64)), pa.array(key[own].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(parsed, f"doc_id {kind}, text_key long, line int, leaf long, key long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(parsed), f"doc_id {kind}, text_key long, line int, leaf long, key long")
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "leaf", "key", "n")).alias("lines"))
     joined = docs.join(lists.hint("merge"), ["doc_id", "text_key"]).select("text", "lines")
-    return joined.mapInArrow(made, "leaf long, key long, n long, tokens array<long>").dropDuplicates(["leaf", "key"])  # rows that repeat a text
+    return joined.mapInArrow(lean(made), "leaf long, key long, n long, tokens array<long>").dropDuplicates(["leaf", "key"])  # rows that repeat a text
 
 
 def templates_of(tokens: np.ndarray, docs: np.ndarray, depth: int, min_docs: float) -> np.ndarray:
@@ -181,7 +182,7 @@ def _in_leaf(lines: DataFrame, depth: int, min_docs: int, min_share: float) -> D
         arrays = [pa.array(leaf[at]), pa.array(table.column("key").to_numpy()[at]), pa.array(level, pa.int32()), pa.array(template, pa.int64()), pa.array(constant, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(resolved, "leaf long, key long, level int, template long, constant double")
+    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(lean(resolved), "leaf long, key long, level int, template long, constant double")
 
 
 def _across_tasks(lines: DataFrame, held: DataFrame, crowded: DataFrame, depth: int, min_docs: int, min_share: float) -> DataFrame:
@@ -249,7 +250,7 @@ def _marks(lost: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(gone))], names=names)
 
     kind = lost.schema["doc_id"].dataType.simpleString()
-    return lost.mapInArrow(marked, f"doc_id {kind}, text_key long, gone array<boolean>")
+    return lost.mapInArrow(lean(marked), f"doc_id {kind}, text_key long, gone array<boolean>")
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5, leaf_rows: int = 1000, counts: tuple[str, str] | None = None, min_share: float = 0.0) -> DataFrame:

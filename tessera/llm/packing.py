@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
+from ..workers import kept, lean
 
 #: Rows of the placement plan that are sent to the executors; a larger plan is joined instead.
 PLAN_ROWS_SENT = 1_000_000
@@ -98,7 +99,6 @@ _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-ö
 _OTHER = re.compile("[^\x00-\x1b -~ß-öø-ÿ]")
 #: White-space chunks; str.split() would drop the separators 1C-1F, which are no white space to the tokenizer.
 _CHUNK = re.compile(r"[\S\x1c-\x1f]+")
-_CACHES: dict[str, TokenCache] = {}
 
 
 def units(text: str) -> list[str]:
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             yield from cache.encode_all([x or "" for x in texts.slice(at, 500).to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES.get(tokenizer_path) or _CACHES.setdefault(tokenizer_path, TokenCache(tokenizer_path))
+        cache = kept(tokenizer_path, lambda: TokenCache(tokenizer_path))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(cut), f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -218,7 +218,7 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank.astype(np.int64))], names=[*columns, "_part", "_rank"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields) + ", _part int, _rank long"
-    sorted_pieces = work.save(saved.repartitionByRange(*by).sortWithinPartitions("length").mapInArrow(ranked, schema), "ranked")
+    sorted_pieces = work.save(saved.repartitionByRange(*by).sortWithinPartitions("length").mapInArrow(lean(ranked), schema), "ranked")
     # One row for each length in each range partition: neighbours share at most one length.
     totals = sorted_pieces.groupBy("length", "_part").agg(F.count("*").alias("n")).orderBy("length", "_part").collect()
     counts: dict[int, int] = {}
@@ -251,7 +251,7 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(data[c] for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields) + ", sequence_id long, offset long"
-    return sorted_pieces.mapInArrow(place, out)
+    return sorted_pieces.mapInArrow(lean(place), out)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

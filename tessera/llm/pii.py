@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
+from ..workers import lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Letters of a term that name its class.
@@ -145,7 +146,7 @@ def scan(docs: DataFrame, text_col: str, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _SCAN_TYPE)], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` {SCAN}"
-    return docs.mapInArrow(scanned, schema)
+    return docs.mapInArrow(lean(scanned), schema)
 
 
 def _with_classes(found: set[str]) -> set[str]:
@@ -172,7 +173,7 @@ def term_counts(docs: DataFrame, parsed: DataFrame, text_col: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    everywhere = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "term long, n long")
+    everywhere = docs.select(F.col(text_col).cast("string")).mapInArrow(lean(counted), "term long, n long")
     only_hidden = parsed.select(F.explode("hidden").alias("term"), (-F.col("copies")).alias("n"))
     return everywhere.union(only_hidden).groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -196,7 +197,7 @@ def parse(texts: DataFrame) -> DataFrame:
                 hidden.append([_hash(t) for t in _with_classes({m.lower() for m in set(_TERM.findall(text))}) - _with_classes(own)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pair)), pa.array(hidden, pa.list_(pa.int64()))], names=names)
 
-    return texts.select(*names[:4]).mapInArrow(parsed, PARSED)
+    return texts.select(*names[:4]).mapInArrow(lean(parsed), PARSED)
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, work: Workspace, alpha: float = 1.1, min_support: int = 3) -> DataFrame:
@@ -234,7 +235,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str, out: str, wo
                 rows.append((key, _joined([("term", a, b) for _, a, b in own]), ["" if remove[_hash(t)] else t[:CLASS_LETTERS] + "*" for t, _, _ in own]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["text_key", "extra", "actions"])
 
-    result = work.save(found.select("text_key", "hits", "text").mapInArrow(spans, "text_key string, extra string, actions array<string>"), "disclosures")
+    result = work.save(found.select("text_key", "hits", "text").mapInArrow(lean(spans), "text_key string, extra string, actions array<string>"), "disclosures")
     work.drop("parsed", "frequent", "recurrent", "joint", "terms", "telling")
     return result
 
@@ -292,4 +293,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", alpha: float = 1.1, min_su
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return dirty.mapInArrow(clean, schema).unionByName(scanned.filter(F.size(f"{out}.entities") == 0).select(*names))
+    return dirty.mapInArrow(lean(clean), schema).unionByName(scanned.filter(F.size(f"{out}.entities") == 0).select(*names))

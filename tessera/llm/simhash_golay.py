@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..tables import Workspace
+from ..workers import lean
 
 #: Bit ranges (low bit, width) of the three segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(lean(hashed), f"doc_id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -184,8 +185,8 @@ def golay_links(distinct: DataFrame, max_bits: int = 2, group_limit: int = 512)
         if len(key):
             yield links(key, fp)
 
-    keys = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
+    keys = distinct.select("fp").mapInArrow(lean(keyed), "key long, fp long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(linked), "a long, b long")
 
 
 def midpoint_links(distinct: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def wide_prints(docs: DataFrame, words_per_shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(c.copy()) for c in prints.T)], names=["doc_id", "node", *(f"f{i}" for i in range(WORDS))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(hashed, f"doc_id {kind}, node long, {PRINTS}")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(hashed), f"doc_id {kind}, node long, {PRINTS}")
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
@@ -408,8 +409,8 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
             yield out(*rest)
 
     # All keys with one beginning are made where it was dealt to, so a row goes through the shuffle 32 times and not once a key.
-    parts = distinct.select("node", *OWN).mapInArrow(dealt, f"part long, node long, {PRINTS}").repartition("part")
-    return parts.mapInArrow(keyed, f"key long, node long, {PRINTS}").sortWithinPartitions("key", "f0").mapInArrow(linked, f"key long, a long, b long, {PRINTS}")
+    parts = distinct.select("node", *OWN).mapInArrow(lean(dealt), f"part long, node long, {PRINTS}").repartition("part")
+    return parts.mapInArrow(lean(keyed), f"key long, node long, {PRINTS}").sortWithinPartitions("key", "f0").mapInArrow(lean(linked), f"key long, a long, b long, {PRINTS}")
 
 
 def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None, block: int = 2048) -> DataFrame:
@@ -475,7 +476,7 @@ def crowded_candidates(crowded: DataFrame, max_bits: int, partners: int | None,
             yield from out(rest)
 
     dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return dealt.mapInArrow(linked, "a long, b long, more boolean").distinct()
+    return dealt.mapInArrow(lean(linked), "a long, b long, more boolean").distinct()
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -486,7 +487,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             joined = [b" ".join((x.as_py() or b"").lower().split()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(j) for j in joined], pa.int64()), pa.array(joined, pa.binary())], names=["node", "text"])
 
-    texts = docs.select(F.col("text").cast("binary")).mapInArrow(named, "node long, text binary")
+    texts = docs.select(F.col("text").cast("binary")).mapInArrow(lean(named), "node long, text binary")
     return texts.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -498,7 +499,7 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, words_per_shingle: int) ->
             sets = [np.frombuffer(b"".join(shingle_digests(x.as_py(), words_per_shingle)[1]), np.int64)[::2] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(cut, "node long, shingles array<long>")
+    return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(lean(cut), "node long, shingles array<long>")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, max_bits: int = 55, group_limit: int = 64, partners: tuple[int, ...] = (4, 64)) -> DataFrame:

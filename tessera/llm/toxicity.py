@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import kept, lean
+
 SEGMENT_LENGTHS = (4, 5, 6, 7, 8)
 CARRIER_BYTES = 24
 #: Differences, in bytes, at which windows are counted.
@@ -151,15 +153,9 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float, window_word
     return Model(content, known, content[-CARRIER_BYTES:], tuple(_logistic(x, y, weight).tolist()), window_words)
 
 
-_DISTANCES: dict[tuple[bytes, bytes], Distances] = {}
-
-
 def score(text: str, model: Model) -> float:
-    key = (model.ordinary, model.toxic)
-    if key not in _DISTANCES:
-        _DISTANCES.clear()
-        _DISTANCES[key] = Distances(model.ordinary, model.toxic, model.carrier)
-    x = features(_DISTANCES[key].of(text, model.window_words))
+    distances = kept((model.ordinary, model.toxic), lambda: Distances(model.ordinary, model.toxic, model.carrier))
+    x = features(distances.of(text, model.window_words))
     z = sum(w * v for w, v in zip(model.weights, x, strict=True))
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -198,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` double"
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(lean(scored, keeps=True), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

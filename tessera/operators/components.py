@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Workspace
+from ..workers import lean
 
 #: Edges of one node that may go to one partition; a node with more is dealt to several.
 HOT_DEGREE = 100_000
@@ -95,7 +96,7 @@ def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60,
     work = Workspace(edges.sparkSession, "components")
     clean = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     kind = clean.schema["u"].dataType.simpleString()
-    stars = lambda arcs: arcs.mapInArrow(_contracted(chunk), f"u {kind}, v {kind}")
+    stars = lambda arcs: arcs.mapInArrow(lean(_contracted(chunk)), f"u {kind}, v {kind}")
     current = work.save(stars(clean), "edges_0")
     fingerprint = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = current.agg(*fingerprint).first()
