@@ -313,7 +313,7 @@ def keys_of_parts(prints: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np
     """All keys of one half of the fingerprints (two columns) that begin with the part beside each: (position, key).
 
     The six segments stand in a ring.  A key is a pair of segments next to each other or next but one, each by one of its
-    codewords within distance 4, of which one at least is the nearest: 24 bits, some 10 keys a pair.  At similarity 0.8 some 19
+    codewords within distance 4, of which one at least is the nearest: 24 bits, some 10 keys a pair; keys of one part stand together.  At similarity 0.8 some 19
     of 128 bits differ, and two texts share a key of one half or the other with probability 0.96, at 0.82 with 0.97 and at 0.88 with
     0.996.
     """
@@ -327,7 +327,7 @@ def keys_of_parts(prints: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np
         codes = codeword_indices(other)
         valid = (codes >= 0) & (is_nearest[:, None] | nearest_codewords(other))
         rows.append(np.nonzero(valid)[0])
-        keys.append((((step - 1) * 6 + segment) << 24 | code << 12)[rows[-1]] | codes[valid])
+        keys.append((parts << 13 | (step - 1) << 12)[rows[-1]] | codes[valid])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -386,9 +386,14 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
                 a.append(np.maximum(node[now], node[now + k]))
                 b.append(np.minimum(node[now], node[now + k]))
                 bits.append(apart[apart <= max_bits].astype(np.int64))
-            pairs, rows = sum(map(len, a)), np.flatnonzero(crowded)
-            none = pa.nulls(pairs, pa.int64())
-            columns = [pa.array(np.concatenate([*bits, key[rows]])), pa.array(np.concatenate([*a, node[rows]])), pa.concat_arrays([pa.array(np.concatenate([*b, node[:0]])), pa.nulls(len(rows), pa.int64())])]
+            rows, bits = np.flatnonzero(crowded), np.concatenate(bits)
+            a, b = np.concatenate([node[:0], *a]), np.concatenate([node[:0], *b])
+            # Near copies share most keys with one beginning, which follow each other: their pairs come out once a batch.
+            order = np.lexsort((b, a))
+            a, b, bits = a[order], b[order], bits[order]
+            once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+            none = pa.nulls(len(once), pa.int64())
+            columns = [pa.array(np.concatenate([bits[once], key[rows]])), pa.array(np.concatenate([a[once], node[rows]])), pa.concat_arrays([pa.array(b[once]), pa.nulls(len(rows), pa.int64())])]
             columns += [pa.concat_arrays([none, pa.array(w[rows])]) for w in words]
             return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", *OWN])
 

@@ -37,3 +37,17 @@ def test_lean_steps_give_the_same_batches_and_keep_on_request():
     assert list(workers.lean(lambda b: b, keeps=True)(iter(batches))) == batches and workers.kept("a", lambda: 3) == 1
     assert list(workers.lean(lambda b: b)(iter(batches))) == batches and workers.kept("a", lambda: 3) == 3
     assert workers.kept("b", lambda: 4) == 4 and workers.kept("a", lambda: 5) == 5  # one value at a time
+
+
+def test_pairs_of_near_copies_come_out_few_times(spark):
+    import random
+
+    from tessera.llm import simhash_golay
+
+    rnd, signed = random.Random(5), lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rnd.getrandbits(64) for _ in range(4)]
+    rows = [(i, *(signed(w ^ (1 << rnd.randrange(64))) for w in base)) for i in range(30)]
+    distinct = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    pairs = [(r.a, r.b) for r in simhash_golay.wide_candidates(distinct, 55, 64).filter("b IS NOT NULL").collect()]
+    assert set(pairs) == {(a, b) for a in range(30) for b in range(a)}
+    assert len(pairs) < 10 * len(set(pairs)), len(pairs)
