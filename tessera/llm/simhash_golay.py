@@ -331,6 +331,22 @@ def keys_of_parts(prints: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def first_parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest part that begins a common key of each pair of halves (two columns each), -1 where there is none."""
+    none, own = 1 << 20, []
+    for u, v in zip(_segments(x), _segments(y), strict=True):
+        codes = codeword_indices(u)
+        same = (codes[:, :, None] == codeword_indices(v)[:, None, :]) & (codes >= 0)[:, :, None]
+        own.append((codes, same.any(axis=2), nearest_codewords(u), (same & nearest_codewords(v)[:, None, :]).any(axis=2)))
+    found = np.full(len(x), none, np.int64)
+    for t, (codes, common, near_x, near_y) in enumerate(own):
+        for step in (1, 2):
+            _, other, other_x, other_y = own[(t + step) % 6]
+            meets = common[:, :, None] & other[:, None, :] & (near_x[:, :, None] | other_x[:, None, :]) & (near_y[:, :, None] | other_y[:, None, :])
+            found = np.minimum(found, np.where(meets.any(axis=2), t << 12 | codes, none).min(axis=1))
+    return np.where(found == none, -1, found)
+
+
 #: The fingerprint in a key's rows: the half that gives the keys, and the other one.
 OWN = ["f0", "f1", "f2", "f3"]
 
@@ -374,7 +390,7 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[first, len(key)])
             crowded = np.repeat((size > group_limit) | (key[first] == hot if hot is not None else False), size)
-            unsigned, a, b, bits = [w.view(np.uint64) for w in words], [], [], [key[:0]]
+            unsigned, left, right, bits = [w.view(np.uint64) for w in words], [key[:0]], [key[:0]], [key[:0]]
             live = np.arange(len(key))
             for k in range(1, group_limit + 1):
                 live = live[live + k < len(key)]
@@ -383,15 +399,21 @@ def wide_candidates(distinct: DataFrame, max_bits: int, group_limit: int, steps:
                     break
                 apart = _apart([u[live] for u in unsigned], [u[live + k] for u in unsigned])
                 now = live[apart <= max_bits]
-                a.append(np.maximum(node[now], node[now + k]))
-                b.append(np.minimum(node[now], node[now + k]))
+                left.append(now)
+                right.append(now + k)
                 bits.append(apart[apart <= max_bits].astype(np.int64))
-            rows, bits = np.flatnonzero(crowded), np.concatenate(bits)
-            a, b = np.concatenate([node[:0], *a]), np.concatenate([node[:0], *b])
-            # Near copies share most keys with one beginning, which follow each other: their pairs come out once a batch.
-            order = np.lexsort((b, a))
-            a, b, bits = a[order], b[order], bits[order]
-            once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+            rows, left, right, bits = np.flatnonzero(crowded), np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+            a, b, part = np.maximum(node[left], node[right]), np.minimum(node[left], node[right]), key[left] >> 13
+            # Near copies share most keys with one beginning, which follow each other: their pairs come out once a batch, and
+            # of all parts only from the first one.  Where its keys are crowded, their rows come out and are compared later.
+            order = np.lexsort((b, a, part, crowded[left]))
+            a, b, part, bits, left, right = a[order], b[order], part[order], bits[order], left[order], right[order]
+            once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (part[1:] != part[:-1])][: len(a)])
+            half, own = np.stack(unsigned[:2], axis=1), []
+            for at in range(0, len(once), 10_000):
+                now = once[at : at + 10_000]
+                own.append(now[crowded[left[now]] | (first_parts(half[left[now]], half[right[now]]) == part[now])])
+            once = np.concatenate([once[:0], *own])
             none = pa.nulls(len(once), pa.int64())
             columns = [pa.array(np.concatenate([bits[once], key[rows]])), pa.array(np.concatenate([a[once], node[rows]])), pa.concat_arrays([pa.array(b[once]), pa.nulls(len(rows), pa.int64())])]
             columns += [pa.concat_arrays([none, pa.array(w[rows])]) for w in words]
