@@ -14,9 +14,11 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,15 @@ from ..workers import kept, lean
 
 #: Rows of the placement plan that are sent to the executors; a larger plan is joined instead.
 PLAN_ROWS_SENT = 1_000_000
+#: Texts of about this many bytes are split at once (or one longer text).
+GROUP_BYTES = 16_000_000
 
 
 class TokenCache(dict):
     """Unit of text (see :func:`units`) -> its ids as little-endian 32-bit words.
 
-    A text's ids are those of its units in order.  The words that a batch of texts adds are encoded together.  Two
+    A text's ids are those of its chunks between white space in order, a chunk's those of its units.  A batch of texts is
+    split once, each different chunk of it is cut into units once, and the words that it adds are encoded together.  Two
     generations of at most ``limit`` units bound the memory.
     """
 
@@ -38,21 +43,25 @@ class TokenCache(dict):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.limit, self.old = Tokenizer.from_file(tokenizer_path), limit, {}
+        #: The same merges without normalisation and without the split by a pattern, which leave words as they are.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         #: Tokens that are found in the text as it is written, before anything else.
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.added_lower = pc.ascii_lower(pa.array(added, pa.string())).to_pylist()
 
-    def units(self, text: str) -> list[str]:
-        if not self.added.search(text):
-            return units(text)
-        return [u for chunk in _CHUNK.findall(text) for u in ([chunk] if self.added.search(chunk) else units(chunk))]
+    def units(self, chunk: str) -> list[str]:
+        if not self.added.search(chunk):
+            return units(chunk)
+        return [u for part in _CHUNK.findall(chunk) for u in ([part] if self.added.search(part) else units(part))]
 
     def _encode(self, unit: str) -> bytes:
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -60,7 +69,8 @@ class TokenCache(dict):
     def _add_words(self, words: list[str]) -> None:
         """Encodes Latin words, some hundreds in one call; each ends with the first id that ends a word."""
         lines = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        found = (e.ids for at in range(0, len(lines), 50) for e in self.merges.encode_batch_fast(lines[at : at + 50], add_special_tokens=False))
+        ids = np.fromiter(chain.from_iterable(found), "<u4")
         ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(ends) != len(words):  # a vocabulary without word ends
             self.update((w, self._encode(w)) for w in words)
@@ -68,45 +78,85 @@ class TokenCache(dict):
             data = ids.tobytes()
             self.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def _add(self, wanted: set[str]) -> set[str]:
+        """Adds what is missing of the ``wanted`` units, and returns what had to be encoded."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        split = [self.units(text) for text in texts]
-        new = {u for u in set().union(*split) if u not in self}
-        known = {u for u in new if u in self.old}
+        new = {u for u in wanted if u not in self}
+        known = new & self.old.keys()
         self.update((u, self.old[u]) for u in known)
         new -= known
-        words = [u for u in new if u[0] in _LETTERS and _WORD.fullmatch(u)]
+        words = [u for u in new if _WORD.fullmatch(u)]
         if words:
             self._add_words(words)
         self.update((u, self._encode(u)) for u in new.difference(words))
-        out = [b"".join(map(self.__getitem__, own)) for own in split]
+        return new
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The different chunks, the number of the chunk at each place, and where the places of each text begin and end."""
+        texts = texts.fill_null("")
+        lower = pc.ascii_lower(texts)
+        as_written = [*(pc.match_substring(lower, t) for t in self.added_lower), pc.match_substring_regex(texts, _MARKED)]
+        if not any(pc.any(x).as_py() for x in as_written):
+            texts = lower  # fewer different chunks
+        # Other white space than ASCII's stays within a chunk, whose units tell it.
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        chunks, chunk, borders = self._split(texts)
+        word = pc.match_substring_regex(chunks, f"^{_WORD.pattern}$").to_numpy(zero_copy_only=False)
+        flat, n_units = chunks.filter(pa.array(word)).to_numpy(zero_copy_only=False).tolist(), []
+        for c in chunks.filter(pa.array(~word)).to_numpy(zero_copy_only=False):
+            own = self.units(c)
+            flat += own
+            n_units.append(len(own))
+        new = self._add(set(flat))
+        ids = list(map(self.__getitem__, flat))
         for unit in new:  # long ones are not met again
             if len(unit) > 64:
                 del self[unit]
-        return out
+        # The chunks' ids one behind the other, words first; those of the texts are taken from there.
+        data, n_words = np.frombuffer(b"".join(ids), "<u4"), int(word.sum())
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.r_[0, np.cumsum(n_ids)][np.r_[0 : n_words + 1, n_words + np.cumsum(np.array(n_units, np.int64))]]
+        del flat, ids, new
+        place = np.where(word, np.cumsum(word) - 1, n_words + np.cumsum(~word) - 1)
+        start, length = ends[:-1][place], np.diff(ends)[place]
+        for a, b in pairwise(borders.tolist()):
+            at = chunk[a:b]
+            n = length[at]
+            end = np.cumsum(n)
+            yield data[np.repeat(start[at] - end + n, n) + np.arange(end[-1] if b > a else 0)]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return next(self.encode_all(pa.array([text]))).tobytes()
 
 
-#: Letters that are lower-cased one by one and that normalisation leaves as they are.
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
+#: Words of letters that are lower-cased one by one and that normalisation leaves as they are.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
 #: The tokenizer's own split (fixed values), for texts of ASCII characters and those letters alone.
 _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|[\x1c-\x1f]+")
 _OTHER = re.compile("[^\x00-\x1b -~ß-öø-ÿ]")
 #: White-space chunks; str.split() would drop the separators 1C-1F, which are no white space to the tokenizer.
 _CHUNK = re.compile(r"[\S\x1c-\x1f]+")
+#: The tokenizer composes before it lower-cases, and some small letters have a composed form where the capital has none.
+_MARKED = r"[A-Z]\p{M}"
 
 
 def units(text: str) -> list[str]:
-    """Parts of a text that are tokenised by themselves: words, digits and marks; whole chunks where they hold other characters."""
+    """Parts of a text that are tokenised by themselves: words, digits and marks; whole chunks, as written, where they hold other characters."""
     lower = text.lower() if text.isascii() else _lower_latin(text)
     if not _OTHER.search(lower):
         return _UNIT.findall(lower)
-    return [u for chunk in _CHUNK.findall(lower) for u in ([chunk] if _OTHER.search(chunk) else _UNIT.findall(chunk))]
+    own: list[str] = []
+    for chunk in _CHUNK.findall(text):
+        lower = _lower_latin(chunk)
+        own += [chunk] if _OTHER.search(lower) else _UNIT.findall(lower)
+    return own
 
 
 _LATIN = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"}
@@ -121,13 +171,21 @@ def _lower_latin(text: str) -> str:
     return text.lower()
 
 
+def _groups(sizes: np.ndarray, limit: int) -> list[int]:
+    """Lengths of runs of consecutive items with a sum of about ``limit``."""
+    group = np.cumsum(sizes, dtype=np.int64) // limit
+    return np.diff(np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]).tolist() if len(group) else []
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32)``: every document's ids and ``end_id``, cut at ``capacity``."""
     id_type = docs.schema[id_col].dataType
 
-    def cached(cache: TokenCache, texts: pa.Array) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            yield from cache.encode_all([x or "" for x in texts.slice(at, 500).to_pylist()])
+    def cached(cache: TokenCache, texts: pa.Array) -> Iterator[np.ndarray]:
+        at = 0
+        for n in _groups(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), GROUP_BYTES):
+            yield from cache.encode_all(texts.slice(at, n))
+            at += n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = kept(tokenizer_path, lambda: TokenCache(tokenizer_path))
@@ -135,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(cached(cache, batch.column(1))):
-                ids += end
+                ids = ids.tobytes() + end
                 total = len(ids) // 4
                 for k, at in enumerate(range(0, total, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]

@@ -519,6 +519,44 @@ def test_separators_that_are_no_white_space():
         assert cache.encode(text) == np.array(tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_odd_texts_have_the_ids_of_the_tokenizer():
+    """Texts of one batch together: other white space, marks that join letters, tokens found as they are written, any case."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rnd = tokenizers.path("word_bpe_49k.json"), random.Random(10)
+    tool = Tokenizer.from_file(path)
+    parts = ["a", "The", "don't", "'S", "'", "''ll", ".", "...", ",", "42", "\u00b2", "\xaa", "\xb5", "\xdf", "\u1e9e", "\xc5", "\u212b", "\u212a", "\u0130", "\xc9t\xe9", "e\u0301", "\u0301", "T\u0308", "W", "\u030a", "\u03a3", "\u6f22", "\U0001f600"]
+    parts += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|", " ", "  ", "\n", "\t", "\x0b", "\x00", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "x" * 70, "Upper", "word"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    # A batch without such tokens, and without capitals before a mark, is lower-cased at once.
+    plain = [t for t in texts if t is None or ("<|end" not in t.lower() and not re.search("[A-Z][\u0300-\u036f]", t))]
+    for own in (texts, plain):
+        cache = packing.TokenCache(path, limit=100)
+        for at in range(0, len(own), 700):
+            batch = own[at : at + 700]
+            for text, ids in zip(batch, cache.encode_all(pa.array(batch, pa.string())), strict=True):
+                assert ids.tolist() == tool.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_each_chunk_of_a_batch_is_cut_once(monkeypatch):
+    import pyarrow as pa
+
+    cut, own = [], packing.units
+    monkeypatch.setattr(packing, "units", lambda text: cut.append(text) or own(text))
+    cache = packing.TokenCache(tokenizers.path("word_bpe_49k.json"))
+    first, *others = list(cache.encode_all(pa.array(["The cat, don't; a cat, the end."] * 200)))
+    assert len(others) == 199 and all((x == first).all() for x in others)
+    assert sorted(cut) == ["cat,", "don't;", "end."]
+
+
+def test_groups_of_texts_are_whole():
+    for sizes, want in (([], []), ([0], [1]), ([5, 5, 5, 5], [1, 2, 1]), ([50, 1, 1], [3]), ([1, 50, 1], [1, 2])):
+        assert packing._groups(np.array(sizes, np.int64), 10) == want and sum(want) == len(sizes)
+
+
 def test_plan_is_joined_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr(packing, "PLAN_ROWS_SENT", 0)
     rows = spark.createDataFrame([(i, 1 + (i * 7) % 40) for i in range(300)], "doc_id long, length long")
