@@ -121,10 +121,11 @@ def _blocks(rows: DataFrame, columns: list[str], blocks: int) -> DataFrame:
 def _tiles(packed: DataFrame, columns: list[str], ones: Column, others: Column, tiles: int, more: DataFrame | None = None) -> DataFrame:
     """Rows ``(i, j, side, <column>s)``: blocks ``i`` (side 0) and ``j`` (side 1) of each tile, one after the other in a partition.
     A block is side 0 of the tiles ``(block, ones)`` and side 1 of the tiles ``(others, block)``; the blocks of side 0 are those
-    of ``more``, if it is given."""
+    of ``more``, if it is given.  A tile of a block with itself has side 0 alone: the arrays of a block are gathered once for each side, in
+    the order in which executors hand rows on, so two copies of a block need not agree on places."""
     first = packed if more is None else more
     left = first.select(F.col("block").alias("i"), F.explode(ones).alias("j"), F.lit(0).alias("side"), *columns)
-    right = packed.select(F.explode(others).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns)
+    right = packed.select(F.explode(others).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns).filter("i <> j")
     return left.union(right).repartition(max(1, min(4 * tiles, MOST_TASKS)), "i", "j").sortWithinPartitions("i", "j", "side")
 
 
@@ -236,7 +237,7 @@ def _compared(found: Callable, names: list[str]) -> Callable[[Iterator[pa.Record
                 arrays = [batch.column(c)[k].values for c in range(3, batch.num_columns)]
                 if side == 0:
                     left, key = arrays, (i, j)
-                elif key == (i, j):  # a block may be empty
+                if i == j or side == 1 and key == (i, j):  # a block may be empty
                     for columns in found(left, arrays, i == j):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
