@@ -61,6 +61,6 @@ def test_counts_and_components_of_blocks_in_any_order_equal_brute_force(spark, a
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["dup_pairs_exact", "explain_details", "explain_pair"])
+@pytest.mark.parametrize("name", ["dup_pairs_exact", "explain_details", "explain_pair", "fusion_votes"])
 def test_query_with_blocks_in_any_order_equals_sql(spark, same, any_order, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF)
